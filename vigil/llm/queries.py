@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_filter
+from . import media, mixing, packing, quality_rules, url_filter
 from .common import read
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.write_media(read(spark, sf_dir, "documents")))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(read(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
 
@@ -17,5 +29,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.spam_hosts(spark))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules, op10_url_filter)}
-ORACLE = {"op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_media, op3_mixing, op5_packing, op9_quality_rules, op10_url_filter)}
+ORACLE = {"op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE}
