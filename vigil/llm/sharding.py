@@ -17,41 +17,48 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     """id, shard of nodes (id, rows) after rounds of label propagation over links (id, hub).
 
     Nodes that share a hub are neighbours. In a round every linked node asks for the shard that holds most of its
-    neighbours, among its own and those with room. Requests are let in by a hashed priority until a shard's quota of
-    rows (its even share and slack) is full; what leaves a shard makes room in the next round. Hubs' counts by shard
-    stand in for the neighbours, so a hub of any size is shards rows. The driver sees counts of shards and priorities.
+    hubs' rows, its own included, among its own shard and those with room; ties fall to the lowest shard. Requests
+    are let in by a hashed priority, a hub's together unless it is large, until the linked rows of a shard fill its
+    quota (its even share and slack); what leaves a shard makes room in the next round. Nodes without links stay where
+    their hash puts them. Hubs' counts by shard stand in for the neighbours, so a hub of any size is shards rows. The
+    driver sees counts of shards and of priorities.
     """
-    labels = cut(nodes.select("id", "rows", hash_bucket(shards, "id").cast("int").alias("shard")))
+    linked = links.groupBy("id").agg(F.min("hub").alias("hub1"))
+    labels = cut(nodes.join(linked, "id", "left").select("id", "rows", F.col("hub1").isNotNull().alias("linked"), hash_bucket(shards, F.coalesce(F.col("hub1").cast("string"), F.col("id"))).cast("int").alias("shard")))
     (total,) = labels.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()
     quota = -(-total // shards) * (1 + slack)
     for _ in range(rounds):
-        load = {r.shard: r.n for r in labels.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
+        load = {r.shard: r.n for r in labels.where("linked").groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
         room = {k: int(quota - load.get(k, 0)) for k in range(shards)}
-        has_room = F.lit([k for k in range(shards) if room[k] > 0] or [-1])
-        linked = links.join(labels, "id")
-        held = linked.groupBy("hub", "shard").agg(F.sum("rows").alias("n"))
-        best = held.groupBy("hub").agg(F.collect_list(F.struct("n", "shard")).alias("held"))  # a row for each shard at most
-        votes = linked.join(best, "hub").select("id", "rows", F.col("shard").alias("own"), F.explode("held").alias("h"))
-        votes = votes.groupBy("id", "rows", "own", F.col("h.shard").alias("to")).agg(F.sum(F.col("h.n")).alias("n"))
-        votes = votes.withColumn("n", F.col("n") - F.when(F.col("to") == F.col("own"), F.col("rows")).otherwise(0))
-        votes = votes.where((F.col("to") == F.col("own")) | F.array_contains(has_room, F.col("to")))
-        asked = votes.groupBy("id", "rows", "own").agg(F.max(F.struct("n", (-F.col("to")).alias("to"))).alias("best"), F.max(F.when(F.col("to") == F.col("own"), F.col("n"))).alias("at_home"))
-        asked = asked.where((F.col("best.n") > F.coalesce("at_home", F.lit(0))))
-        asked = cut(asked.select("id", "rows", (-F.col("best.to")).alias("to"), hash_bucket(PRIORITIES, F.lit("in"), "id").alias("priority")))
-        limits, moved = {}, 0
-        counts = asked.groupBy("to", "priority").agg(F.sum("rows").alias("n")).orderBy("to", "priority").collect()
+        open_ = F.lit([k for k in range(shards) if room[k] > quota / 64] or [-1])
+        over = F.lit([k for k in range(shards) if room[k] < 0] or [-1])
+        at = links.join(labels, "id")
+        held = at.groupBy("hub", "shard").agg(F.sum("rows").alias("n"))
+        hubs = held.groupBy("hub").agg(F.sum("n").alias("hub_rows"), F.collect_list(F.struct("n", "shard")).alias("held"))  # a row for each shard at most
+        # an emptier shard is always a choice, so that what does not fit has somewhere to go
+        spare = F.array(*[F.struct(F.lit(0).cast("long").alias("n"), F.lit(k).alias("shard")) for k in sorted(room, key=lambda k: -room[k])[:1]])
+        votes = at.join(hubs, "hub").select("id", "rows", "hub", "hub_rows", F.col("shard").alias("own"), F.explode(F.concat("held", spare)).alias("h"))
+        votes = votes.groupBy("id", "rows", "own", F.col("h.shard").alias("to")).agg(F.sum(F.col("h.n")).alias("n"), F.min("hub").alias("hub"), F.max("hub_rows").alias("hub_rows"))
+        full = F.array_contains(over, F.col("to"))
+        votes = votes.where(((F.col("to") == F.col("own")) & ~full) | F.array_contains(open_, F.col("to")))
+        best = F.max(F.struct("n", (-F.col("to")).alias("to"))).alias("best")
+        asked = votes.groupBy("id", "rows", "own").agg(best, F.min("hub").alias("hub"), F.max("hub_rows").alias("hub_rows")).where(-F.col("best.to") != F.col("own"))
+        together = F.when(F.col("hub_rows") > quota / 16, F.col("id")).otherwise(F.col("hub").cast("string"))
+        asked = cut(asked.select("id", "rows", "own", (-F.col("best.to")).alias("to"), hash_bucket(PRIORITIES, F.lit("in"), together).alias("priority")))
+        counts = asked.groupBy("to", "own", "priority").agg(F.sum("rows").alias("n")).orderBy("to", "priority").collect()
+        limits, moved = [0] * shards, 0
         for k in range(shards):
-            left, limit = room[k], 0
-            for r in (r for r in counts if r.to == k):
-                if r.n > left:
+            left = room[k]
+            for p in sorted({r.priority for r in counts if r.to == k}):
+                n = sum(r.n for r in counts if r.to == k and r.priority == p)
+                if n > left:
                     break
-                left, limit, moved = left - r.n, r.priority + 1, moved + r.n
-            limits[k] = limit
+                left, limits[k], moved = left - n, p + 1, moved + n
         if not moved:
             break
-        let_in = F.get(F.lit([limits[k] for k in range(shards)]), F.col("to"))
+        let_in = F.get(F.lit(limits), F.col("to"))
         moves = asked.where(F.col("priority") < let_in).select("id", F.col("to").alias("new"))
-        labels = cut(labels.join(moves, "id", "left").select("id", "rows", F.coalesce("new", "shard").cast("int").alias("shard")))
+        labels = cut(labels.join(moves, "id", "left").select("id", "rows", "linked", F.coalesce("new", "shard").cast("int").alias("shard")))
     return labels.select("id", "shard")
 
 

@@ -55,7 +55,7 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int = RADIUS) -> tup
     """Links between x and y (or within x) that join all that lie within radius: at most four for each fingerprint."""
     own = y is None
     y = x if own else y
-    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= radius
+    near = np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64)) <= radius
     if own:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
