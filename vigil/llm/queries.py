@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality_rules, repeats, sharding, simhash, url_filter
+from . import classifier, media, mixing, packing, pii, quality_rules, repeats, sharding, simhash, url_filter
 from .common import read
 
 
@@ -13,10 +13,18 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.write_media(read(spark, sf_dir, "documents")))
 
 
+def op2_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
@@ -41,5 +49,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.spam_hosts(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_mixing, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter)}
 ORACLE = {"op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE}
