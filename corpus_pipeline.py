@@ -1,13 +1,48 @@
-"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return
+docs' columns. A driver may write each result as Parquet and hand it to the next.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from vigil.llm import mixing, packing, pii, quality_rules, simhash
+from vigil.llm.common import read
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host is not rejected."""
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates."""
+    return simhash.first_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data and the terms that reveal it replaced."""
+    return pii.sanitise(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [("quality rules", rules), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("packing", pack)]
+
+#: Fingerprints and tokens are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
