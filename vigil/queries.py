@@ -1,4 +1,222 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Each query runs an operator over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as o
+from .operators import features, rules
+from .operators import sessions as session_ops
+from .plans.chain import Chain
+from .settings import BASELINE
+from .sources.tables import canonical_events, peer_groups
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+#: Rules of the registered queries.
+EVENT_RULE = {"rule_id": "failed-read", "version": 1, "name": "failure with many bytes", "scope": "event", "status": "active", "score": 65, "source_types": ["waf", "svn"], "match": "all",
+              "conditions": [{"field": "event.outcome", "operator": "eq", "value": "failure"}, {"field": "network.bytes", "operator": "gte", "value": 9000}]}
+WINDOW_RULE = {"rule_id": "busy-hour", "version": 2, "name": "busy hour", "scope": "window", "window_size": 3600, "status": "active", "score": 70, "match": "any",
+               "conditions": [{"field": "event_count", "operator": "gte", "value": 4}, {"field": "write_action_count", "operator": "gt", "value": 2}]}
+PRINTS = {"event_print": rules.fingerprint(EVENT_RULE), "window_print": rules.fingerprint(WINDOW_RULE)}
+#: Lets rare values show in users with few events.
+RARE = {"svn": {"rare_share_threshold": 0.05}}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def chain(spark: SparkSession, sf_dir: str, **options) -> Chain:
+    events = canonical_events(spark, sf_dir)
+    return Chain(events, peer_groups(events), **options)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+
+
+@query(o.sql("SELECT * FROM win"))
+def a01_user_windows(spark, sf_dir):
+    return chain(spark, sf_dir).windows
+
+
+@query(o.sql("SELECT user_name, window_size, window_start, source_type_distinct_count, source_ip_distinct_count, resource_distinct_count, action_distinct_count FROM win"))
+def a03_window_distincts(spark, sf_dir):
+    return chain(spark, sf_dir).windows.select("user_name", "window_size", "window_start", *[f"{k}_distinct_count" for k in ("source_type", "source_ip", "resource", "action")])
+
+
+@query(o.sql("SELECT * FROM wv"))
+def a04_window_values(spark, sf_dir):
+    return chain(spark, sf_dir).values
+
+
+@query(o.sql("SELECT user_name, value_type, value_key, count(*) AS event_count, min(t) AS first_time_ms, arg_min(event_id, (t, event_id)) AS first_event_id, max(t) AS last_time_ms, arg_max(event_id, (t, event_id)) AS last_event_id FROM vals GROUP BY ALL"))
+def a05_value_stats(spark, sf_dir):
+    return features.value_stats(canonical_events(spark, sf_dir))
+
+
+@query(o.sql("SELECT user_name, window_size, window_start, ip AS first_seen_ip_count, res AS first_seen_resource_count, act AS first_seen_action_count FROM fw"))
+def a06_first_seen(spark, sf_dir):
+    return features.first_seen_counts(features.value_stats(canonical_events(spark, sf_dir)))
+
+
+@query(o.sql("SELECT user_name, min(t) AS first_time_ms, arg_min(event_id, (t, event_id)) AS first_event_id, max(t) AS last_time_ms, arg_max(event_id, (t, event_id)) AS last_event_id FROM ev GROUP BY ALL"))
+def a07_bounds(spark, sf_dir):
+    return chain(spark, sf_dir).bounds
+
+
+@query(o.sql("SELECT user_name, start_time, first_event_id, last_event_time, last_event_id, event_count, session_id, array_to_string(source_types[:64], ',') AS source_types, array_to_string(source_ips[:64], ',') AS source_ips, array_to_string(resources[:64], ',') AS resources, array_to_string(actions[:64], ',') AS first_actions, array_to_string(actions[-64:], ',') AS last_actions FROM sessions", o.SESSIONS))
+def t03_sessions(spark, sf_dir):
+    names = {"source_type": "source_types", "source_ip": "source_ips", "resource_display": "resources"}
+    acts = [F.array_join(F.transform(c, lambda x: x["action"]), ",").alias(c) for c in ("first_actions", "last_actions")]
+    return chain(spark, sf_dir).sessions.select("user_name", "start_time", "first_event_id", "last_event_time", "last_event_id", "event_count", "session_id", *[F.array_join(f"{k}_samples", ",").alias(v) for k, v in names.items()], *acts)
+
+
+@query(o.sql("SELECT session_id, CASE WHEN last_event_time + 1800000 < as_of - 300000 THEN 'closed' ELSE 'provisional' END AS status FROM sessions, newest", o.SESSIONS))
+def t04_watermark(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return session_ops.closed(c.sessions, c.as_of - 300_000).select("session_id", "status")
+
+
+STATS = "sample_count, round(mean, 6) AS mean, round(std, 6) AS std, min, max, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(mad, 6) AS mad, active_days, status"
+
+
+@query(o.sql(f"SELECT window_size, metric, {STATS} FROM whole", o.METRICS))
+def a11_global_metrics(spark, sf_dir):
+    return rounded(chain(spark, sf_dir).metrics[2])
+
+
+@query(o.sql(f"SELECT user_name, window_size, metric, {STATS} FROM personal", o.METRICS))
+def a10_personal_metrics(spark, sf_dir):
+    return rounded(chain(spark, sf_dir).metrics[0])
+
+
+@query(o.sql(f"SELECT group_id, window_size, metric, member_count, {STATS} FROM peer", o.METRICS))
+def a12_peer_metrics(spark, sf_dir):
+    return rounded(chain(spark, sf_dir).metrics[1])
+
+
+@query(o.sql("SELECT 'personal' AS scope, user_name AS subject, value_type, value_key, first_seen, round(share, 9) AS share, event_count FROM pv UNION ALL SELECT 'peer_group', group_id, value_type, value_key, first_seen, round(share, 9), event_count FROM rv UNION ALL SELECT 'global', '', value_type, value_key, first_seen, round(share, 9), event_count FROM gv", o.METRICS, o.VALUES))
+def a13_value_share(spark, sf_dir):
+    return rounded(chain(spark, sf_dir).value_baselines, 9)
+
+
+CAND = "user_name, window_size, window_start, detector_id, metric, value_type, value_key, scope AS baseline_scope, group_id, candidate_key"
+SHOW = ("user_name", "window_size", "window_start", "detector_id", "metric", "value_type", "value_key", "baseline_scope", "group_id", "candidate_key")
+NUMERIC = (o.METRICS, o.VALUES, o.SCOPED, o.CANDIDATES)
+
+
+@query(o.sql(f"SELECT {CAND} FROM cand WHERE detector_id LIKE 'numeric%'", *NUMERIC))
+def d01_numeric(spark, sf_dir):
+    return chain(spark, sf_dir).numeric.select(*SHOW)
+
+
+@query(o.sql(f"SELECT {CAND} FROM cand WHERE detector_id LIKE 'numeric%'", *NUMERIC, days=28))
+def j01_scope_fallback(spark, sf_dir):
+    return chain(spark, sf_dir, baseline_config=BASELINE | {"min_active_days": 28}).numeric.select(*SHOW)
+
+
+@query(o.sql(f"SELECT {CAND} FROM cand WHERE detector_id = 'new_value_30d'", *NUMERIC))
+def d02_new_value(spark, sf_dir):
+    return chain(spark, sf_dir).valued.where("detector_id = 'new_value_30d'").select(*SHOW)
+
+
+@query(o.sql(f"SELECT {CAND} FROM cand WHERE detector_id = 'rare_value'", *NUMERIC, rare=0.05))
+def d03_rare_value(spark, sf_dir):
+    return chain(spark, sf_dir, overrides=RARE).valued.where("detector_id = 'rare_value'").select(*SHOW)
+
+
+RULE_SELECT = "SELECT user_name, window_size, window_start, detector_id, score, event_id, candidate_key FROM rulec WHERE window_size {}"
+
+
+@query(o.sql(RULE_SELECT.format("= 0"), *NUMERIC, o.RULED, **PRINTS))
+def d06_event_rule(spark, sf_dir):
+    return chain(spark, sf_dir, rules=[EVENT_RULE]).ruled.select("user_name", "window_size", "window_start", "detector_id", "score", "event_id", "candidate_key")
+
+
+@query(o.sql(RULE_SELECT.format("> 0"), *NUMERIC, o.RULED, **PRINTS))
+def d06_window_rule(spark, sf_dir):
+    return chain(spark, sf_dir, rules=[WINDOW_RULE]).ruled.select("user_name", "window_size", "window_start", "detector_id", "score", "event_id", "candidate_key")
+
+
+ALL = (*NUMERIC, o.RULED, o.SESSIONS, o.INCIDENTS)
+
+
+def full(spark, sf_dir) -> Chain:
+    return chain(spark, sf_dir, rules=[EVENT_RULE, WINDOW_RULE])
+
+
+@query(o.sql("SELECT candidate_key, count(*) AS event_count, count(*) > 20 AS truncated, string_agg(event_id, ',' ORDER BY r) FILTER (r <= 20) AS event_ids FROM members GROUP BY ALL", *ALL, **PRINTS))
+def j04_evidence_top20(spark, sf_dir):
+    return full(spark, sf_dir).evidence.select("candidate_key", "event_count", "truncated", F.array_join(F.transform("evidence", lambda e: e["event_id"]), ",").alias("event_ids"))
+
+
+@query(o.sql("SELECT candidate_key, session_id, correlation_key FROM keyed", *ALL, **PRINTS))
+def j05_session_overlap(spark, sf_dir):
+    from .operators.correlation import group_keys
+
+    c = full(spark, sf_dir)
+    return group_keys(c.candidates, c.sessions).select("candidate_key", "session_id", "correlation_key")
+
+
+@query(o.sql("SELECT incident_key, user_name, correlation_key, first_seen, last_seen, incident_type, aggregation_score, severity, candidate_count, detector_count, families AS detector_family_count, coalesce(source_types, '') AS source_types, coalesce(source_ips, '') AS source_ips, coalesce(resources, '') AS resources FROM inc", *ALL, **PRINTS))
+def c02_incidents(spark, sf_dir):
+    sets = [F.array_join(c, ",").alias(c) for c in ("source_types", "source_ips", "resources")]
+    return full(spark, sf_dir).incidents.select("incident_key", "user_name", "correlation_key", "first_seen", "last_seen", "incident_type", "aggregation_score", "severity", "candidate_count", "detector_count", "detector_family_count", *sets)
+
+
+@query(o.sql("SELECT incident_key, sha256(incident_key) AS assessment_key, alert_key, user_name, risk_score, risk_severity, policy_action FROM risk", *ALL, o.RISK, **PRINTS))
+def r01_risk(spark, sf_dir):
+    return full(spark, sf_dir).assessments.select("incident_key", "assessment_key", "alert_key", "user_name", "risk_score", "risk_severity", "policy_action")
+
+
+@query(o.sql("SELECT alert_key, incident_key, user_name, incident_type, first_seen, last_seen, risk_score, risk_severity AS severity FROM risk WHERE policy_action = 'alert'", *ALL, o.RISK, **PRINTS))
+def w01_alert_budget(spark, sf_dir):
+    return full(spark, sf_dir).alerts.drop("assessment_key", "policy_reason")
+
+
+#: name: (conditions, all or any, the same as SQL over ev)
+CONDITIONS = {
+    "f05_neq": ([("event.outcome", "neq", "success")], "all", "outcome <> 'success'"),
+    "f05_neq_missing": ([("host.name", "neq", "x")], "all", "true"),
+    "f06_not_in": ([("event.action", "not_in", ["repo_read", "user_login"])], "all", "action NOT IN ('repo_read', 'user_login')"),
+    "f06_in": ([("source.ip", "in", ["10.0.1.1", "10.0.2.2"])], "all", "source_ip IN ('10.0.1.1', '10.0.2.2')"),
+    "f07_compare": ([("network.bytes", "gt", 5000), ("network.bytes", "lte", 20000)], "all", "bytes > 5000 AND bytes <= 20000"),
+    "f08_exists": ([("host.name", "exists", False), ("user.name", "exists", True)], "all", "true"),
+    "f09_text": ([("event.action", "starts_with", "repo_"), ("resource.name", "ends_with", "7"), ("resource.name", "contains", "s-1")], "all", "action LIKE 'repo\\_%' ESCAPE '\\' AND shown LIKE '%7' AND shown LIKE '%s-1%'"),
+    "f10_cidr": ([("source.ip", "cidr_contains", "10.0.8.1/21")], "all", "CAST(string_split(source_ip, '.')[3] AS INT) BETWEEN 8 AND 15"),
+    "f11_any": ([("event.outcome", "eq", "failure"), ("network.bytes", "lt", 500)], "any", "outcome = 'failure' OR bytes < 500"),
+}
+
+
+def _condition_query(name: str, conditions: list, match: str):
+    def run(spark, sf_dir):
+        events = canonical_events(spark, sf_dir)
+        rule = {"match": match, "conditions": [{"field": f, "operator": p, "value": v} for f, p, v in conditions]}
+        return events.where(rules.compile_rule(rule, rules.event_fields(events.columns))).select("event_id", "user_name")
+
+    run.__name__ = name
+    return run
+
+
+for _name, (_conditions, _match, _sql) in CONDITIONS.items():
+    query(o.sql(f"SELECT event_id, user_name FROM ev WHERE {_sql}"))(_condition_query(_name, _conditions, _match))
+
+
+@query(o.sql("SELECT * FROM win WHERE window_size = 3600 AND window_start < 1704412800000 AND window_end > 1704326400000"))
+def f01_time_overlap(spark, sf_dir):
+    return features.overlapping(chain(spark, sf_dir).windows.where("window_size = 3600"), 1704326400000, 1704412800000)
+
+
 
-QUERIES: dict = {}
-ORACLE: dict = {}
