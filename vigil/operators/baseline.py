@@ -47,11 +47,26 @@ def percentiles(rows: DataFrame, keys: list[str], ps: tuple[float, ...] = PERCEN
 
 
 def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """count, mean, population deviation, min, max, p50, p95, p99 and MAD of rows (keys, value, n)."""
+    """count, mean, population deviation, min, max, p50, p95, p99 and MAD of rows (keys, value, n).
+
+    For keys with a bounded number of rows, such as one user's windows of a history: two aggregations.
+    """
+    n, value = F.col("n"), F.col("value")
+    ranks = F.percentile("value", F.array(*map(F.lit, PERCENTILES)), n)
+    basic = rows.groupBy(*keys).agg(F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), ranks.alias("p"))
+    basic = basic.select(*keys, "sample_count", "mean", "min", "max", *[F.col("p")[i].alias(f"p{round(100 * x)}") for i, x in enumerate(PERCENTILES)])
+    far = value - F.col("mean")
+    near = rows.join(basic, keys).groupBy(*keys, "sample_count", "mean", "min", "max", "p50", "p95", "p99")
+    return near.agg(F.sqrt(F.sum(far * far * n) / F.sum("n")).alias("std"), F.percentile(F.abs(value - F.col("p50")), F.lit(0.5), n).alias("mad"))
+
+
+def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for keys of any size: from counts of distinct values, with ranks found class by class."""
+    hist = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")).persist()
     n, value = F.col("n"), F.col("value")
-    basic = rows.groupBy(*keys).agg(F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    basic = basic.join(percentiles(rows, keys), keys)
-    near = rows.join(basic.select(*keys, "mean", "p50"), keys)
+    basic = hist.groupBy(*keys).agg(F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    basic = basic.join(percentiles(hist, keys), keys).persist()  # a row for each key
+    near = hist.join(F.broadcast(basic.select(*keys, "mean", "p50")), keys) if keys == ["window_size", "metric"] else hist.join(basic.select(*keys, "mean", "p50"), keys)
     std = near.groupBy(*keys).agg(F.sqrt(F.sum((value - F.col("mean")) * (value - F.col("mean")) * n) / F.sum("n")).alias("std"))
     mad = percentiles(near.select(*keys, F.abs(value - F.col("p50")).alias("value"), "n"), keys, (0.5,)).withColumnRenamed("p50", "mad")
     return basic.join(std, keys).join(mad, keys)
@@ -95,7 +110,7 @@ def personal_metrics(windows: DataFrame, bounds: DataFrame, as_of_ms: int, days:
 def global_metrics(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, config: dict = BASELINE) -> DataFrame:
     """Baselines over all users' observed windows by window size and metric."""
     rows = history(windows, as_of_ms, days)
-    stats = statistics(long_metrics(rows, ["window_size"]).withColumn("n", F.lit(1).cast("long")), ["window_size", "metric"])
+    stats = large_statistics(long_metrics(rows, ["window_size"]).withColumn("n", F.lit(1).cast("long")), ["window_size", "metric"])
     sizes = rows.groupBy("window_size").agg(active_days())
     return stats.join(sizes, "window_size").withColumn("status", status(F.col("active_days"), F.col("sample_count"), config["min_active_days"], config["min_samples"]))
 
@@ -104,7 +119,7 @@ def peer_metrics(windows: DataFrame, peers: DataFrame, as_of_ms: int, days: int
     """Baselines of each peer group; peers has user_name and group_id, a user in one group."""
     rows = history(windows, as_of_ms, days).join(peers, "user_name")
     keys = ["group_id", "window_size"]
-    stats = statistics(long_metrics(rows, keys).withColumn("n", F.lit(1).cast("long")), [*keys, "metric"])
+    stats = large_statistics(long_metrics(rows, keys).withColumn("n", F.lit(1).cast("long")), [*keys, "metric"])
     sizes = rows.groupBy(*keys).agg(active_days(), F.count_distinct(F.when(F.col("event_count") > 0, F.col("user_name"))).alias("member_count"))
     ready = status(F.col("active_days"), F.col("sample_count"), config["min_peer_active_days"], config["min_peer_samples"])
     return stats.join(sizes, keys).withColumn("status", F.when(F.col("member_count") >= config["min_peer_members"], ready).otherwise("warming_up"))

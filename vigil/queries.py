@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
-from .operators import features, rules
+from .functions import text as text_ops
+from .operators import cases, features, models, quality, rules
 from .operators import sessions as session_ops
 from .plans.chain import Chain
 from .settings import BASELINE
-from .sources.tables import canonical_events, peer_groups
+from .sources.tables import canonical_events, peer_groups, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -219,4 +220,112 @@ def f01_time_overlap(spark, sf_dir):
     return features.overlapping(chain(spark, sf_dir).windows.where("window_size = 3600"), 1704326400000, 1704412800000)
 
 
+STRIPPED = r"regexp_replace(regexp_replace(text, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+', ''), '[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '')"
+FORMAT = rf"""SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '{{') AND json_valid(t) THEN 'json' WHEN starts_with(t, '{{') THEN 'json_like' WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]=') THEN 'key_value'
+  WHEN regexp_matches(t, '^\d+\.\d+\.\d+\.\d+ - \S+ \[[^\]]+\] "\S+ ') THEN 'apache_access' ELSE 'text' END AS format FROM (SELECT doc_id, {STRIPPED} AS t FROM documents)"""
+HINT = rf"""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace({STRIPPED}, '\b\d+\.\d+\.\d+\.\d+\b', '<IP>', 'g'), '\b\d{{2,}}\b', '<NUM>', 'g'), '=[^<\s]\S*', '=<VAR>', 'g'), 500) AS hint FROM documents"""
 
+
+@query(FORMAT)
+def p15_format(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text_ops.detect_format(F.col("text")).alias("format"))
+
+
+@query(HINT)
+def p16_template(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text_ops.template_hint(F.col("text")).alias("hint"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(\w*(?:password|passwd|token|authorization|api[_-]?key|secret)\w*)\s*=\s*[^\s,;]+', '\1=<REDACTED>', 'g') AS text FROM documents")
+def p21_redact(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text_ops.redact(F.col("text")).alias("text"))
+
+
+@query(f"SELECT hint AS template_hint, count(*) AS n FROM ({HINT}) GROUP BY ALL ORDER BY n DESC, hint LIMIT 10")
+def a20_template_top10(spark, sf_dir):
+    return quality.top_templates(read(spark, sf_dir, "documents").select(text_ops.template_hint(F.col("text")).alias("template_hint")))
+
+
+def _unknown(spark, sf_dir):
+    """Chat messages as records that no parser takes."""
+    rows = read(spark, sf_dir, "conversations")
+    ident = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role")
+    return rows.select(F.sha2(ident, 256).alias("unknown_id"), ident.alias("record_id"), F.col("role").alias("suggested_source_type"), text_ops.detect_format(F.col("text")).alias("detected_format"), F.left(text_ops.template_hint(F.col("text")), F.lit(3)).alias("template_hint"), F.col("text").alias("raw_text"))
+
+
+@query(rf"""WITH u AS (SELECT sha256(conv_id || ':' || turn || ':' || role) AS id, role, CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '{{') AND json_valid(t) THEN 'json' WHEN starts_with(t, '{{') THEN 'json_like' WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]=') THEN 'key_value'
+    WHEN regexp_matches(t, '^\d+\.\d+\.\d+\.\d+ - \S+ \[[^\]]+\] "\S+ ') THEN 'apache_access' ELSE 'text' END AS format,
+    left(regexp_replace(regexp_replace(regexp_replace(t, '\b\d+\.\d+\.\d+\.\d+\b', '<IP>', 'g'), '\b\d{{2,}}\b', '<NUM>', 'g'), '=[^<\s]\S*', '=<VAR>', 'g'), 3) AS hint FROM (SELECT *, {STRIPPED} AS t FROM conversations))
+  SELECT 'candidate_' || left(sha256(role || ':' || format || ':' || hint), 16) AS candidate_id, role AS suggested_source_type, format AS detected_format, hint AS template_hint, count(*) AS sample_count, array_to_string(list_sort(list(id))[:5], ',') AS samples FROM u GROUP BY ALL""")
+def a24_candidates(spark, sf_dir):
+    rows = quality.parser_candidates(_unknown(spark, sf_dir))
+    return rows.select("candidate_id", "suggested_source_type", "detected_format", "template_hint", "sample_count", F.array_join(F.transform("samples", lambda x: x["unknown_id"]), ",").alias("samples"))
+
+
+@query(o.sql("""SELECT coalesce(b.event_id, a.event_id) AS record_id, CASE WHEN b.event_id IS NULL THEN 'new_record' WHEN a.event_id IS NULL THEN 'removed_record' WHEN b.kind = 'unknown' AND a.kind = 'normalized' THEN 'unknown_resolved' WHEN b.kind = 'normalized' AND a.kind = 'unknown' THEN 'new_unknown'
+    WHEN b.parser <> a.parser THEN 'parser_changed' WHEN b.p <> a.p THEN 'event_changed' ELSE 'unchanged' END AS change_type FROM
+  (SELECT event_id, CASE WHEN source_type = 'waf' THEN 'unknown' ELSE 'normalized' END AS kind, source_type AS parser, action AS p FROM ev WHERE bytes % 10 <> 0) b FULL JOIN
+  (SELECT event_id, CASE WHEN source_type = 'sso' THEN 'unknown' ELSE 'normalized' END AS kind, CASE WHEN action = 'repo_write' THEN 'v2' ELSE source_type END AS parser, CASE WHEN action = 'repo_clone' THEN 'repo_read' ELSE action END AS p FROM ev WHERE bytes % 10 <> 1) a USING (event_id)"""))
+def j10_replay_compare(spark, sf_dir):
+    ev = canonical_events(spark, sf_dir).withColumnRenamed("event_id", "record_id")
+    kind = lambda source: F.when(F.col("source_type") == source, "unknown").otherwise("normalized").alias("kind")
+    before = ev.where("network_bytes % 10 <> 0").select("record_id", kind("waf"), F.col("source_type").alias("parser_id"), F.col("action").alias("projection"))
+    after = ev.where("network_bytes % 10 <> 1").select("record_id", kind("sso"), F.when(F.col("action") == "repo_write", "v2").otherwise(F.col("source_type")).alias("parser_id"), F.when(F.col("action") == "repo_clone", "repo_read").otherwise(F.col("action")).alias("projection"))
+    return quality.replay_changes(before, after).select("record_id", "change_type")
+
+
+VECTOR = """,
+vec AS (SELECT user_name, peer_id, window_start, ln(1 + event_count) AS event_count_log, failure_count / event_count AS failure_rate, other_outcome_count / event_count AS other_outcome_rate, ln(1 + source_type_distinct_count) AS source_type_distinct_log,
+  ln(1 + source_ip_distinct_count) AS source_ip_distinct_log, ln(1 + resource_distinct_count) AS resource_distinct_log, ln(1 + action_distinct_count) AS action_distinct_log, read_action_count / event_count AS read_rate, write_action_count / event_count AS write_rate,
+  ln(1 + network_bytes_total) AS network_bytes_log, first_seen_ip_count / greatest(source_ip_distinct_count, 1) AS first_seen_ip_rate, first_seen_resource_count / greatest(resource_distinct_count, 1) AS first_seen_resource_rate,
+  first_seen_action_count / greatest(action_distinct_count, 1) AS first_seen_action_rate FROM win JOIN (SELECT user_name, group_id AS peer_id FROM peers) USING (user_name) WHERE window_size = 86400)
+"""
+
+
+@query(o.sql("SELECT user_name, window_start, round(COLUMNS(* EXCLUDE (user_name, peer_id, window_start)), 9) FROM vec", VECTOR))
+def m01_features(spark, sf_dir):
+    return rounded(models.features(chain(spark, sf_dir).windows.where("window_size = 86400"), ("user_name", "window_start")), 9)
+
+
+def _vectors(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return models.features(c.windows.where("window_size = 86400").join(c.peers, "user_name"), ("user_name", "group_id", "window_start"))
+
+
+HBOS = VECTOR + """,
+lv AS (UNPIVOT vec ON COLUMNS(* EXCLUDE (user_name, peer_id, window_start)) INTO NAME feature VALUE v),
+ns AS (SELECT peer_id, count(*) AS n, greatest(5, least(20, CAST(ceil(sqrt(count(*))) AS INT))) AS bins FROM vec GROUP BY ALL HAVING count(*) >= 100),
+qs AS (SELECT peer_id, feature, n, list_sort(list(v)) AS vs, any_value(bins) AS bins FROM lv JOIN ns USING (peer_id) GROUP BY ALL),
+ed AS (SELECT peer_id, feature, n, vs[1] AS low, vs[-1] AS high, list_sort(list_distinct(list_transform(range(1, bins), lambda i: vs[CAST(floor((n - 1) * (i / bins)) AS INT) + 1] + (vs[CAST(ceil((n - 1) * (i / bins)) AS INT) + 1] - vs[CAST(floor((n - 1) * (i / bins)) AS INT) + 1]) * ((n - 1) * (i / bins) - floor((n - 1) * (i / bins)))))) AS edges FROM qs)
+"""
+
+
+@query(o.sql("SELECT peer_id AS group_id, feature, n, round(low, 9) AS low, round(high, 9) AS high, len(edges) >= 1 AS has_edges, round(list_min(edges), 6) AS first_edge, round(list_max(edges), 6) AS last_edge FROM ed", HBOS))
+def m02_hbos_bins(spark, sf_dir):
+    rows = models.fit_histograms(_vectors(spark, sf_dir), "group_id")
+    return rows.select("group_id", "feature", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), (F.size("edges") >= 1).alias("has_edges"), F.round(F.array_min("edges"), 6).alias("first_edge"), F.round(F.array_max("edges"), 6).alias("last_edge"))
+
+
+@query()
+def m03_hbos_score(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return rounded(models.scored(v, v, "group_id", ["user_name", "window_start"]))
+
+
+@query(o.sql("""SELECT sha256('case:' || alert_key) AS case_id, alert_key, user_name, 'open' AS status, risk_score, risk_severity AS severity FROM
+  (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY risk_score DESC, first_seen, incident_key DESC) AS best FROM risk WHERE policy_action = 'alert') WHERE best = 1""", *ALL, o.RISK, **PRINTS))
+def k01_cases(spark, sf_dir):
+    return cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0).select("case_id", "alert_key", "user_name", "status", "risk_score", "severity")
+
+
+@query(o.sql("""SELECT window_size, count(*) AS windows, count(DISTINCT user_name) AS users, count(DISTINCT window_start // 86400000) AS days FROM win GROUP BY ALL"""))
+def a22_readiness(spark, sf_dir):
+    day = F.col("window_start") - F.pmod("window_start", F.lit(86_400_000))
+    return chain(spark, sf_dir).windows.groupBy("window_size").agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("user_name").alias("users"), F.count_distinct(day).alias("days"))
+
+
+@query(o.sql("""SELECT count(*) FILTER (a AND b) AS both, count(*) AS either, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM (SELECT user_name, t // 86400000 AS d, bool_or(outcome = 'failure') AS a, bool_or(bytes > 20000) AS b FROM ev GROUP BY ALL) WHERE a OR b"""))
+def u02_jaccard(spark, sf_dir):
+    ev = canonical_events(spark, sf_dir).withColumn("d", F.floor(F.col("event_time_ms") / 86_400_000))
+    days = ev.groupBy("user_name", "d").agg(F.bool_or(F.col("outcome") == "failure").alias("a"), F.bool_or(F.col("network_bytes") > 20000).alias("b")).where("a OR b")
+    return days.agg(F.count_if(F.expr("a AND b")).alias("both"), F.count(F.lit(1)).alias("either")).select("both", "either", F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(1.0), 6).alias("jaccard"))
