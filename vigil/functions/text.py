@@ -16,7 +16,9 @@ def strip(text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether the whole text is one JSON value: the parser itself would take a value that other text follows."""
+    inside = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull()
+    return inside("[", "]") & inside('{"a":', "}")
 
 
 def detect_format(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import BASELINE, BASELINE_SIZES, HISTORY_DAYS, METRICS, VALUE_WINDOW_S
+from ..sources.state import settle
 from .features import DAY_MS, window_start
 
 PERCENTILES = (0.5, 0.95, 0.99)
@@ -62,10 +63,10 @@ def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The same for keys of any size: from counts of distinct values, with ranks found class by class."""
-    hist = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")).persist()
+    hist = settle(rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
     n, value = F.col("n"), F.col("value")
     basic = hist.groupBy(*keys).agg(F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    basic = basic.join(percentiles(hist, keys), keys).persist()  # a row for each key
+    basic = settle(basic.join(percentiles(hist, keys), keys))  # a row for each key
     near = hist.join(F.broadcast(basic.select(*keys, "mean", "p50")), keys) if keys == ["window_size", "metric"] else hist.join(basic.select(*keys, "mean", "p50"), keys)
     std = near.groupBy(*keys).agg(F.sqrt(F.sum((value - F.col("mean")) * (value - F.col("mean")) * n) / F.sum("n")).alias("std"))
     mad = percentiles(near.select(*keys, F.abs(value - F.col("p50")).alias("value"), "n"), keys, (0.5,)).withColumnRenamed("p50", "mad")

@@ -8,6 +8,7 @@ import json
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ def cidr_contains(ip: Column, network: str) -> Column:
     if net.version == 4:
         number = ipv4_number(ip)
         return F.coalesce((number >= int(net.network_address)) & (number <= int(net.broadcast_address)), F.lit(False))
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def inside(values: pd.Series) -> pd.Series:
         def one(x: str | None) -> bool:

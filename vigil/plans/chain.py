@@ -5,47 +5,37 @@ from __future__ import annotations
 from functools import cached_property
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baseline, correlation, detection, features, fusion
 from ..operators import sessions as session_ops
 from ..settings import BASELINE
+from ..sources.state import settle
 
 
 class Chain:
     """Each stage as a DataFrame, built when first asked for.
 
-    Stages that others read more than once are persisted (in memory and on disk; what an executor takes with it is
-    computed again) until release(). as_of defaults to the newest event's time (one row read from the events).
+    Stages that others read more than once are settled in the shared checkpoint folder, so that the plans that follow
+    start from their rows. as_of defaults to the newest event's time (one row read from the events).
     baseline_config and overrides are those of the operators.
     """
 
     def __init__(self, events: DataFrame, peers: DataFrame, rules: list[dict[str, Any]] | None = None, as_of_ms: int | None = None, overrides: dict | None = None, baseline_config: dict = BASELINE, suppressed: DataFrame | None = None):
         self.events, self.peers, self.rules, self.overrides, self.config, self.suppressed = events, peers, rules or [], overrides, baseline_config, suppressed
         self._as_of = as_of_ms
-        self._kept: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
-    def release(self) -> None:
-        while self._kept:
-            self._kept.pop().unpersist()
-
     @cached_property
     def as_of(self) -> int:
         return self._as_of if self._as_of is not None else (self.events.agg(F.max("event_time_ms")).first()[0] or 0)
 
     @cached_property
     def windows(self) -> DataFrame:
-        return self._keep(features.user_windows(self.events))
+        return settle(features.user_windows(self.events))
 
     @cached_property
     def values(self) -> DataFrame:
-        return self._keep(features.window_values(self.events))
+        return settle(features.window_values(self.events))
 
     @cached_property
     def bounds(self) -> DataFrame:
@@ -53,11 +43,11 @@ class Chain:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self._keep(session_ops.sessions(self.events))
+        return settle(session_ops.sessions(self.events))
 
     @cached_property
     def metrics(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return tuple(map(self._keep, (
+        return tuple(map(settle, (
             baseline.personal_metrics(self.windows, self.bounds, self.as_of, config=self.config),
             baseline.peer_metrics(self.windows, self.peers, self.as_of, config=self.config),
             baseline.global_metrics(self.windows, self.as_of, config=self.config),
@@ -87,7 +77,7 @@ class Chain:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self._keep(self.numeric.unionByName(self.valued).unionByName(self.ruled))
+        return settle(self.numeric.unionByName(self.valued).unionByName(self.ruled))
 
     @cached_property
     def evidence(self) -> DataFrame:
