@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import text as text_ops
-from .operators import cases, features, models, quality, rules
+from .operators import cases, evaluation, features, models, quality, rules
 from .operators import sessions as session_ops
 from .plans.chain import Chain
 from .settings import BASELINE
@@ -329,3 +329,36 @@ def u02_jaccard(spark, sf_dir):
     ev = canonical_events(spark, sf_dir).withColumn("d", F.floor(F.col("event_time_ms") / 86_400_000))
     days = ev.groupBy("user_name", "d").agg(F.bool_or(F.col("outcome") == "failure").alias("a"), F.bool_or(F.col("network_bytes") > 20000).alias("b")).where("a OR b")
     return days.agg(F.count_if(F.expr("a AND b")).alias("both"), F.count(F.lit(1)).alias("either")).select("both", "either", F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(1.0), 6).alias("jaccard"))
+
+
+#: Three UTC days near the end of the events.
+EVAL = (1706400000000, 1706659200000)
+BACKTEST = """,
+long AS (UNPIVOT (SELECT user_name, window_size, window_start, CAST(COLUMNS(* EXCLUDE (user_name, window_size, window_start, window_end)) AS DOUBLE) FROM win WHERE window_size >= 3600)
+  ON COLUMNS(* EXCLUDE (user_name, window_size, window_start)) INTO NAME metric VALUE v),
+evals AS (SELECT unnest(generate_series(1706400000000, 1706572800000, 86400000)) AS eval_day),
+known AS (SELECT eval_day, long.* FROM long JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day),
+obs AS (SELECT eval_day, user_name, window_size, metric, count(*) AS observed, count(DISTINCT window_start // 86400000) AS active_days FROM known GROUP BY ALL),
+padded AS (SELECT eval_day, user_name, window_size, metric, v FROM known UNION ALL SELECT eval_day, user_name, window_size, metric, 0 FROM (SELECT *, unnest(range(0, 2592000 // window_size - observed)) FROM obs)),
+snap AS (SELECT eval_day, user_name, window_size, metric, observed, active_days, p95, p99, CASE WHEN active_days >= 14 AND observed >= 20 THEN 'ready' ELSE 'warming_up' END AS status
+  FROM (SELECT eval_day, user_name, window_size, metric, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM padded GROUP BY ALL) JOIN obs USING (eval_day, user_name, window_size, metric)),
+fired AS (SELECT eval_day, user_name, window_size, long.window_start, metric, CASE WHEN round(v, 9) > round(p99, 9) THEN 'numeric_p99' ELSE 'numeric_p95' END AS detector_id
+  FROM long JOIN snap USING (user_name, window_size, metric) WHERE status = 'ready' AND long.window_start - long.window_start % 86400000 = eval_day AND round(v, 9) > round(p95, 9))
+"""
+
+
+@query(o.sql("SELECT eval_day, user_name, window_size, metric, observed, active_days, round(p95, 6) AS p95, round(p99, 6) AS p99, status FROM snap", BACKTEST))
+def e01_daily_snapshot(spark, sf_dir):
+    return rounded(evaluation.day_snapshots(chain(spark, sf_dir).windows, *EVAL))
+
+
+@query(o.sql("SELECT * FROM fired", BACKTEST))
+def e02_day_candidates(spark, sf_dir):
+    windows = chain(spark, sf_dir).windows
+    return evaluation.day_candidates(windows, evaluation.day_snapshots(windows, *EVAL))
+
+
+@query(o.sql("SELECT count(*) AS days, CAST(sum(n) AS BIGINT) AS candidates, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, round(CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END, 6) AS variation FROM (SELECT e.eval_day, count(f.metric) AS n FROM evals e LEFT JOIN fired f USING (eval_day) GROUP BY ALL)", BACKTEST))
+def a21_experiment(spark, sf_dir):
+    windows = chain(spark, sf_dir).windows
+    return rounded(evaluation.experiment_metrics(evaluation.day_candidates(windows, evaluation.day_snapshots(windows, *EVAL)), *EVAL))
