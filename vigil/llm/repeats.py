@@ -250,7 +250,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, large_group: int = LARG
     """
     rows = keyed(docs, id, text)
     found = table(phrases(rows, length), "phrases")
-    often = found.groupBy("trigger").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("trigger")
+    # written, so that both sides of the join are plain exchanges and a hot trigger's rows can be split
+    often = table(found.groupBy("trigger").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("trigger"), "often")
     live = table(found.join(often, "trigger"), "live")
     contexts = live.groupBy("trigger", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start", "windows", "before")).alias("at"))
     groups = contexts.groupBy("trigger").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).where("contexts > 1 AND least = 1").select("trigger", "contexts")
