@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, let
 
 WINDOW = 5
+#: Up to so many rejected hosts (a name each) are broadcast; more are joined by shuffle.
+MAX_BROADCAST_HOSTS = 10_000
 
 
 def repeated_words(words: Column, n: int = WINDOW) -> Column:
@@ -97,6 +99,9 @@ def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str
     rather than joined, so that texts are not shuffled."""
     narrow = docs.select(F.col(text).alias("text"), F.col(host).alias("host"))
     hosts = host_verdicts(rule_counts(narrow).drop("text"), "host").where("host_rejected").select(F.col("host").alias("_host"))
+    # a shuffle by host would send all texts of a host to one task
+    hosts = cut(hosts)
+    hosts = F.broadcast(hosts) if hosts.count() <= MAX_BROADCAST_HOSTS else hosts
     passed = rule_counts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))).where(~F.col("base_failed"))
     return passed.join(hosts, F.col(f"_row.{host}").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
 
