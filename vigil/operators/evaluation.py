@@ -6,9 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import BASELINE, BASELINE_SIZES, HISTORY_DAYS, METRICS
+from . import models
 from .baseline import long_metrics, status
 from .features import DAY_MS
 
+MODEL = ["eval_day", "window_size", "scope", "subject"]
+
+
+def history(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES) -> DataFrame:
+    """windows with eval_day: once for each UTC day of [from, to) that has them among the days before it."""
+    own = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
+    rows = windows.where(F.col("window_size").isin(*sizes) & (F.col("window_start") >= from_ms - days * DAY_MS) & (F.col("window_start") < to_ms - DAY_MS))
+    reach = F.sequence(F.greatest(own + DAY_MS, F.lit(from_ms)), F.least(own + days * DAY_MS, F.lit(to_ms - DAY_MS)), F.lit(DAY_MS))
+    return rows.where(own + days * DAY_MS >= from_ms).withColumn("eval_day", F.explode(reach))
+
 
 def day_snapshots(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
     """Each user's percentiles as known at the start of every UTC day of [from, to): windows of the days before it.
@@ -17,10 +28,8 @@ def day_snapshots(windows: DataFrame, from_ms: int, to_ms: int, days: int = HIST
     over time is an aggregation by day. All slots of the history count, empty ones as one zero with a count; readiness
     goes by the windows that were seen.
     """
-    rows = windows.where(F.col("window_size").isin(*sizes) & (F.col("window_start") >= from_ms - days * DAY_MS) & (F.col("window_start") < to_ms - DAY_MS))
     own = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
-    reach = F.sequence(F.greatest(own + DAY_MS, F.lit(from_ms)), F.least(own + days * DAY_MS, F.lit(to_ms - DAY_MS)), F.lit(DAY_MS))
-    seen = rows.where(own + days * DAY_MS >= from_ms).withColumn("eval_day", F.explode(reach))
+    seen = history(windows, from_ms, to_ms, days, sizes)
     keys = ["eval_day", "user_name", "window_size"]
     sizes_ = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed"), F.count_distinct(own).alias("active_days"))
     slots = (F.lit(days * 86400) / F.col("window_size")).cast("long")
@@ -39,6 +48,44 @@ def day_candidates(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
     return hit.select("eval_day", "user_name", "window_size", "window_start", "metric", F.when(F.col("value") > F.col("p99"), "numeric_p99").otherwise("numeric_p95").alias("detector_id"))
 
 
+def model_training(windows: DataFrame, peers: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
+    """history of each day's models: windows with eval_day, scope and subject, for the peer group and for everyone."""
+    scopes = F.array_compact(F.array(F.when(F.col("group_id").isNotNull(), F.struct(F.lit("peer_group").alias("scope"), F.col("group_id").alias("subject"))), F.struct(F.lit("global").alias("scope"), F.lit("").alias("subject"))))
+    rows = history(windows, from_ms, to_ms).join(peers.select("user_name", "group_id"), "user_name", "left")
+    return rows.withColumn("_s", F.explode(scopes)).select("*", "_s.*").drop("_s", "group_id")
+
+
+def model_snapshots(training: DataFrame) -> DataFrame:
+    """eval_day, window_size, scope, subject, sample_count, member_count, status of every model that could be fitted.
+
+    A peer group's model needs MIN_MEMBERS active members, any model MIN_ROWS rows.
+    """
+    users = training.groupBy(*MODEL, "user_name").agg(F.count(F.lit(1)).alias("n"))
+    sizes = users.groupBy(*MODEL).agg(F.sum("n").alias("sample_count"), F.count(F.lit(1)).alias("member_count"))
+    enough = (F.col("sample_count") >= models.MIN_ROWS) & ((F.col("scope") == "global") | (F.col("member_count") >= models.MIN_MEMBERS))
+    return sizes.withColumn("status", F.when(enough, "ready").otherwise("model_not_ready"))
+
+
+def model_day_candidates(windows: DataFrame, peers: DataFrame, from_ms: int, to_ms: int, detector: str = "hbos") -> DataFrame:
+    """Windows of each evaluation day that a model of the days before it finds unusual: by the user's peer group if its
+    model is ready, else by everyone's. detector: hbos or isolation_forest."""
+    training = model_training(windows, peers, from_ms, to_ms)
+    ready = model_snapshots(training).where("status = 'ready'").select(*MODEL)
+    day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
+    tested = windows.where(F.col("window_size").isin(*BASELINE_SIZES) & (F.col("window_start") >= from_ms) & (F.col("window_start") < to_ms)).withColumn("eval_day", day).join(peers.select("user_name", "group_id"), "user_name", "left")
+    peer = ready.where("scope = 'peer_group'").select("eval_day", "window_size", F.col("subject").alias("group_id"), F.lit(True).alias("_peer"))
+    tested = tested.join(peer, ["eval_day", "window_size", "group_id"], "left")
+    tested = tested.withColumns({"scope": F.when(F.col("_peer"), "peer_group").otherwise("global"), "subject": F.when(F.col("_peer"), F.col("group_id")).otherwise("")})
+    keys, name = ["user_name", "window_start"], F.concat_ws("|", *MODEL).alias("model")
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        return models.features(rows.join(ready, MODEL).withColumn("model", name), ("model", *MODEL, *keys))
+
+    by = {"hbos": models.scored, "isolation_forest": models.forest_scored}[detector]
+    rows = by(vectors(tested), vectors(training), "model", [*keys, *MODEL])
+    return rows.where("fires").select(*MODEL, *keys, F.lit(detector).alias("detector_id"), "raw", "threshold", "percentile", "score", "top_features")
+
+
 def experiment_metrics(candidates: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Mean, deviation, variation, least and most candidates a day over all days of the range, empty ones too."""
     days = candidates.sparkSession.range(from_ms, to_ms, DAY_MS).withColumnRenamed("id", "eval_day")

@@ -1,13 +1,20 @@
-"""Histogram-based outlier scores of user windows."""
+"""Outlier scores of user windows: histograms and isolation trees."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUANTILE, MIN_ROWS, MIN_BINS, MAX_BINS, TOP = 0.995, 100, 5, 20, 3
+from ..sources.state import settle
+from .ranks import empirical, quantiles
+
+# fixed values
+QUANTILE, MIN_ROWS, MIN_MEMBERS, MIN_BINS, MAX_BINS, TOP = 0.995, 100, 5, 5, 20, 3
+TREES, MAX_SAMPLES, SEED = 200, 256, 42
 FEATURES = (
     "event_count_log", "failure_rate", "other_outcome_rate", "source_type_distinct_log", "source_ip_distinct_log", "resource_distinct_log", "action_distinct_log", "read_rate", "write_rate", "network_bytes_log",
     "first_seen_ip_rate", "first_seen_resource_rate", "first_seen_action_rate",
@@ -29,48 +36,158 @@ def features(windows: DataFrame, keep: tuple[str, ...] = ("user_name", "window_s
     return windows.select(*keep, *[made[f].alias(f) for f in FEATURES])
 
 
+def long_features(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, feature, value: a row for each number of each vector."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])
+    return vectors.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*")
+
+
 def fit_histograms(vectors: DataFrame, group: str) -> DataFrame:
-    """group, feature, edges, counts, low, high, n of the training vectors of each group of MIN_ROWS and more.
+    """group, feature, n, low, high, edges, counts of the training vectors of each group of MIN_ROWS and more.
 
     Inner quantiles of the features, without repeats, are the edges; a value's bin is the number of edges not above it.
     """
-    long = vectors.select(group, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in FEATURES])).alias("x")).select(group, "x.*")
+    long = long_features(vectors, [group])
     sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
-    counts_of = [*range(MIN_BINS, MAX_BINS + 1)]
-    bins = F.greatest(F.lit(MIN_BINS), F.least(F.lit(MAX_BINS), F.ceil(F.sqrt("n")))).cast("int")
-    asked = sorted({i / b for b in counts_of for i in range(1, b)})
-    ranks = F.percentile("v", F.array(*map(F.lit, asked)))
-    fitted = long.join(sizes, group).groupBy(group, "feature").agg(F.first("n").alias("n"), ranks.alias("q"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("bins", bins)
-    place = {b: [asked.index(i / b) for i in range(1, b)] for b in counts_of}
-    edges = F.coalesce(*[F.when(F.col("bins") == b, F.array(*[F.col("q")[i] for i in at])) for b, at in place.items()])
-    fitted = fitted.withColumn("edges", F.array_sort(F.array_distinct(edges))).drop("q", "bins")
-    binned = long.join(fitted.select(group, "feature", "edges"), [group, "feature"]).groupBy(group, "feature", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    long = long.join(sizes.select(group), group, "left_semi")
+
+    def inner(total: Column) -> Column:
+        bins = F.greatest(F.lit(MIN_BINS), F.least(F.lit(MAX_BINS), F.ceil(F.sqrt(total)))).cast("int")
+        return F.transform(F.sequence(F.lit(1), bins - 1), lambda i: i / bins)
+
+    ends = long.groupBy(group, "feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    cuts = quantiles(long, [group, "feature"], inner).select(group, "feature", F.col("total").alias("n"), F.array_sort(F.array_distinct("q")).alias("edges"))
+    binned = long.join(cuts, [group, "feature"]).groupBy(group, "feature", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     held = binned.groupBy(group, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("counts"))  # a bin each
-    return fitted.join(held, [group, "feature"])
+    return ends.join(cuts, [group, "feature"]).join(held, [group, "feature"])
 
 
 def raw_scores(vectors: DataFrame, histograms: DataFrame, group: str, keys: list[str]) -> DataFrame:
-    """keys, group, raw score and contributions (feature, value) of vectors by their group's histograms."""
-    long = vectors.select(group, *[k for k in keys if k != group], F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in FEATURES])).alias("x")).select("*", "x.*").drop("x")
-    rows = long.join(histograms, [group, "feature"])
-    size = F.size("edges") + 1
-    count = F.coalesce(F.try_element_at("counts", F.size(F.filter("edges", lambda e: e <= F.col("v")))), F.lit(0))
-    outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
-    part = -F.log(F.when(outside, 1.0).otherwise(count + 1.0) / (F.col("n") + size))
-    parts = F.array_sort(F.collect_list(F.struct((-F.col("part")).alias("minus"), "feature")))
-    return rows.withColumn("part", part).groupBy(*keys, *([] if group in keys else [group])).agg(F.sum("part").alias("raw"), parts.alias("contributions"))
+    """keys, group, raw score (9 digits, so that no order of summing shows) and contributions of vectors."""
+    keys = [*keys, *([] if group in keys else [group])]
+    rows = long_features(vectors, keys).join(histograms, [group, "feature"])
+    v, size = F.col("value"), F.size("edges") + 1
+    count = F.coalesce(F.try_element_at("counts", F.size(F.filter("edges", lambda e: e <= v))), F.lit(0))
+    outside = (v < F.col("low")) | (v > F.col("high"))
+    rows = rows.withColumn("part", -F.log(F.when(outside, 1.0).otherwise(count + 1.0) / (F.col("n") + size)))
+    parts = F.array_sort(F.collect_list(F.struct((-F.round("part", 9)).alias("minus"), "feature")))
+    return rows.groupBy(*keys).agg(F.round(F.sum("part"), 9).alias("raw"), parts.alias("contributions"))
+
+
+def judged(rows: DataFrame, known: DataFrame, group: str, quantile: float = QUANTILE) -> DataFrame:
+    """rows (group, raw, ...) with threshold, percentile among known (group, raw), score and whether they fire."""
+    limits = quantiles(known.select(group, F.col("raw").alias("value")), [group], lambda _: F.array(F.lit(quantile))).select(group, F.col("q")[0].alias("threshold"))
+    out = empirical(rows, known.select(group, "raw"), [group], "raw").join(limits, group)
+    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("percentile") - quantile) / (1 - quantile)))
+    return out.withColumns({"score": F.bround(60 + 40 * tail).cast("int"), "fires": F.col("raw") >= F.col("threshold")})
 
 
 def scored(vectors: DataFrame, training: DataFrame, group: str, keys: list[str], quantile: float = QUANTILE) -> DataFrame:
-    """vectors' raw score, empirical percentile among the group's training scores, threshold, score and top features."""
-    histograms = fit_histograms(training, group)
-    own = raw_scores(training, histograms, group, keys).groupBy(group).agg(F.percentile("raw", F.lit(quantile)).alias("threshold"), F.array_sort(F.collect_list("raw")).alias("_all"))
-    rows = raw_scores(vectors, histograms, group, keys).join(own, group)
-    percentile = F.size(F.filter("_all", lambda x: x <= F.col("raw"))) / F.size("_all")
-    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("percentile") - quantile) / (1 - quantile)))
-    rows = rows.withColumn("percentile", percentile).withColumn("score", F.bround(60 + 40 * tail).cast("int"))
-    return rows.withColumns({"fires": F.col("raw") >= F.col("threshold"), "top_features": F.transform(F.slice("contributions", 1, TOP), lambda x: x["feature"])}).drop("_all", "contributions")
+    """vectors' raw score, empirical percentile among the group's training scores, threshold, score and top features.
 
+    keys name a row within its group, in vectors and in training.
+    """
+    histograms = settle(fit_histograms(training, group))
+    known = settle(raw_scores(training, histograms, group, keys).select(group, "raw"))
+    rows = judged(raw_scores(vectors, histograms, group, keys), known, group, quantile)
+    return rows.withColumn("top_features", F.transform(F.slice("contributions", 1, TOP), lambda x: x["feature"])).drop("contributions")
+
+
+def _forest(rows: np.ndarray, trees: int, seed: int) -> list[dict]:
+    """Isolation trees, each over up to MAX_SAMPLES rows: arrays of split feature (-1 at a leaf), split, left child, and
+    the path length a leaf stands for."""
+    out, n = [], len(rows)
+    take = min(MAX_SAMPLES, n)
+    for t in range(trees):
+        rng = np.random.default_rng([seed, t])
+        feature, split, left, path = [], [], [], []
+        todo = [(rng.choice(n, take, replace=False), 0)]
+        while todo:  # breadth first: children are added in pairs, so the right one follows the left
+            own, depth = todo.pop(0)
+            x = rows[own]
+            low, high = x.min(0), x.max(0)
+            open_ = np.flatnonzero(high > low)
+            if len(own) <= 1 or depth >= math.ceil(math.log2(max(take, 2))) or not len(open_):
+                feature.append(-1), split.append(0.0), left.append(-1), path.append(depth + average_path(len(own)))
+                continue
+            f = int(rng.choice(open_))
+            s = float(rng.uniform(low[f], high[f]))
+            below = x[:, f] <= s
+            feature.append(f), split.append(s), left.append(len(feature) + len(todo)), path.append(0.0)
+            todo += [(own[below], depth + 1), (own[~below], depth + 1)]
+        out.append({"tree": t, "feature": feature, "split": split, "left": left, "path": path, "take": take})
+    return out
+
+
+def average_path(n: int) -> float:
+    """The mean length of an unsuccessful search in a binary search tree of n keys."""
+    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+
+
+def fit_forest(training: DataFrame, group: str, trees: int = TREES, seed: int = SEED) -> DataFrame:
+    """The isolation trees of each group of MIN_ROWS and more: group, tree, feature, split, left, path, take.
+
+    Trees see MAX_SAMPLES rows each, so a group's pool is bounded at about trees * MAX_SAMPLES rows, chosen by hash: all
+    rows of smaller groups. A pool is one task's work, whatever the group's size.
+    """
+    pool = trees * MAX_SAMPLES
+    sizes = training.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
+    named = training.select(group, F.xxhash64(*sorted(training.columns)).alias("_h"), *FEATURES).join(sizes, group)
+    chosen = named.where((F.col("_n") <= pool) | (F.pmod("_h", F.col("_n")) < pool)).drop("_n")
+    kind = training.schema[group].dataType.simpleString()
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_h", *FEATURES])  # the same rows, the same trees
+        made = pd.DataFrame(_forest(part[list(FEATURES)].to_numpy(), trees, seed))
+        made.insert(0, group, part[group].iloc[0])
+        return made
+
+    return chosen.groupBy(group).applyInPandas(fit, f"{group} {kind}, tree int, feature array<int>, split array<double>, left array<int>, path array<double>, take int")
 
-def bin_count(n: int) -> int:
-    return max(MIN_BINS, min(MAX_BINS, math.ceil(math.sqrt(n))))
+
+def forest_scores(vectors: DataFrame, forest: DataFrame, group: str, keys: list[str], block: int = 20_000) -> DataFrame:
+    """keys, group, raw (0 to 1, higher: easier to isolate), of vectors by their group's trees.
+
+    Groups are dealt into blocks of some block vectors; each block meets a copy of its group's trees.
+    """
+    keys = [*keys, *([] if group in keys else [group])]
+    sizes = vectors.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    rows = vectors.select(*keys, *FEATURES).join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(*keys), F.col("_blocks")).cast("int")).drop("_blocks")
+    copies = forest.join(sizes, group).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    kinds = ", ".join(f"{k} {vectors.schema[k].dataType.simpleString()}" for k in keys)
+
+    def score(own: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        out = own[keys].copy()
+        if not len(own) or not len(trees):
+            return out.iloc[:0].assign(raw=pd.Series(dtype=float))
+        x, total = own[list(FEATURES)].to_numpy(), np.zeros(len(own))
+        every = np.arange(len(own))
+        for t in trees.itertuples():
+            feature, split, left, path = (np.asarray(c) for c in (t.feature, t.split, t.left, t.path))
+            at = np.zeros(len(own), np.int64)
+            while (inner := feature[at] >= 0).any():
+                f = feature[at]
+                step = left[at] + (x[every, np.maximum(f, 0)] > split[at])
+                at = np.where(inner, step, at)
+            total += path[at]
+        out["raw"] = np.round(2.0 ** (-total / len(trees) / average_path(int(trees["take"].iloc[0]))), 9)
+        return out
+
+    return rows.groupBy(group, "_block").cogroup(copies.groupBy(group, "_block")).applyInPandas(score, f"{kinds}, raw double")
+
+
+def forest_scored(vectors: DataFrame, training: DataFrame, group: str, keys: list[str], quantile: float = QUANTILE, trees: int = TREES) -> DataFrame:
+    """vectors' raw isolation score, percentile, threshold, score, and the features furthest from the training median
+    in MADs: context, not attribution."""
+    forest = settle(fit_forest(training, group, trees))
+    known = settle(forest_scores(training, forest, group, keys).select(group, "raw"))
+    both = [group, "feature"]
+    half = lambda _: F.array(F.lit(0.5))
+    long = long_features(training, [group])
+    middle = settle(quantiles(long, both, half).select(*both, F.col("q")[0].alias("median")))
+    spread = quantiles(long.join(middle, both).select(*both, F.abs(F.col("value") - F.col("median")).alias("value")), both, half).select(*both, F.col("q")[0].alias("mad"))
+    own = [*keys, *([] if group in keys else [group])]
+    far = long_features(vectors, own).join(middle.join(spread, both), both)
+    far = far.withColumn("minus", -F.abs(F.col("value") - F.col("median")) / F.greatest("mad", F.lit(1e-9)))
+    tops = far.groupBy(*own).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("minus", "feature"))), 1, TOP), lambda x: x["feature"]).alias("top_features"))
+    return judged(forest_scores(vectors, forest, group, keys), known, group, quantile).join(tops, own)

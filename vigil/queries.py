@@ -306,10 +306,27 @@ def m02_hbos_bins(spark, sf_dir):
     return rows.select("group_id", "feature", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), (F.size("edges") >= 1).alias("has_edges"), F.round(F.array_min("edges"), 6).alias("first_edge"), F.round(F.array_max("edges"), 6).alias("last_edge"))
 
 
-@query()
+SCORED = HBOS + """,
+bc AS (SELECT peer_id, feature, len(list_filter(edges, lambda e: e <= v)) AS bin, count(*) AS c FROM lv JOIN ed USING (peer_id, feature) GROUP BY ALL),
+pt AS (SELECT x.peer_id, user_name, window_start, feature, -ln(CASE WHEN v < low OR v > high THEN 1 ELSE coalesce(c, 0) + 1 END / (n + len(edges) + 1)) AS part
+  FROM (SELECT lv.*, n, low, high, edges, len(list_filter(edges, lambda e: e <= v)) AS bin FROM lv JOIN ed USING (peer_id, feature)) x LEFT JOIN bc USING (peer_id, feature, bin)),
+sc AS (SELECT peer_id AS group_id, user_name, window_start, round(sum(part), 9) AS raw FROM pt GROUP BY ALL),
+lim AS (SELECT group_id, quantile_cont(raw, 0.995) AS threshold FROM sc GROUP BY ALL),
+jd AS (SELECT *, count(*) OVER (PARTITION BY group_id ORDER BY raw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY group_id) AS percentile FROM sc JOIN lim USING (group_id))
+"""
+
+
+@query(o.sql("SELECT group_id, user_name, window_start, round(raw, 6) AS raw, round(threshold, 6) AS threshold, round(percentile, 9) AS percentile, CAST(round_even(60 + 40 * greatest(0, least(1, (percentile - 0.995) / (1 - 0.995))), 0) AS INT) AS score, raw >= threshold AS fires FROM jd", SCORED))
 def m03_hbos_score(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return rounded(models.scored(v, v, "group_id", ["user_name", "window_start"]))
+    rows = models.scored(v, v, "group_id", ["user_name", "window_start"])
+    return rows.select("group_id", "user_name", "window_start", F.round("raw", 6).alias("raw"), F.round("threshold", 6).alias("threshold"), F.round("percentile", 9).alias("percentile"), "score", "fires")
+
+
+@query()
+def m05_isolation_forest(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return rounded(models.forest_scored(v, v, "group_id", ["user_name", "window_start"]))
 
 
 @query(o.sql("""SELECT sha256('case:' || alert_key) AS case_id, alert_key, user_name, 'open' AS status, risk_score, risk_severity AS severity FROM
