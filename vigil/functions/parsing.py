@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.state import settle
 from . import text as text_ops
 
 SVN = r'^(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\d+)(?: "([^"]+)")?(?: (\S+) (\S+) r(\d+)(?: (\S+))?)?'
@@ -152,9 +153,11 @@ def routed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid events, and the rest as unknown records with reason, errors, format and template."""
     rows = parse(records)
     rows = rows.withColumn("schema_errors", F.when(F.col("event").isNotNull(), validation_errors()).otherwise(F.array().cast("array<string>")))
+    if not rows.isStreaming:
+        rows = settle(rows)  # both results read the records as parsed, and parse them once
     bad = F.size("schema_errors") > 0
     good = rows.where(F.col("event").isNotNull() & ~bad).select("event.*")
     reason = F.when(bad, "schema_validation_failed").otherwise(F.col("reason"))
     rest = rows.where(F.col("event").isNull() | bad).withColumn("reason", reason)
-    unknown = rest.select(F.sha2(F.concat_ws(":", "record_id", "reason"), 256).alias("unknown_id"), "reason", "record_id", "source_id", text_ops.detect_source(F.col("raw_text")).alias("suggested_source_type"), text_ops.detect_format(F.col("raw_text")).alias("detected_format"), text_ops.template_hint(F.col("raw_text")).alias("template_hint"), "schema_errors", "raw_text")
+    unknown = rest.select(F.sha2(F.concat_ws(":", "record_id", "reason"), 256).alias("unknown_id"), "reason", "record_id", "source_id", "source_type", text_ops.detect_source(F.col("raw_text")).alias("suggested_source_type"), text_ops.detect_format(F.col("raw_text")).alias("detected_format"), text_ops.template_hint(F.col("raw_text")).alias("template_hint"), "schema_errors", "raw_text")
     return good, unknown

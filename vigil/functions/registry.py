@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import text as text_ops
 
 # fixed values: the life of a parser
+MAPPING = {"user": "user.name", "username": "user.name", "account": "user.name", "src_ip": "source.ip", "client_ip": "source.ip", "ip": "source.ip", "action": "event.action", "status": "event.outcome", "level": "event.severity", "bytes": "network.bytes"}
 TRANSITIONS = {"draft": {"testing", "rejected"}, "testing": {"shadow", "rejected"}, "shadow": {"pending_approval", "rejected"}, "pending_approval": {"active", "rejected"}, "active": {"disabled"}, "disabled": {"active"}, "rejected": set()}
 
 
@@ -70,6 +71,50 @@ def run_tests(records: DataFrame, parser: dict[str, Any]) -> DataFrame:
     return rows.withColumn("wrong", wrong).withColumn("passed", F.size("wrong") == 0)
 
 
+def format_fingerprint(*parts: Column) -> Column:
+    """A short name of a source's format: of source, type, format and template, or product and version. Null is empty."""
+    return F.concat(F.lit("fmt_"), F.left(F.sha2(F.concat_ws(":", *[F.coalesce(p, F.lit("")) for p in parts]), 256), F.lit(16)))
+
+
+def suggested(candidates: DataFrame) -> DataFrame:
+    """candidates (quality.parser_candidates) with a draft parser from the first sample: parser_type, field_candidates,
+    schema_mapping and confidence. Of a JSON sample only plain values are fields; other formats need a person."""
+    text = F.coalesce(F.get("samples", F.lit(0))["raw_text"], F.lit(""))
+    value = F.try_parse_json(text)
+    document = F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
+    keys = F.coalesce(F.json_object_keys(F.when(document.isNotNull(), text)), F.array().cast("array<string>"))
+    plain = F.map_filter(F.from_json(F.when(document.isNotNull(), text), "map<string,variant>"), lambda k, v: ~F.coalesce(F.regexp_like(F.schema_of_variant(v), F.lit("^(OBJECT|ARRAY)")), F.lit(False)))
+    fields = F.when(F.col("detected_format") == "key_value", text_ops.key_values(text)).when((F.col("detected_format") == "json") & (F.size(keys) > 0), F.transform_values(plain, lambda k, v: F.try_variant_get(v, "$", "string")))
+    rows = candidates.withColumn("field_candidates", F.coalesce(fields, F.create_map().cast("map<string,string>")))
+    known = F.map_from_arrays(F.array(*map(F.lit, MAPPING)), F.array(*map(F.lit, MAPPING.values())))
+    mapped = F.filter(F.map_keys("field_candidates"), lambda k: F.map_contains_key(known, k))
+    confidence = F.when(F.col("detected_format") == "key_value", 0.7).when(F.col("detected_format") == "json", 0.75).otherwise(0.3)
+    return rows.withColumns({"parser_type": F.col("detected_format"), "schema_mapping": F.map_from_arrays(mapped, F.transform(mapped, lambda k: F.element_at(known, k))), "confidence": confidence})
+
+
+def shadow_replay(records: DataFrame, parser: dict[str, Any]) -> DataFrame:
+    """What a parser in shadow makes of unknown records (unknown_id, record_id, raw_text), without any effect: fields,
+    wrong (expected values it did not give) and matched. A record with a test case is held to its fields, any other to
+    the parser's field candidates."""
+    if parser.get("status") != "shadow":
+        raise RegistryError(f"{parser.get('parser_id')} is not in shadow")
+    as_map = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair]).cast("map<string,string>")
+    expected = as_map(parser.get("field_candidates", {}))
+    for case in reversed(parser.get("test_cases", [])):
+        expected = F.when(F.col("record_id") == case["record_id"], as_map(case.get("expected_fields", {}))).otherwise(expected)
+    rows = records.select("unknown_id", "record_id", extract(F.col("raw_text"), parser).alias("fields"), expected.alias("_expected"))
+    wrong = F.map_filter("_expected", lambda k, v: ~F.try_element_at("fields", k).eqNullSafe(v))
+    return rows.withColumn("wrong", wrong).withColumn("matched", F.size("wrong") == 0).drop("_expected")
+
+
+def shadow_report(results: DataFrame, parser: dict[str, Any]) -> DataFrame:
+    """One row: records, matched, success rate and how much of the parser's fields is mapped."""
+    fields, mapping = parser.get("field_candidates", {}), parser.get("schema_mapping", {})
+    out = results.agg(F.count(F.lit(1)).alias("replay_record_count"), F.count_if("matched").alias("matched_count"))
+    rate = F.when(F.col("replay_record_count") > 0, F.round(F.col("matched_count") / F.col("replay_record_count"), 6)).otherwise(0.0)
+    return out.withColumns({"unmatched_count": F.col("replay_record_count") - F.col("matched_count"), "success_rate": rate, "schema_mapping_rate": F.lit(round(len(mapping) / len(fields), 6) if fields else 0.0)})
+
+
 def set_status(parser: dict[str, Any], status: str) -> dict[str, Any]:
     """The parser in its next state. To be approved it must have passed its tests and a shadow replay."""
     if status not in TRANSITIONS[parser["status"]]:

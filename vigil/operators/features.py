@@ -147,9 +147,9 @@ def overlapping(rows: DataFrame, from_ms: int, to_ms: int, start: str = "window_
     return rows.where((F.col(start) < to_ms) & (F.col(end) > from_ms))
 
 
-def event_evidence(events: DataFrame, user: str, from_ms: int, to_ms: int, source_types: list[str] | None = None, limit: int = 20) -> DataFrame:
+def event_evidence(events: DataFrame, user: str, from_ms: int, to_ms: int, source_types: list[str] | tuple[str, ...] | None = None, limit: int = 20) -> DataFrame:
     """A user's events of a time range, earliest first up to limit, each with the total and whether it is cut off."""
     rows = events.where((F.col("user_name") == user) & (F.col("event_time_ms") >= from_ms) & (F.col("event_time_ms") < to_ms))
-    rows = rows.where(F.col("source_type").isin(source_types)) if source_types else rows
+    rows = rows.where(F.col("source_type").isin(*source_types)) if source_types else rows
     (total,) = rows.agg(F.count(F.lit(1))).first()
     return rows.orderBy("event_time_ms", "event_id").limit(limit).withColumns({"total": F.lit(total), "truncated": F.lit(total > limit)})

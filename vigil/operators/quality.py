@@ -31,12 +31,12 @@ def confidence_p50(events: DataFrame) -> DataFrame:
 
 
 def summary(events: DataFrame, unknown: DataFrame) -> DataFrame:
-    """One row of counts, rates and coverage."""
+    """One row of counts, rates and coverage. Missing fields are the errors of rejected events."""
     present = [F.count_if(F.coalesce(F.col(p).cast("string"), F.lit("")) != "").alias(p.replace(".", "_")) for p in TRACKED]
-    missing = F.count_if(F.greatest(*[F.coalesce(F.col(p).cast("string"), F.lit("")) == "" for p in TRACKED]))
+    missing = F.coalesce(F.sum(F.size("schema_errors")), F.lit(0)) if "schema_errors" in unknown.columns else F.lit(0)
     conf = F.col("parser.confidence")
-    known = events.agg(F.count(F.lit(1)).alias("normalized_records"), F.coalesce(F.round(F.avg(conf.cast("decimal(20,10)")), 6).cast("double"), F.lit(0.0)).alias("parser_confidence_avg"), F.coalesce(F.min(conf), F.lit(0.0)).alias("parser_confidence_min"), missing.alias("missing_required_fields_count"), *present)
-    rest = unknown.agg(F.count(F.lit(1)).alias("unknown_records"), F.count_distinct("template_hint").alias("unknown_template_count"))
+    known = events.agg(F.count(F.lit(1)).alias("normalized_records"), F.coalesce(F.round(F.avg(conf.cast("decimal(20,10)")), 6).cast("double"), F.lit(0.0)).alias("parser_confidence_avg"), F.coalesce(F.min(conf), F.lit(0.0)).alias("parser_confidence_min"), *present)
+    rest = unknown.agg(F.count(F.lit(1)).alias("unknown_records"), F.count_distinct(F.nullif("template_hint", F.lit(""))).alias("unknown_template_count"), missing.cast("long").alias("missing_required_fields_count"))
     rows = known.crossJoin(F.broadcast(rest)).crossJoin(F.broadcast(confidence_p50(events)))  # one row each
     total = F.col("normalized_records") + F.col("unknown_records")
     rate = F.when(total > 0, F.round(F.col("normalized_records") / total, 6)).otherwise(0.0)
@@ -44,6 +44,47 @@ def summary(events: DataFrame, unknown: DataFrame) -> DataFrame:
     return rows.withColumns({"total_records": total, "parse_success_rate": rate, **coverage})
 
 
+def snapshot(events: DataFrame, unknown: DataFrame) -> DataFrame:
+    """measure, key, n: counts that add up, so that those of two parts of the input merge into those of the whole.
+
+    Measures: normalized, unknown, source_type, parser, present (field), missing (errors), template, reason, confidence
+    (bins of 0.0001). Records without a template count under no template.
+    """
+    item = lambda measure, key, n=1: F.struct(F.lit(measure).alias("measure"), key.cast("string").alias("key"), F.lit(n).cast("long").alias("n") if isinstance(n, int) else n.cast("long").alias("n"))
+    conf = F.col("parser.confidence")
+    present = [F.when(F.coalesce(F.col(p).cast("string"), F.lit("")) != "", item("present", F.lit(p))) for p in TRACKED]
+    known = F.array_compact(F.array(item("normalized", F.lit("")), item("source_type", F.coalesce("raw.source_type", F.lit("unknown"))), item("parser", F.coalesce("parser.id", F.lit("unknown"))), F.when(conf.between(0, 1), item("confidence", F.round(conf * 10_000).cast("long"))), *present))
+    errors = F.size("schema_errors") if "schema_errors" in unknown.columns else F.lit(0)
+    rest = F.array_compact(F.array(item("unknown", F.lit("")), item("source_type", F.coalesce("source_type" if "source_type" in unknown.columns else "suggested_source_type", F.lit("unknown"))), item("reason", F.coalesce("reason", F.lit("unknown"))), F.when(errors > 0, item("missing", F.lit(""), errors)), F.when(F.coalesce("template_hint", F.lit("")) != "", item("template", F.col("template_hint")))))
+    rows = events.select(F.explode(known).alias("x")).unionByName(unknown.select(F.explode(rest).alias("x"))).select("x.*")
+    return rows.groupBy("measure", "key").agg(F.sum("n").alias("n"))
+
+
+def merged(*snapshots: DataFrame) -> DataFrame:
+    """The snapshot of all inputs of the given ones."""
+    rows = snapshots[0]
+    for s in snapshots[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy("measure", "key").agg(F.sum("n").alias("n"))
+
+
+def violations(of: DataFrame) -> DataFrame:
+    """problem: what cannot be in a snapshot; no rows for a sound one."""
+    total = lambda m: F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("n"))), F.lit(0))
+    most = F.coalesce(F.max(F.when(F.col("measure") == "present", F.col("n"))), F.lit(0))
+    known = F.col("measure").isin("normalized", "unknown", "source_type", "parser", "present", "missing", "template", "reason", "confidence")
+    fields = F.count_if((F.col("measure") == "present") & ~F.col("key").isin(*TRACKED))
+    bins = F.count_if((F.col("measure") == "confidence") & ~F.coalesce(F.col("key").try_cast("long").between(0, 10_000), F.lit(False)))
+    one = of.agg(*[total(m).alias(m) for m in ("normalized", "unknown", "source_type", "parser", "missing", "template", "reason", "confidence")], most.alias("most"), F.count_if(F.coalesce(F.col("n") < 0, F.lit(True))).alias("bad"), F.count_if(~known).alias("strange"), fields.alias("fields"), bins.alias("bins"))
+    c = F.col
+    checks = {
+        "a count is negative or missing": c("bad") > 0, "a measure is unknown": c("strange") > 0, "a field is not tracked": c("fields") > 0, "a confidence is out of range": c("bins") > 0, "source types do not add up": c("source_type") != c("normalized") + c("unknown"),
+        "parsers do not add up": c("parser") != c("normalized"), "reasons do not add up": c("reason") != c("unknown"), "a field is present more often than there are records": c("most") > c("normalized"),
+        "more confidences than records": c("confidence") > c("normalized"), "more templates than unknown records": c("template") > c("unknown"), "errors without unknown records": (c("unknown") == 0) & (c("missing") != 0),
+    }
+    return one.select(F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))).alias("problem"))
+
+
 def drift(before: DataFrame, after: DataFrame, limits: dict = DRIFT) -> DataFrame:
     """flag, triggered, delta of two summaries: drops of rates and coverage, and a spike of templates."""
     drop = lambda c, limit: F.struct(F.lit(f"{c}_drop").alias("flag"), F.round(F.col(f"b.{c}") - F.col(f"a.{c}"), 6).alias("delta"), (F.round(F.col(f"b.{c}") - F.col(f"a.{c}"), 6) >= limit).alias("triggered"))

@@ -66,3 +66,8 @@ def session_id() -> Column:
 def closed(rows: DataFrame, watermark_ms: int, gap_s: int = SESSION_GAP_S) -> DataFrame:
     """rows with status: closed where the session's gap ended before the watermark (strictly), else provisional."""
     return rows.withColumn("status", F.when(F.col("last_event_time") + gap_s * 1000 < watermark_ms, "closed").otherwise("provisional"))
+
+
+def overlapping(rows: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
+    """Sessions with an event's span inside or across the half-open range; a last event at from_ms counts."""
+    return rows.where((F.col("start_time") < to_ms) & (F.col("last_event_time") >= from_ms))

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
+from .functions import registry
 from .functions import text as text_ops
-from .operators import cases, evaluation, features, models, quality, rules
+from .operators import cases, evaluation, features, investigation, models, quality, readiness, rules
 from .operators import sessions as session_ops
 from .plans.chain import Chain
 from .settings import BASELINE
+from .sources import files
 from .sources.tables import canonical_events, peer_groups, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,3 +381,170 @@ def e02_day_candidates(spark, sf_dir):
 def a21_experiment(spark, sf_dir):
     windows = chain(spark, sf_dir).windows
     return rounded(evaluation.experiment_metrics(evaluation.day_candidates(windows, evaluation.day_snapshots(windows, *EVAL)), *EVAL))
+
+
+TRAINING = """,
+evals AS (SELECT unnest(generate_series(1706400000000, 1706572800000, 86400000)) AS eval_day),
+tr AS (SELECT eval_day, window_size, user_name, unnest([{'scope': 'peer_group', 'subject': group_id}, {'scope': 'global', 'subject': ''}], recursive := true)
+  FROM win JOIN peers USING (user_name) JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day WHERE window_size >= 3600)
+"""
+
+
+@query(o.sql("""SELECT eval_day, window_size, scope, subject, count(*) AS sample_count, count(DISTINCT user_name) AS member_count,
+  CASE WHEN count(*) >= 100 AND (scope = 'global' OR count(DISTINCT user_name) >= 5) THEN 'ready' ELSE 'model_not_ready' END AS status FROM tr GROUP BY eval_day, window_size, scope, subject""", TRAINING))
+def e03_model_snapshots(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return evaluation.model_snapshots(evaluation.model_training(c.windows, c.peers, *EVAL))
+
+
+@query()
+def e04_hbos_days(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return rounded(evaluation.model_day_candidates(c.windows, c.peers, *EVAL))
+
+
+#: The UTC midnight after the newest event.
+def _until(c: Chain) -> int:
+    return (c.as_of // features.DAY_MS + 1) * features.DAY_MS
+
+
+READY = """,
+until AS (SELECT (as_of // 86400000 + 1) * 86400000 AS e FROM newest),
+rw AS (SELECT win.*, group_id FROM win JOIN peers USING (user_name), until WHERE window_size >= 3600 AND window_start >= e - 2592000000 AND window_start < e),
+rg AS (SELECT 'global' AS scope, '' AS group_id, NULL::BIGINT AS configured_members UNION ALL SELECT 'peer_group', group_id, count(*) FROM peers GROUP BY ALL),
+rs AS (SELECT scope, group_id, configured_members, size AS window_size FROM rg, (VALUES (3600), (86400)) s(size)),
+rc AS (SELECT rs.*, (SELECT count(*) FROM rw WHERE rw.window_size = rs.window_size AND (rs.scope = 'global' OR rw.group_id = rs.group_id)) AS sample_count,
+  (SELECT count(DISTINCT user_name) FROM rw WHERE rw.window_size = rs.window_size AND (rs.scope = 'global' OR rw.group_id = rs.group_id)) AS user_count,
+  (SELECT count(DISTINCT window_start // 86400000) FROM rw WHERE rw.window_size = rs.window_size AND (rs.scope = 'global' OR rw.group_id = rs.group_id)) AS active_days FROM rs)
+"""
+
+
+@query(o.sql("""SELECT *, CASE scope WHEN 'global' THEN active_days >= 14 AND sample_count >= 20 ELSE active_days >= 14 AND sample_count >= 100 AND user_count >= 5 END AS statistical_ready,
+  sample_count >= 100 AND (scope = 'global' OR user_count >= 5) AS model_ready, greatest(0, CASE scope WHEN 'global' THEN 20 ELSE 100 END - sample_count) AS missing_samples, greatest(0, 14 - active_days) AS missing_active_days,
+  CASE scope WHEN 'global' THEN 0 ELSE greatest(0, 5 - user_count) END AS missing_members, greatest(0, 100 - sample_count) AS missing_model_samples FROM rc""", READY))
+def e05_readiness(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return readiness.window_readiness(c.windows, c.peers, _until(c))
+
+
+@query(o.sql("""SELECT min(t) AS first_event_ms, max(t) AS latest_event_ms, (SELECT count(DISTINCT window_start) FROM win WHERE window_size = 86400 AND window_start >= e - 2592000000 AND window_start < e) AS active_utc_days,
+  e // 86400000 - min(t) // 86400000 AS calendar_span_days, (e - greatest(min(t) // 86400000 * 86400000, e - 2592000000)) // 86400000 AS observed_days,
+  greatest(0, 30 - (e - greatest(min(t) // 86400000 * 86400000, e - 2592000000)) // 86400000) AS missing_days, (e - greatest(min(t) // 86400000 * 86400000, e - 2592000000)) // 86400000 >= 30 AS ready FROM ev, until GROUP BY e""", READY))
+def e05_history(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    return readiness.history(c.bounds, c.windows, _until(c))
+
+
+@query(o.sql("SELECT user_name, session_id FROM sessions WHERE start_time < 1704412800000 AND last_event_time >= 1704326400000", o.SESSIONS))
+def f02_session_overlap(spark, sf_dir):
+    return session_ops.overlapping(chain(spark, sf_dir).sessions, 1704326400000, 1704412800000).select("user_name", "session_id")
+
+
+@query(o.sql("""SELECT event_id, t AS event_time_ms, source_type, n AS event_count, n > 20 AS truncated FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY t, event_id) AS r FROM ev
+  WHERE user_name = 'user-1' AND t >= 1704067200000 AND t < 1706745600000 AND source_type IN ('svn', 'waf')) WHERE r <= 20"""))
+def f16_event_evidence(spark, sf_dir):
+    rows = features.event_evidence(canonical_events(spark, sf_dir), "user-1", 1704067200000, 1706745600000, source_types=("svn", "waf"))
+    return rows.select("event_id", "event_time_ms", "source_type", F.col("total").alias("event_count"), "truncated")
+
+
+CASED = """,
+cased AS (SELECT sha256('case:' || alert_key) AS case_id, * FROM (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY risk_score DESC, first_seen, incident_key DESC) AS best FROM risk WHERE policy_action = 'alert') WHERE best = 1)
+"""
+
+
+@query(o.sql("SELECT case_id, user_name, risk_score FROM cased WHERE user_name LIKE '%ser-1%' ORDER BY risk_score DESC, last_seen DESC, case_id LIMIT 20 OFFSET 5", *ALL, o.RISK, CASED, **PRINTS))
+def f13_case_search(spark, sf_dir):
+    made = cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0)
+    return cases.search(made, text="ser-1", status="open", unassigned=True, limit=20, offset=5).select("case_id", "user_name", "risk_score")
+
+
+@query(o.sql("SELECT count(*) AS open, 0 AS investigating, 0 AS confirmed, 0 AS false_positive, 0 AS suppressed, 0 AS closed, count(*) AS unassigned, 0 AS requires_review FROM cased", *ALL, o.RISK, CASED, **PRINTS))
+def a23_case_counts(spark, sf_dir):
+    return cases.counts(cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0))
+
+
+@query(o.sql("""SELECT case_id, c.incident_key, c.risk_score, c.candidate_count, list_sum(list(coalesce(m.n, 0)))::BIGINT AS event_count, string_agg(k.candidate_key, ',' ORDER BY k.window_start, -k.score, k.candidate_key) AS candidates,
+  'available' AS risk_status, 'available' AS detection_status FROM cased c JOIN keyed k USING (user_name, correlation_key) LEFT JOIN (SELECT candidate_key, count(*) AS n FROM members GROUP BY ALL) m USING (candidate_key) GROUP BY ALL""", *ALL, o.RISK, CASED, **PRINTS))
+def j09_investigation(spark, sf_dir):
+    from .operators.correlation import group_keys
+
+    c = full(spark, sf_dir)
+    made = cases.sync(cases.empty(spark), c.alerts, 0)
+    rows = investigation.investigations(made, c.alerts, c.assessments, c.incidents, investigation.with_incident(group_keys(c.candidates, c.sessions)), c.evidence)
+    held = F.col("candidates")
+    return rows.select("case_id", "incident_key", "risk_score", F.col("incident.candidate_count").alias("candidate_count"), F.aggregate(held, F.lit(0).cast("long"), lambda s, x: s + x["event_count"]).alias("event_count"),
+                       F.array_join(F.transform(held, lambda x: x["candidate_key"]), ",").alias("candidates"), "risk_status", "detection_status")
+
+
+def _outcomes(spark, sf_dir, remainder: int):
+    """Events as normalized events (some without an address), those of one remainder by bytes as unknown ones."""
+    ev = canonical_events(spark, sf_dir)
+    lost = F.pmod("network_bytes", F.lit(10)) == remainder
+    named = lambda **c: F.struct(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in c.items()])
+    ip = F.when(F.pmod("network_bytes", F.lit(7)) > 0, F.col("source_ip"))
+    good = ev.where(~lost).select(
+        named(category="repository", action=F.col("action"), outcome=F.col("outcome")).alias("event"), named(name=F.col("user_name")).alias("user"), named(ip=ip).alias("source"),
+        named(checksum="x", storage_ref="y", source_type=F.col("source_type")).alias("raw"), named(id=F.col("source_type"), confidence=F.round(F.pmod("network_bytes", F.lit(101)) / 100, 2)).alias("parser"),
+    )
+    errors = F.when(F.col("source_ip").endswith(".1"), F.array(F.lit("event.id is required"))).otherwise(F.array().cast("array<string>"))
+    return good, ev.where(lost).select("source_type", F.lit("no_parser").alias("reason"), F.col("resource_name").alias("template_hint"), errors.alias("schema_errors"))
+
+
+SPLIT = """,
+good AS (SELECT *, round(bytes % 101 / 100, 2) AS conf, bytes % 7 > 0 AS has_ip FROM ev WHERE bytes % 10 <> {rem}), lost AS (SELECT * FROM ev WHERE bytes % 10 = {rem})
+"""
+RATES = """SELECT g.n AS normalized_records, u.n AS unknown_records, g.n + u.n AS total_records, round(g.n / (g.n + u.n), 6) AS parse_success_rate, parser_confidence_avg, parser_confidence_min, parser_confidence_p50, missing_required_fields_count, unknown_template_count,
+  1.0::DOUBLE AS event_category, round(ip / g.n, 6) AS source_ip FROM (SELECT count(*) AS n, round(avg(CAST(conf AS DECIMAL(20, 10))), 6) AS parser_confidence_avg, min(conf) AS parser_confidence_min, list_sort(list(conf))[count(*) // 2 + 1] AS parser_confidence_p50, count(*) FILTER (has_ip) AS ip FROM good) g,
+  (SELECT count(*) AS n, count(DISTINCT shown) AS unknown_template_count, count(*) FILTER (source_ip LIKE '%.1') AS missing_required_fields_count FROM lost) u"""
+
+
+@query(o.sql(RATES, SPLIT.replace("{rem}", "0")))
+def a17_quality(spark, sf_dir):
+    keep = ("normalized_records", "unknown_records", "total_records", "parse_success_rate", "parser_confidence_avg", "parser_confidence_min", "parser_confidence_p50", "missing_required_fields_count", "unknown_template_count", "event_category", "source_ip")
+    return quality.summary(*_outcomes(spark, sf_dir, 0)).select(*keep)
+
+
+@query(o.sql("""SELECT 'normalized' AS measure, '' AS key, count(*) AS n FROM good UNION ALL SELECT 'unknown', '', count(*) FROM lost UNION ALL SELECT 'source_type', source_type, count(*) FROM ev GROUP BY ALL UNION ALL SELECT 'parser', source_type, count(*) FROM good GROUP BY ALL
+  UNION ALL SELECT 'reason', 'no_parser', count(*) FROM lost UNION ALL SELECT 'template', shown, count(*) FROM lost GROUP BY ALL UNION ALL SELECT 'missing', '', count(*) FROM lost WHERE source_ip LIKE '%.1' UNION ALL SELECT 'confidence', CAST(CAST(round(conf * 10000) AS BIGINT) AS VARCHAR), count(*) FROM good GROUP BY ALL
+  UNION ALL SELECT 'present', 'source.ip', count(*) FROM good WHERE has_ip UNION ALL SELECT 'present', f, count(*) FROM good, (VALUES ('event.category'), ('event.action'), ('event.outcome'), ('user.name'), ('raw.checksum'), ('raw.storage_ref')) v(f) GROUP BY ALL""", SPLIT.replace("{rem}", "0")))
+def q01_snapshot(spark, sf_dir):
+    """Two halves' snapshots merged are the whole's."""
+    good, lost = _outcomes(spark, sf_dir, 0)
+    of = lambda even: quality.snapshot(good.where((F.col("parser.confidence") < 0.5) == even), lost.where((F.size("schema_errors") > 0) == even))
+    return quality.merged(of(True), of(False))
+
+
+@query(o.sql("""SELECT flag, round(delta, 6) AS delta, triggered FROM (SELECT 'parse_success_rate_drop' AS flag, round(round(b.n / e.n, 6) - round(a.n / e.n, 6), 6) AS delta, round(round(b.n / e.n, 6) - round(a.n / e.n, 6), 6) >= 0.1 AS triggered
+    FROM (SELECT count(*) FILTER (bytes % 10 <> 0) AS n FROM ev) b, (SELECT count(*) FILTER (bytes % 10 <> 3) AS n FROM ev) a, (SELECT count(*) AS n FROM ev) e
+  UNION ALL SELECT 'unknown_template_count_spike', a.n - b.n, a.n - b.n >= 3 AND a.n >= 2 * b.n FROM (SELECT count(DISTINCT shown) AS n FROM ev WHERE bytes % 10 = 0) b, (SELECT count(DISTINCT shown) AS n FROM ev WHERE bytes % 10 = 3) a)"""))
+def q02_drift(spark, sf_dir):
+    before, after = (quality.summary(*_outcomes(spark, sf_dir, r)) for r in (0, 3))
+    return rounded(quality.drift(before, after).where("flag IN ('parse_success_rate_drop', 'unknown_template_count_spike')"))
+
+
+def _lines(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")))
+    return rows.select("path", (F.col("pos") + 1).alias("line"), F.col("col").alias("text"))
+
+
+@query(r"""SELECT path, line AS line_start, CAST(row_number() OVER (PARTITION BY path ORDER BY line) AS INT) AS record_index, text AS raw_text
+  FROM (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(string_split(text, chr(10))) AS text, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line FROM documents) WHERE regexp_matches(text, '[^ \t\n\x0b\f\r]')""")
+def s03_line_records(spark, sf_dir):
+    return files.line_records(_lines(spark, sf_dir)).select("path", "line_start", "record_index", "raw_text")
+
+
+@query(o.sql("SELECT event_id, 'fmt_' || left(sha256(source_type || '-main:' || source_type || ':' || action || '::'), 16) AS fingerprint FROM ev"))
+def p18_fingerprints(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return canonical_events(spark, sf_dir).select("event_id", registry.format_fingerprint(F.col("source_id"), F.col("source_type"), F.col("action"), none, none).alias("fingerprint"))
+
+
+#: A parser in shadow over the events' own properties.
+SHADOW = {"parser_id": "props", "status": "shadow", "parser_type": "regex", "pattern": '"k": ?(?P<k>[0-9]+)', "field_candidates": {"k": "7"}, "schema_mapping": {"k": "resource.id"}}
+
+
+@query("""SELECT count(*) AS replay_record_count, count(*) FILTER (k = '7') AS matched_count, count(*) FILTER (k <> '7') AS unmatched_count, round(count(*) FILTER (k = '7') / count(*), 6) AS success_rate, 1.0::DOUBLE AS schema_mapping_rate
+  FROM (SELECT regexp_extract(props, '"k": ?([0-9]+)', 1) AS k FROM events)""")
+def l04_shadow_replay(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("unknown_id"), F.col("event_id").cast("string").alias("record_id"), F.col("props").alias("raw_text"))
+    return registry.shadow_report(registry.shadow_replay(rows, SHADOW), SHADOW)
