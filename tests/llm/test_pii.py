@@ -86,3 +86,29 @@ def test_digests(spark):
     kept = {r.doc_id: r.text for r in pii.sanitise(clean).collect()}
     assert all(kept[r.doc_id] == r.text for r in clean.collect() if not plain(r.text))
     assert pii.sanitise(clean.union(clean)).count() == 2 * clean.count()
+
+
+def far(name, mail, seed):
+    return f"{name} keeps the minutes. {words(60, seed)} {'x ' * 150}. Write to {mail} {words(20, seed + 1)} and {words(40, seed + 2)} {name} signs."
+
+
+def test_terms_in_other_sentences(spark):
+    """A name that never stands beside the address is counted over whole documents, and marked at every mention."""
+    rows = [far("Quorvine", "far@mail.example.org", 3000 + 10 * i) for i in range(3)]
+    docs = documents(spark, rows + [f"{words(50, 4000 + i)} keeps the minutes and signs" for i in range(120)])
+    found = pii.find_base(docs).cache()
+    assert "quorvine" in {r.term for r in pii.revealing_terms(docs, found).collect()}
+    out = pii.sanitise(docs).where("text LIKE '%[EMAIL]%'").collect()
+    assert len(out) == 3 and not any("Quorvine" in r.text for r in out) and all("minutes" in r.text and "signs" in r.text for r in out)
+    marked = {r.doc_id: r for r in pii.pii_digests(docs).where("n_email > 0").collect()}
+    for r in docs.collect():
+        if r.doc_id in marked:
+            spans = {s for s in marked[r.doc_id].spans.split(",") if s.startswith("term")}
+            assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("Quorvine", r.text)} <= spans
+
+
+def test_free_terms():
+    text = "ana bob@mail.example.org +1 212 555 0147 carol dave"
+    held = pii.base_spans(text)
+    assert [w for w, _, _ in pii.free_terms(text, held)] == ["ana", "carol", "dave"]
+    assert all(text[a:b].lower() == w for w, a, b in pii.free_terms(text, held))

@@ -1,4 +1,4 @@
-"""Personal data by patterns, and terms that reveal it by how often they stand beside it in the corpus."""
+"""Personal data by patterns, and terms that reveal it by how often they share its documents in the corpus."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -23,10 +23,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-#: Words on either side of an entity that count as beside it, and the stretch of text searched for them.
+#: Words on either side that make a context, and the stretch of text searched for those of an entity.
 NEAR, STRETCH = 5, 200
-#: A term reveals an entity that stands beside it in so many different contexts, in such a share of all documents with
-#: the term, and with such a gain over chance in bits; at REMOVE it is removed, below that generalised.
+#: A term reveals an entity that shares documents with it in so many different contexts, in such a share of all documents
+#: with the term, and with such a gain over chance in bits; at REMOVE it is removed, below that generalised.
 CONTEXTS, SHARE, BITS, REMOVE = 2, 0.5, 4.0, 0.9
 MAP_BITS = 1 << 22
 
@@ -88,29 +88,38 @@ def terms_beside(text: str, span: tuple[int, str, int], taken: list[tuple[int, s
     return [(m.group().lower(), m.start(), m.end()) for m in free]
 
 
-FOUND = "spans array<struct<start:int,kind:string,end:int>>, beside array<struct<entity:long,term:string,start:int,end:int,context:long>>"
+def free_terms(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every word of text that lies in no span; taken are the spans by start."""
+    out, i, reach = [], 0, 0
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach <= a:
+            out.append((m.group().lower(), a, b))
+    return out
+
+
+FOUND = "spans array<struct<start:int,kind:string,end:int>>, entities array<long>, body string"
+#: Rows gathered before they leave a task.
+ROWS = 100_000
 
 
 def find_base(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k1, k2 (name the row), doc_id, spans by the patterns, and the terms beside each entity."""
+    """k1, k2 (name the row), doc_id, spans by the patterns, the entities they name, and the text where there are any."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, beside = [], []
+            spans, who, body = [], [], []
             for x in batch.column(3):
                 t = x.as_py()
                 held = base_spans(t)
                 spans.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in held])
-                near = []
-                for i, s in enumerate(held):
-                    # only neighbours can lie within reach
-                    terms = terms_beside(t, s, held[max(0, i - STRETCH) : i + STRETCH])
-                    context = xxhash.xxh64_intdigest(" ".join(w for w, _, _ in terms)) - (1 << 63)
-                    who = entity(t, s)
-                    near += [{"entity": who, "term": w, "start": a, "end": b, "context": context} for w, a, b in terms]
-                beside.append(near)
-            kinds = [pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())]))]
-            yield pa.record_batch([*batch.columns[:3], pa.array(spans, kinds[0]), pa.array(beside, kinds[1])], ["k1", "k2", "doc_id", "spans", "beside"])
+                who.append(sorted({entity(t, s) for s in held}))
+                body.append(t if held else None)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
+            yield pa.record_batch([*batch.columns[:3], pa.array(spans, kind), pa.array(who, pa.list_(pa.int64())), pa.array(body, pa.string())], ["k1", "k2", "doc_id", "spans", "entities", "body"])
 
     kind = docs.schema[id].dataType.simpleString()
     return keyed(docs, id, text).mapInArrow(rows, f"k1 long, k2 long, doc_id {kind}, {FOUND}")
@@ -121,66 +130,165 @@ def keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.lit(1), F.col(id)).alias("k1"), F.xxhash64(raw).alias("k2"), F.col(id).alias("doc_id"), raw.alias("text"))
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """term, n_term: in how many of all documents each of terms (column term) stands.
+def bitmap(hashes: DataFrame) -> bytes:
+    """A byte, 1 or 0, for each place of a map of fixed size: whether the column h has a value that falls there."""
+    place = F.pmod("h", F.lit(MAP_BITS))
+    words = hashes.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("v"))
+    held = np.zeros(MAP_BITS // 64, np.int64)
+    for r in words.collect():  # MAP_BITS / 64 rows at most
+        held[r.w] = r.v
+    return np.unpackbits(held.view(np.uint8), bitorder="little").tobytes()
+
+
+def document_counts(docs: DataFrame, terms: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """term, n_term: in how many of all documents each of terms (column term), or without terms each word, stands.
 
     Words pass a bitmap of the terms' hashes first, so that only theirs (and few others', which the join drops) are
     shuffled. The bitmap's size is fixed.
     """
-    place = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS))
-    words = terms.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("v"))
-    table = np.zeros(MAP_BITS // 64, np.int64)
-    for r in words.collect():  # MAP_BITS / 64 rows at most
-        table[r.w] = r.v
-    bits = np.unpackbits(table.view(np.uint8), bitorder="little").tobytes()
+    bits = None if terms is None else bitmap(terms.select(F.xxhash64("term").alias("h")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, mask = xxhash.xxh64_intdigest, MAP_BITS - 1
+        place, mask = xxhash.xxh64_intdigest, MAP_BITS - 1
         for batch in batches:
             counts: dict[str, int] = {}
             for x in batch.column(0):
                 if x.is_valid:
                     for w in set(TERM.findall(x.as_py().lower())):
-                        if bits[digest(w, 42) & mask]:
+                        if bits is None or bits[place(w, 42) & mask]:
                             counts[w] = counts.get(w, 0) + 1
             yield pa.record_batch([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["term", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    return terms.select("term").distinct().join(counted, "term")
+    return counted if terms is None else terms.select("term").distinct().join(counted, "term")
+
+
+def spans_of(x: pa.ListScalar) -> list[tuple[int, str, int]]:
+    return [(s["start"], s["kind"], s["end"]) for s in x.as_py()]
+
+
+def digest(words: Iterator[str] | list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+
+
+def together(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, term, context: a row for each document that holds one of entities (column entity) and the term anywhere.
+
+    Beside the entity, the context is the words beside it (the least digest); further off, those beside the entity
+    and those beside the term's first mention, so that copies have one context and other texts have their own.
+    """
+    bits = bitmap(entities.select(F.col("entity").alias("h")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, names = MAP_BITS - 1, ["entity", "term", "context"]
+        who, terms, contexts = [], [], []
+        made = lambda: pa.record_batch([pa.array(who, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names)
+        for batch in batches:
+            for spans, body in zip(*batch.columns, strict=True):
+                t, held = body.as_py(), spans_of(spans)
+                named = [(entity(t, s), i) for i, s in enumerate(held)]
+                named = [(e, i) for e, i in named if bits[e & mask]]
+                if not named:
+                    continue
+                words = free_terms(t, held)
+                own: dict[str, int] = {}
+                for i, (w, _, _) in enumerate(words):
+                    if w not in own:
+                        own[w] = digest(x[0] for x in words[max(0, i - NEAR) : i + NEAR + 1])
+                about: dict[int, int] = {}
+                beside: dict[int, dict[str, int]] = {}
+                for e, i in named:
+                    # only neighbours can lie within reach
+                    near = [w for w, _, _ in terms_beside(t, held[i], held[max(0, i - STRETCH) : i + STRETCH])]
+                    context = digest(near)
+                    about[e] = min(context, about.get(e, context))
+                    for w in near:
+                        seen = beside.setdefault(e, {})
+                        seen[w] = min(context, seen.get(w, context))
+                for e, context in about.items():
+                    near = beside.get(e, {})
+                    for w, c in own.items():
+                        who.append(e), terms.append(w)
+                        contexts.append(near[w] if w in near else xxhash.xxh64_intdigest(f"{context}:{c}") - (1 << 63))
+                    if len(who) >= ROWS:
+                        yield made()
+                        who, terms, contexts = [], [], []
+        yield made()
+
+    texts = found.where("body IS NOT NULL").select("k1", "k2", "spans", "body").dropDuplicates(["k1", "k2"])
+    return texts.select("spans", "body").mapInArrow(rows, "entity long, term string, context long").join(entities, "entity", "left_semi")
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, share, bits of the terms that pass the thresholds.
 
-    share is the part of all documents with the term that hold it beside the entity, bits the pointwise mutual
+    share is the part of all documents with the term that hold the entity too, anywhere, bits the pointwise mutual
     information of the two over documents. Copies of one context count once towards CONTEXTS.
     """
-    beside = found.select("k1", "k2", F.explode("beside").alias("x")).select("k1", "k2", "x.*")
-    pairs = beside.groupBy("entity", "term", "k1", "k2").agg(F.min("context").alias("context"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.approx_count_distinct("context", 0.01).alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= CONTEXTS))
-    entities = beside.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counts = document_counts(docs, pairs.select("term").distinct(), text)
     n = float(found.count())
-    scored = pairs.join(counts, "term").join(entities, "entity")
-    scored = scored.withColumn("share", F.col("n_both") / F.greatest("n_term", "n_both")).withColumn("bits", F.log2(F.col("n_both") * n / (F.col("n_entity") * F.greatest("n_term", "n_both"))))
-    return scored.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS)).select("entity", "term", "share", "bits")
+    named = found.where("body IS NOT NULL").select("k1", "k2", F.explode("entities").alias("entity")).distinct()
+    # a single document is a single context, and no term gains more bits than its entity's own share of documents allows
+    entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") > 1) & (F.log2(F.lit(n) / F.col("n_entity")) >= BITS)))
+    pairs = together(found, entities.select("entity")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.approx_count_distinct("context", 0.01).alias("contexts"))
+    pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(entities, "entity")
+
+    def passing(counts: DataFrame) -> DataFrame:
+        n_term = F.greatest("n_term", "n_both")
+        rows = pairs.join(counts, "term").withColumns({"share": F.col("n_both") / n_term, "bits": F.log2(F.col("n_both") * n / (F.col("n_entity") * n_term))})
+        return rows.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
+
+    # both fall as n_term grows, so a pair that fails by the documents with entities alone fails by all of them
+    pairs = cut(passing(document_counts(found.where("body IS NOT NULL"), text="body")).select("entity", "term", "n_both", "n_entity"))
+    return passing(document_counts(docs, pairs.select("term").distinct(), text)).select("entity", "term", "share", "bits")
+
+
+def mentions(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """k1, k2, terms (start, end, share): every mention of a flagged term in every document that names its entity.
+
+    Pairs pass a bitmap of the flagged ones first; the join drops the few others.
+    """
+    bits = bitmap(flagged.select(F.xxhash64("term").bitwiseXOR(F.col("entity")).alias("h")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask, set_ = MAP_BITS - 1, np.frombuffer(bits, np.uint8)
+        places = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            out = []
+            for k1, k2, spans, entities, body in zip(*batch.columns, strict=True):
+                at: dict[str, list[dict[str, int]]] = {}
+                for w, a, b in free_terms(body.as_py(), spans_of(spans)):
+                    at.setdefault(w, []).append({"start": a, "end": b})
+                words = [*at]
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) & mask for w in words], np.int64)
+                for e in entities.as_py():
+                    out += [(k1.as_py(), k2.as_py(), e, words[i], at[words[i]]) for i in np.flatnonzero(set_[hashes ^ (e & mask)])]
+                if len(out) >= ROWS:
+                    yield made(out, places)
+                    out = []
+            yield made(out, places)
+
+    def made(out: list[tuple], places: pa.DataType) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), places)
+        return pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["k1", "k2", "entity", "term", "places"])
+
+    texts = found.where("body IS NOT NULL").select("k1", "k2", "spans", "entities", "body")
+    held = texts.mapInArrow(rows, "k1 long, k2 long, entity long, term string, places array<struct<start:int,end:int>>")
+    held = held.join(flagged, ["entity", "term"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"), F.any_value("places").alias("places"))
+    one = F.transform("places", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.col("share").alias("share")))
+    return held.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("terms"))
 
 
 def all_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """k1, k2, doc_id, spans (by pattern), terms (start, end, share of the terms that reveal one) of every row.
 
     Null counts as empty. Entities are email and ip addresses, cards and phones as the patterns find them. A term that
-    reveals one is marked wherever it stands beside it. Repeated rows give their rows; no other columns are read.
+    reveals one is marked wherever it stands in a document that names it. Repeated rows give their rows; no other
+    columns are read.
     """
-    found = cut(find_base(docs, id, text))
-    flagged = revealing_terms(docs, found, text)
-    beside = found.select("k1", "k2", F.explode("beside").alias("x")).select("k1", "k2", "x.*")
-    marked = beside.join(flagged, ["entity", "term"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end", "share")).alias("terms"))
-    one = F.transform(F.array_distinct(F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))), lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"), F.array_max(F.transform(F.filter("terms", lambda x: x["start"] == y["start"]), lambda x: x["share"])).alias("share")))
-    marked = marked.withColumn("terms", one)
+    found = table(find_base(docs, id, text), "personal")
+    flagged = cut(revealing_terms(docs, found, text))
     empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    return found.drop("beside").join(marked, ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", empty))
+    return found.drop("entities", "body").join(mentions(found, flagged), ["k1", "k2"], "left").withColumn("terms", F.coalesce("terms", empty))
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:
