@@ -112,3 +112,17 @@ def test_free_terms():
     held = pii.base_spans(text)
     assert [w for w, _, _ in pii.free_terms(text, held)] == ["ana", "carol", "dave"]
     assert all(text[a:b].lower() == w for w, a, b in pii.free_terms(text, held))
+
+
+def test_contexts_are_counted_exactly(spark):
+    """Two documents with the same least context, and one document with two contexts."""
+    mail = "z@mail.example.org"
+    beside = lambda w: [x for x, _, _ in pii.terms_beside(f"{mail} {w}", (0, "email", len(mail)), [])]
+    least, *others = sorted((words(5, 7000 + i) for i in range(3)), key=lambda w: pii.digest(["hesperix", *beside(w)]))
+    gap = " 1" * 200 + " "
+    line = lambda w, who, name: f"{gap}{name} {who}@mail.example.org {w}{gap}"
+    rows = [line(least, "two", "Hesperix") + line(o, "two", "Hesperix") for o in others]
+    rows += [line(least, "one", "Calvarun") + line(others[0], "one", "Calvarun"), line(least, "same", "Dorimund") * 2]
+    docs = documents(spark, rows + [words(30, 5000 + i) for i in range(120)])
+    got = {r.term for r in pii.revealing_terms(docs, pii.find_base(docs).cache()).collect()}
+    assert {"hesperix", "calvarun"} <= got and "dorimund" not in got

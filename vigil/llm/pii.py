@@ -172,51 +172,55 @@ def digest(words: Iterator[str] | list[str]) -> int:
 
 
 def together(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """entity, term, context: a row for each document that holds one of entities (column entity) and the term anywhere.
+    """entity, term, low, high: a row for each document that holds one of entities (entity, n_entity) and the term.
 
-    Beside the entity, the context is the words beside it (the least digest); further off, those beside the entity
-    and those beside the term's first mention, so that copies have one context and other texts have their own.
+    low and high are the least and greatest of the pair's contexts there. Beside the entity, a context is the words
+    beside it; further off, a document is one context: the words beside the entity (the least digest) and beside the
+    term's first mention, so that copies have one context and other texts have their own. An entity of one document
+    only gives the terms that stand beside it in two contexts, as no others can have two.
     """
-    bits = bitmap(entities.select(F.col("entity").alias("h")))
+    bits = bitmap(entities.where("n_entity > 1").select(F.col("entity").alias("h")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask, names = MAP_BITS - 1, ["entity", "term", "context"]
-        who, terms, contexts = [], [], []
-        made = lambda: pa.record_batch([pa.array(who, pa.int64()), pa.array(terms, pa.string()), pa.array(contexts, pa.int64())], names)
+        mask, names = MAP_BITS - 1, ["entity", "term", "low", "high"]
+        who, terms, lows, highs = [], [], [], []
+        made = lambda: pa.record_batch([pa.array(who, pa.int64()), pa.array(terms, pa.string()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names)
         for batch in batches:
             for spans, body in zip(*batch.columns, strict=True):
                 t, held = body.as_py(), spans_of(spans)
-                named = [(entity(t, s), i) for i, s in enumerate(held)]
-                named = [(e, i) for e, i in named if bits[e & mask]]
-                if not named:
-                    continue
-                words = free_terms(t, held)
-                own: dict[str, int] = {}
-                for i, (w, _, _) in enumerate(words):
-                    if w not in own:
-                        own[w] = digest(x[0] for x in words[max(0, i - NEAR) : i + NEAR + 1])
                 about: dict[int, int] = {}
-                beside: dict[int, dict[str, int]] = {}
-                for e, i in named:
+                beside: dict[int, dict[str, tuple[int, int]]] = {}
+                for i, s in enumerate(held):
                     # only neighbours can lie within reach
-                    near = [w for w, _, _ in terms_beside(t, held[i], held[max(0, i - STRETCH) : i + STRETCH])]
-                    context = digest(near)
+                    near = [w for w, _, _ in terms_beside(t, s, held[max(0, i - STRETCH) : i + STRETCH])]
+                    e, context = entity(t, s), digest(near)
                     about[e] = min(context, about.get(e, context))
                     for w in near:
                         seen = beside.setdefault(e, {})
-                        seen[w] = min(context, seen.get(w, context))
+                        low, high = seen.get(w, (context, context))
+                        seen[w] = min(context, low), max(context, high)
+                if any(bits[e & mask] for e in about):
+                    words = free_terms(t, held)
+                    own: dict[str, int] = {}
+                    for i, (w, _, _) in enumerate(words):
+                        if w not in own:
+                            own[w] = digest(x[0] for x in words[max(0, i - NEAR) : i + NEAR + 1])
                 for e, context in about.items():
                     near = beside.get(e, {})
-                    for w, c in own.items():
-                        who.append(e), terms.append(w)
-                        contexts.append(near[w] if w in near else xxhash.xxh64_intdigest(f"{context}:{c}") - (1 << 63))
+                    if bits[e & mask]:
+                        far = {w: xxhash.xxh64_intdigest(f"{context}:{c}") - (1 << 63) for w, c in own.items() if w not in near}
+                        made_of = near | {w: (c, c) for w, c in far.items()}
+                    else:
+                        made_of = {w: x for w, x in near.items() if x[0] < x[1]}
+                    for w, (low, high) in made_of.items():
+                        who.append(e), terms.append(w), lows.append(low), highs.append(high)
                     if len(who) >= ROWS:
                         yield made()
-                        who, terms, contexts = [], [], []
+                        who, terms, lows, highs = [], [], [], []
         yield made()
 
     texts = found.where("body IS NOT NULL").select("k1", "k2", "spans", "body").dropDuplicates(["k1", "k2"])
-    return texts.select("spans", "body").mapInArrow(rows, "entity long, term string, context long").join(entities, "entity", "left_semi")
+    return texts.select("spans", "body").mapInArrow(rows, "entity long, term string, low long, high long").join(entities, "entity", "left_semi")
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
@@ -227,10 +231,11 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
     """
     n = float(found.count())
     named = found.where("body IS NOT NULL").select("k1", "k2", F.explode("entities").alias("entity")).distinct()
-    # a single document is a single context, and no term gains more bits than its entity's own share of documents allows
-    entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") > 1) & (F.log2(F.lit(n) / F.col("n_entity")) >= BITS)))
-    pairs = together(found, entities.select("entity")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.approx_count_distinct("context", 0.01).alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(entities, "entity")
+    # no term gains more bits than its entity's own share of documents allows
+    entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.log2(F.lit(n) / F.col("n_entity")) >= BITS))
+    pairs = together(found, entities).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    assert CONTEXTS == 2  # two contexts, exactly, where least and greatest differ; more would need their distinct count
+    pairs = pairs.where("low < high").join(entities, "entity")
 
     def passing(counts: DataFrame) -> DataFrame:
         n_term = F.greatest("n_term", "n_both")
