@@ -62,3 +62,14 @@ def test_models_of_a_day_know_only_the_days_before(spark):
         if detector == "hbos":  # trees see no further than their training's range
             odd = [h for h in hits if h.user_name == "u0" and h.eval_day == 19 * DAY_MS]
             assert len(odd) == 1 and odd[0].percentile == 1.0
+
+
+def test_registered_model_backtest_judges_every_day(spark, monkeypatch):
+    from vigil import queries
+
+    seen = []
+    monkeypatch.setattr(evaluation, "model_day_candidates", lambda windows, peers, from_, to: seen.append((from_, to)) or windows)
+    queries.e04_hbos_days(spark, "/root/testdata/sf0.001")
+    times = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("min(ts) AS a", "max(ts) AS b").first()
+    day = lambda t: int(t.replace(tzinfo=__import__("datetime").timezone.utc).timestamp()) // 86_400 * DAY_MS
+    assert seen == [(day(times.a), day(times.b) + DAY_MS)]

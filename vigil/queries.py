@@ -400,7 +400,8 @@ def e03_model_snapshots(spark, sf_dir):
 @query()
 def e04_hbos_days(spark, sf_dir):
     c = chain(spark, sf_dir)
-    return rounded(evaluation.model_day_candidates(c.windows, c.peers, *EVAL))
+    first = c.bounds.agg(F.min("first_time_ms")).first()[0]
+    return rounded(evaluation.model_day_candidates(c.windows, c.peers, first // features.DAY_MS * features.DAY_MS, _until(c)))
 
 
 #: The UTC midnight after the newest event.
