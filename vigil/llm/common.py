@@ -49,7 +49,7 @@ def let(value: Column, body) -> Column:
 
 def hash_bucket(n: int | Column, *cols: str | Column) -> Column:
     """0 to n - 1 from an MD5 of the columns, so that DuckDB can say the same."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string") for c in cols])
+    text = F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols])
     number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return F.pmod(number, F.lit(n) if isinstance(n, int) else n)
 
