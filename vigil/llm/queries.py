@@ -46,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.spam_hosts(spark))
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.listed_hosts(spark))
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter)}

@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
+import csv
+import math
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HASHES = 4
-BITS_A_KEY = 10
-#: Most bits of all levels of a cascade; more listed keys need a longer limit given by name.
-MAX_BITS = 1 << 26
+from .common import cut
+
+#: Most hashes of a level: the first one lets about one in 2^30 other keys through at most.
+MAX_HASHES = 30
+#: A cascade whose first level would be larger is not sent to the executors: its keys are joined by shuffle.
+MAX_BYTES = 16 << 20
+#: Bits in a byte of a level, so that a byte is also a character.
+BYTE = 7
+LISTED_HOSTS = Path(__file__).with_name("listed_hosts.csv")
+
+
+def place(key: Column, level: int, k: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(level * MAX_HASHES + k)), F.lit(bits))
 
 
 @dataclass(frozen=True)
 class Level:
-    words: tuple[int, ...]
+    """A Bloom filter as one binary value of the plan, in which hashes bits a key are set. Each level hashes in its own
+    way, or keys that meet in one would meet in all."""
+
+    number: int
+    table: bytes
+    bits: int
+    hashes: int
 
     def hit(self, key: Column) -> Column:
         """Whether all the key's bits are set."""
-        table, bits = F.lit(list(self.words)), 64 * len(self.words)
-        at = [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(HASHES)]
-        tests = [F.call_function("shiftrightunsigned", table[F.shiftright(b, 6).cast("int")], F.pmod(b, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1 for b in at]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
+        table = F.lit(self.table)
+
+        def one(k: int) -> Column:
+            bit = place(key, self.number, k, self.bits)
+            byte = F.ascii(F.substring(table, F.floor(bit / BYTE).cast("int") + 1, F.lit(1)).cast("string"))
+            return F.getbit(byte.cast("long"), F.pmod(bit, F.lit(BYTE)).cast("int")) == 1
+
+        out = one(0)
+        for k in range(1, self.hashes):
+            out = out & one(k)
         return out
 
 
@@ -42,34 +64,42 @@ class Cascade:
         return F.coalesce(key.isNotNull() & out, F.lit(False))
 
 
-def fit_level(keys: DataFrame, n: int) -> Level:
-    """The level that holds the keys (column key, n of them). What comes to the driver is the filter's words."""
-    size = max(1, -(-n * BITS_A_KEY // 64))
-    bit = F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(k)), F.lit(64 * size)) for k in range(HASHES)]))
-    words = keys.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("v"))
-    held = {r.w: r.v for r in words.collect()}
-    return Level(tuple(held.get(i, 0) for i in range(size)))
+def level_size(listed: int, others: int, first: bool) -> tuple[int, int]:
+    """Bits and hashes of a level that holds listed keys against others. The first lets through about listed / sqrt(2)
+    of the others, however many they are; each later one half of what it is held against."""
+    hashes = min(MAX_HASHES, max(1, math.ceil(math.log2(max(2.0, others * math.sqrt(2) / listed))))) if first else 1
+    return max(64, math.ceil(listed * hashes / math.log(2))), hashes
+
+
+def fit_level(number: int, keys: DataFrame, bits: int, hashes: int) -> Level:
+    """The level that holds the keys (column key). What comes to the driver is its bytes, bits / BYTE at most."""
+    bit = F.explode(F.array(*[place(F.col("key"), number, k, bits) for k in range(hashes)]))
+    value = F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod("b", F.lit(BYTE)).cast("int"))).alias("v")
+    table = bytearray(bits // BYTE + 1)
+    for r in keys.select(bit.alias("b")).groupBy(F.floor(F.col("b") / BYTE).alias("at")).agg(value).collect():
+        table[r["at"]] = r.v
+    return Level(number, bytes(table), bits, hashes)
 
 
-def fit_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
+def fit_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
     """A cascade over listed and universe (a column key each; nulls and repeats are ignored).
 
-    Ends when a level lets nothing of the other side through. Raises ValueError when its levels pass max_bits, which
-    bounds what is sent to the executors.
+    Its size follows the listed keys: the first level has some 1.44 bits a key for each halving from the universe to
+    them, all others together some 6. Ends when a level lets nothing of the other side through. None where the first
+    level alone would pass max_bytes.
     """
-    listed = listed.select("key").where("key IS NOT NULL").distinct().persist()
-    others = universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti").persist()
-    sides, levels, through = (listed, others), [], [listed, others]
-    try:
-        while n := through[len(levels) % 2].count():
-            if BITS_A_KEY * n + sum(64 * len(x.words) for x in levels) > max_bits:
-                raise ValueError(f"the cascade needs more than {max_bits} bits")
-            levels.append(fit_level(through[len(levels) % 2], n))
-            other = len(levels) % 2
-            through[other] = through[other].where(levels[-1].hit(F.col("key")))
-    finally:
-        for x in sides:
-            x.unpersist()
+    listed = cut(listed.select("key").where("key IS NOT NULL").distinct())
+    others = cut(universe.select("key").where("key IS NOT NULL").distinct().join(listed, "key", "left_anti"))
+    through, levels, counts = [listed, others], [], [listed.count(), others.count()]
+    while n := counts[len(levels) % 2]:
+        own, other = len(levels) % 2, (len(levels) + 1) % 2
+        bits, hashes = level_size(n, counts[other], not levels)
+        if bits > 8 * max_bytes:
+            return None
+        level = fit_level(len(levels), through[own], bits, hashes)
+        levels.append(level)
+        through[other] = cut(through[other].where(level.hit(F.col("key"))))
+        counts[other] = through[other].count()
     return Cascade(tuple(levels))
 
 
@@ -95,36 +125,45 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.reverse(F.array_sort(F.transform(keys, lambda k: F.struct(F.char_length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("k")))))["k"]
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], hosts: DataFrame, id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], hosts: DataFrame, id: str = "page_id", url: str = "url", max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     rules: (verdict, host and path prefix), such as ("block", "example.org/es/"): fits the host and its subdomains
     where the path starts with the prefix; the longest wins. Without one, a page is blocked if its host or a parent
     is listed in hosts (column host), else allowed. Null and malformed urls have empty parts and are allowed.
-    Rows are kept one for one, repeated ids too.
+    Rows are kept one for one, repeated ids too. Lists whose cascade would pass max_bytes are joined by shuffle, with
+    the same result.
     """
     spark = pages.sparkSession
     lengths = sorted({len(r) - r.index("/") for _, r in rules})
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
-    paths = parsed.select(F.col("host"), F.substring("path", 1, max(lengths, default=1)).alias("path")).distinct()  # all that keys are made of
-    universe = paths.select(F.explode(F.concat(rule_keys(F.col("host"), F.col("path"), lengths), host_suffixes(F.col("host")))).alias("key"))
-    listed = {v: fit_cascade(spark.createDataFrame([(r,) for w, r in rules if w == v], "key string"), universe) for v in ("allow", "block")}
-    blocked = fit_cascade(hosts.select(F.col("host").alias("key")), universe)
+    paths = cut(parsed.select("host", F.substring("path", 1, max(lengths, default=1)).alias("path")).distinct())  # all that keys are made of
     keys = rule_keys(F.col("host"), F.col("path"), lengths)
-    judged = parsed.withColumn("rule", F.get(F.filter(keys, lambda k: listed["allow"].contains(k) | listed["block"].contains(k)), 0))
-    rest = F.when(F.exists(host_suffixes(F.col("host")), blocked.contains), "block").otherwise("allow")
-    verdict = F.when(F.col("rule").isNull(), rest).when(listed["block"].contains(F.col("rule")), "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
-
-
-#: Rules and listed hosts of the production query.
+    looked_up = paths.select(F.explode(keys).alias("key"))
+    allow, block = (fit_cascade(spark.createDataFrame([(r,) for w, r in rules if w == v], "key string"), looked_up) for v in ("allow", "block"))
+    parsed = parsed.withColumn("rule", F.get(F.filter(keys, lambda k: allow.contains(k) | block.contains(k)), 0))
+    suffixes, names = host_suffixes(F.col("host")), hosts.select(F.col("host").alias("key"))
+    every = paths.select("host").distinct().select("host", F.explode(suffixes).alias("key"))
+    listed = fit_cascade(names, every, max_bytes)
+    if listed is None:
+        held = every.join(names.distinct(), "key", "left_semi").select("host", F.lit(True).alias("_listed")).distinct()
+        parsed = parsed.join(held, "host", "left")
+    else:
+        parsed = parsed.withColumn("_listed", F.exists(suffixes, listed.contains))
+    verdict = F.when(F.col("rule").isNull(), F.when(F.col("_listed"), "block").otherwise("allow"))
+    verdict = verdict.when(block.contains(F.col("rule")), "block").otherwise("allow")
+    return parsed.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+#: Rules of the production query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-SPAM = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
-def spam_hosts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"{s}.example.{t}",) for s in SPAM for t in ("com", "net", "org")], "host string")
+def listed_hosts(spark: SparkSession, path: str | Path = LISTED_HOSTS) -> DataFrame:
+    """host: the blocked hosts of a CSV file beside the driver. Longer lists are better read as a table by Spark."""
+    with open(path, newline="") as f:
+        return spark.createDataFrame([(r["host"],) for r in csv.DictReader(f)], "host string")
 
 
 ORACLE = r"""
