@@ -1,5 +1,7 @@
 import random
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +24,50 @@ def test_ids_are_those_of_tokenizers():
         assert own.encode(x) == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def plain_best_fit(counts, size=1024):
+    """Piece by piece, longest first, into the fullest sequence with room."""
+    gaps = []
+    for k in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        room = [g for g in gaps if g >= k]
+        if room:
+            gaps.remove(min(room))
+        gaps.append((min(room) if room else size) - k)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_of_counts_is_that_of_pieces(seed):
+    r = random.Random(seed)
+    counts = Counter(min(1024, int(r.lognormvariate(5, 1.2)) + 1) for _ in range(r.choice([3, 60, 1500])))
+    plan = packing.best_fit(counts)
+    assert sum(t for t, _ in plan) == plain_best_fit(counts)
+    used = Counter()
+    for times, lengths in plan:
+        assert sum(lengths) <= 1024
+        for k in lengths:
+            used[k] += times
+    assert used == counts
+    assert sum(t for t, _ in packing.plan_patterns(counts)) <= plain_best_fit(counts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_index_finds_a_filling_where_there_is_one(seed):
+    r = random.Random(seed)
+    have = np.zeros(65, np.int64)
+    for _ in range(9):
+        have[r.randint(1, 60)] += r.randint(1, 2)
+    index = packing.Complements(have)
+    pieces = [k for k in range(65) for _ in range(have[k])]
+    for first in np.flatnonzero(have).tolist():
+        rest = [*pieces]
+        rest.remove(first)
+        exact = any(sum(c) == 64 - first for n in (1, 2, 3) for c in combinations(rest, n))
+        found = index.filling(first)
+        assert (found is not None) == exact
+        if found:
+            assert sum(found) == 64 - first and not Counter([first, *found]) - Counter(pieces)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once_and_few_sequences(seed):
     r = random.Random(seed)
@@ -34,6 +80,7 @@ def test_plan_uses_every_piece_once_and_few_sequences(seed):
             used[k] = used.get(k, 0) + times
     assert used == counts
     assert len(plan) <= 5 * 1024
+    assert sum(t for t, _ in plan) <= sum(t for t, _ in packing.best_fit(counts))
     least = -(-sum(k * v for k, v in counts.items()) // 1024)
     if len(counts) == 700:
         assert sum(t for t, _ in plan) <= least * 1.02 + 2

@@ -95,77 +95,120 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, schema)
 
 
-def plan_patterns(counts: dict[int, int], size: int = MAX_TOKENS) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, lengths) of sequences that use counts up.
+Pattern = tuple[int, tuple[int, ...]]
 
-    Of the longest length left, the gap is filled exactly by one length, a pair or a triple that is still there, as
-    often as their counts allow; what finds no exact filling is placed best fit, longest first. Every step uses a
-    length up, so the patterns number a few times size at most, however many pieces there are.
+
+def fits(have: np.ndarray, lengths: tuple[int, ...]) -> bool:
+    return all(have[k] >= v for k, v in Counter(lengths).items())
+
+
+class Complements:
+    """An index of the sums of one, two and three lengths that are still there, by which exact fillings are looked up.
+
+    Pairs are filed under their sums, the longer half first. A triple is its longest length and the pair filed under
+    the rest. Counts only fall, so a pair whose lengths are used up is dropped when it is met.
     """
-    have = np.zeros(size + 1, np.int64)
-    for k, v in counts.items():
-        have[k] = v
-    out: list[tuple[int, tuple[int, ...]]] = []
 
-    def use(lengths: tuple[int, ...]) -> None:
-        times = min(have[k] // v for k, v in Counter(lengths).items())
-        for k in lengths:
-            have[k] -= times
-        out.append((int(times), lengths))
-
-    def pair(gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
-        """Two lengths that fill gap, the longer first, beside those held."""
-        b = np.arange((gap + 1) // 2, gap)
-        for x in b[(have[b] > 0) & (have[gap - b] > 0)][::-1].tolist():
-            if fits((*held, x, gap - x)):
-                return x, gap - x
+    def __init__(self, have: np.ndarray):
+        self.have, self.size = have, len(have) - 1
+        self.pairs: list[list[int]] = [[] for _ in range(self.size + 1)]
+        for x in np.flatnonzero(have).tolist():  # rising, so that the last of a list is the longest
+            for y in np.flatnonzero(have[: min(x, self.size - x) + 1]).tolist():
+                self.pairs[x + y].append(x)
+
+    def pair(self, total: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        filed = self.pairs[total]
+        while filed and not fits(self.have, (filed[-1], total - filed[-1])):
+            filed.pop()
+        for x in reversed(filed):  # the first one, unless held takes what it needs
+            if fits(self.have, (*held, x, total - x)):
+                return x, total - x
         return None
 
-    def fits(lengths: tuple[int, ...]) -> bool:
-        return all(have[k] >= v for k, v in Counter(lengths).items())
-
-    def filling(a: int) -> tuple[int, ...] | None:
-        gap = size - a
+    def filling(self, first: int) -> tuple[int, ...] | None:
+        """Up to three lengths that fill what first leaves exactly."""
+        gap = self.size - first
         if not gap:
             return ()
-        if fits((a, gap)):
+        if fits(self.have, (first, gap)):
             return (gap,)
-        if found := pair(gap, (a,)):
+        if found := self.pair(gap, (first,)):
             return found
-        for x in range(gap - 2, (gap - 1) // 3, -1):
-            if fits((a, x)) and (found := pair(gap - x, (a, x))):
+        for x in np.flatnonzero(self.have[: gap - 1])[::-1].tolist():
+            if 3 * x < gap:
+                break
+            if fits(self.have, (first, x)) and (found := self.pair(gap - x, (first, x))):
                 return (x, *found)
         return None
 
-    rest = Counter()
-    for a in range(size, 0, -1):
-        while have[a]:
-            if (found := filling(a)) is None:
-                rest[a] = int(have[a])
-                have[a] = 0
-            else:
-                use((a, *found))
-    for k, v in rest.items():
+
+def best_fit(counts: dict[int, int], size: int = MAX_TOKENS, opened: list[Pattern] | None = None) -> list[Pattern]:
+    """(times, lengths) of sequences by best fit, longest length first, on top of those opened: every piece goes into
+    the fullest sequence that has room. Sequences that are alike are one entry, split where a length runs out."""
+    gaps: dict[int, list[Pattern]] = {}
+    for times, lengths in opened or []:
+        gaps.setdefault(size - sum(lengths), []).append((times, lengths))
+    for k in sorted((k for k, n in counts.items() if n), reverse=True):
+        left = int(counts[k])
+        while left:
+            gap = min((g for g in gaps if g >= k), default=None)
+            if gap is None:
+                each = size // k
+                for times, n in ((left // each, each), (1, left % each)):
+                    if times and n:
+                        gaps.setdefault(size - n * k, []).append((times, (k,) * n))
+                break
+            times, lengths = gaps[gap].pop()
+            if times > left:
+                gaps[gap].append((times - left, lengths))
+            if not gaps[gap]:
+                del gaps[gap]
+            used = min(times, left)
+            gaps.setdefault(gap - k, []).append((used, (*lengths, k)))
+            left -= used
+    return [p for held in gaps.values() for p in held]
+
+
+def by_complements(counts: dict[int, int], size: int = MAX_TOKENS, shortest: int = 1) -> list[Pattern]:
+    """Sequences begun by lengths of shortest and more, longest first, filled exactly as often as counts allow; what is
+    left is packed best fit. A filling uses a length up, so there are a few times size entries at most."""
+    have = np.zeros(size + 1, np.int64)
+    for k, v in counts.items():
         have[k] = v
-    for a in range(size, 0, -1):
-        while have[a]:
-            lengths, gap = [a], size - a
-            while True:
-                b = np.flatnonzero(have[: gap + 1])[::-1]
-                nxt = next((x for x in b.tolist() if fits((*lengths, x))), None)
-                if nxt is None:
-                    break
-                lengths.append(nxt)
-                gap -= nxt
-            use(tuple(lengths))
-    return out
+    index, out = Complements(have), []
+    rest: Counter[int] = Counter()
+    for first in range(size, shortest - 1, -1):
+        while have[first]:
+            if (found := index.filling(first)) is None:
+                rest[first] = int(have[first])
+                have[first] = 0
+                break
+            lengths = (first, *found)
+            times = int(min(have[k] // v for k, v in Counter(lengths).items()))
+            for k in lengths:
+                have[k] -= times
+            out.append((times, lengths))
+    left = rest + Counter({k: int(have[k]) for k in np.flatnonzero(have).tolist()})
+    return out + best_fit(left, size)
+
+
+def plan_patterns(counts: dict[int, int], size: int = MAX_TOKENS) -> list[Pattern]:
+    """(times, lengths) of sequences that use counts up: exact complements, then best fit for what is left.
+
+    Fillings spend short lengths, which best fit may need more; so complements are taken for all lengths, for those
+    over half, three quarters and so on of a sequence, or for none, whichever needs the fewest sequences. The result
+    is never worse than best fit of everything.
+    """
+    starts = [1, size // 2, 3 * size // 4, 7 * size // 8, 15 * size // 16]
+    plans = [by_complements(counts, size, s) for s in starts] + [best_fit(counts, size)]
+    return min(plans, key=lambda p: sum(t for t, _ in p))
 
 
 def pack(pieces: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     """pieces with sequence_id and offset, in as few sequences of size as the plan needs.
 
-    The plan is made from the counts of each length alone (size rows at most) and is broadcast: size rows times a few
-    at most. A piece's place follows from its rank among those of its length, ranked without gathering a length in
+    The plan is made from the counts of each length alone (size rows at most) and is broadcast: a few times size
+    entries of up to size lengths, whatever the number of pieces. A piece's place follows from its rank among those of its length, ranked without gathering a length in
     one task. pieces must have doc_id, piece, length, ids_crc32 and stay the same when computed again.
     """
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
