@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -117,12 +120,85 @@ def test_free_terms():
 def test_contexts_are_counted_exactly(spark):
     """Two documents with the same least context, and one document with two contexts."""
     mail = "z@mail.example.org"
-    beside = lambda w: [x for x, _, _ in pii.terms_beside(f"{mail} {w}", (0, "email", len(mail)), [])]
+    beside = lambda w: pii.terms_beside(pii.free_terms(f"{mail} {w}", [(0, "email", len(mail))]), (0, "email", len(mail)))
     least, *others = sorted((words(5, 7000 + i) for i in range(3)), key=lambda w: pii.digest(["hesperix", *beside(w)]))
     gap = " 1" * 200 + " "
     line = lambda w, who, name: f"{gap}{name} {who}@mail.example.org {w}{gap}"
     rows = [line(least, "two", "Hesperix") + line(o, "two", "Hesperix") for o in others]
-    rows += [line(least, "one", "Calvarun") + line(others[0], "one", "Calvarun"), line(least, "same", "Dorimund") * 2]
+    rows += [line(least, "one", "Calvarun") + line(others[0], "one", "Calvarun"), f" {words(5, 7100)} Dorimund same@mail.example.org {least} " * 2]
     docs = documents(spark, rows + [words(30, 5000 + i) for i in range(120)])
     got = {r.term for r in pii.revealing_terms(docs, pii.find_base(docs).cache()).collect()}
     assert {"hesperix", "calvarun"} <= got and "dorimund" not in got
+
+
+def staff(seed=5):
+    """An awkward corpus: owners of addresses, a firm with a domain and many addresses, a host with a network, names that
+    stand elsewhere too, copies, and words of every kind that reveal nothing. Gives texts and the terms that reveal."""
+    r = random.Random(seed)
+    noise = lambda n: words(n, r.randrange(10**9), 60)
+    rows, planted = [], set()
+    for k in range(8):
+        name = f"{'Aurelbcd'[k]}{'ornithe'}{k}x"
+        planted.add(name.lower())
+        for _ in range(r.randint(2, 5)):
+            rows.append(r.choice(["{w} {n} writes {w2} as owner{k}@mail.example.org says", "{n} {w} {w2} {w} mail owner{k}@mail.example.org {w2}", "owner{k}@mail.example.org\n{w}\n{w2} {n} {w}"]).format(w=noise(14), w2=noise(9), n=name, k=k))
+    for i in range(9):
+        rows.append(f"{noise(12)} Veltramix {noise(6)} staff{i}@veltramix-group.example.net {noise(5)}")
+        rows.append(f"{noise(8)} 10.77.3.{i * 3} {noise(7)} rack Q7zeta {noise(6)}")
+    planted |= {"veltramix", "q7zeta"}
+    for i in range(12):  # a common name stands beside an address, but in many other documents too
+        rows.append(f"{noise(10)} Marion solo{i % 3}@mail.example.org {noise(9)}")
+    rows += [f"{noise(9)} Marion {noise(12)}" for _ in range(60)] + [f"{noise(20)} mail {noise(3)} says rack writes {noise(15)}" for _ in range(120)] + [noise(40) for _ in range(400)]
+    once = f"{noise(5)} Singulara only@mail.example.org {noise(5)}"
+    return [*rows, once, once, once], planted
+
+
+def test_precision_and_recall_on_planted_terms(spark):
+    rows, planted = staff()
+    docs = documents(spark, rows)
+    for both in (docs, docs.union(docs)):  # rows that all come twice change no verdict
+        got = {x.term for x in pii.revealing_terms(both, pii.find_base(both).cache()).collect()}
+        assert len(got & planted) / len(planted) >= 0.9 and len(got & planted) / len(got) >= 0.9
+        assert not got & {"marion", "singulara", "owner", "says", "mail", "rack"}
+
+
+def test_share_and_bits_against_a_plain_count(spark):
+    rows, _ = staff(6)
+    docs = documents(spark, rows)
+    got = {(x.entity, x.term): (x.share, x.bits) for x in pii.revealing_terms(docs, pii.find_base(docs).cache()).collect()}
+    term, who, both, contexts = Counter(), Counter(), Counter(), {}
+    for t in rows:
+        held = pii.base_spans(t)
+        free = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", t) if not m.group().isdigit()]
+        term.update({w for w, _, _ in free})
+        free = [w for w in free if not any(a < w[2] and w[1] < b for a, _, b in held)]
+        assert len(held) <= 1
+        for a, kind, b in held:
+            near = [w for w, _, e in free if e <= a][-5:] + [w for w, s, _ in free if s >= b][:5]
+            for e in pii.entities(t, (a, kind, b)):
+                who[e] += 1
+                for i, (w, _, _) in enumerate(free):
+                    if w in [x for x, _, _ in free[:i]]:
+                        continue
+                    both[e, w] += 1
+                    far = tuple(x for x, _, _ in free[max(0, i - 5) : i + 6])
+                    contexts.setdefault((e, w), set()).add((tuple(near),) if w in near else (tuple(near), far))
+    n, want = len(rows), {}
+    for (e, w), k in both.items():
+        share, bits = k / term[w], math.log2((k + 0.5) * (n + 0.5) / ((who[e] + 0.5) * (term[w] + 0.5)))
+        if len(contexts[e, w]) > 1 and share >= 0.5 and bits >= 4:
+            want[e, w] = share, bits
+    assert got.keys() == want.keys() and len(got) >= 10
+    assert all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+
+
+def test_generalised():
+    assert [pii.generalised(x) for x in ("Ana", "q7zeta", "rack", "été")] == ["[NAME]", "[CODE]", "[WORD]", "[WORD]"]
+
+
+def test_terms_of_odd_letters(spark):
+    """Letters whose lower case is longer, and names of two letters."""
+    rows = [f"{words(12, 90 + i, 60)} İlker 李明 writes {words(9, 190 + i, 60)} ilk@mail.example.org {words(8, 290 + i, 60)}" for i in range(4)]
+    docs = documents(spark, rows + [f"writes {words(30, 400 + i, 60)}" for i in range(150)])
+    got = {x.term for x in pii.revealing_terms(docs, pii.find_base(docs).cache()).collect()}
+    assert {"İlker".lower(), "李明"} <= got and "writes" not in got

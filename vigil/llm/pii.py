@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,14 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
-#: Words on either side that make a context, and the stretch of text searched for those of an entity.
-NEAR, STRETCH = 5, 200
+TERM = re.compile(r"[^\W_]{2,}")
+#: Words on either side of an entity that make a context.
+NEAR = 5
 #: A term reveals an entity that shares documents with it in so many different contexts, in such a share of all documents
 #: with the term, and with such a gain over chance in bits; at REMOVE it is removed, below that generalised.
 CONTEXTS, SHARE, BITS, REMOVE = 2, 0.5, 4.0, 0.9
+#: Documents added to each count, so that terms seen a few times show no more than that.
+SMOOTHING = 0.5
 MAP_BITS = 1 << 22
 
 
@@ -71,36 +74,35 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def entity(text: str, span: tuple[int, str, int]) -> int:
-    """A digest of what a span names, whatever its spacing or case."""
-    raw = text[span[0] : span[2]]
-    value = raw.lower() if span[1] in ("email", "ip") else "".join(DIGIT.findall(raw))
-    return xxhash.xxh64_intdigest(f"{span[1]}:{value}") - (1 << 63)
-
-
-def terms_beside(text: str, span: tuple[int, str, int], taken: list[tuple[int, str, int]]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of up to NEAR words on either side that lie in no span of their own."""
-    a, b = span[0], span[2]
-    low, high = max(0, a - STRETCH), min(len(text), b + STRETCH)
-    left = [m for m in TERM.finditer(text, low, a) if m.end() < a and (m.start() > low or not low)][-NEAR:]
-    right = [m for m in TERM.finditer(text, b, high) if m.start() > b and (m.end() < high or high == len(text))][:NEAR]
-    free = (m for m in left + right if not any(s < m.end() and m.start() < e for s, _, e in taken))
-    return [(m.group().lower(), m.start(), m.end()) for m in free]
+def entities(text: str, span: tuple[int, str, int]) -> list[int]:
+    """Digests of what a span names, whatever its spacing or case: the value itself, and the group it is one of (the
+    domain of an address, the network of an ip address, the issuer of a card, the exchange of a phone)."""
+    raw, kind = text[span[0] : span[2]], span[1]
+    value = raw.lower() if kind in ("email", "ip") else "".join(DIGIT.findall(raw))
+    group = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": value[:6], "phone": value[:-4]}[kind]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in (f"{kind}:{value}", f"{kind} of:{group}")]
 
 
 def free_terms(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of every word of text that lies in no span; taken are the spans by start."""
+    """(term, start, end) of every word of text, digits alone apart, that lies in no span; taken are the spans by start."""
     out, i, reach = [], 0, 0
     for m in TERM.finditer(text):
         a, b = m.span()
         while i < len(taken) and taken[i][0] < b:
             reach = max(reach, taken[i][2])
             i += 1
-        if reach <= a:
+        if reach <= a and not m.group().isdigit():
             out.append((m.group().lower(), a, b))
     return out
 
 
+def terms_beside(words: list[tuple[str, int, int]], span: tuple[int, str, int]) -> list[str]:
+    """Of the free terms of a text, up to NEAR on either side of a span, however far off they stand."""
+    left = bisect_right(words, span[0], key=lambda w: w[2])
+    right = bisect_left(words, span[2], key=lambda w: w[1])
+    return [w for w, _, _ in words[max(0, left - NEAR) : left] + words[right : right + NEAR]]
+
+
 FOUND = "spans array<struct<start:int,kind:string,end:int>>, entities array<long>, body string"
 #: Rows gathered before they leave a task.
 ROWS = 100_000
@@ -116,7 +118,7 @@ def find_base(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                 t = x.as_py()
                 held = base_spans(t)
                 spans.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in held])
-                who.append(sorted({entity(t, s) for s in held}))
+                who.append(sorted({e for s in held for e in entities(t, s)}))
                 body.append(t if held else None)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
             yield pa.record_batch([*batch.columns[:3], pa.array(spans, kind), pa.array(who, pa.list_(pa.int64())), pa.array(body, pa.string())], ["k1", "k2", "doc_id", "spans", "entities", "body"])
@@ -154,7 +156,7 @@ def document_counts(docs: DataFrame, terms: DataFrame | None = None, text: str =
             counts: dict[str, int] = {}
             for x in batch.column(0):
                 if x.is_valid:
-                    for w in set(TERM.findall(x.as_py().lower())):
+                    for w in {w.lower() for w in set(TERM.findall(x.as_py())) if not w.isdigit()}:
                         if bits is None or bits[place(w, 42) & mask]:
                             counts[w] = counts.get(w, 0) + 1
             yield pa.record_batch([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["term", "n"])
@@ -171,15 +173,15 @@ def digest(words: Iterator[str] | list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
-def together(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """entity, term, low, high: a row for each document that holds one of entities (entity, n_entity) and the term.
+def together(found: DataFrame, known: DataFrame) -> DataFrame:
+    """entity, term, low, high: a row for each document that holds one of the known entities (entity, n_entity) and the term.
 
     low and high are the least and greatest of the pair's contexts there. Beside the entity, a context is the words
     beside it; further off, a document is one context: the words beside the entity (the least digest) and beside the
     term's first mention, so that copies have one context and other texts have their own. An entity of one document
     only gives the terms that stand beside it in two contexts, as no others can have two.
     """
-    bits = bitmap(entities.where("n_entity > 1").select(F.col("entity").alias("h")))
+    bits = bitmap(known.where("n_entity > 1").select(F.col("entity").alias("h")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, names = MAP_BITS - 1, ["entity", "term", "low", "high"]
@@ -188,19 +190,19 @@ def together(found: DataFrame, entities: DataFrame) -> DataFrame:
         for batch in batches:
             for spans, body in zip(*batch.columns, strict=True):
                 t, held = body.as_py(), spans_of(spans)
+                words = free_terms(t, held)
                 about: dict[int, int] = {}
                 beside: dict[int, dict[str, tuple[int, int]]] = {}
-                for i, s in enumerate(held):
-                    # only neighbours can lie within reach
-                    near = [w for w, _, _ in terms_beside(t, s, held[max(0, i - STRETCH) : i + STRETCH])]
-                    e, context = entity(t, s), digest(near)
-                    about[e] = min(context, about.get(e, context))
-                    for w in near:
+                for s in held:
+                    near = terms_beside(words, s)
+                    context = digest(near)
+                    for e in entities(t, s):
+                        about[e] = min(context, about.get(e, context))
                         seen = beside.setdefault(e, {})
-                        low, high = seen.get(w, (context, context))
-                        seen[w] = min(context, low), max(context, high)
+                        for w in near:
+                            low, high = seen.get(w, (context, context))
+                            seen[w] = min(context, low), max(context, high)
                 if any(bits[e & mask] for e in about):
-                    words = free_terms(t, held)
                     own: dict[str, int] = {}
                     for i, (w, _, _) in enumerate(words):
                         if w not in own:
@@ -219,28 +221,32 @@ def together(found: DataFrame, entities: DataFrame) -> DataFrame:
                         who, terms, lows, highs = [], [], [], []
         yield made()
 
-    texts = found.where("body IS NOT NULL").select("k1", "k2", "spans", "body").dropDuplicates(["k1", "k2"])
-    return texts.select("spans", "body").mapInArrow(rows, "entity long, term string, low long, high long").join(entities, "entity", "left_semi")
+    texts = found.where("body IS NOT NULL").select("spans", "body")
+    return texts.mapInArrow(rows, "entity long, term string, low long, high long").join(known, "entity", "left_semi")
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, share, bits of the terms that pass the thresholds.
 
     share is the part of all documents with the term that hold the entity too, anywhere, bits the pointwise mutual
-    information of the two over documents. Copies of one context count once towards CONTEXTS.
+    information of the two over documents, with SMOOTHING documents added to each count. All counts are of rows, those
+    of copies and repeated rows too; copies of one context count once towards CONTEXTS.
     """
     n = float(found.count())
-    named = found.where("body IS NOT NULL").select("k1", "k2", F.explode("entities").alias("entity")).distinct()
+    gain = lambda both, one, other: F.log2((both + SMOOTHING) * (n + SMOOTHING) / ((one + SMOOTHING) * (other + SMOOTHING)))
+    c = F.col
+    named = found.where("body IS NOT NULL").select(F.explode("entities").alias("entity"))
     # no term gains more bits than its entity's own share of documents allows
-    entities = cut(named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.log2(F.lit(n) / F.col("n_entity")) >= BITS))
-    pairs = together(found, entities).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
+    known = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    known = cut(known.where(gain(c("n_entity"), c("n_entity"), c("n_entity")) >= BITS))
+    pairs = together(found, known).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
     assert CONTEXTS == 2  # two contexts, exactly, where least and greatest differ; more would need their distinct count
-    pairs = pairs.where("low < high").join(entities, "entity")
+    pairs = pairs.where("low < high").join(known, "entity")
 
     def passing(counts: DataFrame) -> DataFrame:
         n_term = F.greatest("n_term", "n_both")
-        rows = pairs.join(counts, "term").withColumns({"share": F.col("n_both") / n_term, "bits": F.log2(F.col("n_both") * n / (F.col("n_entity") * n_term))})
-        return rows.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
+        rows = pairs.join(counts, "term").withColumns({"share": c("n_both") / n_term, "bits": gain(c("n_both"), c("n_entity"), n_term)})
+        return rows.where((c("share") >= SHARE) & (c("bits") >= BITS))
 
     # both fall as n_term grows, so a pair that fails by the documents with entities alone fails by all of them
     pairs = cut(passing(document_counts(found.where("body IS NOT NULL"), text="body")).select("entity", "term", "n_both", "n_entity"))
@@ -286,9 +292,9 @@ def mentions(found: DataFrame, flagged: DataFrame) -> DataFrame:
 def all_spans(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """k1, k2, doc_id, spans (by pattern), terms (start, end, share of the terms that reveal one) of every row.
 
-    Null counts as empty. Entities are email and ip addresses, cards and phones as the patterns find them. A term that
-    reveals one is marked wherever it stands in a document that names it. Repeated rows give their rows; no other
-    columns are read.
+    Null counts as empty. Entities are email and ip addresses, cards and phones as the patterns find them, and the groups
+    they belong to (see entities). A term that reveals one is marked wherever it stands in a document that names it.
+    Repeated rows give their rows; no other columns are read.
     """
     found = table(find_base(docs, id, text), "personal")
     flagged = cut(revealing_terms(docs, found, text))
@@ -310,8 +316,14 @@ def pii_digests(docs: DataFrame) -> DataFrame:
     return all_spans(docs).select("doc_id", *counts, F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(F.concat("spans", terms)).alias("spans"), F.size("terms").cast("long").alias("n_term"))
 
 
+def generalised(term: str) -> str:
+    """The class of a term, which any number of terms share, in place of the term."""
+    return "[CODE]" if any(c.isdigit() for c in term) else "[NAME]" if term[0].isupper() else "[WORD]"
+
+
 def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with personal data replaced by its kind in brackets, and revealing terms by [TERM] or, at REMOVE, by nothing.
+    """docs with personal data replaced by its kind in brackets, and revealing terms by their class ([NAME], [CODE] or
+    [WORD]) or, at REMOVE, by nothing.
 
     Overlapping spans are one, named after the first. Texts without spans, null ones too, stay as they are.
     """
@@ -321,7 +333,7 @@ def sanitise(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
             out = []
             for x, spans, terms in zip(batch.column("_text"), batch.column("_spans"), batch.column("_terms"), strict=True):
                 t, held = x.as_py(), [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in spans.as_py() or ()]
-                held += [(s["start"], s["end"], "" if s["share"] >= REMOVE else "[TERM]") for s in terms.as_py() or ()]
+                held += [(s["start"], s["end"], "" if s["share"] >= REMOVE else generalised(t[s["start"] : s["end"]])) for s in terms.as_py() or ()]
                 if t is not None and held:
                     parts, done = [], 0
                     for a, b, name in sorted(held):
