@@ -60,15 +60,42 @@ def test_shared_passages(spark, seed):
     assert compare(spark, cases(seed)) > 1000
 
 
-@pytest.mark.parametrize("large_group", [1, 3])
-def test_large_groups_by_digests(spark, large_group):
-    assert compare(spark, cases(9), large_group=large_group) > 1000
+@pytest.mark.parametrize("group_rows", [1, 3])
+def test_large_groups_are_halved(spark, group_rows):
+    assert compare(spark, cases(9), group_rows=group_rows) > 1000
+
+
+def test_names_that_meet_are_made_anew(spark):
+    rows = repeats.keyed(documents(spark, cases(10)), "doc_id", "text")
+    assert not repeats.all_apart(repeats.dictionary(rows, 0, 4)) and repeats.all_apart(repeats.dictionary(rows, 4, 4))
+    assert compare(spark, cases(10, 15), bits=8) > 1000
+
+
+def test_triggers_depend_on_their_bytes_alone():
+    r = random.Random(3)
+    raw = "".join(words(3000, 77)).encode()
+    data, one = np.frombuffer(raw, np.uint8), np.array([0])
+    at = repeats.triggers(data, repeats.rolling_hashes(data, 16), one, np.array([len(raw)]))
+    assert 0.5 < len(raw) / 128 / len(at) < 2
+    strings = {raw[a : a + 32] for a in at}
+    for _ in range(20):
+        a, b = sorted(r.sample(range(len(raw)), 2))
+        part = np.frombuffer(raw[a:b], np.uint8)
+        if len(part) > 100:
+            own = repeats.triggers(part, repeats.rolling_hashes(part, 16), one, np.array([len(part)]))
+            assert own.tolist() == [x - a for x in at if a <= x and x + 32 <= b]
+    phrases = repeats.phrases_of(raw, [0, *at.tolist()])
+    assert all(p[-32:] in strings and not any(p[k : k + 32] in strings for k in range(1, len(p) - 32)) for p in phrases[:-1])
+    assert phrases[0] + b"".join(p[32:] for p in phrases[1:]) == raw
+    for period in (b"a", b"ab", b"abcdefghijklmno"):
+        run = np.frombuffer((period * 5000)[:5000], np.uint8)
+        assert not len(repeats.triggers(run, repeats.rolling_hashes(run, 16), one, np.array([5000])))
 
 
 def test_awkward_documents(spark):
     run = "a" * 1500
     period = "abc" * 500
-    assert compare(spark, [*texts(), run, period, period[1:], "a" * 400, "b" * 400, "b" * 399, "é" * 300, "é" * 200, "xé" * 150]) > 1000
+    assert compare(spark, [*texts(), run, period, period[1:], "a" * 400, "a" * 1700 + "z", "abc" * 170 + "q", "b" * 400, "b" * 399, "é" * 300, "é" * 200, "xé" * 150]) > 1000
 
 
 def test_repeated_rows_and_empty_table(spark):
