@@ -71,13 +71,14 @@ def test_proposals(spark):
     drafts, failures = generation.proposed(asked, provider)
     assert len(drafts) == 1 and len(failures) == 3
     parser = generation.brought_to_approval(rest, drafts[0])
-    assert parser["status"] == "pending_approval" and parser["shadow_report"] == {"replay_record_count": 2, "matched_count": 2}
+    assert parser["status"] == "pending_approval" and (parser["shadow_replay_record_count"], parser["shadow_replay_success_rate"]) == (2, 1.0)
     assert generation.brought_to_approval(rest, {**drafts[0], "test_cases": []})["status"] == "testing"
-    wrong = {**drafts[0], "required_fields": ["user", "absent"]}
+    wrong = {**drafts[0], "field_candidates": {"user": "ana", "absent": "x"}}
     assert generation.brought_to_approval(rest, wrong)["status"] == "shadow"
-    for bad in (None, {"parser_type": "x"}, {"parser_type": "json", "field_candidates": {}}, {"parser_type": "regex", "field_candidates": {"a": 1}, "pattern": "("}, {"parser_type": "json", "field_candidates": {"a": 1}, "event_defaults": {"user.name": 1}}):
+    for bad in (None, {"parser_type": "x"}, {"parser_type": "json", "field_candidates": {}}, {"parser_type": "regex", "field_candidates": {"a": 1}, "field_extractors": {"pattern": "("}}, {"parser_type": "regex", "field_candidates": {"a": 1}}, {"parser_type": "json", "field_candidates": {"a": 1}, "event_defaults": {"user.name": 1}}, {"parser_type": "json", "field_candidates": {"a": 1}, "action_source_field": "b"}):
         with pytest.raises(generation.ProposalError):
             generation.validated(bad)
+    assert generation.validated({"parser_type": "json", "field_candidates": {"a": 1}, "schema_mapping": {"a": "svn.op"}})["schema_mapping"] == {"a": "extensions.svn.op"}
 
 
 def test_investigation_says_what_is_missing(spark):

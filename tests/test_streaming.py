@@ -1,8 +1,14 @@
+import json
+
+import pytest
+
 from vigil.operators import features, sessions
-from vigil.sources.state import StateTable
+from vigil.sources import files
+from vigil.sources.state import StateError, StateTable
 from vigil.streaming import engine
 
-from .test_features import CANONICAL, canonical
+from .test_features import CANONICAL, HOUR, T0, canonical, event, frame
+from .test_rules_and_parsing import GITLAB, SSO, SVN
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -24,3 +30,92 @@ def test_stream_equals_batch(spark, tmp_path):
     start().awaitTermination()  # nothing new
     assert table.current()[0] == rev and len(seen) == done
     assert engine.absorb(table, features.admit(spark.createDataFrame(rows[:3], CANONICAL))) == rev  # a batch that comes again
+
+
+KAFKA = "topic string, partition int, offset long, timestamp timestamp, value string"
+
+
+def test_parse_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Messages of a topic, some of which come in a second run."""
+
+    def put(name, rows, first):
+        data = [("t", 0, first + i, None, x) for i, x in enumerate(rows)]
+        spark.createDataFrame(data, KAFKA).coalesce(1).write.json(str(tmp_path / "in" / name))
+
+    def start(**options):
+        messages = spark.readStream.schema(KAFKA).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+        records = files.kafka_records(messages, "k", "auto")
+        engine.parse_stream(records, str(tmp_path / "out"), str(tmp_path / "checkpoint"), **options).awaitTermination()
+        return StateTable(spark, str(tmp_path / "out/quality"), engine.VERSION, {"parsers": [], "config": {}, "folder": str(tmp_path / "out")})
+
+    put("a", [SVN, SSO, "nothing"], 0)
+    table = start()
+    one = table.notes()
+    assert one["records"] == 3
+    put("b", [GITLAB, "nothing else"], 3)
+    two = start().notes()
+    assert two["records"] == 5 and two["batch"] == one["batch"] + 1 and two["chain"] != one["chain"]
+    assert start().notes() == two
+    good, unknown = engine.parsed(spark, str(tmp_path / "out"))
+    assert good.count() == 3 and unknown.count() == 2
+    counts = {(r.measure, r.key): r.n for r in table.current()[1].collect()}
+    assert counts[("normalized", "")] == 3 and counts[("unknown", "")] == 2 and counts[("reason", "no_parser")] == 2
+    with pytest.raises(StateError):
+        start(config={"other": 1})
+
+
+def test_file_that_grows(spark, tmp_path):
+    path, seen = tmp_path / "events.jsonl", []
+
+    def line(i, minute, user="ana"):
+        e = canonical(i, time=f"2026-01-01T{9 + minute // 60:02d}:{minute % 60:02d}:00Z", user=user)
+        keys = [["id", "time", "action", "outcome"], ["name"], ["ip"], ["type", "id", "name"], ["bytes"], ["source_type", "source_id"]]
+        names = ["event", "user", "source", "resource", "network", "raw"]
+        return json.dumps({n: dict(zip(k, v, strict=True)) for n, k, v in zip(names, keys, e, strict=True)})
+
+    def follow(**options):
+        return engine.follow(spark, str(path), str(tmp_path / "state"), CANONICAL, lambda events, mark: seen.append((events.count(), mark)), **options)
+
+    path.write_text(line("a", 0) + "\n" + line("b", 10) + "\n" + line("c", 200) + "\n" + '{"event": ')
+    first = follow()
+    assert (first["new"], first["closed"]) == (3, 1) and first["watermark"] == T0 + 9 * HOUR + 195 * 60_000
+    assert first["offset"] == len(line("a", 0)) + len(line("b", 10)) + len(line("c", 200)) + 3
+    assert follow()["new"] == 0  # the last line is not whole
+    body = path.read_text().removesuffix('{"event": ')
+    path.write_text(body + line("late", 5) + "\n" + line("a", 0) + "\n" + line("d", 400) + "\n")
+    second = follow()
+    assert second["new"] == 2 and second["closed"] == 2  # the late event's own session, and that of c
+    closed = StateTable(spark, str(tmp_path / "state/sessions"), engine.VERSION, {"lag_s": 300, "schema": CANONICAL, "path": str(path)}).current()[1]
+    assert sorted((r.start_time - T0 - 9 * HOUR, r.event_count) for r in closed.collect()) == [(0, 2), (300_000, 1), (200 * 60_000, 1)]
+    assert [n for n, _ in seen] == [3, 3, 5]
+    path.write_text(path.read_text().replace('"id": "b"', '"id": "B"'))
+    with pytest.raises(StateError):
+        follow()
+    with pytest.raises(StateError):
+        follow(lag_s=5)
+
+
+def test_closed_sessions_stay(spark):
+    ev = lambda *rows: frame(spark, [event(*r) for r in rows])
+    done, pool, open_ = sessions.advance(sessions.none_closed(ev(("x", 0))), ev(("x", 0)).limit(0), ev(("a", 0), ("b", HOUR // 4), ("c", 10 * HOUR)), T0 + 5 * HOUR)
+    assert [(r.event_count, r.close_reason) for r in done.collect()] == [(2, "watermark")] and [r.event_id for r in pool.collect()] == ["c"] and open_.count() == 1
+    done, pool, _ = sessions.advance(done, pool, ev(("late", HOUR // 3)), T0 + 5 * HOUR)
+    assert sorted(r.event_count for r in done.collect()) == [1, 2]
+    assert sorted((r.event_count, r.close_reason) for r in sessions.flushed(done, pool).collect()) == [(1, "end_of_input"), (1, "watermark"), (2, "watermark")]
+
+
+def test_modes(spark, tmp_path):
+    mode = engine.Mode(StateTable(spark, str(tmp_path / "s"), 1, {}))
+    mode.enter("replay")
+    with pytest.raises(StateError):
+        mode.enter("realtime")
+    mode.finish()
+    with pytest.raises(StateError):
+        mode.enter("replay")
+    mode.enter("realtime")
+    with pytest.raises(StateError):
+        mode.finish()
+    with pytest.raises(StateError):
+        mode.enter("replay")
+    with pytest.raises(StateError):
+        mode.enter("other")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.state import settle
+from . import registry
 from . import text as text_ops
 
 SVN = r'^(\S+) - (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]+)" (\d+) (\d+)(?: "([^"]+)")?(?: (\S+) (\S+) r(\d+)(?: (\S+))?)?'
 EVENT = (
     "struct<event:struct<id:string,time:string,category:string,type:string,action:string,outcome:string>,user:struct<id:string,name:string>,source:struct<ip:string>,destination:struct<ip:string>,"
-    "host:struct<name:string>,resource:struct<type:string,id:string,name:string>,http:struct<method:string,status_code:bigint,bytes:bigint,path:string,user_agent:string>,network:struct<bytes:bigint>,"
-    "parser:struct<id:string,version:string,status:string,confidence:double>,raw:struct<record_id:string,source_id:string,source_type:string,checksum:string,storage_ref:string,size_bytes:bigint>>"
+    "host:struct<name:string>,device:struct<name:string,type:string,os_name:string,os_version:string>,resource:struct<type:string,id:string,name:string>,http:struct<method:string,status_code:bigint,bytes:bigint,path:string,user_agent:string>,network:struct<bytes:bigint>,"
+    "parser:struct<id:string,version:string,status:string,confidence:double,origin:string,conflict:struct<candidate_count:int,selected_parser_id:string,competing_parser_ids:array<string>,resolution:string>>,"
+    "raw:struct<record_id:string,source_id:string,source_type:string,checksum:string,storage_ref:string,size_bytes:bigint>,extensions:map<string,string>>"
 )
 # fixed values: the schema's required paths and the values of its enumerations
 REQUIRED = ("event.id", "event.time", "event.category", "event.type", "event.action", "event.outcome", "parser.id", "parser.version", "parser.status", "parser.confidence", "raw.record_id", "raw.source_id", "raw.source_type", "raw.checksum", "raw.storage_ref")
@@ -41,9 +43,10 @@ def _fields(**named: Column) -> Column:
 def _event(parser: str, confidence: float, **parts: Column) -> Column:
     """The parts that parsers fill; missing ones are null."""
     none = F.lit(None).cast("string")
-    names = ("time", "category", "type", "action", "outcome", "user_id", "user_name", "source_ip", "destination_ip", "host", "resource_type", "resource_name", "method", "status_code", "bytes", "path", "user_agent")
+    names = ("time", "category", "type", "action", "outcome", "user_id", "user_name", "source_ip", "destination_ip", "host", "resource_type", "resource_name", "method", "status_code", "bytes", "path", "user_agent", "device_name", "device_type", "os_name", "os_version")
     number = ("status_code", "bytes")
-    return _fields(**{n: parts.get(n, none).cast("bigint" if n in number else "string") for n in names}, parser_id=F.lit(parser), confidence=F.lit(confidence))
+    more = parts.get("extensions", F.lit(None)).cast("map<string,string>")
+    return _fields(**{n: parts.get(n, none).cast("bigint" if n in number else "string") for n in names}, parser_id=F.lit(parser), confidence=F.lit(confidence), extensions=more)
 
 
 def parse_svn(text: Column) -> Column:
@@ -93,42 +96,99 @@ def loose_object(text: Column) -> Column:
     return F.filter(pairs, lambda p: p["v"] != "null")
 
 
+def _last_of(pairs: Column) -> Column:
+    """The pairs whose key does not come again."""
+    n = F.size(pairs)
+    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(n, F.lit(1))), lambda q: q["k"] == p["k"]))
+
+
 def parse_hiklink(text: Column) -> Column:
     pairs = loose_object(text)
     f = lambda n: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])), -1)
     login = F.coalesce(f("path") == "loginByPasswd", F.lit(False))
     time = F.nullif(f("createTime"), F.lit(""))
     made = _event("hiklink_json_like", 0.86, time=_plain_time(time), category=F.when(login, "authentication").otherwise("application"), type=F.when(login, "login").otherwise("behavior"), action=F.when(login, "user_login").otherwise(f("path")),
-                  outcome=F.when(f("attribute3") == "SUCCESS", "success").otherwise("failure"), user_name=f("uid"), source_ip=f("attribute2"))
+                  outcome=F.when(f("attribute3") == "SUCCESS", "success").otherwise("failure"), user_name=f("uid"), source_ip=f("attribute2"),
+                  device_name=f("device"), device_type=f("action"), os_name=f("platformName"), os_version=f("platformVersion"), extensions=F.map_from_entries(_last_of(pairs)))
     return F.when(time.isNull() | _plain_time(time).isNotNull(), made)
 
 
 PARSERS = {"svn": parse_svn, "sso": parse_sso, "gitlab": parse_gitlab, "hiklink": parse_hiklink}
 
 
-def parse(records: DataFrame) -> DataFrame:
+def registry_event() -> Column:
+    """The event of a record that an active parser takes (column parser of registry.select_parser)."""
+    v = lambda path: F.try_element_at("parser.values", F.lit(path))
+    names = {
+        "time": "event.time", "category": "event.category", "type": "event.type", "action": "event.action", "outcome": "event.outcome", "user_id": "user.id", "user_name": "user.name", "source_ip": "source.ip",
+        "destination_ip": "destination.ip", "host": "host.name", "resource_type": "resource.type", "resource_name": "resource.name", "method": "http.request.method", "path": "http.url.path",
+        "device_name": "device.name", "device_type": "device.type",
+    }
+    rest = F.map_filter("parser.values", lambda k, _: ~k.isin(*registry.PLACES))
+    more = F.map_concat(F.transform_keys("parser.fields", lambda k, _: F.concat(F.lit("active_parser."), k)), F.transform_keys(rest, lambda k, _: F.regexp_replace(k, r"^extensions\.", "")))
+    made = _event("", 0.0, **{k: v(path) for k, path in names.items()}, status_code=v("http.response.status_code").try_cast("bigint"), extensions=more)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    bytes_ = v("network.bytes").try_cast("bigint")
+    return F.struct(made.withField("time", F.coalesce(made["time"], now)).alias("p"), bytes_.alias("network_bytes"), v("resource.id").alias("resource_id"))
+
+
+def parse(records: DataFrame, parsers: list[dict] | None = None) -> DataFrame:
     """records (record_id, source_id, source_type, raw_text, checksum, storage_ref, size_bytes) with event and reason.
 
-    source_type auto is told from the text. reason is null for parsed records, else no_parser or parse_error.
+    source_type auto is told from the text. Records that no built-in parser takes go to the active ones among parsers
+    (documents of the registry). reason is null for parsed records, else no_parser or parse_error.
     """
     kind = F.when(F.col("source_type") == "auto", text_ops.detect_source(F.col("raw_text"))).otherwise(F.col("source_type"))
     rows = records.withColumn("_kind", kind)
     parsed = F.coalesce(*[F.when(F.col("_kind") == k, p(F.col("raw_text"))) for k, p in PARSERS.items()])
     rows = rows.withColumn("_p", parsed)
+    shape = "struct<id:string,version:string,confidence:double,conflict:struct<candidate_count:int,selected_parser_id:string,competing_parser_ids:array<string>,resolution:string>>"
+    active = [p for p in parsers or [] if p.get("status") == "active"]
+    if active:
+        columns = rows.columns
+        rows = registry.select_parser(rows, active)
+        own = {p["parser_id"]: p["source_type"] for p in active if p.get("source_type")}
+        known = F.create_map(*[F.lit(x) for pair in own.items() for x in pair]).cast("map<string,string>") if own else F.create_map().cast("map<string,string>")
+        taken = F.col("_p").isNull() & F.col("parser").isNotNull()
+        rows = rows.withColumn("_r", F.when(taken, registry_event())).withColumns({
+            "_by": F.when(taken, F.struct("parser.id", "parser.version", "parser.confidence", "parser.conflict")).cast(shape), "_p": F.coalesce("_p", "_r.p"),
+            "_kind": F.when(taken, F.coalesce(F.try_element_at(known, F.col("parser.id")), F.col("_kind"))).otherwise(F.col("_kind")),
+        }).select(*columns, "_by", F.col("_r.network_bytes").alias("_bytes"), F.col("_r.resource_id").alias("_resource"))
+    else:
+        rows = rows.withColumns({"_by": F.lit(None).cast(shape), "_bytes": F.lit(None).cast("bigint"), "_resource": F.lit(None).cast("string")})
     p = lambda n: F.col(f"_p.{n}")
+    by = F.col("_by")
     event = F.struct(
         _fields(id=F.col("record_id"), time=p("time"), category=p("category"), type=p("type"), action=p("action"), outcome=p("outcome")).alias("event"), _fields(id=p("user_id"), name=p("user_name")).alias("user"),
-        _fields(ip=p("source_ip")).alias("source"), _fields(ip=p("destination_ip")).alias("destination"), _fields(name=p("host")).alias("host"), _fields(type=p("resource_type"), id=F.lit(None).cast("string"), name=p("resource_name")).alias("resource"),
-        _fields(method=p("method"), status_code=p("status_code"), bytes=p("bytes"), path=p("path"), user_agent=p("user_agent")).alias("http"), _fields(bytes=F.lit(None).cast("bigint")).alias("network"),
-        _fields(id=p("parser_id"), version=F.lit("1"), status=F.lit("success"), confidence=p("confidence")).alias("parser"),
+        _fields(ip=p("source_ip")).alias("source"), _fields(ip=p("destination_ip")).alias("destination"), _fields(name=p("host")).alias("host"),
+        _fields(name=p("device_name"), type=p("device_type"), os_name=p("os_name"), os_version=p("os_version")).alias("device"), _fields(type=p("resource_type"), id=F.col("_resource"), name=p("resource_name")).alias("resource"),
+        _fields(method=p("method"), status_code=p("status_code"), bytes=p("bytes"), path=p("path"), user_agent=p("user_agent")).alias("http"), _fields(bytes=F.col("_bytes")).alias("network"),
+        _fields(id=F.coalesce(by["id"], p("parser_id")), version=F.coalesce(by["version"], F.lit("0.1.0")), status=F.lit("success"), confidence=F.coalesce(by["confidence"], p("confidence")), origin=F.when(by.isNotNull(), "registry_active"), conflict=by["conflict"]).alias("parser"),
         _fields(record_id=F.col("record_id"), source_id=F.col("source_id"), source_type=F.col("_kind"), checksum=F.col("checksum"), storage_ref=F.col("storage_ref"), size_bytes=F.col("size_bytes").cast("bigint")).alias("raw"),
+        p("extensions").alias("extensions"),
     )
     reason = F.when(F.col("_p").isNotNull(), None).when(F.col("_kind").isin(*PARSERS), F.concat(F.lit("parse_error:"), F.col("_kind"))).otherwise("no_parser")
-    return rows.withColumns({"event": F.when(F.col("_p").isNotNull(), event), "reason": reason}).drop("_p", "_kind")
+    return rows.withColumns({"event": F.when(F.col("_p").isNotNull(), event), "reason": reason}).drop("_p", "_kind", "_by", "_bytes", "_resource")
+
+
+BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = rf"({BYTE}\.){{3}}{BYTE}"
+
+
+def _ipv6() -> str:
+    """A pattern of IPv6 addresses: eight groups, or fewer with one gap, the last two of which may be an IPv4 address,
+    and a zone."""
+    group = "[0-9A-Fa-f]{1,4}"
+    forms = [f"({group}:){{7}}{group}", f"({group}:){{6}}{IPV4}"]
+    for left in range(8):
+        head = f"{group}(:{group}){{{left - 1}}}" if left else ""
+        right = 7 - left
+        tails = ([f"({group}:){{0,{right - 1}}}{group}"] if right else []) + ([f"({group}:){{0,{right - 2}}}{IPV4}"] if right > 1 else [])
+        forms.append(f"{head}::({'|'.join(tails)})?" if tails else f"{head}::")
+    return f"({'|'.join(forms)})(%[^%/]+)?"
 
 
-IPV4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(?!$)|$)){4}$"
-IPV6 = r"^(?=.*:)[0-9A-Fa-f:]{2,39}$"
+ADDRESS = f"^({IPV4}|{_ipv6()})$"
 
 
 def validation_errors(event: str = "event") -> Column:
@@ -142,16 +202,16 @@ def validation_errors(event: str = "event") -> Column:
 
     checks.append(F.when(some("event.time").isNotNull() & parse_time_ms(some("event.time")).isNull(), "event.time must be ISO-8601"))
     for p in ("source.ip", "destination.ip"):
-        checks.append(F.when(~(F.regexp_like(some(p), F.lit(IPV4)) | F.regexp_like(some(p), F.lit(IPV6))), f"{p} must be a valid IP address"))
+        checks.append(F.when(~F.regexp_like(some(p), F.lit(ADDRESS)), f"{p} must be a valid IP address"))
     checks.append(F.when(~F.regexp_like(some("raw.checksum"), F.lit("^sha256:[0-9a-fA-F]{64}$")), "raw.checksum must match sha256:<64 hex chars>"))
     checks.append(F.when(~F.regexp_like(some("raw.storage_ref"), F.lit("^(file|kafka)://")), "raw.storage_ref must start with file:// or kafka://"))
     checks += [F.when(c(p) < 0, f"{p} must be a non-negative integer") for p in ("raw.size_bytes", "network.bytes")]
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
-def routed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def routed(records: DataFrame, parsers: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid events, and the rest as unknown records with reason, errors, format and template."""
-    rows = parse(records)
+    rows = parse(records, parsers)
     rows = rows.withColumn("schema_errors", F.when(F.col("event").isNotNull(), validation_errors()).otherwise(F.array().cast("array<string>")))
     if not rows.isStreaming:
         rows = settle(rows)  # both results read the records as parsed, and parse them once

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 ACCESS = r"^\d+\.\d+\.\d+\.\d+ - \S+ \[[^\]]+\] \"\S+ "
 SENSITIVE = r"(?i)\b(\w*(?:password|passwd|token|authorization|api[_-]?key|secret)\w*)\s*=\s*[^\s,;]+"
 
+SENSITIVE_KEY = re.compile(r"(?i)password|passwd|token|authorization|api[_-]?key|secret")
+
 
 def strip(text: Column) -> Column:
     """Without white space at either end, Unicode's too."""
@@ -55,6 +61,24 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, SENSITIVE, "$1=<REDACTED>")
 
 
+def _hidden(document: dict) -> dict:
+    """The object with <REDACTED> for the value of every sensitive key, objects within it too; lists stay as they are."""
+    return {k: "<REDACTED>" if SENSITIVE_KEY.search(k) else _hidden(v) if isinstance(v, dict) else v for k, v in document.items()}
+
+
+def redact_any(text: Column) -> Column:
+    """redact for what is no JSON; of a JSON object all sensitive keys at any depth, with its keys sorted; any other JSON
+    as it is. Objects are few among logs, and only they go through Python."""
+
+    @F.pandas_udf("string")
+    def hidden(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if not isinstance(t, str) else json.dumps(_hidden(json.loads(t)), ensure_ascii=False, sort_keys=True))
+
+    document = is_json(text)
+    thing = F.startswith(strip(text), F.lit("{")) & document
+    return F.when(thing, hidden(F.when(thing, text))).when(document, text).otherwise(redact(text))
+
+
 def key_values(text: Column) -> Column:
     """key=value pairs as a map; of repeated keys the last one counts."""
     pairs = F.regexp_extract_all(text, F.lit(r"(\w+=\S+)"))

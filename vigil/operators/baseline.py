@@ -18,33 +18,34 @@ def long_metrics(windows: DataFrame, keys: list[str]) -> DataFrame:
     return windows.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
 
 
-def percentiles(rows: DataFrame, keys: list[str], ps: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """Exact, linearly interpolated percentiles of rows (keys, value >= 0, n: how often) as columns p50, p95, ...
+def _by_rank(hist: DataFrame, keys: list[str], ps: tuple[float, ...], sums: dict[str, Column]) -> DataFrame:
+    """Exact, linearly interpolated percentiles of hist (keys, value >= 0, n: how often, a row a value) as columns p50,
+    p95, ..., with total (of n) and the sums of hist's columns asked for.
 
     Counts of a few hundred value classes locate the ranks asked for; only the classes that hold them are looked
-    through value by value. A key of any size is so never sorted in one task.
+    through value by value. A key of any size is so never sorted in one task. Sums are added up by class on the way.
     """
-    values = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     scale = F.floor(F.log2(F.col("value") + 1) * 16).cast("int")
-    classes = values.groupBy(*keys, scale.alias("c")).agg(F.sum("n").alias("n"))
+    classes = hist.groupBy(*keys, scale.alias("c")).agg(F.sum("n").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()], F.min("value").alias("min"), F.max("value").alias("max"))
     before = Window.partitionBy(*keys).orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    classes = classes.withColumns({"_first": F.coalesce(F.sum("n").over(before), F.lit(0)), "_total": F.sum("n").over(every)})
+    wide = {"_first": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(every), "min": F.min("min").over(every), "max": F.max("max").over(every), **{k: F.sum(k).over(every) for k in sums}}
+    classes = classes.withColumns(wide)
     asked = F.array(*[F.lit(p) for p in ps])
-    low = lambda p: F.floor(p * (F.col("_total") - 1))
+    low = lambda p: F.floor(p * (F.col("total") - 1))
     holds = F.exists(asked, lambda p: (low(p) < F.col("_first") + F.col("n")) & (low(p) + 1 >= F.col("_first")))
-    held = values.withColumn("c", scale).join(classes.where(holds).drop("n"), [*keys, "c"])
+    held = hist.select(*keys, "value", "n").withColumn("c", scale).join(classes.where(holds).drop("n"), [*keys, "c"])
     within = Window.partitionBy(*keys, "c").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("_at", F.col("_first") + F.coalesce(F.sum("n").over(within), F.lit(0)))
     at = lambda rank: (F.col("_at") <= rank) & (rank < F.col("_at") + F.col("n"))
     out = []
     for p in ps:
-        rank = p * (F.col("_total") - 1)
-        lo, hi = F.floor(rank), F.least(F.floor(rank) + 1, F.col("_total") - 1)
+        rank = p * (F.col("total") - 1)
+        lo, hi = F.floor(rank), F.least(F.floor(rank) + 1, F.col("total") - 1)
         a, b = F.max(F.when(at(lo), F.col("value"))), F.max(F.when(at(hi), F.col("value")))
         part = F.max(rank - F.floor(rank))
         out.append((a + (b - a) * part).alias(f"p{round(100 * p)}"))
-    return held.groupBy(*keys).agg(*out)
+    return held.groupBy(*keys).agg(*out, *[F.max(k).alias(k) for k in ("total", "min", "max", *sums)])
 
 
 def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,15 +63,16 @@ def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for keys of any size: from counts of distinct values, with ranks found class by class."""
-    hist = settle(rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
+    """The same for keys of any size: from counts of distinct values, with ranks found class by class (see _by_rank)."""
     n, value = F.col("n"), F.col("value")
-    basic = hist.groupBy(*keys).agg(F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    basic = settle(basic.join(percentiles(hist, keys), keys))  # a row for each key
-    near = hist.join(F.broadcast(basic.select(*keys, "mean", "p50")), keys) if keys == ["window_size", "metric"] else hist.join(basic.select(*keys, "mean", "p50"), keys)
-    std = near.groupBy(*keys).agg(F.sqrt(F.sum((value - F.col("mean")) * (value - F.col("mean")) * n) / F.sum("n")).alias("std"))
-    mad = percentiles(near.select(*keys, F.abs(value - F.col("p50")).alias("value"), "n"), keys, (0.5,)).withColumnRenamed("p50", "mad")
-    return basic.join(std, keys).join(mad, keys)
+    hist = settle(rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
+    basic = _by_rank(hist, keys, PERCENTILES, {"mean": value * n}).withColumnRenamed("total", "sample_count")
+    basic = settle(basic.withColumn("mean", F.col("mean") / F.col("sample_count")))  # a row for each key
+    far = value - F.col("mean")
+    near = hist.join(basic.select(*keys, "mean", "p50"), keys).select(*keys, F.abs(value - F.col("p50")).alias("value"), "n", (far * far * n).alias("square"))
+    near = near.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.sum("square").alias("square"))
+    spread = _by_rank(near, keys, (0.5,), {"square": F.col("square")})
+    return basic.join(spread.select(*keys, F.sqrt(F.col("square") / F.col("total")).alias("std"), F.col("p50").alias("mad")), keys)
 
 
 def history(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES) -> DataFrame:
@@ -79,75 +81,131 @@ def history(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes:
     return windows.where(F.col("window_size").isin(*sizes) & (F.col("window_start") >= start) & (F.col("window_start") <= as_of_ms))
 
 
-def active_days() -> Column:
-    day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
-    return F.count_distinct(F.when(F.col("event_count") > 0, day)).alias("active_days")
-
-
 def status(days: Column, samples: Column, min_days: int, min_samples: int) -> Column:
     return F.when((days >= min_days) & (samples >= min_samples), "ready").otherwise("warming_up")
 
 
-def personal_metrics(windows: DataFrame, bounds: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
-    """Baselines of each user, window size and metric over all windows from the first to the last active one.
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once for each row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    Windows without events count as zeros: one row of value 0 that stands for all of them, not rows of their own.
-    """
-    start = F.greatest(F.lit(as_of_ms - days * DAY_MS), F.col("first_time_ms"))
-    span = bounds.select("user_name", start.alias("_from"), F.least(F.lit(as_of_ms), F.col("last_time_ms")).alias("_to"))
-    rows = windows.where(F.col("window_size").isin(*sizes)).join(span, "user_name")
-    rows = rows.where((F.col("window_start") >= window_start(F.col("_from"), F.col("window_size").cast("long"))) & (F.col("window_start") <= F.col("_to")))
-    keys = ["user_name", "window_size"]
-    width = F.col("window_size").cast("long") * 1000
-    slots = ((window_start(F.first("_to"), F.first(width / 1000).cast("long")) - window_start(F.first("_from"), F.first(width / 1000).cast("long"))) / F.first(width) + 1).cast("long")
-    sizes_ = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), slots.alias("slots"), active_days())
-    seen = long_metrics(rows, keys).withColumn("n", F.lit(1).cast("long"))
-    zeros = sizes_.where("slots > n_rows").select(*keys, F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"), F.lit(0.0).alias("value"), (F.col("slots") - F.col("n_rows")).alias("n"))
-    stats = statistics(seen.unionByName(zeros), [*keys, "metric"])
-    ready = status(F.col("active_days"), F.col("sample_count"), config["min_active_days"], config["min_samples"])
-    return stats.join(sizes_.select(*keys, "active_days"), keys).withColumn("status", ready)
-
-
-def global_metrics(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, config: dict = BASELINE) -> DataFrame:
-    """Baselines over all users' observed windows by window size and metric."""
-    rows = history(windows, as_of_ms, days)
-    stats = large_statistics(long_metrics(rows, ["window_size"]).withColumn("n", F.lit(1).cast("long")), ["window_size", "metric"])
-    sizes = rows.groupBy("window_size").agg(active_days())
-    return stats.join(sizes, "window_size").withColumn("status", status(F.col("active_days"), F.col("sample_count"), config["min_active_days"], config["min_samples"]))
-
-
-def peer_metrics(windows: DataFrame, peers: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, config: dict = BASELINE) -> DataFrame:
-    """Baselines of each peer group; peers has user_name and group_id, a user in one group."""
-    rows = history(windows, as_of_ms, days).join(peers, "user_name")
-    keys = ["group_id", "window_size"]
-    stats = large_statistics(long_metrics(rows, keys).withColumn("n", F.lit(1).cast("long")), [*keys, "metric"])
-    sizes = rows.groupBy(*keys).agg(active_days(), F.count_distinct(F.when(F.col("event_count") > 0, F.col("user_name"))).alias("member_count"))
-    ready = status(F.col("active_days"), F.col("sample_count"), config["min_peer_active_days"], config["min_peer_samples"])
-    return stats.join(sizes, keys).withColumn("status", F.when(F.col("member_count") >= config["min_peer_members"], ready).otherwise("warming_up"))
-
-
-def value_baselines(rows: DataFrame, scope: list[str]) -> DataFrame:
-    """Counts, sightings and share (of its type) of each value within scope; rows are window values in range."""
-    keys = [*scope, "value_type", "value_key"]
-    values = rows.groupBy(*keys).agg(
-        F.max("display_value").alias("display_value"), F.sum("event_count").alias("event_count"), F.count(F.lit(1)).alias("window_count"), F.count_distinct("user_name").alias("user_count"),
-        F.min("window_start").alias("first_seen"), F.max("window_start").alias("last_seen"),
-    )
-    totals = values.groupBy(*scope, "value_type").agg(F.sum("event_count").alias("_total"))
-    return values.join(totals, [*scope, "value_type"]).withColumn("share", F.col("event_count") / F.col("_total")).drop("_total")
 
+def padded_statistics(values: Column, zeros: Column) -> Column:
+    """sample_count, mean, std, min, max, p50, p95, p99, mad of the numbers (at least 0) of an array and so many zeros
+    beside them, as a struct. One pass over each array; the zeros are counted, never made."""
+
+    def ranked(n: Column, at, p: float) -> Column:
+        rank = (n - 1) * F.lit(p)
+        low = F.floor(rank)
+        a, b = at(low), at(F.least(low + 1, n - 1))
+        return a + (b - a) * (rank - low)
+
+    def of(v: Column) -> Column:
+        n = F.size(v) + zeros
+        at = lambda i: F.when(i < zeros, F.lit(0.0)).otherwise(F.get(v, (i - zeros).cast("int")))
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+        def ends(m: Column) -> Column:
+            p50 = m["p50"]
+            square = total(F.transform(v, lambda x: (x - m["mean"]) * (x - m["mean"]))) + zeros * m["mean"] * m["mean"]
+
+            def spread(d: Column) -> Column:
+                below = F.size(F.filter(d, lambda x: x < p50))
+                beside = lambda i: F.when(i < below, F.get(d, i.cast("int"))).when(i < below + zeros, p50).otherwise(F.get(d, (i - zeros).cast("int")))
+                return ranked(n, beside, 0.5)
 
-def personal_values(values: DataFrame, bounds: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
-    """Each user's value baselines. The range starts at the first event itself, not its window, so values of a first
-    partial hour are left out."""
-    span = bounds.select("user_name", F.greatest(F.lit(as_of_ms - days * DAY_MS), F.col("first_time_ms")).alias("_from"), F.least(F.lit(as_of_ms), F.col("last_time_ms")).alias("_to"))
-    rows = values.where(F.col("window_size") == size).join(span, "user_name").where((F.col("window_start") >= F.col("_from")) & (F.col("window_start") <= F.col("_to")))
-    return value_baselines(rows, ["user_name"]).drop("user_count")
+            mad = _let(F.array_sort(F.transform(v, lambda x: F.abs(x - p50))), spread)
+            return F.struct(
+                n.cast("long").alias("sample_count"), m["mean"].alias("mean"), F.sqrt(square / n).alias("std"), F.when(zeros > 0, F.lit(0.0)).otherwise(F.get(v, F.lit(0))).alias("min"), F.element_at(v, -1).alias("max"),
+                p50.alias("p50"), ranked(n, at, 0.95).alias("p95"), ranked(n, at, 0.99).alias("p99"), mad.alias("mad"),
+            )
 
+        return _let(F.struct((total(v) / n).alias("mean"), ranked(n, at, 0.5).alias("p50")), ends)
 
-def global_values(values: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
-    return value_baselines(history(values, as_of_ms, days, (size,)), [])
+    return _let(F.array_sort(values), of)
 
 
-def peer_values(values: DataFrame, peers: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
-    return value_baselines(history(values, as_of_ms, days, (size,)).join(peers, "user_name"), ["group_id"])
+def personal_baselines(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
+    """A row for each user and window size of the history: active_days, status, seen (a bit for each day of the history
+    with events) and stats, the statistics of each metric over all windows from the first to the last active one.
+
+    Windows without events count as zeros, which are counted, not made. A user's history has a bounded number of
+    windows, so one aggregation gathers them; no window is spread into a row a metric.
+    """
+    if days > 60:
+        raise ValueError("days of a history are bits of a number: 60 at most")
+    start, width = as_of_ms - days * DAY_MS, F.col("window_size").cast("long") * 1000
+    begin = F.col("window_start")
+    held = (begin >= window_start(F.lit(start), F.col("window_size").cast("long"))) & (begin <= as_of_ms)
+    day = begin - F.pmod(begin, F.lit(DAY_MS))
+    bit = lambda when: F.coalesce(F.bit_or(F.when(when & (F.col("event_count") > 0), F.call_function("shiftleft", F.lit(1).cast("long"), ((day - start) / DAY_MS + 1).cast("int")))), F.lit(0).cast("long"))
+    rows = windows.where(F.col("window_size").isin(*sizes)).groupBy("user_name", "window_size").agg(
+        F.min("window_start").alias("_first"), F.max("window_start").alias("_last"), bit(held).alias("_days"), bit((begin >= start) & (begin <= as_of_ms)).alias("seen"),
+        *[F.collect_list(F.when(held, F.col(m).cast("double"))).alias(m) for m in METRICS],
+    )
+    floor = lambda t: window_start(F.lit(t), F.col("window_size").cast("long"))
+    slots = ((F.least("_last", floor(as_of_ms)) - F.greatest("_first", floor(start))) / width + 1).cast("long")
+    rows = rows.where(F.size(METRICS[0]) > 0).withColumns({"_zeros": F.greatest(F.lit(0).cast("long"), slots - F.size(METRICS[0])), "active_days": F.bit_count("_days").cast("long")})
+    gathered = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("values")) for m in METRICS])
+    rows = rows.withColumn("stats", F.transform(gathered, lambda x: padded_statistics(x["values"], F.col("_zeros")).withField("metric", x["metric"])))
+    ready = status(F.col("active_days"), F.col("stats")[0]["sample_count"], config["min_active_days"], config["min_samples"])
+    return rows.select("user_name", "window_size", "active_days", ready.alias("status"), "seen", "stats")
+
+
+def group_baselines(windows: DataFrame, personal: DataFrame, peers: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
+    """scope, subject, window_size, member_count, active_days, status, stats of each peer group and of everyone (scope
+    global, subject empty) over the windows that were seen.
+
+    Windows are counted by value and group in one pass; everyone's counts are the groups' added up. Members and days
+    come from the users' rows (personal). peers has user_name and group_id, a user in one group.
+    """
+    keys = ["scope", "subject", "window_size"]
+    scopes = F.array_compact(F.array(F.when(F.col("group_id").isNotNull(), F.struct(F.lit("peer_group").alias("scope"), F.col("group_id").alias("subject"))), F.struct(F.lit("global").alias("scope"), F.lit("").alias("subject"))))
+    both = lambda df, *rest: df.select("*", F.explode(scopes).alias("_s")).select("_s.*", *rest)
+    grouped = history(windows, as_of_ms, days, sizes).join(peers.select("user_name", "group_id"), "user_name", "left")
+    hist = long_metrics(grouped, ["group_id", "window_size"]).groupBy("group_id", "window_size", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    stats = large_statistics(both(hist, "window_size", "metric", "value", "n"), [*keys, "metric"])
+    users = both(personal.select("user_name", "window_size", "seen").join(peers.select("user_name", "group_id"), "user_name", "left").where("seen <> 0"), "window_size", "seen")
+    members = users.groupBy(*keys).agg(F.count(F.lit(1)).alias("member_count"), F.bit_count(F.bit_or("seen")).cast("long").alias("active_days"))
+    order = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric"))
+    names = ("sample_count", "mean", "std", "min", "max", "p50", "p95", "p99", "mad", "metric")
+    wide = stats.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("i"), *names))), lambda x: F.struct(*[x[n].alias(n) for n in names])).alias("stats"))
+    samples = F.col("stats")[0]["sample_count"]
+    peer = F.when(F.col("member_count") >= config["min_peer_members"], status(F.col("active_days"), samples, config["min_peer_active_days"], config["min_peer_samples"])).otherwise("warming_up")
+    whole = status(F.col("active_days"), samples, config["min_active_days"], config["min_samples"])
+    return wide.join(members, keys).select(*keys, "member_count", "active_days", F.when(F.col("scope") == "global", whole).otherwise(peer).alias("status"), "stats")
+
+
+def by_metric(wide: DataFrame) -> DataFrame:
+    """A row for each metric of personal_baselines or group_baselines."""
+    keep = [c for c in wide.columns if c not in ("stats", "seen")]
+    return wide.select(*keep, F.explode("stats").alias("_x")).select(*keep, "_x.*")
+
+
+def value_baselines(values: DataFrame, bounds: DataFrame, peers: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
+    """Counts, sightings and share (of its type) of each value in each scope: scope, subject, value_type, value_key,
+    display_value, event_count, window_count, user_count, first_seen, last_seen, share.
+
+    Users' values are counted once; groups and everyone add them up. A user's own range starts at the first event
+    itself, not its window, so values of a first partial hour are left out there. bounds has each user's first_time_ms.
+    """
+    start, begin = as_of_ms - days * DAY_MS, F.col("window_start")
+    rows = values.where((F.col("window_size") == size) & (begin >= start) & (begin <= as_of_ms)).join(bounds.select("user_name", "first_time_ms"), "user_name")
+    own = begin >= F.col("first_time_ms")
+    keys = ["value_type", "value_key"]
+    total = lambda when: F.sum(F.when(when, F.col("event_count")).otherwise(0))
+    yes = F.lit(True)
+    parts = lambda when: F.struct(
+        F.max(F.when(when, F.col("display_value"))).alias("display_value"), total(when).alias("event_count"), F.count_if(when).alias("window_count"), F.min(F.when(when, begin)).alias("first_seen"), F.max(F.when(when, begin)).alias("last_seen"),
+    )
+    users = settle(rows.groupBy("user_name", *keys).agg(parts(own).alias("own"), parts(yes).alias("every")).join(peers.select("user_name", "group_id"), "user_name", "left"))
+    personal = users.where("own.window_count > 0").select(F.lit("personal").alias("scope"), F.col("user_name").alias("subject"), *keys, "own.*", F.lit(1).cast("long").alias("user_count"))
+    scopes = F.array_compact(F.array(F.when(F.col("group_id").isNotNull(), F.struct(F.lit("peer_group").alias("scope"), F.col("group_id").alias("subject"))), F.struct(F.lit("global").alias("scope"), F.lit("").alias("subject"))))
+    spread = users.select(*keys, "every.*", F.explode(scopes).alias("_s")).select("_s.*", *keys, "display_value", "event_count", "window_count", "first_seen", "last_seen")
+    added = spread.groupBy("scope", "subject", *keys).agg(
+        F.max("display_value").alias("display_value"), F.sum("event_count").alias("event_count"), F.sum("window_count").alias("window_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.count(F.lit(1)).alias("user_count"),
+    )
+    every = settle(personal.unionByName(added))
+    totals = every.groupBy("scope", "subject", "value_type").agg(F.sum("event_count").alias("_total"))
+    return every.join(totals, ["scope", "subject", "value_type"]).withColumn("share", F.col("event_count") / F.col("_total")).drop("_total")

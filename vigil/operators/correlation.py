@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import CORRELATION
@@ -35,29 +35,51 @@ def group_keys(candidates: DataFrame, sessions: DataFrame, config: dict = CORREL
     return rows.withColumn("correlation_key", F.coalesce(F.concat(F.lit("session:"), F.col("session_id")), fallback))
 
 
-def incidents(candidates: DataFrame, evidence: DataFrame, values: DataFrame, sessions: DataFrame, config: dict = CORRELATION) -> DataFrame:
-    """One row for each user and group of active candidates, with score, type, sets of what was involved and timeline."""
-    live = group_keys(candidates.where("detector_mode = 'active'"), sessions, config)
-    keys = ["user_name", "correlation_key"]
+THINGS = "array<struct<kind:string,name:string>>"
+
+
+def _thing(kind: str, name: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+
+def _things_of(evidence: str) -> Column:
+    """The different source types, addresses and resources of events."""
+
+    def of(e: Column) -> Column:
+        some = F.coalesce(e["resource_type"], e["resource_name"]).isNotNull()
+        named = F.concat(F.coalesce(e["resource_type"], F.lit("<unknown_type>")), F.lit(":"), F.coalesce(e["resource_name"], F.lit("<unknown_resource>")))
+        return F.array(_thing("source_type", e["source_type"]), _thing("source_ip", e["source_ip"]), _thing("resource", F.when(some, named)))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(evidence, of)), lambda x: x["name"].isNotNull()))
+
+
+def incidents(live: DataFrame, tops: DataFrame, own: DataFrame, values: DataFrame, sessions: DataFrame, config: dict = CORRELATION) -> DataFrame:
+    """One row for each user and group of active candidates (live: group_keys of them), with score, type, sets of what
+    was involved and timeline.
+
+    What was involved comes from the windows' evidence (tops) and source types, the events that are candidates (own),
+    the candidates' own values and the sessions. Each window of an incident is looked up once, whatever its candidates.
+    """
+    keys, window = ["user_name", "correlation_key"], ["user_name", "window_size", "window_start"]
     at = F.struct("window_start", (-F.col("score")).alias("minus_score"), "candidate_key", "window_end", "detector_id", "detector_family", "metric", "value_type", "value_key", "severity")
     rolled = live.groupBy(*keys).agg(
         F.max("session_id").alias("session_id"), F.min("window_start").alias("first_seen"), F.max("window_end").alias("last_seen"), F.max("score").alias("max_score"), F.count(F.lit(1)).alias("candidate_count"),
-        F.count_distinct("detector_family", "detector_id").alias("detector_count"), F.array_sort(F.collect_set("detector_family")).alias("detector_families"), F.array_sort(F.collect_list(at)).alias("timeline"),
+        F.size(F.collect_set(F.struct("detector_family", "detector_id"))).cast("long").alias("detector_count"), F.array_sort(F.collect_set("detector_family")).alias("detector_families"),
+        F.array_sort(F.collect_list(at)).alias("timeline"),
     )
-    who = live.select("candidate_key", *keys)
-    seen = evidence.join(who, "candidate_key").select(*keys, F.explode("evidence").alias("e"))
-    named = F.when(F.coalesce("e.resource_type", "e.resource_name").isNotNull(), F.concat(F.coalesce("e.resource_type", F.lit("<unknown_type>")), F.lit(":"), F.coalesce("e.resource_name", F.lit("<unknown_resource>"))))
-    item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
-    from_events = seen.select(*keys, F.explode(F.array(item("source_type", F.col("e.source_type")), item("source_ip", F.col("e.source_ip")), item("resource", named))).alias("x"))
-    own = values.where("value_type = 'source_type'").select("user_name", "window_size", "window_start", "value_key")
-    from_windows = live.select(*keys, "window_size", "window_start").distinct().join(own, ["user_name", "window_size", "window_start"]).select(*keys, item("source_type", F.col("value_key")).alias("x"))
-    from_values = live.where(F.col("value_type").isin("source_ip", "resource")).select(*keys, F.struct(F.col("value_type").alias("kind"), F.col("value_key").alias("name")).alias("x"))
-    one = lambda c, kind: F.transform(f"{c}_samples", lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name")))
-    from_sessions = rolled.where(F.col("session_id").isNotNull()).select(*keys, "session_id").join(sessions, ["user_name", "session_id"])
-    from_sessions = from_sessions.select(*keys, F.explode(F.concat(one("source_type", "source_type"), one("source_ip", "source_ip"), one("resource_display", "resource"))).alias("x"))
-    things = from_events.unionByName(from_windows).unionByName(from_values).unionByName(from_sessions).select(*keys, "x.*").where("name IS NOT NULL").distinct()
+    none = F.array().cast(THINGS)
+    held = live.where("window_size > 0").select(*keys, "window_size", "window_start").distinct()
+    kinds = values.where("value_type = 'source_type'").groupBy(*window).agg(F.transform(F.collect_set("value_key"), lambda v: _thing("source_type", v)).alias("k"))  # a window's source types
+    from_windows = held.join(tops.select(*window, _things_of("evidence").alias("t")), window, "left").join(kinds, window, "left").select(*keys, F.concat(F.coalesce("t", none), F.coalesce("k", none)).alias("t"))
+    from_events = live.where("window_size = 0").select("candidate_key", *keys).join(own, "candidate_key").select(*keys, _things_of("evidence").alias("t"))
+    from_values = live.where(F.col("value_type").isin("source_ip", "resource")).select(*keys, F.array(F.struct(F.col("value_type").alias("kind"), F.col("value_key").alias("name"))).alias("t"))
+    one = lambda c, kind: F.transform(f"{c}_samples", lambda v: _thing(kind, v))
+    from_sessions = live.where("session_id IS NOT NULL").select(*keys, "session_id").distinct().join(sessions, ["user_name", "session_id"])
+    from_sessions = from_sessions.select(*keys, F.concat(one("source_type", "source_type"), one("source_ip", "source_ip"), one("resource_display", "resource")).alias("t"))
+    every = from_windows.unionByName(from_events).unionByName(from_values).unionByName(from_sessions)
+    every = every.select(*keys, F.explode("t").alias("x")).select(*keys, "x.*").where("name IS NOT NULL")
     gathered = lambda kind, name: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(name)
-    sets = things.groupBy(*keys).agg(gathered("source_type", "source_types"), gathered("source_ip", "source_ips"), gathered("resource", "resources"))
+    sets = every.groupBy(*keys).agg(gathered("source_type", "source_types"), gathered("source_ip", "source_ips"), gathered("resource", "resources"))
     out = rolled.join(sets, keys, "left")
     out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("source_types", "source_ips", "resources")})
     bonus = F.least(F.lit(config["bonus_cap"]), config["bonus"] * (F.col("candidate_count") - 1))

@@ -7,9 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import DETECTION, EVIDENCE_LIMIT
+from ..settings import DETECTION, EVIDENCE_LIMIT, METRICS
 from . import rules as rule_ops
-from .baseline import long_metrics
 from .features import by_window
 
 SIZES = (3600, 86400)
@@ -28,25 +27,22 @@ def key_of(*parts: str | Column) -> Column:
     return F.sha2(F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def scopes(windows: DataFrame, personal: DataFrame, peer: DataFrame, everyone: DataFrame, peers: DataFrame) -> DataFrame:
-    """windows with group_id, scope (personal, peer_group, global or null) and subject (whose baseline it is).
+def scopes(windows: DataFrame, personal: DataFrame, groups: DataFrame, peers: DataFrame) -> DataFrame:
+    """windows with group_id, scope (personal, peer_group, global or null), subject (whose baseline it is) and limits
+    (p95 and p99 of each metric there).
 
-    Ready baselines are those of metric event_count. Users' and groups' statuses are joined by user and size.
+    The first of the three baselines that is ready counts. Users' and groups' rows are joined by user and size.
     """
-    of = lambda df, *keys: df.where("metric = 'event_count' AND status = 'ready'").select(*keys, "window_size")
-    user = of(personal, "user_name").withColumn("_user", F.lit(True))
-    group = of(peer, "group_id").withColumn("_group", F.lit(True))
-    whole = of(everyone).withColumn("_whole", F.lit(True))
-    rows = windows.join(peers, "user_name", "left").join(user, ["user_name", "window_size"], "left").join(group, ["group_id", "window_size"], "left").join(F.broadcast(whole), "window_size", "left")  # a row a size
-    scope = F.when(F.col("_user"), "personal").when(F.col("_group"), "peer_group").when(F.col("_whole"), "global")
+    limits = F.transform("stats", lambda x: F.struct(x["metric"].alias("metric"), x["p95"].alias("p95"), x["p99"].alias("p99")))
+    ready = lambda df, *keys: df.where("status = 'ready'").select(*keys, "window_size")
+    user = ready(personal.withColumn("_user", limits), "user_name", "_user")
+    group = ready(groups.where("scope = 'peer_group'").withColumn("_group", limits), F.col("subject").alias("group_id"), "_group")
+    whole = ready(groups.where("scope = 'global'").withColumn("_whole", limits), "_whole")
+    rows = windows.join(peers.select("user_name", "group_id"), "user_name", "left").join(user, ["user_name", "window_size"], "left")
+    rows = rows.join(group, ["group_id", "window_size"], "left").join(F.broadcast(whole), "window_size", "left")  # a row a size
+    scope = F.when(F.col("_user").isNotNull(), "personal").when(F.col("_group").isNotNull(), "peer_group").when(F.col("_whole").isNotNull(), "global")
     subject = F.when(scope == "personal", F.col("user_name")).when(scope == "peer_group", F.col("group_id")).otherwise("")
-    return rows.withColumns({"scope": scope, "subject": subject}).drop("_user", "_group", "_whole")
-
-
-def by_subject(personal: DataFrame, peer: DataFrame, everyone: DataFrame, columns: list[str]) -> DataFrame:
-    """The three scopes' baselines in one table with scope and subject."""
-    named = lambda df, scope, subject: df.select(F.lit(scope).alias("scope"), subject.alias("subject"), *columns)
-    return named(personal, "personal", F.col("user_name")).unionByName(named(peer, "peer_group", F.col("group_id"))).unionByName(named(everyone, "global", F.lit("")))
+    return rows.withColumns({"scope": scope, "subject": subject, "limits": F.coalesce("_user", "_group", "_whole")}).drop("_user", "_group", "_whole")
 
 
 def window_policy(windows: DataFrame, values: DataFrame, overrides: dict[str, dict] | None = None, defaults: dict = DETECTION) -> DataFrame:
@@ -75,13 +71,14 @@ def _candidate(rows: DataFrame, detector: Column, score: Column) -> DataFrame:
     return rows.withColumns(fixed).withColumn("group_id", F.when(F.col("scope") == "peer_group", F.col("group_id"))).select(*COLUMNS)
 
 
-def numeric_candidates(scoped: DataFrame, baselines: DataFrame) -> DataFrame:
-    """numeric_p99 or numeric_p95 of every metric that lies above its scope's percentile (strictly)."""
-    keep = ["user_name", "window_size", "window_start", "window_end", "scope", "subject", "group_id", "policy"]
-    rows = long_metrics(scoped.where(F.col("scope").isNotNull()), keep).join(baselines, ["scope", "subject", "window_size", "metric"])
-    high = F.when(F.col("value") > F.col("p99"), "numeric_p99").when(F.col("value") > F.col("p95"), "numeric_p95")
-    rows = rows.where(F.col("value") > F.col("p95"))
-    return _candidate(rows, high, F.when(high == "numeric_p99", F.col("policy.p99_score")).otherwise(F.col("policy.p95_score")))
+def numeric_candidates(scoped: DataFrame) -> DataFrame:
+    """numeric_p99 or numeric_p95 of every metric that lies above its scope's percentile (strictly). A window's metrics
+    are compared in place; only those that lie above become rows."""
+    values = F.array(*[F.col(m).cast("double") for m in METRICS])
+    above = lambda x, i: F.when(F.get(values, i) > x["p99"], "numeric_p99").when(F.get(values, i) > x["p95"], "numeric_p95")
+    hits = F.transform("limits", lambda x, i: F.struct(x["metric"].alias("metric"), above(x, i).alias("d")))
+    rows = scoped.withColumn("_hit", F.explode(F.filter(hits, lambda h: h["d"].isNotNull()))).withColumn("metric", F.col("_hit.metric"))
+    return _candidate(rows, F.col("_hit.d"), F.when(F.col("_hit.d") == "numeric_p99", F.col("policy.p99_score")).otherwise(F.col("policy.p95_score")))
 
 
 def value_candidates(scoped: DataFrame, values: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -115,20 +112,64 @@ def rule_candidates(events: DataFrame, windows: DataFrame, values: DataFrame, ru
     return fixed(one).unionByName(fixed(rows))
 
 
-def evidence(candidates: DataFrame, events: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
-    """candidate_key, event_count, truncated and the first limit events (time, id) of each candidate.
+ITEMS = ("event_time_ms", "event_id", "source_type", "source_ip", "resource_type", "resource_name")
+PARTS = 16
+
 
-    A window's events are found by its own key, derived from each event's time and size: no range join. They are
-    ranked once for each window, however many candidates it has.
+def window_evidence(windows: DataFrame, events: DataFrame, sizes: tuple[int, ...], limit: int = EVIDENCE_LIMIT) -> DataFrame:
+    """user_name, window_size, window_start, event_count and evidence, the first limit events (time, id), of the windows.
+
+    A window's events are found by its own key, derived from each event's time and size: no range join. Events are
+    ranked in PARTS of a window, of which limit each go on, so that no window is gathered.
     """
-    windows = candidates.where("window_size > 0").select("user_name", "window_size", "window_start").distinct()
     keys = ["user_name", "window_size", "window_start"]
-    member = by_window(events).join(windows, keys)
-    order = Window.partitionBy(*keys).orderBy("event_time_ms", "event_id")
-    rows = member.select(*keys, "event_time_ms", "event_id", "source_type", "source_ip", "resource_type", "resource_name", F.row_number().over(order).alias("evidence_order"))
-    total = member.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"))
-    item = F.struct("evidence_order", "event_time_ms", "event_id", "source_type", "source_ip", "resource_type", "resource_name")
-    tops = rows.where(F.col("evidence_order") <= limit).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("evidence")).join(total, keys)
+    member = by_window(events.select("user_name", *ITEMS), sizes).join(windows.select(*keys).distinct(), keys)
+    part = Window.partitionBy(*keys, "_part")
+    rows = member.withColumn("_part", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)))
+    rows = rows.withColumns({"_i": F.row_number().over(part.orderBy("event_time_ms", "event_id")), "_n": F.count(F.lit(1)).over(part)}).where(F.col("_i") <= limit)
+    tops = rows.groupBy(*keys).agg(F.sum(F.when(F.col("_i") == 1, F.col("_n"))).alias("event_count"), F.array_sort(F.collect_list(F.struct(*ITEMS))).alias("_e"))
+    numbered = F.transform(F.slice("_e", 1, limit), lambda x, i: F.struct((i + 1).alias("evidence_order"), *[x[c].alias(c) for c in ITEMS]))
+    return tops.select(*keys, "event_count", numbered.alias("evidence"))
+
+
+def event_items(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """candidate_key and evidence of the candidates that are an event."""
+    one = candidates.where("event_id IS NOT NULL").select("candidate_key", "event_id").join(events.select(*ITEMS), "event_id")
+    return one.select("candidate_key", F.array(F.struct(F.lit(1).alias("evidence_order"), *ITEMS)).alias("evidence"))
+
+
+def evidence(candidates: DataFrame, tops: DataFrame, own: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
+    """candidate_key, event_count, truncated and evidence of each candidate, from those of windows (tops) and of single
+    events (own). Windows are looked through once, however many candidates they have."""
+    keys = ["user_name", "window_size", "window_start"]
     many = candidates.where("window_size > 0").select("candidate_key", *keys).join(tops, keys).select("candidate_key", "event_count", (F.col("event_count") > limit).alias("truncated"), "evidence")
-    one = candidates.where("event_id IS NOT NULL").select("candidate_key", "event_id").join(events, "event_id").withColumn("evidence_order", F.lit(1))
-    return many.unionByName(one.select("candidate_key", F.lit(1).cast("long").alias("event_count"), F.lit(False).alias("truncated"), F.array(item).alias("evidence")))
+    return many.unionByName(own.select("candidate_key", F.lit(1).cast("long").alias("event_count"), F.lit(False).alias("truncated"), "evidence"))
+
+
+def reported(candidates: DataFrame) -> DataFrame:
+    """Candidates in the order of a report: by score, then latest window, then key."""
+    return candidates.orderBy(F.col("score").desc(), F.col("window_start").desc(), "candidate_key")
+
+
+def first_versions(found: DataFrame, revision: int) -> DataFrame:
+    """What superseded starts from: all that a first run found."""
+    return found.withColumns({"candidate_id": key_of("candidate_key", F.lit(revision)), "revision": F.lit(revision).cast("long"), "status": F.lit("active"), "supersedes": F.lit(None).cast("string")})
+
+
+def superseded(previous: DataFrame, found: DataFrame, revision: int, touched: DataFrame | None = None) -> DataFrame:
+    """The next versions of candidates: previous (candidate_key, candidate_id, revision, status, supersedes, ...) with what
+    a run at revision found.
+
+    touched (user_name, window_size, window_start) are the windows that the run looked at again, null all of them: what
+    was active in them and older is superseded. What is found is active, under a new id that names the last version of
+    its key; a run that comes again at a revision finds its versions there and only makes them active.
+    """
+    keys = ["user_name", "window_size", "window_start"]
+    old = previous.withColumn("_again", F.lit(True)) if touched is None else previous.join(touched.select(*keys).distinct().withColumn("_again", F.lit(True)), keys, "left")
+    ids = found.select(key_of("candidate_key", F.lit(revision)).alias("candidate_id"), F.lit(True).alias("_found"))
+    again = F.coalesce("_again", F.lit(False)) & (F.col("status") == "active") & (F.col("revision") < revision)
+    status = F.when(F.col("_found"), "active").when(again, "superseded").otherwise(F.col("status"))
+    old = old.join(ids, "candidate_id", "left").withColumn("status", status).select(*previous.columns)
+    last = previous.where(F.col("revision") < revision).groupBy("candidate_key").agg(F.max_by("candidate_id", "revision").alias("supersedes"))
+    new = first_versions(found, revision).drop("supersedes").join(previous.select("candidate_id"), "candidate_id", "left_anti").join(last, "candidate_key", "left")
+    return old.unionByName(new.select(*previous.columns))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import BASELINE, BASELINE_SIZES, HISTORY_DAYS, METRICS
+from ..settings import BASELINE, BASELINE_SIZES, DETECTION, HISTORY_DAYS, METRICS, VALUE_WINDOW_S
+from ..sources.state import fingerprint
 from . import models
 from .baseline import long_metrics, status
+from .detection import severity
 from .features import DAY_MS
 
 MODEL = ["eval_day", "window_size", "scope", "subject"]
@@ -45,7 +47,31 @@ def day_candidates(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
     day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
     rows = long_metrics(windows.withColumn("eval_day", day), ["eval_day", "user_name", "window_size", "window_start"])
     hit = rows.join(snapshots.where("status = 'ready'"), ["eval_day", "user_name", "window_size", "metric"]).where(F.col("value") > F.col("p95"))
-    return hit.select("eval_day", "user_name", "window_size", "window_start", "metric", F.when(F.col("value") > F.col("p99"), "numeric_p99").otherwise("numeric_p95").alias("detector_id"))
+    high = F.col("value") > F.col("p99")
+    score = F.when(high, DETECTION["p99_score"]).otherwise(DETECTION["p95_score"])
+    return hit.select("eval_day", "user_name", "window_size", "window_start", "metric", F.when(high, "numeric_p99").otherwise("numeric_p95").alias("detector_id"), score.alias("score"), severity(score).alias("severity"))
+
+
+def day_values(values: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
+    """Each user's values as known at the start of every UTC day of [from, to): eval_day, user_name, value_type, value_key,
+    event_count, share (of its type) and first_seen in the windows of the days before it."""
+    seen = history(values, from_ms, to_ms, days, (size,))
+    keys = ["eval_day", "user_name", "value_type"]
+    rows = seen.groupBy(*keys, "value_key").agg(F.sum("event_count").alias("event_count"), F.min("window_start").alias("first_seen"))
+    total = rows.groupBy(*keys).agg(F.sum("event_count").alias("_total"))
+    return rows.join(total, keys).withColumn("share", F.col("event_count") / F.col("_total")).drop("_total")
+
+
+def day_value_candidates(values: DataFrame, known: DataFrame, ready: DataFrame, size: int = VALUE_WINDOW_S) -> DataFrame:
+    """rare_value candidates of each evaluation day: values of its windows that the days before know, but seldom. ready
+    (eval_day, user_name) are users whose history is long enough. A value that was never seen before has no baseline in
+    a snapshot of the past, so it is no candidate there."""
+    day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
+    rows = values.where(F.col("window_size") == size).withColumn("eval_day", day).join(ready, ["eval_day", "user_name"], "left_semi")
+    hit = rows.select("eval_day", "user_name", "window_start", "value_type", "value_key").join(known, ["eval_day", "user_name", "value_type", "value_key"])
+    hit = hit.where((F.col("share") <= DETECTION["rare_share_threshold"]) & (F.col("event_count") <= DETECTION["rare_event_count_max"]))
+    score = F.lit(DETECTION["rare_value_score"])
+    return hit.select("eval_day", "user_name", "window_start", "value_type", "value_key", F.lit("rare_value").alias("detector_id"), score.alias("score"), severity(score).alias("severity"))
 
 
 def model_training(windows: DataFrame, peers: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
@@ -86,17 +112,56 @@ def model_day_candidates(windows: DataFrame, peers: DataFrame, from_ms: int, to_
     return rows.where("fires").select(*MODEL, *keys, F.lit(detector).alias("detector_id"), "raw", "threshold", "percentile", "score", "top_features")
 
 
+METRIC_NAMES = (
+    "candidate_count", "predicted_user_days", "unique_predicted_users", "active_prediction_days", "average_daily_predictions", "average_daily_candidates", "min_daily_predictions", "max_daily_predictions",
+    "daily_prediction_stddev", "daily_prediction_cv", "high_severity_candidates", "max_candidate_score", "min_daily_candidates", "max_daily_candidates",
+)
+
+
+def user_days(candidates: DataFrame) -> DataFrame:
+    """A row for each user and day with candidates: the greatest score, their number, and the detectors and severities."""
+    return candidates.groupBy("user_name", "eval_day").agg(
+        F.max("score").alias("max_score"), F.count(F.lit(1)).alias("candidate_count"), F.array_sort(F.collect_set("detector_id")).alias("detectors"), F.array_sort(F.collect_set("severity")).alias("severities"),
+    )
+
+
 def experiment_metrics(candidates: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
-    """Mean, deviation, variation, least and most candidates a day over all days of the range, empty ones too."""
+    """One row of METRIC_NAMES over all days of the range, those without candidates too. Predictions are user-days.
+
+    candidates have eval_day, user_name, score, severity. Days and users are counted from user-days, not candidates.
+    """
+    parts = candidates.groupBy("eval_day", "user_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "high").alias("high"), F.max("score").alias("score"))
+    daily = parts.groupBy("eval_day").agg(F.count(F.lit(1)).alias("predictions"), F.sum("n").alias("candidates"), F.sum("high").alias("high"), F.max("score").alias("score"))
     days = candidates.sparkSession.range(from_ms, to_ms, DAY_MS).withColumnRenamed("id", "eval_day")
-    counts = days.join(candidates.groupBy("eval_day").agg(F.count(F.lit(1)).alias("n")), "eval_day", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    out = counts.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("candidates"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return out.withColumn("variation", F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0))
+    rows = days.join(daily, "eval_day", "left").fillna(0, ["predictions", "candidates", "high", "score"])
+    users = parts.select("user_name").distinct().agg(F.count(F.lit(1)).alias("unique_predicted_users"))
+    out = rows.agg(
+        F.sum("candidates").alias("candidate_count"), F.sum("predictions").alias("predicted_user_days"), F.count_if(F.col("predictions") > 0).alias("active_prediction_days"),
+        F.avg("predictions").alias("average_daily_predictions"), F.avg("candidates").alias("average_daily_candidates"), F.min("predictions").alias("min_daily_predictions"), F.max("predictions").alias("max_daily_predictions"),
+        F.stddev_pop("predictions").alias("daily_prediction_stddev"), F.sum("high").alias("high_severity_candidates"), F.max("score").alias("max_candidate_score"),
+        F.min("candidates").alias("min_daily_candidates"), F.max("candidates").alias("max_daily_candidates"),
+    ).crossJoin(F.broadcast(users))  # one row each
+    mean = F.col("average_daily_predictions")
+    return out.withColumn("daily_prediction_cv", F.when(mean > 0, F.col("daily_prediction_stddev") / mean).otherwise(0.0)).select(*METRIC_NAMES)
+
+
+def experiment_id(name: str, from_ms: int, to_ms: int, inputs: dict) -> str:
+    """What names an experiment: its name, its range of UTC days and what went in (revisions and configurations). The same
+    experiment has the same name, so that it need not run twice."""
+    if from_ms % DAY_MS or to_ms % DAY_MS or to_ms <= from_ms:
+        raise ValueError("an experiment begins and ends at a UTC midnight")
+    return fingerprint({"name": name, "start": from_ms, "end": to_ms, "input": fingerprint(inputs)})
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-    """How two experiments' user-days agree: both, either, and their Jaccard index (1 where neither has any)."""
+    """How two experiments' user-days agree: each side's, both, either, and their Jaccard index (1 where neither has any)."""
     a, b = (x.select("eval_day", "user_name").distinct() for x in (left, right))
     joined = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["eval_day", "user_name"], "full_outer")
-    out = joined.agg(F.count(F.lit(1)).alias("either"), F.count_if(F.expr("a = 1 AND b = 1")).alias("both"))
+    out = joined.agg(F.count("a").alias("left_user_days"), F.count("b").alias("right_user_days"), F.count(F.lit(1)).alias("either"), F.count_if(F.expr("a = 1 AND b = 1")).alias("both"))
     return out.withColumn("jaccard", F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(1.0))
+
+
+def deltas(left: DataFrame, right: DataFrame) -> DataFrame:
+    """metric, delta: how the right experiment's metrics (a row of experiment_metrics) differ from the left one's."""
+    long = lambda df, name: df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(name)) for m in METRIC_NAMES])).alias("x")).select("x.*")
+    return long(left, "l").join(long(right, "r"), "metric").select("metric", (F.col("r") - F.col("l")).alias("delta"))

@@ -93,11 +93,35 @@ def values_of(events: DataFrame) -> DataFrame:
     return events.select(*keep, F.explode(F.filter(named, lambda v: v["value_key"].isNotNull())).alias("v")).select(*keep, "v.*")
 
 
+KEYS = ["user_name", "window_size", "window_start"]
+
+
+def window_parts(events: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES) -> DataFrame:
+    """What windows and their values are made of, from one pass over the events: KEYS, value_type, value_key,
+    display_value, event_count, bytes, first_ms.
+
+    Types are those of values_of, and outcome, whose rows carry the bytes. All sums have buffers of a fixed width, so
+    they are hashed and not sorted; only resources, whose names may change, look for the name of the latest event.
+    """
+    sized = by_window(events, sizes)
+    one = lambda kind, key, size=None: F.struct(F.lit(kind).alias("value_type"), key.alias("value_key"), (F.lit(0).cast("long") if size is None else F.col(size)).alias("b"))
+    plain = F.array(one("source_type", F.col("source_type")), one("action", F.col("action")), one("source_ip", F.col("source_ip")), one("outcome", outcome_class(F.col("outcome")), "network_bytes"))
+    rows = sized.select(*KEYS, "event_time_ms", F.explode(F.filter(plain, lambda v: v["value_key"].isNotNull())).alias("v")).select(*KEYS, "event_time_ms", "v.*")
+    counted = rows.groupBy(*KEYS, "value_type", "value_key").agg(F.count(F.lit(1)).alias("event_count"), F.sum("b").alias("bytes"), F.min("event_time_ms").alias("first_ms"))
+    latest = F.max_by("resource_display", F.struct("event_time_ms", "event_id")).alias("display_value")
+    named = sized.where("resource_key IS NOT NULL").groupBy(*KEYS, F.lit("resource").alias("value_type"), F.col("resource_key").alias("value_key"))
+    named = named.agg(latest, F.count(F.lit(1)).alias("event_count"), F.lit(0).cast("long").alias("bytes"), F.min("event_time_ms").alias("first_ms"))
+    return counted.withColumn("display_value", F.col("value_key")).unionByName(named)
+
+
+def values_in(parts: DataFrame) -> DataFrame:
+    """KEYS, value_type, value_key, event_count, display_value of the parts that are values."""
+    return parts.where("value_type <> 'outcome'").select(*KEYS, "value_type", "value_key", "event_count", "display_value")
+
+
 def window_values(events: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES) -> DataFrame:
     """How often each value occurs in each user's window; the display name is that of the latest event."""
-    keys = ["user_name", "window_size", "window_start", "value_type", "value_key"]
-    latest = F.max_by("display_value", F.struct("event_time_ms", "event_id")).alias("display_value")
-    return values_of(by_window(events, sizes)).groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"), latest)
+    return values_in(window_parts(events, sizes))
 
 
 def value_stats(events: DataFrame) -> DataFrame:
@@ -123,23 +147,46 @@ def first_seen_counts(stats: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES) -
     return by_window(seen, sizes).groupBy("user_name", "window_size", "window_start").agg(count("source_ip", "ip"), count("resource", "resource"), count("action", "action"))
 
 
+def windows_in(parts: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES) -> DataFrame:
+    """The windows of window_parts with the 14 metrics: every part counts once in its window, and every value's first
+    sighting in the windows that hold it. One aggregation of both. A sum of bytes beyond int64 fails the job (ANSI)."""
+    size = max(sizes)
+    firsts = parts.where((F.col("window_size") == size) & F.col("value_type").isin("source_ip", "resource", "action")).groupBy("user_name", "value_type", "value_key").agg(F.min("first_ms").alias("event_time_ms"))
+    seen = by_window(firsts.select("user_name", F.concat(F.lit("first_"), "value_type").alias("value_type"), "event_time_ms"), sizes).select(*KEYS, "value_type", F.lit(None).cast("string").alias("value_key"), F.lit(1).cast("long").alias("event_count"), F.lit(0).cast("long").alias("bytes"))
+    rows = parts.select(*KEYS, "value_type", "value_key", "event_count", "bytes").unionByName(seen)
+    kind, key, n = F.col("value_type"), F.col("value_key"), F.col("event_count")
+    total = lambda holds: F.coalesce(F.sum(F.when(holds, n)), F.lit(0))
+    outcome, act = kind == "outcome", action_class(key)
+    made = {
+        "event_count": total(outcome), "success_count": total(outcome & (key == "success")), "failure_count": total(outcome & (key == "failure")), "other_outcome_count": total(outcome & (key == "other")),
+        **{f"{k}_distinct_count": F.count_if(kind == k) for k in ("source_type", "source_ip", "resource", "action")},
+        "read_action_count": total((kind == "action") & (act == "read")), "write_action_count": total((kind == "action") & (act == "write")), "network_bytes_total": F.sum("bytes"),
+        **{f"first_seen_{c}_count": F.count_if(kind == f"first_{k}") for c, k in (("ip", "source_ip"), ("resource", "resource"), ("action", "action"))},
+    }
+    out = rows.groupBy(*KEYS).agg(*[made[m].alias(m) for m in METRICS])
+    return out.select(*KEYS, (F.col("window_start") + F.col("window_size") * 1000).alias("window_end"), *METRICS)
+
+
 def user_windows(events: DataFrame, sizes: tuple[int, ...] = WINDOW_SIZES) -> DataFrame:
-    """Each user's windows with the 14 metrics. A sum of bytes beyond int64 fails the job (ANSI).
+    """Each user's windows with the 14 metrics."""
+    return windows_in(window_parts(events, sizes), sizes)
 
-    Distinct counts come from the value counts, one shuffle on partly summed rows, so no count distinct expands the
-    events; everything meets on the windows' key.
-    """
-    keys = ["user_name", "window_size", "window_start"]
-    outcome, action = outcome_class(F.col("outcome")), action_class(F.col("action"))
-    counts = by_window(events, sizes).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_if(outcome == "success").alias("success_count"), F.count_if(outcome == "failure").alias("failure_count"), F.count_if(outcome == "other").alias("other_outcome_count"),
-        F.count_if(action == "read").alias("read_action_count"), F.count_if(action == "write").alias("write_action_count"), F.sum("network_bytes").alias("network_bytes_total"),
-    )
-    distinct = window_values(events, sizes).groupBy(*keys).agg(*[F.count_if(F.col("value_type") == k).alias(f"{k}_distinct_count") for k in ("source_type", "source_ip", "resource", "action")])
-    firsts = first_seen_counts(value_stats(events), sizes)
-    rows = counts.join(distinct, keys).join(firsts, keys, "left").withColumn("window_end", F.col("window_start") + F.col("window_size") * 1000)
-    zero = {f"first_seen_{k}_count": F.coalesce(f"first_seen_{k}_count", F.lit(0).cast("long")) for k in ("ip", "resource", "action")}
-    return rows.withColumns(zero).select(*keys, "window_end", *METRICS)
+
+def stamped(current: DataFrame, previous: DataFrame | None, keys: list[str], revision: int) -> DataFrame:
+    """current with updated_revision: that of the same row in previous, or revision where the row is new or not the same."""
+    if previous is None:
+        return current.withColumn("updated_revision", F.lit(revision).cast("long"))
+    rest = [c for c in current.columns if c not in keys]
+    was = previous.select(*keys, F.struct(*rest).alias("_was"), F.col("updated_revision").alias("_revision"))
+    same = F.struct(*rest).eqNullSafe(F.col("_was"))
+    rows = current.join(was, keys, "left").withColumn("updated_revision", F.when(same, F.col("_revision")).otherwise(F.lit(revision)).cast("long"))
+    return rows.drop("_was", "_revision").select(*current.columns, "updated_revision")
+
+
+def changed_users(windows: DataFrame, values: DataFrame, since: int) -> DataFrame:
+    """Users of whom a window or a value count changed after revision since (both tables stamped)."""
+    new = lambda df: df.where(F.col("updated_revision") > since).select("user_name")
+    return new(windows).unionByName(new(values)).distinct()
 
 
 def overlapping(rows: DataFrame, from_ms: int, to_ms: int, start: str = "window_start", end: str = "window_end") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,11 @@ from .detection import key_of
 from .features import DAY_MS
 
 
-def assessments(incidents: DataFrame, suppressed: DataFrame | None = None, config: dict = FUSION) -> DataFrame:
+def assessments(incidents: DataFrame, suppressed: DataFrame | None = None, config: dict = FUSION, now_ms: int | None = None) -> DataFrame:
     """Each incident's risk, severity, alert_key and policy_action.
 
     The budget ranks what is eligible within user and UTC day: a user's day is all that one task sees. suppressed
-    (alert_key, suppressed_until_ms) are cases that hold their alerts back until then.
+    (alert_key, suppression_until) are cases that hold their alerts back while that lies ahead of now_ms.
     """
     cross = F.when(F.size("source_types") > 1, config["cross_system_bonus"]).otherwise(0)
     family = F.least(F.lit(config["family_bonus_cap"]), config["family_bonus"] * F.greatest(F.col("detector_family_count") - 1, F.lit(0)))
@@ -23,19 +25,36 @@ def assessments(incidents: DataFrame, suppressed: DataFrame | None = None, confi
     rows = rows.withColumns({"assessment_key": F.sha2("incident_key", 256), "alert_key": key_of("user_name", "incident_type", "day")})
     risk = F.col("risk_score")
     rows = rows.withColumn("risk_severity", F.when(risk >= config["critical_threshold"], "critical").when(risk >= 80, "high").when(risk >= 60, "medium").otherwise("low"))
+    silent = F.lit(False)
     if suppressed is not None:
-        held = suppressed.groupBy("alert_key").agg(F.max("suppressed_until_ms").alias("_until"))
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        held = suppressed.where(F.col("suppression_until") > now).select("alert_key", F.lit(True).alias("_silent")).distinct()
         rows = rows.join(held, "alert_key", "left")
-    else:
-        rows = rows.withColumn("_until", F.lit(None).cast("long"))
-    silent = F.coalesce(F.col("first_seen") < F.col("_until"), F.lit(False))
+        silent = F.coalesce("_silent", F.lit(False))
     eligible = (risk >= config["alert_threshold"]) & ~silent
     order = Window.partitionBy("user_name", "day", eligible).orderBy(F.col("risk_score").desc(), "first_seen", "incident_key")
     rows = rows.withColumn("_rank", F.row_number().over(order))
     action = F.when(risk < config["alert_threshold"], "below_threshold").when(silent, "suppressed_by_case_policy").when(F.col("_rank") > config["daily_alerts"], "suppressed_budget").otherwise("alert")
-    return rows.withColumn("policy_action", action).drop("_rank", "_until")
+    return rows.withColumn("policy_action", action).drop("_rank", "_silent")
 
 
 def alerts(assessed: DataFrame) -> DataFrame:
     """What is raised: one row for each assessment that passes policy and budget."""
     return assessed.where("policy_action = 'alert'").select("alert_key", "assessment_key", "incident_key", "user_name", "incident_type", "first_seen", "last_seen", "risk_score", F.col("risk_severity").alias("severity"), F.lit("threshold_and_budget").alias("policy_reason"))
+
+
+def versioned(previous: DataFrame | None, assessed: DataFrame, revision: int) -> DataFrame:
+    """The next versions of assessments (or alerts): previous (assessment_key, assessment_id, revision, status,
+    supersedes, ...) with those made at revision.
+
+    Everything active before is superseded; an assessment names the active version of its key that it replaces. A
+    policy that is refreshed at the same revision replaces its own versions.
+    """
+    new = assessed.withColumns({"assessment_id": key_of("assessment_key", F.lit(revision)), "revision": F.lit(revision).cast("long"), "status": F.lit("active")})
+    if previous is None:
+        return new.withColumn("supersedes", F.lit(None).cast("string"))
+    old, own = previous.where(F.col("revision") != revision), previous.where(F.col("revision") == revision)
+    active = old.where("status = 'active'").groupBy("assessment_key").agg(F.max_by("assessment_id", "revision").alias("_active"))
+    # a refresh finds its predecessors superseded already: the versions that it replaces name them
+    new = new.join(active, "assessment_key", "left").join(own.select("assessment_key", F.col("supersedes").alias("_was")), "assessment_key", "left")
+    return old.withColumn("status", F.lit("superseded")).unionByName(new.withColumn("supersedes", F.coalesce("_active", "_was")).select(*previous.columns))

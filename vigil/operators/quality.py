@@ -124,3 +124,26 @@ def replay_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     both = c("a").isNotNull() & c("b").isNotNull()
     return b.join(a, "record_id", "full_outer").select("record_id", change.alias("change_type"), F.when(both, c("b.parser_id")).alias("baseline_parser_id"), F.when(both, c("a.parser_id")).alias("current_parser_id"))
+
+
+# fixed values: the numbers of a replay's summary whose change is reported
+SUMMARY = ("total_records", "normalized_records", "unknown_records", "parse_success_rate", "parser_confidence_avg", "unknown_template_count")
+CHANGES = ("unchanged", "unknown_resolved", "new_unknown", "parser_changed", "event_changed", "new_record", "removed_record")
+
+
+def change_counts(changes: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: records, changes of each type, and how many records each replay (record_id, kind) normalized or not. A
+    record that became known or unknown changed its parser too."""
+    kinds = {c: F.count_if(F.col("change_type") == c) for c in CHANGES}
+    kinds["parser_changed"] = F.count_if(F.col("change_type").isin("parser_changed", "unknown_resolved", "new_unknown"))
+    out = changes.agg(F.count(F.lit(1)).alias("total_records"), *[v.alias(k) for k, v in kinds.items()])
+    for name, rows in (("baseline", before), ("current", after)):
+        one = rows.agg(F.count_if(F.col("kind") == "normalized").alias(f"{name}_normalized_records"), F.count_if(F.col("kind") == "unknown").alias(f"{name}_unknown_records"))
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def summary_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: how each number of SUMMARY differs between two summaries."""
+    rows = before.alias("b").crossJoin(F.broadcast(after.alias("a")))  # one row each
+    return rows.select(*[F.round(F.col(f"a.{c}").cast("double") - F.col(f"b.{c}").cast("double"), 6).alias(c) for c in SUMMARY])

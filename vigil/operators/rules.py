@@ -14,15 +14,26 @@ from pyspark.sql import functions as F
 
 from ..settings import METRICS, WINDOW_SIZES
 
-# fixed values: what a rule may name
+# fixed values: what a rule may say
 EVENT_FIELDS = (
     "event.category", "event.type", "event.action", "event.outcome", "user.name", "source.ip", "destination.ip", "host.name", "resource.type", "resource.name",
-    "http.request.method", "http.response.status_code", "network.bytes", "raw.source_type",
+    "http.request.method", "http.response.status_code", "parser.id", "raw.source_type",
 )
+NUMBERS = (*METRICS, "http.response.status_code")
+ADDRESSES = ("source.ip", "destination.ip")
 OPERATORS = ("eq", "neq", "in", "not_in", "gt", "gte", "lt", "lte", "exists", "contains", "starts_with", "ends_with", "cidr_contains")
-STATUSES = ("draft", "shadow", "active", "disabled", "retired")
-TRANSITIONS = {"draft": {"shadow", "retired"}, "shadow": {"active", "disabled", "retired"}, "active": {"disabled", "retired"}, "disabled": {"shadow", "retired"}, "retired": set()}
-MAX_CONDITIONS = 20
+SCOPES = ("event", "window")
+STATUSES = ("draft", "shadow", "active", "disabled", "deprecated")
+TRANSITIONS = {
+    "draft": {"shadow", "disabled", "deprecated"},
+    "shadow": {"active", "disabled", "deprecated"},
+    "active": {"disabled", "deprecated"},
+    "disabled": {"shadow", "active", "deprecated"},
+    "deprecated": set(),
+}
+KEYS = ("rule_id", "version", "name", "description", "status", "scope", "source_types", "window_size", "score", "match", "conditions", "tags", "tests")
+REQUIRED = ("rule_id", "version", "name", "status", "scope", "score", "match", "conditions")
+MAX_CONDITIONS, MAX_ID, MAX_NAME, MAX_DESCRIPTION = 20, 80, 120, 1000
 
 
 class RuleError(ValueError):
@@ -85,10 +96,9 @@ def compile_rule(rule: dict[str, Any], fields: dict[str, Column], source_types:
 
 def event_fields(columns: list[str]) -> dict[str, Column]:
     """Rule fields of flat events; a field that the events lack is null."""
-    names = {"event.action": "action", "event.outcome": "outcome", "user.name": "user_name", "source.ip": "source_ip", "resource.type": "resource_type", "resource.name": "resource_name", "network.bytes": "network_bytes", "raw.source_type": "source_type"}
+    names = {"event.action": "action", "event.outcome": "outcome", "user.name": "user_name", "source.ip": "source_ip", "resource.type": "resource_type", "resource.name": "resource_name", "raw.source_type": "source_type"}
     names |= {f: f.replace(".", "_") for f in EVENT_FIELDS if f not in names}
-    numbers = ("network.bytes", "http.response.status_code")
-    return {f: F.col(c) if c in columns else F.lit(None).cast("long" if f in numbers else "string") for f, c in names.items()}
+    return {f: F.col(c) if c in columns else F.lit(None).cast("long" if f in NUMBERS else "string") for f, c in names.items()}
 
 
 def window_fields() -> dict[str, Column]:
@@ -96,65 +106,113 @@ def window_fields() -> dict[str, Column]:
 
 
 def fingerprint(rule: dict[str, Any]) -> str:
-    kept = {k: v for k, v in rule.items() if k not in ("status", "tests")}
-    return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-
-
-def validate_rule(rule: dict[str, Any]) -> dict[str, Any]:
-    """The rule itself; RuleError names what is wrong."""
-    for key in ("rule_id", "version", "scope", "status", "score", "conditions"):
-        if key not in rule:
-            raise RuleError(f"missing {key}")
-    if not isinstance(rule["rule_id"], str) or not rule["rule_id"] or isinstance(rule["version"], bool) or not isinstance(rule["version"], int) or rule["version"] < 1:
-        raise RuleError("rule_id must be a name and version a positive integer")
-    if rule["scope"] not in ("event", "window") or rule["status"] not in STATUSES or rule.get("match", "all") not in ("all", "any"):
-        raise RuleError("unknown scope, status or match")
-    if isinstance(rule["score"], bool) or not isinstance(rule["score"], int) or not 0 <= rule["score"] <= 100:
-        raise RuleError("score must be an integer from 0 to 100")
-    if rule["scope"] == "window" and rule.get("window_size") not in WINDOW_SIZES:
-        raise RuleError(f"window_size must be one of {WINDOW_SIZES}")
-    if not isinstance(rule["conditions"], list) or not 1 <= len(rule["conditions"]) <= MAX_CONDITIONS:
-        raise RuleError(f"a rule has 1 to {MAX_CONDITIONS} conditions")
-    allowed = EVENT_FIELDS if rule["scope"] == "event" else METRICS
-    for c in rule["conditions"]:
-        if c.get("field") not in allowed:
-            raise RuleError(f"unknown field {c.get('field')}")
-        operator, value = c.get("operator"), c.get("value")
-        if operator not in OPERATORS:
-            raise RuleError(f"unknown operator {operator}")
-        if operator in ("in", "not_in") and not (isinstance(value, list) and value):
-            raise RuleError(f"{operator} needs a list")
-        if operator in ("gt", "gte", "lt", "lte") and (isinstance(value, bool) or not isinstance(value, int | float)):
-            raise RuleError(f"{operator} needs a number")
-        if operator == "exists" and not isinstance(value, bool):
-            raise RuleError("exists needs true or false")
-        if operator in ("contains", "starts_with", "ends_with") and not isinstance(value, str):
-            raise RuleError(f"{operator} needs a string")
-        if operator == "cidr_contains":
-            try:
-                ipaddress.ip_network(value, strict=False)
-            except (ValueError, TypeError) as e:
-                raise RuleError(f"{value} is no network") from e
-    return rule
+    return hashlib.sha256(json.dumps(rule, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def _need(holds: bool, message: str) -> None:
+    if not holds:
+        raise RuleError(message)
+
+
+def _whole(value: Any) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def _number(value: Any) -> bool:
+    return isinstance(value, int | float) and not isinstance(value, bool)
+
+
+def _names(value: Any) -> bool:
+    return isinstance(value, list) and all(isinstance(x, str) and x for x in value)
+
+
+def validate_condition(condition: Any, scope: str) -> dict[str, Any]:
+    """The condition, with a value; RuleError names what is wrong."""
+    _need(isinstance(condition, dict) and {"field", "operator"} <= set(condition) <= {"field", "operator", "value"}, "a condition has a field, an operator and a value")
+    field, operator, value = condition["field"], condition["operator"], condition.get("value", True)
+    _need(field in (EVENT_FIELDS if scope == "event" else METRICS), f"unknown field {field}")
+    _need(operator in OPERATORS, f"unknown operator {operator}")
+    _need("value" in condition or operator == "exists", f"{operator} needs a value")
+    number, each = field in NUMBERS, value if isinstance(value, list) else [value]
+    if operator in ("in", "not_in"):
+        _need(isinstance(value, list) and bool(value), f"{operator} needs a list")
+    if operator in ("eq", "neq", "in", "not_in"):
+        _need(all(map(_number, each)) if number else all(isinstance(x, str) for x in each), f"{operator} needs values of the kind of {field}")
+    elif operator in ("gt", "gte", "lt", "lte"):
+        _need(number and _number(value), f"{operator} needs a numeric field and a number")
+    elif operator == "exists":
+        _need(isinstance(value, bool), "exists needs true or false")
+    elif operator == "cidr_contains":
+        _need(field in ADDRESSES, f"{operator} needs an address")
+        try:
+            ipaddress.ip_network(value, strict=False)
+        except (ValueError, TypeError) as e:
+            raise RuleError(f"{value} is no network") from e
+    else:
+        _need(not number and isinstance(value, str), f"{operator} needs a text field and a string")
+    return {"field": field, "operator": operator, "value": value}
+
+
+def validate_test(test: Any) -> dict[str, Any]:
+    _need(isinstance(test, dict) and set(test) == {"name", "input", "expected_match"}, "a test has a name, an input and what is expected")
+    _need(isinstance(test["name"], str) and bool(test["name"]) and isinstance(test["input"], dict) and isinstance(test["expected_match"], bool), "a test's parts are a string, an object and a truth value")
+    return {**test, "name": test["name"][:MAX_NAME]}
+
+
+def validate_rule(rule: Any) -> dict[str, Any]:
+    """The rule with sorted tags and source types; RuleError names what is wrong. An active rule must have a test that
+    matches and one that does not, and pass all its tests."""
+    _need(isinstance(rule, dict) and set(rule) <= set(KEYS), "a rule is an object with known keys")
+    for key in REQUIRED:
+        _need(key in rule, f"missing {key}")
+    name, text = rule["rule_id"], rule["name"]
+    _need(isinstance(name, str) and 1 <= len(name) <= MAX_ID and all(c.isalnum() or c in "._-" for c in name), f"rule_id has 1 to {MAX_ID} letters, digits, dots, underscores and hyphens")
+    _need(_whole(rule["version"]) and rule["version"] > 0, "version must be a positive integer")
+    _need(isinstance(text, str) and bool(text.strip()) and len(text) <= MAX_NAME, f"name has 1 to {MAX_NAME} characters")
+    _need(isinstance(rule.get("description", ""), str) and len(rule.get("description", "")) <= MAX_DESCRIPTION, f"description has up to {MAX_DESCRIPTION} characters")
+    _need(rule["status"] in STATUSES and rule["scope"] in SCOPES and rule["match"] in ("all", "any"), "unknown status, scope or match")
+    _need(_whole(rule["score"]) and 0 <= rule["score"] <= 100, "score must be an integer from 0 to 100")
+    _need(_names(rule.get("source_types", [])) and _names(rule.get("tags", [])), "source_types and tags are lists of names")
+    _need(isinstance(rule["conditions"], list) and 1 <= len(rule["conditions"]) <= MAX_CONDITIONS, f"a rule has 1 to {MAX_CONDITIONS} conditions")
+    size = rule.get("window_size")
+    _need(size in WINDOW_SIZES if rule["scope"] == "window" else size is None, f"window rules, and only they, have a window_size of {WINDOW_SIZES}")
+    _need(isinstance(rule.get("tests", []), list), "tests are a list")
+    out = {
+        **{k: rule[k] for k in REQUIRED}, "name": text.strip(), "description": rule.get("description", ""), "source_types": sorted(set(rule.get("source_types", []))), "tags": sorted(set(rule.get("tags", []))),
+        "conditions": [validate_condition(c, rule["scope"]) for c in rule["conditions"]], "tests": [validate_test(t) for t in rule.get("tests", [])], **({"window_size": size} if size else {}),
+    }
+    if out["status"] == "active":
+        _need({t["expected_match"] for t in out["tests"]} == {True, False}, "an active rule has a test that matches and one that does not")
+        _need(all(t["passed"] for t in run_tests(SparkSession.active(), out)), "an active rule passes its tests")
+    return out
 
 
 def validate_rules(document: dict[str, Any]) -> list[dict[str, Any]]:
-    seen = set()
-    for rule in document.get("rules", []):
-        validate_rule(rule)
-        if (key := (rule["rule_id"], rule["version"])) in seen:
-            raise RuleError(f"repeated rule {key}")
+    seen, out = set(), [validate_rule(r) for r in document.get("rules", [])]
+    for rule in out:
+        key = rule["rule_id"], rule["version"]
+        _need(key not in seen, f"repeated rule {key}")
         seen.add(key)
-    return document.get("rules", [])
+    return out
 
 
 def run_tests(spark: SparkSession, rule: dict[str, Any]) -> list[dict[str, Any]]:
-    """Each of a rule's own tests with what the compiled rule says of its input."""
+    """Each of a rule's own tests with what the compiled rule says of its input. An input names fields with dots or
+    nests them."""
+
+    def value(document: dict[str, Any], path: str) -> Any:
+        if path in document:
+            return document[path]
+        for part in path.split("."):
+            document = document.get(part) if isinstance(document, dict) else None
+        return document
+
     fields = EVENT_FIELDS if rule["scope"] == "event" else METRICS
-    numbers = {"network.bytes", "http.response.status_code", *METRICS}
-    schema = ", ".join(f"`{f}` {'long' if f in numbers else 'string'}" for f in fields) + ", source_types array<string>, _i int"
-    tests = rule.get("tests", [])
-    data = [Row(*[t["input"].get(f) for f in fields], t["input"].get("source_types") or ([t["input"]["raw.source_type"]] if t["input"].get("raw.source_type") else None), i) for i, t in enumerate(tests)]
+    schema = ", ".join(f"`{f}` {'long' if f in NUMBERS else 'string'}" for f in fields) + ", source_types array<string>, _i int"
+    tests, data = rule.get("tests", []), []
+    for i, t in enumerate(tests):
+        kind = value(t["input"], "raw.source_type") if rule["scope"] == "event" else t["input"].get("source_types")
+        data.append(Row(*[value(t["input"], f) for f in fields], [kind] if isinstance(kind, str) else kind, i))
     if not data:
         return []
     rows = spark.createDataFrame(data, schema)
@@ -163,18 +221,23 @@ def run_tests(spark: SparkSession, rule: dict[str, Any]) -> list[dict[str, Any]]
     return [{"name": t["name"], "expected": t["expected_match"], "matched": got[i], "passed": got[i] == t["expected_match"]} for i, t in enumerate(tests)]
 
 
-def set_status(rule: dict[str, Any], status: str) -> dict[str, Any]:
-    if status not in TRANSITIONS[rule["status"]]:
-        raise RuleError(f"no way from {rule['status']} to {status}")
-    return {**rule, "status": status}
+def set_status(rules: list[dict[str, Any]], rule_id: str, version: int, status: str) -> list[dict[str, Any]]:
+    """rules with one version's new status. A version that goes live disables the one that was: one at a time is."""
+    rule = next((r for r in rules if (r["rule_id"], r["version"]) == (rule_id, version)), None)
+    _need(rule is not None, f"no rule {rule_id} of version {version}")
+    _need(status in TRANSITIONS[rule["status"]], f"no way from {rule['status']} to {status}")
+    live = ("active", "shadow")
+    changed = validate_rule({**rule, "status": status})
+    retire = lambda r: {**r, "status": "disabled"} if status in live and r["rule_id"] == rule_id and r["status"] in live else r
+    return [changed if r is rule else retire(r) for r in rules]
 
 
 def add_version(rules: list[dict[str, Any]], rule: dict[str, Any]) -> list[dict[str, Any]]:
-    """rules with a new version, which must follow the last one and begins as a draft."""
-    last = max((r["version"] for r in rules if r["rule_id"] == rule["rule_id"]), default=0)
-    if rule["version"] != last + 1 or rule["status"] != "draft":
-        raise RuleError(f"the next version of {rule['rule_id']} is {last + 1}, a draft")
-    return [*rules, validate_rule(rule)]
+    """rules with a new version, which must follow the last one; the first is 1."""
+    last = max((r["version"] for r in rules if r["rule_id"] == rule.get("rule_id")), default=0)
+    made = validate_rule(rule)
+    _need(made["version"] == last + 1, f"the next version of {made['rule_id']} is {last + 1}")
+    return [*rules, made]
 
 
 def matches(rows: DataFrame, rules: list[dict[str, Any]], fields: dict[str, Column], source_types: Column) -> DataFrame:

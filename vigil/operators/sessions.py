@@ -41,15 +41,21 @@ def sessions(events: DataFrame, gap_s: int = SESSION_GAP_S, limit: int = SAMPLE_
         "user_name", (F.col("event_time_ms") - F.pmod("event_time_ms", F.lit(DAY_MS))).alias("day"), F.col("event_time_ms").alias("start_time"), F.col("event_id").alias("first_event_id"), F.col("event_time_ms").alias("last_event_time"),
         F.col("event_id").alias("last_event_id"), "action", *SAMPLES,
     )
+    keys = ["user_name", "day", "_session"]
     local = _grouped(day, ["user_name", "day"], "start_time", "last_event_time", gap)
-    at = F.struct("start_time", "first_event_id")
-    order = Window.partitionBy("user_name", "day", "_session")
+    order = Window.partitionBy(*keys)
     local = local.withColumns({"_i": F.row_number().over(order.orderBy("start_time", "first_event_id")), "_n": F.count(F.lit(1)).over(order)})
+    # of a session's values in order one more than are shown, so that more are noticed
+    named = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in SAMPLES])
+    seen = local.select(*keys, F.explode(named).alias("v")).select(*keys, "v.*").where("value IS NOT NULL").distinct()
+    seen = seen.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy("value"))).where(F.col("_i") <= limit + 1)
+    seen = seen.groupBy(*keys).agg(*[F.collect_list(F.when(F.col("kind") == c, F.col("value"))).alias(f"{c}_samples") for c in SAMPLES])
     action = F.struct(F.col("start_time").alias("time_ms"), F.col("first_event_id").alias("event_id"), "action")
-    local = local.groupBy("user_name", "day", "_session").agg(
-        F.min(at).alias("a"), F.max(F.struct("last_event_time", "last_event_id")).alias("b"), F.count(F.lit(1)).alias("event_count"), F.count(F.nullif("action", F.lit(""))).alias("action_count"),
-        *[F.collect_set(c).alias(f"{c}_samples") for c in SAMPLES], F.collect_list(F.when(F.col("_i") <= limit, action)).alias("first_actions"), F.collect_list(F.when(F.col("_i") > F.col("_n") - limit, action)).alias("last_actions"),
-    )
+    local = local.groupBy(*keys).agg(
+        F.min(F.struct("start_time", "first_event_id")).alias("a"), F.max(F.struct("last_event_time", "last_event_id")).alias("b"), F.count(F.lit(1)).alias("event_count"), F.count(F.nullif("action", F.lit(""))).alias("action_count"),
+        F.collect_list(F.when(F.col("_i") <= limit, action)).alias("first_actions"), F.collect_list(F.when(F.col("_i") > F.col("_n") - limit, action)).alias("last_actions"),
+    ).join(seen, keys, "left")
+    local = local.withColumns({f"{c}_samples": F.coalesce(f"{c}_samples", F.array().cast("array<string>")) for c in SAMPLES})
     flat = ["user_name", F.col("a.start_time").alias("start_time"), F.col("a.first_event_id").alias("first_event_id"), F.col("b.last_event_time").alias("last_event_time"), F.col("b.last_event_id").alias("last_event_id")]
     rest = ["event_count", "action_count", *[f"{c}_samples" for c in SAMPLES], "first_actions", "last_actions"]
     whole = _grouped(local.select(*flat, *rest), ["user_name"], "start_time", "last_event_time", gap).groupBy("user_name", "_session").agg(*_merged(False, limit))
@@ -71,3 +77,31 @@ def closed(rows: DataFrame, watermark_ms: int, gap_s: int = SESSION_GAP_S) -> Da
 def overlapping(rows: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Sessions with an event's span inside or across the half-open range; a last event at from_ms counts."""
     return rows.where((F.col("start_time") < to_ms) & (F.col("last_event_time") >= from_ms))
+
+
+def none_closed(events: DataFrame) -> DataFrame:
+    """What advance starts from."""
+    return sessions(events.limit(0)).withColumns({"status": F.lit("closed"), "close_reason": F.lit("")})
+
+
+def advance(done: DataFrame, pool: DataFrame, events: DataFrame, watermark_ms: int, gap_s: int = SESSION_GAP_S) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a watermark makes of sessions: those that are closed, the pool of events that are in none, and the
+    provisional ones.
+
+    done are sessions that are closed already: nothing changes them any more, and an event that comes too late for one
+    begins a session of its own. pool are the events that were in no closed session, events the new ones. Sessions of
+    both that ended before the watermark are closed; their events leave the pool.
+    """
+    rows = pool.unionByName(events)
+    made = closed(sessions(rows, gap_s), watermark_ms, gap_s)
+    new = made.where("status = 'closed'").withColumn("close_reason", F.lit("watermark"))
+    midnight = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(DAY_MS))
+    spans = new.select("user_name", "start_time", "last_event_time", F.explode(F.sequence(midnight("start_time"), midnight("last_event_time"), F.lit(DAY_MS))).alias("_day"))
+    inside = rows.withColumn("_day", midnight("event_time_ms")).join(spans, ["user_name", "_day"]).where((F.col("event_time_ms") >= F.col("start_time")) & (F.col("event_time_ms") <= F.col("last_event_time")))
+    return done.unionByName(new.select(*done.columns)), rows.join(inside.select("event_id"), "event_id", "left_anti"), made.where("status = 'provisional'")
+
+
+def flushed(done: DataFrame, pool: DataFrame, gap_s: int = SESSION_GAP_S) -> DataFrame:
+    """All sessions when the input has ended: those of the pool are closed as they are."""
+    new = sessions(pool, gap_s).withColumns({"status": F.lit("closed"), "close_reason": F.lit("end_of_input")})
+    return done.unionByName(new.select(*done.columns))

@@ -20,7 +20,7 @@ w0 AS (SELECT user_name, window_size, window_start, count(*) AS event_count, cou
   count(*) FILTER (outcome NOT IN ('success', 'failure')) AS other_outcome_count, count(DISTINCT source_type) AS source_type_distinct_count, count(DISTINCT source_ip) AS source_ip_distinct_count,
   count(DISTINCT resource) AS resource_distinct_count, count(DISTINCT action) AS action_distinct_count, count(*) FILTER (action IN ('repo_read', 'repo_clone')) AS read_action_count,
   count(*) FILTER (action = 'repo_write') AS write_action_count, CAST(sum(bytes) AS BIGINT) AS network_bytes_total FROM sized GROUP BY ALL),
-win AS (SELECT w0.user_name, w0.window_size, w0.window_start, w0.window_start + w0.window_size * 1000 AS window_end, w0.* EXCLUDE (user_name, window_size, window_start),
+win AS MATERIALIZED (SELECT w0.user_name, w0.window_size, w0.window_start, w0.window_start + w0.window_size * 1000 AS window_end, w0.* EXCLUDE (user_name, window_size, window_start),
   coalesce(ip, 0) AS first_seen_ip_count, coalesce(res, 0) AS first_seen_resource_count, coalesce(act, 0) AS first_seen_action_count FROM w0 LEFT JOIN fw USING (user_name, window_size, window_start)),
 bounds AS (SELECT user_name, min(t) AS a, max(t) AS b FROM ev GROUP BY ALL),
 newest AS (SELECT max(t) AS as_of FROM ev),
@@ -33,7 +33,7 @@ numbered AS (SELECT *, sum(opens) OVER (PARTITION BY user_name ORDER BY t, event
 sess AS (SELECT user_name, min(t) AS start_time, arg_min(event_id, (t, event_id)) AS first_event_id, max(t) AS last_event_time, arg_max(event_id, (t, event_id)) AS last_event_id, count(*) AS event_count,
   list_sort(list(DISTINCT source_type)) AS source_types, list_sort(list(DISTINCT source_ip)) AS source_ips, list_sort(list(DISTINCT shown)) AS resources, list(action ORDER BY t, event_id) AS actions
   FROM numbered GROUP BY user_name, s),
-sessions AS (SELECT *, sha256(user_name || ':' || start_time || ':' || first_event_id) AS session_id FROM sess)
+sessions AS MATERIALIZED (SELECT *, sha256(user_name || ':' || start_time || ':' || first_event_id) AS session_id FROM sess)
 """
 
 METRICS = """,
@@ -68,10 +68,9 @@ SCOPED = """,
 readyp AS (SELECT user_name, window_size FROM personal WHERE metric = 'event_count' AND status = 'ready'),
 readyr AS (SELECT group_id, window_size FROM peer WHERE metric = 'event_count' AND status = 'ready'),
 readyg AS (SELECT window_size FROM whole WHERE metric = 'event_count' AND status = 'ready'),
-scoped AS (SELECT win.*, p.group_id, CASE WHEN (user_name, window_size) IN (SELECT (user_name, window_size) FROM readyp) THEN 'personal'
+scoped AS MATERIALIZED (SELECT win.*, p.group_id, CASE WHEN (user_name, window_size) IN (SELECT (user_name, window_size) FROM readyp) THEN 'personal'
     WHEN (p.group_id, window_size) IN (SELECT (group_id, window_size) FROM readyr) THEN 'peer_group' WHEN window_size IN (SELECT window_size FROM readyg) THEN 'global' END AS scope,
-  (SELECT min(value_key) FROM wv x WHERE x.user_name = win.user_name AND x.window_size = win.window_size AND x.window_start = win.window_start AND value_type = 'source_type' AND value_key = 'svn') AS svn
-  FROM win LEFT JOIN peers p USING (user_name) WHERE window_size >= 3600),
+  svn FROM win LEFT JOIN (SELECT DISTINCT user_name, window_size, window_start, 'svn' AS svn FROM wv WHERE value_type = 'source_type' AND value_key = 'svn') USING (user_name, window_size, window_start) LEFT JOIN peers p USING (user_name) WHERE window_size >= 3600),
 refs AS (SELECT 'personal' AS scope, user_name AS subject, window_size, metric, p95, p99 FROM personal UNION ALL SELECT 'peer_group', group_id, window_size, metric, p95, p99 FROM peer UNION ALL SELECT 'global', '', window_size, metric, p95, p99 FROM whole),
 num AS (SELECT s.user_name, s.window_size, s.window_start, s.window_end, s.scope, CASE WHEN s.scope = 'peer_group' THEN s.group_id END AS group_id, l.metric, CASE WHEN round(l.v, 9) > round(p99, 9) THEN 'numeric_p99' ELSE 'numeric_p95' END AS detector_id
   FROM scoped s JOIN long l USING (user_name, window_size, window_start) JOIN refs r ON r.scope = s.scope AND r.subject = CASE s.scope WHEN 'personal' THEN s.user_name WHEN 'peer_group' THEN s.group_id ELSE '' END AND r.window_size = s.window_size AND r.metric = l.metric
@@ -91,17 +90,17 @@ cand AS (SELECT *, sha256(user_name || ':' || window_size || ':' || window_start
 
 RULED = """,
 rulec AS (SELECT user_name, 0 AS window_size, t AS window_start, t + 1 AS window_end, 'rule' AS family, 'failed-read' AS detector_id, NULL AS metric, NULL AS value_type, NULL AS value_key, NULL AS scope, NULL AS group_id, event_id, 65 AS score,
-    sha256('rule:event:failed-read:1:{event_print}:' || event_id) AS candidate_key FROM ev WHERE source_type IN ('waf', 'svn') AND outcome = 'failure' AND bytes >= 9000
+    sha256('rule:event:failed-read:1:{event_print}:' || event_id) AS candidate_key FROM ev WHERE source_type IN ('waf', 'svn') AND outcome = 'failure' AND shown LIKE '%7'
   UNION ALL SELECT user_name, window_size, window_start, window_end, 'rule', 'busy-hour', NULL, NULL, NULL, NULL, NULL, NULL, 70, sha256('rule:window:busy-hour:2:{window_print}:' || user_name || ':' || window_size || ':' || window_start)
-  FROM win WHERE window_size = 3600 AND (event_count >= 4 OR write_action_count >= 3)),
-allc AS (SELECT * FROM cand UNION ALL SELECT * FROM rulec)
+  FROM win WHERE window_size = 3600 AND (event_count >= 3 OR write_action_count >= 2)),
+allc AS MATERIALIZED (SELECT * FROM cand UNION ALL SELECT * FROM rulec)
 """
 
 INCIDENTS = """,
 pairs AS (SELECT c.candidate_key, s.session_id, least(last_event_time + 1, window_end) - greatest(start_time, window_start) AS overlap, start_time, first_event_id
   FROM allc c JOIN sessions s ON s.user_name = c.user_name AND start_time < window_end AND last_event_time >= window_start WHERE window_size <= 3600),
 best AS (SELECT candidate_key, session_id FROM (SELECT *, row_number() OVER (PARTITION BY candidate_key ORDER BY overlap DESC, start_time, first_event_id DESC) AS r FROM pairs) WHERE r = 1),
-keyed AS (SELECT allc.*, session_id, CASE WHEN session_id IS NOT NULL THEN 'session:' || session_id WHEN window_size = 86400 THEN 'day:' || window_start ELSE 'bucket:' || (window_start - window_start % 3600000) END AS correlation_key FROM allc LEFT JOIN best USING (candidate_key)),
+keyed AS MATERIALIZED (SELECT allc.*, session_id, CASE WHEN session_id IS NOT NULL THEN 'session:' || session_id WHEN window_size = 86400 THEN 'day:' || window_start ELSE 'bucket:' || (window_start - window_start % 3600000) END AS correlation_key FROM allc LEFT JOIN best USING (candidate_key)),
 members AS (SELECT c.candidate_key, e.event_id, e.source_type, e.source_ip, 'page:' || e.shown AS resource, row_number() OVER (PARTITION BY c.candidate_key ORDER BY e.t, e.event_id) AS r
   FROM allc c JOIN ev e ON e.user_name = c.user_name AND e.t >= c.window_start AND e.t < c.window_end WHERE c.event_id IS NULL OR c.event_id = e.event_id),
 top20 AS (SELECT * FROM members WHERE r <= 20),

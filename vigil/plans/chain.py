@@ -25,17 +25,22 @@ class Chain:
     def __init__(self, events: DataFrame, peers: DataFrame, rules: list[dict[str, Any]] | None = None, as_of_ms: int | None = None, overrides: dict | None = None, baseline_config: dict = BASELINE, suppressed: DataFrame | None = None):
         self.events, self.peers, self.rules, self.overrides, self.config, self.suppressed = events, peers, rules or [], overrides, baseline_config, suppressed
         self._as_of = as_of_ms
+
     @cached_property
     def as_of(self) -> int:
         return self._as_of if self._as_of is not None else (self.events.agg(F.max("event_time_ms")).first()[0] or 0)
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        return settle(features.window_parts(self.events))
+
     @cached_property
     def windows(self) -> DataFrame:
-        return settle(features.user_windows(self.events))
+        return settle(features.windows_in(self.parts))
 
     @cached_property
     def values(self) -> DataFrame:
-        return settle(features.window_values(self.events))
+        return features.values_in(self.parts)
 
     @cached_property
     def bounds(self) -> DataFrame:
@@ -46,26 +51,26 @@ class Chain:
         return settle(session_ops.sessions(self.events))
 
     @cached_property
-    def metrics(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return tuple(map(settle, (
-            baseline.personal_metrics(self.windows, self.bounds, self.as_of, config=self.config),
-            baseline.peer_metrics(self.windows, self.peers, self.as_of, config=self.config),
-            baseline.global_metrics(self.windows, self.as_of, config=self.config),
-        )))
+    def personal(self) -> DataFrame:
+        return settle(baseline.personal_baselines(self.windows, self.as_of, config=self.config))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        return settle(baseline.group_baselines(self.windows, self.personal, self.peers, self.as_of, config=self.config))
 
     @cached_property
     def value_baselines(self) -> DataFrame:
-        of = baseline.personal_values(self.values, self.bounds, self.as_of), baseline.peer_values(self.values, self.peers, self.as_of), baseline.global_values(self.values, self.as_of)
-        return detection.by_subject(*of, ["value_type", "value_key", "first_seen", "share", "event_count"])
+        first = self.parts.where("window_size = 86400").groupBy("user_name").agg(F.min("first_ms").alias("first_time_ms"))
+        return baseline.value_baselines(self.values, first, self.peers, self.as_of)
 
     @cached_property
     def scoped(self) -> DataFrame:
         tested = self.windows.where(F.col("window_size").isin(*detection.SIZES))
-        return detection.window_policy(detection.scopes(tested, *self.metrics, self.peers), self.values, self.overrides)
+        return detection.window_policy(detection.scopes(tested, self.personal, self.groups, self.peers), self.values, self.overrides)
 
     @cached_property
     def numeric(self) -> DataFrame:
-        return detection.numeric_candidates(self.scoped, detection.by_subject(*self.metrics, ["window_size", "metric", "p95", "p99"]))
+        return detection.numeric_candidates(self.scoped)
 
     @cached_property
     def valued(self) -> DataFrame:
@@ -79,17 +84,31 @@ class Chain:
     def candidates(self) -> DataFrame:
         return settle(self.numeric.unionByName(self.valued).unionByName(self.ruled))
 
+    @cached_property
+    def tops(self) -> DataFrame:
+        """The first events of every window with a candidate."""
+        sizes = tuple(sorted({*detection.SIZES, *(r["window_size"] for r in self.rules if r["scope"] == "window")}))
+        return settle(detection.window_evidence(self.candidates.where("window_size > 0"), self.events, sizes))
+
+    @cached_property
+    def own_events(self) -> DataFrame:
+        return detection.event_items(self.candidates, self.events)
+
     @cached_property
     def evidence(self) -> DataFrame:
-        return detection.evidence(self.candidates, self.events)
+        return detection.evidence(self.candidates, self.tops, self.own_events)
+
+    @cached_property
+    def keyed(self) -> DataFrame:
+        return settle(correlation.group_keys(self.candidates, self.sessions))
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return correlation.incidents(self.candidates, self.evidence, self.values, self.sessions)
+        return correlation.incidents(self.keyed.where("detector_mode = 'active'"), self.tops, self.own_events, self.values, self.sessions)
 
     @cached_property
     def assessments(self) -> DataFrame:
-        return fusion.assessments(self.incidents, self.suppressed)
+        return fusion.assessments(self.incidents, self.suppressed, now_ms=self._as_of)
 
     @cached_property
     def alerts(self) -> DataFrame:

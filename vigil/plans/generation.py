@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import registry
 from ..functions import text as text_ops
 
-# fixed values: what a proposal may set
+# fixed values: the kinds of parsers a proposal may ask for
 KINDS = ("key_value", "json", "regex")
-ROOTS = ("event.", "user.", "source.", "destination.", "host.", "resource.", "http.", "network.", "extensions.")
-DEFAULTS = {"event.category", "event.type", "event.action", "event.outcome"}
 
 
 class ProposalError(ValueError):
@@ -47,33 +45,36 @@ def requests(unknown: DataFrame, known: DataFrame | None = None, samples: int =
 
 def validated(proposal: Any) -> dict[str, Any]:
     """The proposal as a parser's definition, or ProposalError for what it must not say."""
-    if not isinstance(proposal, dict) or proposal.get("parser_type") not in KINDS:
-        raise ProposalError("a proposal is an object with a known parser_type")
-    fields, mapping, defaults = (proposal.get(k, {}) for k in ("field_candidates", "schema_mapping", "event_defaults"))
-    if not all(isinstance(x, dict) for x in (fields, mapping, defaults)) or not fields:
-        raise ProposalError("fields, mapping and defaults are objects, and fields not empty")
-    if not set(mapping) <= set(fields):
-        raise ProposalError("only fields can be mapped")
-    for target in mapping.values():
-        if not isinstance(target, str) or not target.startswith(ROOTS):
-            raise ProposalError(f"no such path: {target}")
-    if not set(defaults) <= DEFAULTS:
-        raise ProposalError("defaults may set an event's category, type, action and outcome")
-    made = {"parser_type": proposal["parser_type"], "field_candidates": fields, "schema_mapping": mapping, "event_defaults": defaults, "required_fields": sorted(fields), "confidence": float(proposal.get("confidence", 0.0)), "test_cases": proposal.get("test_cases", [])}
-    if made["parser_type"] == "regex":
+
+    def need(holds: bool, message: str) -> None:
+        if not holds:
+            raise ProposalError(message)
+
+    need(isinstance(proposal, dict) and proposal.get("parser_type") in KINDS, "a proposal is an object with a known parser_type")
+    fields, how, mapping, defaults = (proposal.get(k, {}) for k in ("field_candidates", "field_extractors", "schema_mapping", "event_defaults"))
+    need(all(isinstance(x, dict) for x in (fields, how, mapping, defaults)) and bool(fields), "fields, extractors, mapping and defaults are objects, and fields not empty")
+    mapping = registry.normalised(mapping)
+    need(set(mapping) <= set(fields), "only fields can be mapped")
+    for path in mapping.values():
+        need(registry.canonical_path(path), f"no such path: {path}")
+    need(set(defaults) <= set(registry.DEFAULTS), "defaults may set an event's category, type, action and outcome")
+    source = proposal.get("action_source_field")
+    need(source is None or source in fields, "action_source_field must be a field")
+    if proposal["parser_type"] == "regex":
+        need(isinstance(how.get("pattern"), str), "a regex parser needs field_extractors.pattern")
         try:
-            re.compile(proposal["pattern"])
-        except (KeyError, TypeError, re.error) as error:
-            raise ProposalError("a regex parser needs a pattern") from error
-        made["pattern"] = proposal["pattern"]
-    if made["parser_type"] == "json":
-        made["field_paths"] = list(fields)
-    return made
+            re.compile(how["pattern"])
+        except re.error as error:
+            raise ProposalError(f"the pattern does not compile: {error}") from error
+    return {
+        "parser_type": proposal["parser_type"], "field_extractors": how, "field_candidates": fields, "schema_mapping": mapping, "action_mapping": proposal.get("action_mapping", {}), "action_source_field": source,
+        "event_defaults": defaults, "confidence": float(proposal.get("confidence", 0.0)), "confidence_rationale": str(proposal.get("confidence_rationale", "")), "test_cases": proposal.get("test_cases", []),
+    }
 
 
 def proposed(asked: DataFrame, provider: Callable[[dict[str, Any]], Any]) -> tuple[list[dict[str, Any]], list[dict[str, str]]]:
     """Draft parsers and failures for the rows of requests. Formats, not records, pass through the driver, one by one."""
-    drafts, failures = [], []
+    candidates, failures = [], []
     for row in asked.orderBy("format_fingerprint").toLocalIterator():
         request = row.asDict(recursive=True)
         try:
@@ -81,28 +82,24 @@ def proposed(asked: DataFrame, provider: Callable[[dict[str, Any]], Any]) -> tup
         except Exception as error:  # a provider may fail in any way; the other formats go on
             failures.append({"format_fingerprint": row.format_fingerprint, "error": str(error)})
             continue
-        contract = {"source_id": row.source_id, "suggested_source_type": row.suggested_source_type, "detected_format": row.detected_format}
-        drafts.append({**made, "parser_id": f"parser_{row.format_fingerprint.removeprefix('fmt_')}", "status": "draft", "source_contract": contract, "format_fingerprint": row.format_fingerprint})
-    return drafts, failures
+        contract = {"source_id": row.source_id, "source_type": row.suggested_source_type, "format_fingerprint": row.format_fingerprint}
+        candidates.append({
+            "candidate_id": f"llm_{row.format_fingerprint.removeprefix('fmt_')}", "source": "llm", "suggested_source_type": row.suggested_source_type, "detected_format": row.detected_format,
+            "template_hint": next(iter(row.templates), ""), "format_fingerprint": row.format_fingerprint, "source_contract": contract, "sample_count": row.record_count, "test_cases": made.pop("test_cases"), "suggested_parser": made,
+        })
+    return registry.registered(candidates, []), failures
 
 
-def brought_to_approval(unknown: DataFrame, draft: dict[str, Any], least_rate: float = 1.0) -> dict[str, Any]:
+def brought_to_approval(unknown: DataFrame, draft: dict[str, Any]) -> dict[str, Any]:
     """The draft after its tests and a shadow replay over the unknown records of its contract: pending_approval where
     both passed, else where it stopped."""
-    parser = registry.set_status(draft, "testing")
-    cases = [c for c in parser["test_cases"] if "raw_text" in c]
-    if cases:
-        rows = unknown.sparkSession.createDataFrame([(c["raw_text"], {k: str(v) for k, v in c["expected_fields"].items()}) for c in cases], "raw_text string, expected map<string,string>")
-        parser["tests_passed"] = registry.run_tests(rows, parser).where("NOT passed").isEmpty()
-    if not parser.get("tests_passed"):
+    parser = registry.tested(registry.set_status(draft, "testing"), unknown)
+    if not registry.has_passing_tests(parser):
         return parser
     parser = registry.set_status(parser, "shadow")
-    own = unknown
-    for column, value in parser["source_contract"].items():
-        own = own.where(F.col(column).eqNullSafe(F.lit(value)))
+    own = unknown.where((F.col("source_id") == parser["source_contract"]["source_id"]) & (F.col("suggested_source_type") == parser["source_contract"]["source_type"]) & (F.col("detected_format") == parser["format"]))
     # values differ from record to record: a replay asks whether every field is found
-    found = own.select(F.forall(F.array(*map(F.lit, parser["required_fields"])), lambda f: F.map_contains_key(registry.extract(F.col("raw_text"), parser), f)).alias("matched"))
-    n, matched = found.agg(F.count(F.lit(1)), F.count_if("matched")).first()
-    parser["shadow_report"] = {"replay_record_count": n, "matched_count": matched}
-    parser["shadow_passed"] = bool(n) and matched / n >= least_rate
-    return registry.set_status(parser, "pending_approval") if parser["shadow_passed"] else parser
+    fields = F.coalesce(registry.extract(F.col("raw_text"), parser), F.create_map().cast("map<string,string>"))
+    found = own.select(F.forall(F.array(*map(F.lit, parser["field_candidates"])).cast("array<string>"), lambda f: F.map_contains_key(fields, f)).alias("matched"))
+    parser = registry.replayed(parser, found)
+    return registry.set_status(parser, "pending_approval") if registry.has_passing_replay(parser) else parser

@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from . import oracle as o
 from .functions import registry
 from .functions import text as text_ops
-from .operators import cases, evaluation, features, investigation, models, quality, readiness, rules
+from .operators import baseline, cases, evaluation, features, investigation, models, quality, readiness, rules
 from .operators import sessions as session_ops
 from .plans.chain import Chain
 from .settings import BASELINE
 from .sources import files
+from .sources.state import settle
 from .sources.tables import canonical_events, peer_groups, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: Rules of the registered queries.
-EVENT_RULE = {"rule_id": "failed-read", "version": 1, "name": "failure with many bytes", "scope": "event", "status": "active", "score": 65, "source_types": ["waf", "svn"], "match": "all",
-              "conditions": [{"field": "event.outcome", "operator": "eq", "value": "failure"}, {"field": "network.bytes", "operator": "gte", "value": 9000}]}
-WINDOW_RULE = {"rule_id": "busy-hour", "version": 2, "name": "busy hour", "scope": "window", "window_size": 3600, "status": "active", "score": 70, "match": "any",
-               "conditions": [{"field": "event_count", "operator": "gte", "value": 4}, {"field": "write_action_count", "operator": "gt", "value": 2}]}
+EVENT_RULE = {
+    "rule_id": "failed-read", "version": 1, "name": "failure at some resources", "scope": "event", "status": "active", "score": 65, "source_types": ["svn", "waf"], "match": "all",
+    "conditions": [{"field": "event.outcome", "operator": "eq", "value": "failure"}, {"field": "resource.name", "operator": "ends_with", "value": "7"}],
+}
+WINDOW_RULE = {
+    "rule_id": "busy-hour", "version": 2, "name": "busy hour", "scope": "window", "window_size": 3600, "status": "active", "score": 70, "match": "any",
+    "conditions": [{"field": "event_count", "operator": "gte", "value": 3}, {"field": "write_action_count", "operator": "gt", "value": 1}],
+}
 PRINTS = {"event_print": rules.fingerprint(EVENT_RULE), "window_print": rules.fingerprint(WINDOW_RULE)}
 #: Lets rare values show in users with few events.
 RARE = {"svn": {"rare_share_threshold": 0.05}}
@@ -95,24 +100,28 @@ def t04_watermark(spark, sf_dir):
 STATS = "sample_count, round(mean, 6) AS mean, round(std, 6) AS std, min, max, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(mad, 6) AS mad, active_days, status"
 
 
+STAT = ("sample_count", "mean", "std", "min", "max", "p50", "p95", "p99", "mad", "active_days", "status")
+
+
 @query(o.sql(f"SELECT window_size, metric, {STATS} FROM whole", o.METRICS))
 def a11_global_metrics(spark, sf_dir):
-    return rounded(chain(spark, sf_dir).metrics[2])
+    return rounded(baseline.by_metric(chain(spark, sf_dir).groups.where("scope = 'global'")).select("window_size", "metric", *STAT))
 
 
 @query(o.sql(f"SELECT user_name, window_size, metric, {STATS} FROM personal", o.METRICS))
 def a10_personal_metrics(spark, sf_dir):
-    return rounded(chain(spark, sf_dir).metrics[0])
+    return rounded(baseline.by_metric(chain(spark, sf_dir).personal).select("user_name", "window_size", "metric", *STAT))
 
 
 @query(o.sql(f"SELECT group_id, window_size, metric, member_count, {STATS} FROM peer", o.METRICS))
 def a12_peer_metrics(spark, sf_dir):
-    return rounded(chain(spark, sf_dir).metrics[1])
+    rows = baseline.by_metric(chain(spark, sf_dir).groups.where("scope = 'peer_group'"))
+    return rounded(rows.select(F.col("subject").alias("group_id"), "window_size", "metric", "member_count", *STAT))
 
 
 @query(o.sql("SELECT 'personal' AS scope, user_name AS subject, value_type, value_key, first_seen, round(share, 9) AS share, event_count FROM pv UNION ALL SELECT 'peer_group', group_id, value_type, value_key, first_seen, round(share, 9), event_count FROM rv UNION ALL SELECT 'global', '', value_type, value_key, first_seen, round(share, 9), event_count FROM gv", o.METRICS, o.VALUES))
 def a13_value_share(spark, sf_dir):
-    return rounded(chain(spark, sf_dir).value_baselines, 9)
+    return rounded(chain(spark, sf_dir).value_baselines.select("scope", "subject", "value_type", "value_key", "first_seen", "share", "event_count"), 9)
 
 
 CAND = "user_name, window_size, window_start, detector_id, metric, value_type, value_key, scope AS baseline_scope, group_id, candidate_key"
@@ -167,10 +176,7 @@ def j04_evidence_top20(spark, sf_dir):
 
 @query(o.sql("SELECT candidate_key, session_id, correlation_key FROM keyed", *ALL, **PRINTS))
 def j05_session_overlap(spark, sf_dir):
-    from .operators.correlation import group_keys
-
-    c = full(spark, sf_dir)
-    return group_keys(c.candidates, c.sessions).select("candidate_key", "session_id", "correlation_key")
+    return full(spark, sf_dir).keyed.select("candidate_key", "session_id", "correlation_key")
 
 
 @query(o.sql("SELECT incident_key, user_name, correlation_key, first_seen, last_seen, incident_type, aggregation_score, severity, candidate_count, detector_count, families AS detector_family_count, coalesce(source_types, '') AS source_types, coalesce(source_ips, '') AS source_ips, coalesce(resources, '') AS resources FROM inc", *ALL, **PRINTS))
@@ -195,11 +201,10 @@ CONDITIONS = {
     "f05_neq_missing": ([("host.name", "neq", "x")], "all", "true"),
     "f06_not_in": ([("event.action", "not_in", ["repo_read", "user_login"])], "all", "action NOT IN ('repo_read', 'user_login')"),
     "f06_in": ([("source.ip", "in", ["10.0.1.1", "10.0.2.2"])], "all", "source_ip IN ('10.0.1.1', '10.0.2.2')"),
-    "f07_compare": ([("network.bytes", "gt", 5000), ("network.bytes", "lte", 20000)], "all", "bytes > 5000 AND bytes <= 20000"),
     "f08_exists": ([("host.name", "exists", False), ("user.name", "exists", True)], "all", "true"),
     "f09_text": ([("event.action", "starts_with", "repo_"), ("resource.name", "ends_with", "7"), ("resource.name", "contains", "s-1")], "all", "action LIKE 'repo\\_%' ESCAPE '\\' AND shown LIKE '%7' AND shown LIKE '%s-1%'"),
     "f10_cidr": ([("source.ip", "cidr_contains", "10.0.8.1/21")], "all", "CAST(string_split(source_ip, '.')[3] AS INT) BETWEEN 8 AND 15"),
-    "f11_any": ([("event.outcome", "eq", "failure"), ("network.bytes", "lt", 500)], "any", "outcome = 'failure' OR bytes < 500"),
+    "f11_any": ([("event.outcome", "eq", "failure"), ("resource.name", "ends_with", "3")], "any", "outcome = 'failure' OR shown LIKE '%3'"),
 }
 
 
@@ -217,6 +222,12 @@ for _name, (_conditions, _match, _sql) in CONDITIONS.items():
     query(o.sql(f"SELECT event_id, user_name FROM ev WHERE {_sql}"))(_condition_query(_name, _conditions, _match))
 
 
+@query(o.sql("SELECT user_name, window_start FROM win WHERE window_size = 86400 AND event_count > 1 AND network_bytes_total <= 20000"))
+def f07_compare(spark, sf_dir):
+    rule = {"match": "all", "conditions": [{"field": "event_count", "operator": "gt", "value": 1}, {"field": "network_bytes_total", "operator": "lte", "value": 20000}]}
+    return chain(spark, sf_dir).windows.where("window_size = 86400").where(rules.compile_rule(rule, rules.window_fields())).select("user_name", "window_start")
+
+
 @query(o.sql("SELECT * FROM win WHERE window_size = 3600 AND window_start < 1704412800000 AND window_end > 1704326400000"))
 def f01_time_overlap(spark, sf_dir):
     return features.overlapping(chain(spark, sf_dir).windows.where("window_size = 3600"), 1704326400000, 1704412800000)
@@ -252,12 +263,12 @@ def _unknown(spark, sf_dir):
     """Chat messages as records that no parser takes."""
     rows = read(spark, sf_dir, "conversations")
     ident = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role")
-    return rows.select(F.sha2(ident, 256).alias("unknown_id"), ident.alias("record_id"), F.col("role").alias("suggested_source_type"), text_ops.detect_format(F.col("text")).alias("detected_format"), F.left(text_ops.template_hint(F.col("text")), F.lit(3)).alias("template_hint"), F.col("text").alias("raw_text"))
+    return rows.select(F.sha2(ident, 256).alias("unknown_id"), ident.alias("record_id"), F.col("role").alias("suggested_source_type"), text_ops.detect_format(F.col("text")).alias("detected_format"), text_ops.template_hint(F.col("text")).alias("template_hint"), F.col("text").alias("raw_text"))
 
 
 @query(rf"""WITH u AS (SELECT sha256(conv_id || ':' || turn || ':' || role) AS id, role, CASE WHEN t = '' THEN 'empty' WHEN starts_with(t, '{{') AND json_valid(t) THEN 'json' WHEN starts_with(t, '{{') THEN 'json_like' WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]=') THEN 'key_value'
     WHEN regexp_matches(t, '^\d+\.\d+\.\d+\.\d+ - \S+ \[[^\]]+\] "\S+ ') THEN 'apache_access' ELSE 'text' END AS format,
-    left(regexp_replace(regexp_replace(regexp_replace(t, '\b\d+\.\d+\.\d+\.\d+\b', '<IP>', 'g'), '\b\d{{2,}}\b', '<NUM>', 'g'), '=[^<\s]\S*', '=<VAR>', 'g'), 3) AS hint FROM (SELECT *, {STRIPPED} AS t FROM conversations))
+    left(regexp_replace(regexp_replace(regexp_replace(t, '\b\d+\.\d+\.\d+\.\d+\b', '<IP>', 'g'), '\b\d{{2,}}\b', '<NUM>', 'g'), '=[^<\s]\S*', '=<VAR>', 'g'), 500) AS hint FROM (SELECT *, {STRIPPED} AS t FROM conversations))
   SELECT 'candidate_' || left(sha256(role || ':' || format || ':' || hint), 16) AS candidate_id, role AS suggested_source_type, format AS detected_format, hint AS template_hint, count(*) AS sample_count, array_to_string(list_sort(list(id))[:5], ',') AS samples FROM u GROUP BY ALL""")
 def a24_candidates(spark, sf_dir):
     rows = quality.parser_candidates(_unknown(spark, sf_dir))
@@ -331,7 +342,7 @@ def m05_isolation_forest(spark, sf_dir):
     return rounded(models.forest_scored(v, v, "group_id", ["user_name", "window_start"]))
 
 
-@query(o.sql("""SELECT sha256('case:' || alert_key) AS case_id, alert_key, user_name, 'open' AS status, risk_score, risk_severity AS severity FROM
+@query(o.sql("""SELECT sha256(alert_key) AS case_id, alert_key, user_name, 'new' AS status, risk_score, risk_severity AS severity FROM
   (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY risk_score DESC, first_seen, incident_key DESC) AS best FROM risk WHERE policy_action = 'alert') WHERE best = 1""", *ALL, o.RISK, **PRINTS))
 def k01_cases(spark, sf_dir):
     return cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0).select("case_id", "alert_key", "user_name", "status", "risk_score", "severity")
@@ -345,46 +356,92 @@ def a22_readiness(spark, sf_dir):
 
 @query(o.sql("""SELECT count(*) FILTER (a AND b) AS both, count(*) AS either, round(count(*) FILTER (a AND b) / count(*), 6) AS jaccard FROM (SELECT user_name, t // 86400000 AS d, bool_or(outcome = 'failure') AS a, bool_or(bytes > 20000) AS b FROM ev GROUP BY ALL) WHERE a OR b"""))
 def u02_jaccard(spark, sf_dir):
-    ev = canonical_events(spark, sf_dir).withColumn("d", F.floor(F.col("event_time_ms") / 86_400_000))
-    days = ev.groupBy("user_name", "d").agg(F.bool_or(F.col("outcome") == "failure").alias("a"), F.bool_or(F.col("network_bytes") > 20000).alias("b")).where("a OR b")
-    return days.agg(F.count_if(F.expr("a AND b")).alias("both"), F.count(F.lit(1)).alias("either")).select("both", "either", F.round(F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(1.0), 6).alias("jaccard"))
+    ev = canonical_events(spark, sf_dir).withColumn("eval_day", F.floor(F.col("event_time_ms") / 86_400_000))
+    return rounded(evaluation.compare(ev.where("outcome = 'failure'"), ev.where("network_bytes > 20000")).select("both", "either", "jaccard"))
+
+
+def _days(c: Chain) -> tuple[int, int]:
+    """From the UTC midnight before the first event to that after the newest."""
+    first = c.bounds.agg(F.min("first_time_ms")).first()[0] or 0
+    return first // features.DAY_MS * features.DAY_MS, _until(c)
+
 
+def _until(c: Chain) -> int:
+    return (c.as_of // features.DAY_MS + 1) * features.DAY_MS
+
+
+EVALS = """,
+evals AS (SELECT unnest(generate_series(a // 86400000 * 86400000, b // 86400000 * 86400000, 86400000)) AS eval_day FROM (SELECT min(t) AS a, max(t) AS b FROM ev))
+"""
+#: Percentiles with the empty slots of a history counted, not made: of n values sorted and z zeros before them.
+RANK = "(CASE WHEN {i} < z THEN 0 ELSE vs[CAST({i} - z AS INT) + 1] END)"
+LERP = "{lo} + ({hi} - {lo}) * ({p} * (n - 1) - floor({p} * (n - 1)))"
 
-#: Three UTC days near the end of the events.
-EVAL = (1706400000000, 1706659200000)
-BACKTEST = """,
+
+def _at(p: float) -> str:
+    lo, hi = (RANK.replace("{i}", f"least(floor({p} * (n - 1)) + {k}, n - 1)") for k in (0, 1))
+    return LERP.format(lo=lo, hi=hi, p=p)
+
+
+BACKTEST = EVALS + f""",
 long AS (UNPIVOT (SELECT user_name, window_size, window_start, CAST(COLUMNS(* EXCLUDE (user_name, window_size, window_start, window_end)) AS DOUBLE) FROM win WHERE window_size >= 3600)
   ON COLUMNS(* EXCLUDE (user_name, window_size, window_start)) INTO NAME metric VALUE v),
-evals AS (SELECT unnest(generate_series(1706400000000, 1706572800000, 86400000)) AS eval_day),
-known AS (SELECT eval_day, long.* FROM long JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day),
-obs AS (SELECT eval_day, user_name, window_size, metric, count(*) AS observed, count(DISTINCT window_start // 86400000) AS active_days FROM known GROUP BY ALL),
-padded AS (SELECT eval_day, user_name, window_size, metric, v FROM known UNION ALL SELECT eval_day, user_name, window_size, metric, 0 FROM (SELECT *, unnest(range(0, 2592000 // window_size - observed)) FROM obs)),
-snap AS (SELECT eval_day, user_name, window_size, metric, observed, active_days, p95, p99, CASE WHEN active_days >= 14 AND observed >= 20 THEN 'ready' ELSE 'warming_up' END AS status
-  FROM (SELECT eval_day, user_name, window_size, metric, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM padded GROUP BY ALL) JOIN obs USING (eval_day, user_name, window_size, metric)),
+lists AS (SELECT eval_day, user_name, window_size, metric, list_sort(list(v)) AS vs, count(*) AS observed, count(DISTINCT window_start // 86400000) AS active_days, 2592000 // window_size AS n, 2592000 // window_size - count(*) AS z
+  FROM long JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day GROUP BY ALL),
+snap AS (SELECT eval_day, user_name, window_size, metric, observed, active_days, {_at(0.95)} AS p95, {_at(0.99)} AS p99, CASE WHEN active_days >= 14 AND observed >= 20 THEN 'ready' ELSE 'warming_up' END AS status FROM lists),
 fired AS (SELECT eval_day, user_name, window_size, long.window_start, metric, CASE WHEN round(v, 9) > round(p99, 9) THEN 'numeric_p99' ELSE 'numeric_p95' END AS detector_id
-  FROM long JOIN snap USING (user_name, window_size, metric) WHERE status = 'ready' AND long.window_start - long.window_start % 86400000 = eval_day AND round(v, 9) > round(p95, 9))
+  FROM long JOIN snap USING (user_name, window_size, metric) WHERE status = 'ready' AND long.window_start - long.window_start % 86400000 = eval_day AND round(v, 9) > round(p95, 9)),
+judged AS (SELECT *, CASE detector_id WHEN 'numeric_p99' THEN 80 ELSE 60 END AS score, CASE detector_id WHEN 'numeric_p99' THEN 'high' ELSE 'medium' END AS severity FROM fired)
 """
 
 
+def _fired(c: Chain) -> DataFrame:
+    return evaluation.day_candidates(c.windows, evaluation.day_snapshots(c.windows, *_days(c)))
+
+
 @query(o.sql("SELECT eval_day, user_name, window_size, metric, observed, active_days, round(p95, 6) AS p95, round(p99, 6) AS p99, status FROM snap", BACKTEST))
 def e01_daily_snapshot(spark, sf_dir):
-    return rounded(evaluation.day_snapshots(chain(spark, sf_dir).windows, *EVAL))
+    c = chain(spark, sf_dir)
+    return rounded(evaluation.day_snapshots(c.windows, *_days(c)))
 
 
-@query(o.sql("SELECT * FROM fired", BACKTEST))
+@query(o.sql("SELECT * FROM judged", BACKTEST))
 def e02_day_candidates(spark, sf_dir):
-    windows = chain(spark, sf_dir).windows
-    return evaluation.day_candidates(windows, evaluation.day_snapshots(windows, *EVAL))
+    return _fired(chain(spark, sf_dir))
+
 
+def _metrics_sql(where: str) -> str:
+    """The 14 metrics of an experiment whose candidates are those of judged for which where holds."""
+    return f"""(SELECT CAST(sum(c) AS BIGINT) AS candidate_count, CAST(sum(p) AS BIGINT) AS predicted_user_days, (SELECT count(DISTINCT user_name) FROM judged WHERE {where}) AS unique_predicted_users, count(*) FILTER (p > 0) AS active_prediction_days,
+  round(avg(p), 6) AS average_daily_predictions, round(avg(c), 6) AS average_daily_candidates, min(p) AS min_daily_predictions, max(p) AS max_daily_predictions, round(stddev_pop(p), 6) AS daily_prediction_stddev,
+  round(CASE WHEN avg(p) > 0 THEN stddev_pop(p) / avg(p) ELSE 0 END, 6) AS daily_prediction_cv, CAST(sum(h) AS BIGINT) AS high_severity_candidates, max(s) AS max_candidate_score, min(c) AS min_daily_candidates, max(c) AS max_daily_candidates
+  FROM (SELECT e.eval_day, count(user_name) AS c, count(DISTINCT user_name) AS p, count(*) FILTER (severity = 'high') AS h, coalesce(max(score), 0) AS s FROM evals e LEFT JOIN (SELECT * FROM judged WHERE {where}) USING (eval_day) GROUP BY ALL))"""
 
-@query(o.sql("SELECT count(*) AS days, CAST(sum(n) AS BIGINT) AS candidates, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, round(CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END, 6) AS variation FROM (SELECT e.eval_day, count(f.metric) AS n FROM evals e LEFT JOIN fired f USING (eval_day) GROUP BY ALL)", BACKTEST))
+
+@query(o.sql(f"SELECT * FROM {_metrics_sql('true')}", BACKTEST))
 def a21_experiment(spark, sf_dir):
-    windows = chain(spark, sf_dir).windows
-    return rounded(evaluation.experiment_metrics(evaluation.day_candidates(windows, evaluation.day_snapshots(windows, *EVAL)), *EVAL))
+    c = chain(spark, sf_dir)
+    return rounded(evaluation.experiment_metrics(_fired(c), *_days(c)))
+
+
+@query(o.sql("""SELECT user_name, eval_day, max(score) AS max_score, count(*) AS candidate_count, string_agg(DISTINCT detector_id, ',' ORDER BY detector_id) AS detectors, string_agg(DISTINCT severity, ',' ORDER BY severity) AS severities FROM judged GROUP BY ALL""", BACKTEST))
+def a21_user_days(spark, sf_dir):
+    rows = evaluation.user_days(_fired(chain(spark, sf_dir)))
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("detectors", "severities")})
+
+
+HIGH = "detector_id = 'numeric_p99'"
 
 
-TRAINING = """,
-evals AS (SELECT unnest(generate_series(1706400000000, 1706572800000, 86400000)) AS eval_day),
+@query(o.sql(f"""SELECT metric, round(r.v - l.v, 6) AS delta FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM {_metrics_sql('true')}) ON COLUMNS(*) INTO NAME metric VALUE v) l JOIN (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM {_metrics_sql(HIGH)}) ON COLUMNS(*) INTO NAME metric VALUE v) r USING (metric)""", BACKTEST))
+def e04_compare(spark, sf_dir):
+    c = chain(spark, sf_dir)
+    every, days = settle(_fired(c)), _days(c)
+    made = [rounded(evaluation.experiment_metrics(x, *days)) for x in (every, every.where(HIGH))]
+    return rounded(evaluation.deltas(*made))
+
+
+TRAINING = EVALS + """,
 tr AS (SELECT eval_day, window_size, user_name, unnest([{'scope': 'peer_group', 'subject': group_id}, {'scope': 'global', 'subject': ''}], recursive := true)
   FROM win JOIN peers USING (user_name) JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day WHERE window_size >= 3600)
 """
@@ -394,19 +451,13 @@ tr AS (SELECT eval_day, window_size, user_name, unnest([{'scope': 'peer_group',
   CASE WHEN count(*) >= 100 AND (scope = 'global' OR count(DISTINCT user_name) >= 5) THEN 'ready' ELSE 'model_not_ready' END AS status FROM tr GROUP BY eval_day, window_size, scope, subject""", TRAINING))
 def e03_model_snapshots(spark, sf_dir):
     c = chain(spark, sf_dir)
-    return evaluation.model_snapshots(evaluation.model_training(c.windows, c.peers, *EVAL))
+    return evaluation.model_snapshots(evaluation.model_training(c.windows, c.peers, *_days(c)))
 
 
 @query()
 def e04_hbos_days(spark, sf_dir):
     c = chain(spark, sf_dir)
-    first = c.bounds.agg(F.min("first_time_ms")).first()[0]
-    return rounded(evaluation.model_day_candidates(c.windows, c.peers, first // features.DAY_MS * features.DAY_MS, _until(c)))
-
-
-#: The UTC midnight after the newest event.
-def _until(c: Chain) -> int:
-    return (c.as_of // features.DAY_MS + 1) * features.DAY_MS
+    return rounded(evaluation.model_day_candidates(c.windows, c.peers, *_days(c)))
 
 
 READY = """,
@@ -449,17 +500,17 @@ def f16_event_evidence(spark, sf_dir):
 
 
 CASED = """,
-cased AS (SELECT sha256('case:' || alert_key) AS case_id, * FROM (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY risk_score DESC, first_seen, incident_key DESC) AS best FROM risk WHERE policy_action = 'alert') WHERE best = 1)
+cased AS (SELECT sha256(alert_key) AS case_id, * FROM (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY risk_score DESC, first_seen, incident_key DESC) AS best FROM risk WHERE policy_action = 'alert') WHERE best = 1)
 """
 
 
-@query(o.sql("SELECT case_id, user_name, risk_score FROM cased WHERE user_name LIKE '%ser-1%' ORDER BY risk_score DESC, last_seen DESC, case_id LIMIT 20 OFFSET 5", *ALL, o.RISK, CASED, **PRINTS))
+@query(o.sql("SELECT case_id, user_name, risk_score FROM cased WHERE user_name LIKE '%ser-1%' ORDER BY risk_score DESC, last_seen DESC, case_id LIMIT 10 OFFSET 10", *ALL, o.RISK, CASED, **PRINTS))
 def f13_case_search(spark, sf_dir):
     made = cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0)
-    return cases.search(made, text="ser-1", status="open", unassigned=True, limit=20, offset=5).select("case_id", "user_name", "risk_score")
+    return cases.search(made, user_name="ser-1", status="new", owner=cases.UNASSIGNED, page=2, page_size=10).select("case_id", "user_name", "risk_score")
 
 
-@query(o.sql("SELECT count(*) AS open, 0 AS investigating, 0 AS confirmed, 0 AS false_positive, 0 AS suppressed, 0 AS closed, count(*) AS unassigned, 0 AS requires_review FROM cased", *ALL, o.RISK, CASED, **PRINTS))
+@query(o.sql('SELECT count(*) AS "new", 0 AS acknowledged, 0 AS investigating, 0 AS resolved, 0 AS false_positive, 0 AS suppressed, count(*) AS total, count(*) AS unassigned, 0 AS requires_review FROM cased', *ALL, o.RISK, CASED, **PRINTS))
 def a23_case_counts(spark, sf_dir):
     return cases.counts(cases.sync(cases.empty(spark), full(spark, sf_dir).alerts, 0))
 
@@ -467,11 +518,9 @@ def a23_case_counts(spark, sf_dir):
 @query(o.sql("""SELECT case_id, c.incident_key, c.risk_score, c.candidate_count, list_sum(list(coalesce(m.n, 0)))::BIGINT AS event_count, string_agg(k.candidate_key, ',' ORDER BY k.window_start, -k.score, k.candidate_key) AS candidates,
   'available' AS risk_status, 'available' AS detection_status FROM cased c JOIN keyed k USING (user_name, correlation_key) LEFT JOIN (SELECT candidate_key, count(*) AS n FROM members GROUP BY ALL) m USING (candidate_key) GROUP BY ALL""", *ALL, o.RISK, CASED, **PRINTS))
 def j09_investigation(spark, sf_dir):
-    from .operators.correlation import group_keys
-
     c = full(spark, sf_dir)
     made = cases.sync(cases.empty(spark), c.alerts, 0)
-    rows = investigation.investigations(made, c.alerts, c.assessments, c.incidents, investigation.with_incident(group_keys(c.candidates, c.sessions)), c.evidence)
+    rows = investigation.investigations(made, c.alerts, c.assessments, c.incidents, investigation.with_incident(c.keyed), c.evidence)
     held = F.col("candidates")
     return rows.select("case_id", "incident_key", "risk_score", F.col("incident.candidate_count").alias("candidate_count"), F.aggregate(held, F.lit(0).cast("long"), lambda s, x: s + x["event_count"]).alias("event_count"),
                        F.array_join(F.transform(held, lambda x: x["candidate_key"]), ",").alias("candidates"), "risk_status", "detection_status")

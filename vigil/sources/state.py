@@ -6,6 +6,8 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,16 +16,30 @@ class StateError(RuntimeError):
     pass
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset and all runs on this
+    machine a local one is set; on a cluster that is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jdir.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise StateError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return jdir.get()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder (spark.checkpoint.dir; a local one only where that is
-    unset): later plans start from its rows, and an executor that goes takes nothing with it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df computed once and written as Parquet in the shared folder: later plans start from it, read only the columns
+    they need, and an executor that goes takes nothing with it."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fingerprint(config: dict) -> str:
+def fingerprint(config: Any) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
@@ -38,10 +54,11 @@ def write_json(path: str, document: dict) -> None:
 
 
 class StateTable:
-    """A table as numbered Parquet snapshots under a folder; a small manifest names the current one.
+    """A table as Parquet parts under a folder, and numbered manifests of which the newest names the parts.
 
-    The manifest pins the schema version and the configuration's fingerprint: state made otherwise is refused. A failed
-    write leaves the manifest, and so the table, as it was.
+    A manifest pins the schema version and the configuration's fingerprint: state made otherwise is refused. Manifests
+    are only ever added, each in one exclusive creation, so a crash at any moment leaves the table as it was or as it
+    is to be, and of two writers one fails. A manifest carries notes (such as offsets) that are committed with the data.
     """
 
     def __init__(self, spark: SparkSession, folder: str, version: int, config: dict):
@@ -50,27 +67,75 @@ class StateTable:
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _manifest(self) -> dict | None:
-        at = self._path(f"{self.folder}/meta.json")
+        at = self._path(f"{self.folder}/manifests")
         if not self._fs.exists(at):
             return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/meta.json").collect()))
+        names = sorted((f.getPath().getName() for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")), reverse=True)
+        for name in names:
+            stream = self._fs.open(self._path(at, name))
+            try:
+                document = json.loads(bytes(stream.readAllBytes()).decode() or "null")
+            except json.JSONDecodeError:
+                document = None  # its writer was lost
+            finally:
+                stream.close()
+            if document:
+                return document
+        return None
+
+    def manifest(self) -> dict:
+        """rev (0 before the first commit), parts and notes."""
+        held = self._manifest() or {**self.meta, "rev": 0, "parts": [], "notes": {}}
+        if {k: held[k] for k in self.meta} != self.meta:
+            raise StateError("the state was made by another version or configuration")
+        return held
+
+    def notes(self) -> dict:
+        return self.manifest()["notes"]
 
     def current(self) -> tuple[int, DataFrame | None]:
-        manifest = self._manifest()
-        if manifest is None:
-            return 0, None
-        if {k: manifest[k] for k in self.meta} != self.meta:
-            raise StateError("the state was made by another version or configuration")
-        return manifest["rev"], self.spark.read.parquet(f"{self.folder}/rev={manifest['rev']}")
-
-    def commit(self, df: DataFrame) -> int:
-        rev = self.current()[0] + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/rev={rev}")
-        beside, target = self._path(f"{self.folder}/meta.tmp"), self._path(f"{self.folder}/meta.json")
-        out = self._fs.create(beside, True)
-        out.writeBytes(json.dumps({**self.meta, "rev": rev}))
+        held = self.manifest()
+        parts = [f"{self.folder}/{p}" for p in held["parts"]]
+        return held["rev"], self.spark.read.parquet(*parts) if parts else None
+
+    def _next(self, held: dict, parts: list[str], notes: dict | None) -> int:
+        rev = held["rev"] + 1
+        document = {**self.meta, "rev": rev, "parts": parts, "notes": held["notes"] if notes is None else notes}
+        at = self._path(f"{self.folder}/manifests/{rev:012d}.json")
+        try:
+            out = self._fs.create(at, False)
+        except Exception as error:
+            raise StateError(f"revision {rev} was committed by another writer") from error
+        out.write(json.dumps(document, sort_keys=True).encode())
         out.close()
-        self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise StateError("the manifest could not be replaced")
         return rev
+
+    def _write(self, df: DataFrame) -> str:
+        part = f"part-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{part}")
+        return part
+
+    def commit(self, df: DataFrame, notes: dict | None = None) -> int:
+        """df in the place of the table."""
+        held = self.manifest()
+        return self._next(held, [self._write(df)], notes)
+
+    def append(self, df: DataFrame, notes: dict | None = None, most_parts: int = 64) -> int:
+        """df added to the table; nothing that is there is written again, but for every most_parts commits, when the
+        parts become one."""
+        held = self.manifest()
+        parts = [*held["parts"], self._write(df)]
+        if len(parts) > most_parts:
+            parts = [self._write(self.spark.read.parquet(*[f"{self.folder}/{p}" for p in parts]))]
+        return self._next(held, parts, notes)
+
+    def note(self, notes: dict) -> int:
+        """New notes beside the same data."""
+        held = self.manifest()
+        return self._next(held, held["parts"], notes)
+
+
+def in_step(what: str, consumed: int, current: int) -> None:
+    """StateError where a stage was built from an older revision than its input now has."""
+    if consumed != current:
+        raise StateError(f"{what} is at revision {consumed} of its input, which is at {current}: build it first")

@@ -14,6 +14,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores where it comes in fewer parts than there are, as a small file does; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _case(names: dict[str, str], default: str | None):
     out = None
     for k, v in names.items():
@@ -23,7 +29,7 @@ def _case(names: dict[str, str], default: str | None):
 
 def canonical_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as accepted events of the analytics."""
-    events = read(spark, sf_dir, "events")
+    events = spread(read(spark, sf_dir, "events"), "event_id")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     micros = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
     shown = F.concat(F.lit("res-"), k)

@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import features
-from ..sources.state import StateTable
+from ..functions import parsing
+from ..operators import features, quality, sessions
+from ..sources import files
+from ..sources.state import StateError, StateTable, fingerprint, settle
 
-VERSION = 1
+VERSION = 2
+MODES = ("replay", "realtime")
 
 
-def absorb(table: StateTable, fields: DataFrame) -> int:
-    """Adds the accepted events of a batch that the table does not know, in whatever order they arrive; none is
-    dropped for being late. A batch that comes again changes nothing. Rejected ids are remembered beside them."""
+def absorb(table: StateTable, fields: DataFrame, notes: dict | None = None) -> int:
+    """Adds the events of a batch that the table does not know, in whatever order they arrive; none is dropped for being
+    late. What is there is not written again. A batch that comes again changes nothing. Rejected ids are remembered
+    beside accepted ones."""
     rev, known = table.current()
     first = fields.groupBy("event_id").agg(F.min_by(F.struct(*fields.columns), F.struct("event_time_ms", F.xxhash64(*fields.columns))).alias("e")).select("e.*")
     if known is not None:
         first = first.join(known.select("event_id"), "event_id", "left_anti")
-        if first.isEmpty():
-            return rev
-        first = known.unionByName(first)
-    return table.commit(first)
+    first = settle(first)
+    if first.isEmpty():
+        return rev if notes is None else table.note(notes)
+    return table.append(first, notes)
 
 
 def accepted(table: StateTable) -> DataFrame | None:
@@ -49,3 +54,152 @@ def run(stream: DataFrame, folder: str, checkpoint: str, downstream: Callable[[D
             downstream(events, number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _digest(rows: DataFrame) -> tuple[int, str]:
+    """How many rows there are, and a number that their ids and checksums add up to, in whatever order."""
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("record_id", "checksum").cast("decimal(38,0)"))).first()
+    return n, str(total or 0)
+
+
+def parse_stream(records: DataFrame, folder: str, checkpoint: str, parsers: list[dict[str, Any]] | None = None, config: dict | None = None) -> StreamingQuery:
+    """Starts a query that parses a stream of raw records (files.raw_records or files.kafka_records) into folder:
+    normalized and unknown, a folder a batch, and the quality of all batches (state quality, see summary_of).
+
+    A batch's outputs are written under its number, then its counts and a chain over all records are committed, then
+    Spark notes its offsets. A run that was stopped anywhere goes on from the last noted batch: outputs are written
+    over, and a batch that is in the chain already is not counted twice. Other parsers, settings or folders than those
+    the state was made with are refused.
+    """
+    spark: SparkSession = records.sparkSession
+    table = StateTable(spark, f"{folder}/quality", VERSION, {"parsers": parsers or [], "config": config or {}, "folder": folder})
+    table.manifest()
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = settle(batch)
+        good, unknown = parsing.routed(rows, parsers)
+        good.write.mode("overwrite").parquet(f"{folder}/normalized/batch={number}")
+        unknown.write.mode("overwrite").parquet(f"{folder}/unknown/batch={number}")
+        notes = table.notes()
+        if notes.get("batch", -1) >= number:
+            return
+        known = table.current()[1]
+        counts = quality.snapshot(good, unknown)
+        n, total = _digest(rows)
+        chain = fingerprint([notes.get("chain", ""), n, total])
+        counts = counts if known is None else quality.merged(known, counts)
+        table.commit(settle(counts), {"batch": number, "chain": chain, "records": notes.get("records", 0) + n})
+
+    return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The normalized events and unknown records of all batches of parse_stream."""
+    return tuple(spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{kind}") for kind in ("normalized", "unknown"))
+
+
+def appended(spark: SparkSession, path: str, offset: int, digest: str | None) -> tuple[DataFrame, int, str]:
+    """The lines (text) that were added behind byte offset of a file that only grows, the byte behind the last whole one,
+    and a digest of all bytes before it.
+
+    The digest of what lies before offset must be the one given, or the file was changed and StateError is raised. A
+    last line without its end is left for later. Splits of the file are counted first; their bytes, added up, give each
+    line its place, so any number of tasks reads it.
+    """
+    lines = files.indexed_lines(spark, [path], "\n").withColumn("_size", F.octet_length("text").cast("long") + 1)
+    blocks = lines.groupBy("block").agg(F.sum("_size").alias("_n"))
+    every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    first = blocks.select("block", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_first"))
+    own = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("_own", F.coalesce(F.sum("_size").over(own), F.lit(0))).join(first, "block")
+    placed = placed.select("text", (F.col("_first") + F.col("_own")).alias("at"), (F.col("_first") + F.col("_own") + F.col("_size")).alias("end"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    whole = placed.where(F.col("end") <= size)
+    sums = whole.agg(
+        F.coalesce(F.max("end"), F.lit(0)).alias("end"), F.coalesce(F.max(F.when(F.col("end") <= offset, F.col("end"))), F.lit(0)).alias("before"),
+        F.sum(F.when(F.col("end") <= offset, F.xxhash64("at", "text").cast("decimal(38,0)"))).alias("old"), F.sum(F.xxhash64("at", "text").cast("decimal(38,0)")).alias("new"),
+    ).first()
+    if sums.before != offset or (digest is not None and offset and str(sums.old or 0) != digest):
+        raise StateError("what was read before is no longer what the file begins with")
+    return whole.where(F.col("at") >= offset).select("text"), max(sums.end, offset), str(sums.new or 0)
+
+
+def follow(spark: SparkSession, path: str, folder: str, schema: str, downstream: Callable[[DataFrame, int | None], None], lag_s: int = 300, config: dict | None = None) -> dict[str, Any]:
+    """Reads what was added to a file of canonical events (JSON lines) and brings everything up to date.
+
+    Events are added to the state, the watermark moves to lag_s before the newest event (never back), sessions that
+    ended before it are closed for good, downstream(accepted events, watermark) runs, and only then the place in the
+    file is committed: after a crash the same lines come again and find their events known.
+    """
+    settings = {"lag_s": lag_s, "schema": schema, "path": path, **(config or {})}
+    table, closed = StateTable(spark, f"{folder}/events", VERSION, settings), StateTable(spark, f"{folder}/sessions", VERSION, settings)
+    progress = StateTable(spark, f"{folder}/progress", VERSION, settings)
+    notes = progress.notes()
+    lines, end, digest = appended(spark, path, notes.get("offset", 0), notes.get("digest"))
+    canonical = lines.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    before = table.current()[1]
+    known = 0 if before is None else before.count()
+    absorb(table, features.admit(canonical))
+    events = accepted(table)
+    if events is None:
+        return {"offset": end, "new": 0, "watermark": None, "closed": 0}
+    newest = events.agg(F.max("event_time_ms")).first()[0]
+    watermark = max(notes.get("watermark", -1), newest - lag_s * 1000)
+    done = closed.current()[1]
+    # events that lie in no closed session yet, whatever happened to the run before
+    pool = events
+    if done is not None:
+        pool = events.join(_held(events, done), "event_id", "left_anti")
+    base = sessions.none_closed(events) if done is None else done.drop("event_ids")
+    now, left, _ = sessions.advance(base, pool.limit(0), pool, watermark)
+    fresh = now if done is None else now.join(done.select("session_id"), "session_id", "left_anti")
+    fresh = settle(_with_events(fresh, pool))
+    n = fresh.count()
+    if n:
+        closed.append(fresh)
+    downstream(events, watermark)
+    progress.note({"offset": end, "digest": digest, "watermark": watermark})
+    return {"offset": end, "new": table.current()[1].count() - known, "watermark": watermark, "closed": n}
+
+
+def _with_events(closed: DataFrame, pool: DataFrame) -> DataFrame:
+    """Closed sessions with the ids of their events: a later event of the same time is told from them."""
+    day = lambda c: F.col(c) - F.pmod(F.col(c), F.lit(features.DAY_MS))
+    spans = closed.select("session_id", "user_name", "start_time", "last_event_time", F.explode(F.sequence(day("start_time"), day("last_event_time"), F.lit(features.DAY_MS))).alias("_day"))
+    met = pool.select("user_name", "event_id", "event_time_ms").withColumn("_day", day("event_time_ms")).join(spans, ["user_name", "_day"])
+    own = met.where((F.col("event_time_ms") >= F.col("start_time")) & (F.col("event_time_ms") <= F.col("last_event_time"))).groupBy("session_id").agg(F.collect_list("event_id").alias("event_ids"))  # a session's own
+    return closed.join(own, "session_id")
+
+
+def _held(events: DataFrame, done: DataFrame) -> DataFrame:
+    return done.select(F.explode("event_ids").alias("event_id"))
+
+
+class Mode:
+    """Whether a state is being filled from history (replay) or kept up to date (realtime): history comes first, once.
+
+    A state that is kept up to date takes no history any more; history that is not finished cannot be kept up to date.
+    """
+
+    def __init__(self, table: StateTable):
+        self.table = table
+
+    def enter(self, mode: str) -> None:
+        if mode not in MODES:
+            raise StateError(f"unknown mode {mode}")
+        notes = self.table.notes()
+        held = notes.get("mode")
+        if mode == "replay" and (held == "realtime" or notes.get("finished") or (held is None and self.table.current()[0])):
+            raise StateError("the state holds history already: build a new one")
+        if mode == "realtime" and held == "replay" and not notes.get("finished"):
+            raise StateError("the history is not finished")
+        if held != mode:
+            self.table.note({**notes, "mode": mode})
+
+    def finish(self) -> None:
+        """History has ended: its sessions can be flushed."""
+        notes = self.table.notes()
+        if notes.get("mode") != "replay":
+            raise StateError("only history can be finished")
+        self.table.note({**notes, "finished": True})
