@@ -73,3 +73,22 @@ def test_registered_model_backtest_judges_every_day(spark, monkeypatch):
     times = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("min(ts) AS a", "max(ts) AS b").first()
     day = lambda t: int(t.replace(tzinfo=__import__("datetime").timezone.utc).timestamp()) // 86_400 * DAY_MS
     assert seen == [(day(times.a), day(times.b) + DAY_MS)]
+
+
+def test_forest_scores_against_a_plain_walk(spark):
+    """Each tree sees 256 of all rows; a row's score is what walking every tree node by node gives."""
+    v = models.features(windows(spark, 30, 20)).withColumn("g", F.lit("all")).cache()
+    forest = models.fit_forest(v, "g", trees=12).collect()
+    assert sorted(t.tree for t in forest) == [*range(12)] and {t["take"] for t in forest} == {256}
+    got = {(r.user_name, r.window_start): r.raw for r in models.forest_scores(v, spark.createDataFrame(forest), "g", ["user_name", "window_start"], block=100).collect()}
+
+    def depth(tree, row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] + (row[models.FEATURES[tree.feature[at]]] > tree.split[at])
+        return tree.path[at]
+
+    n = models.average_path(256)
+    for row in v.collect():
+        mean = sum(depth(t, row) for t in forest) / 12
+        assert abs(got[row.user_name, row.window_start] - 2 ** (-mean / n)) < 1e-8

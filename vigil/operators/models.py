@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.state import settle
@@ -93,30 +93,26 @@ def scored(vectors: DataFrame, training: DataFrame, group: str, keys: list[str],
     return rows.withColumn("top_features", F.transform(F.slice("contributions", 1, TOP), lambda x: x["feature"])).drop("contributions")
 
 
-def _forest(rows: np.ndarray, trees: int, seed: int) -> list[dict]:
-    """Isolation trees, each over up to MAX_SAMPLES rows: arrays of split feature (-1 at a leaf), split, left child, and
-    the path length a leaf stands for."""
-    out, n = [], len(rows)
-    take = min(MAX_SAMPLES, n)
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        feature, split, left, path = [], [], [], []
-        todo = [(rng.choice(n, take, replace=False), 0)]
-        while todo:  # breadth first: children are added in pairs, so the right one follows the left
-            own, depth = todo.pop(0)
-            x = rows[own]
-            low, high = x.min(0), x.max(0)
-            open_ = np.flatnonzero(high > low)
-            if len(own) <= 1 or depth >= math.ceil(math.log2(max(take, 2))) or not len(open_):
-                feature.append(-1), split.append(0.0), left.append(-1), path.append(depth + average_path(len(own)))
-                continue
-            f = int(rng.choice(open_))
-            s = float(rng.uniform(low[f], high[f]))
-            below = x[:, f] <= s
-            feature.append(f), split.append(s), left.append(len(feature) + len(todo)), path.append(0.0)
-            todo += [(own[below], depth + 1), (own[~below], depth + 1)]
-        out.append({"tree": t, "feature": feature, "split": split, "left": left, "path": path, "take": take})
-    return out
+def _tree(rows: np.ndarray, seed: int, t: int) -> dict:
+    """An isolation tree over rows: arrays of split feature (-1 at a leaf), split, left child (the right one follows it),
+    and the path length a leaf stands for."""
+    take, rng = len(rows), np.random.default_rng([seed, t])
+    feature, split, left, path = [], [], [], []
+    todo = [(np.arange(take), 0)]
+    while todo:  # breadth first: children are added in pairs, so the right one follows the left
+        own, depth = todo.pop(0)
+        x = rows[own]
+        low, high = x.min(0), x.max(0)
+        open_ = np.flatnonzero(high > low)
+        if len(own) <= 1 or depth >= math.ceil(math.log2(max(take, 2))) or not len(open_):
+            feature.append(-1), split.append(0.0), left.append(-1), path.append(depth + average_path(len(own)))
+            continue
+        f = int(rng.choice(open_))
+        s = float(rng.uniform(low[f], high[f]))
+        below = x[:, f] <= s
+        feature.append(f), split.append(s), left.append(len(feature) + len(todo)), path.append(0.0)
+        todo += [(own[below], depth + 1), (own[~below], depth + 1)]
+    return {"feature": feature, "split": split, "left": left, "path": path, "take": take}
 
 
 def average_path(n: int) -> float:
@@ -127,22 +123,25 @@ def average_path(n: int) -> float:
 def fit_forest(training: DataFrame, group: str, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """The isolation trees of each group of MIN_ROWS and more: group, tree, feature, split, left, path, take.
 
-    Trees see MAX_SAMPLES rows each, so a group's pool is bounded at about trees * MAX_SAMPLES rows, chosen by hash: all
-    rows of smaller groups. A pool is one task's work, whatever the group's size.
+    Each tree sees MAX_SAMPLES rows of all of the group's, those of least hash for the tree. Rows whose hash is far from
+    the least are passed over where they are, so what is shuffled are some hundred rows a tree, whatever the group's size,
+    and each tree is a task's work of its own.
     """
-    pool = trees * MAX_SAMPLES
+    most = MAX_SAMPLES + 8 * math.isqrt(MAX_SAMPLES)  # so many are expected below the bound: enough but for one case in 10^9
     sizes = training.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_ROWS)
     named = training.select(group, F.xxhash64(*sorted(training.columns)).alias("_h"), *FEATURES).join(sizes, group)
-    chosen = named.where((F.col("_n") <= pool) | (F.pmod("_h", F.col("_n")) < pool)).drop("_n")
+    place = lambda t: F.pmod(F.xxhash64("_h", t), F.col("_n"))
+    chosen = named.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: place(t) < most)))
+    chosen = chosen.withColumn("_i", F.row_number().over(Window.partitionBy(group, "tree").orderBy(place(F.col("tree")), "_h"))).where(F.col("_i") <= MAX_SAMPLES)
     kind = training.schema[group].dataType.simpleString()
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_h", *FEATURES])  # the same rows, the same trees
-        made = pd.DataFrame(_forest(part[list(FEATURES)].to_numpy(), trees, seed))
-        made.insert(0, group, part[group].iloc[0])
+        part = part.sort_values("_i")  # the same rows, the same trees
+        t = int(part["tree"].iloc[0])
+        made = pd.DataFrame([{group: part[group].iloc[0], "tree": t, **_tree(part[list(FEATURES)].to_numpy(), seed, t)}])
         return made
 
-    return chosen.groupBy(group).applyInPandas(fit, f"{group} {kind}, tree int, feature array<int>, split array<double>, left array<int>, path array<double>, take int")
+    return chosen.select(group, "tree", "_i", *FEATURES).groupBy(group, "tree").applyInPandas(fit, f"{group} {kind}, tree int, feature array<int>, split array<double>, left array<int>, path array<double>, take int")
 
 
 def forest_scores(vectors: DataFrame, forest: DataFrame, group: str, keys: list[str], block: int = 20_000) -> DataFrame:

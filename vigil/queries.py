@@ -387,7 +387,7 @@ BACKTEST = EVALS + f""",
 long AS (UNPIVOT (SELECT user_name, window_size, window_start, CAST(COLUMNS(* EXCLUDE (user_name, window_size, window_start, window_end)) AS DOUBLE) FROM win WHERE window_size >= 3600)
   ON COLUMNS(* EXCLUDE (user_name, window_size, window_start)) INTO NAME metric VALUE v),
 lists AS (SELECT eval_day, user_name, window_size, metric, list_sort(list(v)) AS vs, count(*) AS observed, count(DISTINCT window_start // 86400000) AS active_days, 2592000 // window_size AS n, 2592000 // window_size - count(*) AS z
-  FROM long JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day GROUP BY ALL),
+  FROM long JOIN evals ON window_start >= eval_day - 2592000000 AND window_start < eval_day GROUP BY eval_day, user_name, window_size, metric),
 snap AS (SELECT eval_day, user_name, window_size, metric, observed, active_days, {_at(0.95)} AS p95, {_at(0.99)} AS p99, CASE WHEN active_days >= 14 AND observed >= 20 THEN 'ready' ELSE 'warming_up' END AS status FROM lists),
 fired AS (SELECT eval_day, user_name, window_size, long.window_start, metric, CASE WHEN round(v, 9) > round(p99, 9) THEN 'numeric_p99' ELSE 'numeric_p95' END AS detector_id
   FROM long JOIN snap USING (user_name, window_size, metric) WHERE status = 'ready' AND long.window_start - long.window_start % 86400000 = eval_day AND round(v, 9) > round(p95, 9)),
