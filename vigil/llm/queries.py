@@ -49,5 +49,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.listed_hosts(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter)}
-ORACLE = {"op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE}
+def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's rules with language and length in the place of the host, so that some hosts are rejected."""
+    length = F.least(F.lit(9), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 100))
+    docs = read(spark, sf_dir, "documents").withColumn("source", F.concat_ws(":", F.coalesce("lang", F.lit("")), length.cast("string")))
+    return quality_rules.quality_verdicts(docs).withColumn("host_rate", F.round("host_rate", 9))
+
+
+BY_LENGTH = "coalesce(lang, '') || ':' || least(9, length(coalesce(text, '')) // 100) AS source"
+QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter, host_rules)}
+ORACLE = {
+    "op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE,
+    "host_rules": quality_rules.ORACLE.replace("doc_id, source,", f"doc_id, {BY_LENGTH},", 1),
+}
