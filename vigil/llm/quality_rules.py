@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let
+from .common import SPACE, cut, let, table
 
 WINDOW = 5
 #: Up to so many rejected hosts (a name each) are broadcast; more are joined by shuffle.
@@ -95,15 +95,14 @@ def quality_verdicts(docs: DataFrame, id: str = "doc_id", text: str = "text", ho
 
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that quality_verdicts keeps, with docs' own columns. Counts are made again for the filter
-    rather than joined, so that texts are not shuffled."""
-    narrow = docs.select(F.col(text).alias("text"), F.col(host).alias("host"))
-    hosts = host_verdicts(rule_counts(narrow).drop("text"), "host").where("host_rejected").select(F.col("host").alias("_host"))
+    """The rows of docs that quality_verdicts keeps, with docs' own columns. The counts are made once and written beside
+    the rows, of which the hosts' rates read two columns; texts are not shuffled."""
+    counted = rule_counts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"), F.col(host).alias("_at")))
+    counted = table(counted.select("_row", "_at", "base_failed", "soft_failed"), "counted")
     # a shuffle by host would send all texts of a host to one task
-    hosts = cut(hosts)
+    hosts = cut(host_verdicts(counted, "_at").where("host_rejected").select(F.col("host").alias("_host")))
     hosts = F.broadcast(hosts) if hosts.count() <= MAX_BROADCAST_HOSTS else hosts
-    passed = rule_counts(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))).where(~F.col("base_failed"))
-    return passed.join(hosts, F.col(f"_row.{host}").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
+    return counted.where(~F.col("base_failed")).join(hosts, F.col("_at").eqNullSafe(F.col("_host")), "left_anti").select("_row.*")
 
 
 #: The same rows by DuckDB; host_rate is rounded there and here.
