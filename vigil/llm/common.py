@@ -18,20 +18,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset and all runs on this
+    machine a local one is set; on a cluster that is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
+    if path:
+        return path
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if jdir.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = jdir.get()
-    return path
+    return jdir.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, so that lost executors cost no recomputation and reruns agree."""
-    shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
