@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, hash_bucket, ranked
+from .common import WORD, cut, hash_bucket, ranked, table
 
 CAP = 3
 ROWS_A_BUCKET = 4000
@@ -39,39 +39,40 @@ def source_targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     return rows.select("source", F.col("source_no").cast("long").alias("source_no"), "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, text: str = "text", source: str = "source", id: str = "doc_id", cap: int = CAP) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies: how often the mix takes each document (0 to cap).
+def mix(sized: DataFrame, seed: int = 0, source: str = "source", id: str = "doc_id", cap: int = CAP) -> DataFrame:
+    """sized (rows with _size, which stay the same when read again) with _source_size, _target and _copies: how often the
+    mix takes each document (0 to cap).
 
     A source's documents all expect target / source_size copies. Ordered by size class, hash and size, their expected
     copies are prefix-sumed from one random offset of the source; a document is emitted once for each integer that its
     stretch crosses, so a source's copies are within one of what is expected in every run of similar sizes. A null
     text has size 0 and null is a source of its own. Rows keep their columns; repeated rows count each.
     """
-    narrow = cut(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    narrow = cut(sized.select(F.col(source).alias("source"), F.col("_size").alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = cut(source_targets(narrow.select("source", (F.col("size") * F.col("n")).alias("size")), cap))
     n_sources, (rows,) = targets.count(), narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
     own = targets.select(F.col("source").alias("_source"), F.col("source_no").alias("_no"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     own = F.broadcast(own) if n_sources <= MAX_BROADCAST_SOURCES else own
-    sized = docs.withColumn("_size", word_count(F.col(text))).join(own, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    named = sized.join(own, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     bits = F.length(F.bin("_size")).cast("long")
     size_class = 8 * bits + F.expr("_size div cast(pow(2, greatest(length(bin(_size)) - 3, 0)) as bigint)")
     n = max(1, -(-rows // ROWS_A_BUCKET))
-    placed = ranked(sized, ["_no"], size_class * F.lit(n) + hash_bucket(n, id), [F.col("_size"), F.col(id)], "_at")
+    placed = ranked(named, ["_no"], size_class * F.lit(n) + hash_bucket(n, id), [F.col("_size"), F.col(id)], "_at")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(source), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     copies = F.least(F.floor(rate * (F.col("_at") + 1) + offset) - F.floor(rate * F.col("_at") + offset), F.lit(cap))
     return placed.withColumn("_copies", copies.cast("long")).drop("_no", "_at")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    times = mix(docs, **options).where("_copies > 0")
+def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Words are counted once, beside the rows."""
+    times = mix(table(docs.withColumn("_size", word_count(F.col(text))), "sized"), **options).where("_copies > 0")
     return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def mixed_words(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of documents."""
-    rows = mix(docs.select("doc_id", "source", "text"), seed)
+    rows = mix(table(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "sized"), seed)
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
