@@ -101,9 +101,12 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
         F.array(*[F.struct(*[(counts[k] + d[k]).alias(f"c{k}") for k in range(PARTS)]) for d in steps]),
         lambda s: F.forall(F.array(*[s[f"c{k}"] for k in range(PARTS)]), lambda c: (c >= 0) & (c < base)),
     )
+    # each tile goes to every tile of each code in reach, by code and number, so that a common code is many keys
     left = tiles.select(F.col("code").alias("own"), F.col("no").alias("own_no"), F.col("held").alias("x"), F.explode(reach).alias("s"))
     left = left.select("own", "own_no", "x", sum((F.col(f"s.c{k}") * base**k for k in range(PARTS)), F.lit(0)).cast("long").alias("code"))
-    pairs = left.join(tiles, "code").where("code <> own OR no >= own_no")
+    first = F.when(F.col("code") == F.col("own"), F.col("own_no")).otherwise(0)
+    left = left.join(F.broadcast(sizes), "code").withColumn("no", F.explode(F.sequence(first, F.col("tiles") - 1))).drop("tiles")
+    pairs = left.join(tiles, ["code", "no"])
     pairs = pairs.select("x", "held", ((F.col("code") == F.col("own")) & (F.col("no") == F.col("own_no"))).alias("same"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
