@@ -174,7 +174,8 @@ def digest(words: Iterator[str] | list[str]) -> int:
 
 
 def together(found: DataFrame, known: DataFrame) -> DataFrame:
-    """entity, term, low, high: a row for each document that holds one of the known entities (entity, n_entity) and the term.
+    """entity, term, low, high: a row for each document that holds one of the known entities (entity, n_entity) and the
+    term; a few rows of other entities may be among them.
 
     low and high are the least and greatest of the pair's contexts there. Beside the entity, a context is the words
     beside it; further off, a document is one context: the words beside the entity (the least digest) and beside the
@@ -222,7 +223,7 @@ def together(found: DataFrame, known: DataFrame) -> DataFrame:
         yield made()
 
     texts = found.where("body IS NOT NULL").select("spans", "body")
-    return texts.mapInArrow(rows, "entity long, term string, low long, high long").join(known, "entity", "left_semi")
+    return texts.mapInArrow(rows, "entity long, term string, low long, high long")
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
@@ -241,7 +242,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
     known = cut(known.where(gain(c("n_entity"), c("n_entity"), c("n_entity")) >= BITS))
     pairs = together(found, known).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("low").alias("low"), F.max("high").alias("high"))
     assert CONTEXTS == 2  # two contexts, exactly, where least and greatest differ; more would need their distinct count
-    pairs = pairs.where("low < high").join(known, "entity")
+    pairs = pairs.where("low < high").join(known, "entity")  # counted by entity and term first, so that no entity is one key
 
     def passing(counts: DataFrame) -> DataFrame:
         n_term = F.greatest("n_term", "n_both")
