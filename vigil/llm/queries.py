@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, media, mixing, packing, pii, quality_rules, repeats, sharding, simhash, url_filter
+from . import classifier, html_text, media, mixing, packing, pii, quality_rules, repeats, sharding, simhash, url_filter
 from .common import read
 
 
@@ -49,6 +49,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.RULES, url_filter.listed_hosts(spark))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read(spark, sf_dir, "pages"))
+
+
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's rules with language and length in the place of the host, so that some hosts are rejected."""
     length = F.least(F.lit(9), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 100))
@@ -57,7 +61,7 @@ def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BY_LENGTH = "coalesce(lang, '') || ':' || least(9, length(coalesce(text, '')) // 100) AS source"
-QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter, host_rules)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter, op11_html, host_rules)}
 ORACLE = {
     "op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE,
     "host_rules": quality_rules.ORACLE.replace("doc_id, source,", f"doc_id, {BY_LENGTH},", 1),
