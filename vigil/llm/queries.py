@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, media, mixing, packing, pii, quality_rules, repeats, sharding, simhash, url_filter, vector_codes
+from . import classifier, collocations, html_text, media, mixing, packing, pii, quality_rules, repeats, sharding, simhash, url_filter, vector_codes
 from .common import read
 
 
@@ -57,6 +57,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's rules with language and length in the place of the host, so that some hosts are rejected."""
     length = F.least(F.lit(9), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 100))
@@ -65,8 +69,9 @@ def host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BY_LENGTH = "coalesce(lang, '') || ':' || least(9, length(coalesce(text, '')) // 100) AS source"
-QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter, op11_html, op12_vector_codes, host_rules)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_classifier, op3_mixing, op4_pii, op5_packing, op6_repeats, op7_simhash, op8_sharding, op9_quality_rules, op10_url_filter, op11_html, op12_vector_codes, op13_collocations, host_rules)}
 ORACLE = {
     "op3_mixing": mixing.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op10_url_filter": url_filter.ORACLE, "op12_vector_codes": vector_codes.ORACLE,
+    "op13_collocations": collocations.ORACLE,
     "host_rules": quality_rules.ORACLE.replace("doc_id, source,", f"doc_id, {BY_LENGTH},", 1),
 }
