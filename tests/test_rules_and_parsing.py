@@ -327,8 +327,42 @@ def test_state_table(spark, tmp_path):
     rev = table.manifest()["rev"]
     (tmp_path / "s/manifests" / f"{rev + 1:012d}.json").write_text('{"rev":')  # a writer that was lost
     assert table.manifest()["rev"] == rev and table.current()[1].count() == 10
-    with pytest.raises(StateError):  # another writer has that revision
-        table.commit(spark.range(1))
+    assert table.append(spark.range(2)) == rev + 2 and table.current()[1].count() == 12  # the table is not locked
+    (tmp_path / "s/manifests" / f"{rev + 3:012d}.json").write_text("")
+    assert table.note({"at": 9}) == rev + 4 and table.notes() == {"at": 9}
+
+
+def test_state_table_of_two_writers(spark, tmp_path, monkeypatch):
+    """Of writers that pass one another over, none reports what the other hides."""
+    table = StateTable(spark, str(tmp_path / "s"), 1, {})
+    table.commit(spark.range(1))
+    manifests, read = tmp_path / "s/manifests", StateTable._read
+    with monkeypatch.context() as m:  # the other takes the next number first
+        m.setattr(StateTable, "_numbers", lambda self: [1])
+        (manifests / f"{2:012d}.json").write_text("")
+        with pytest.raises(StateError):
+            table.note({"at": 1})
+    held = table.manifest()
+    (manifests / f"{2:012d}.json").write_text(json.dumps({**held, "rev": 2, "notes": {"at": 2}}))  # and is done meanwhile
+    with monkeypatch.context() as m:
+        m.setattr(StateTable, "manifest", lambda self: held)
+        with pytest.raises(StateError):
+            table.note({"at": 3})
+    assert table.notes() == {"at": 2}
+
+    def passed(self, rev):
+        (manifests / f"{9:012d}.json").write_text("")
+        return read(self, rev)
+
+    with monkeypatch.context() as m:
+        m.setattr(StateTable, "_read", passed)
+        numbers = iter([[3, 2, 1], [3, 2, 1], [4, 3, 2, 1], [9, 4, 3]])
+        m.setattr(StateTable, "_numbers", lambda self: next(numbers))
+        with pytest.raises(StateError):
+            table.note({"at": 4})
+
+
+def test_stages_are_in_step():
     in_step("detection", 3, 3)
     with pytest.raises(StateError):
         in_step("detection", 2, 3)

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from vigil.operators import features, sessions
-from vigil.sources import files
+from vigil.sources import broker, files
 from vigil.sources.state import StateError, StateTable
 from vigil.streaming import engine
 
@@ -64,6 +64,52 @@ def test_parse_stream_goes_on_where_it_stopped(spark, tmp_path):
         start(config={"other": 1})
 
 
+def test_broker_commits_come_last(spark, tmp_path):
+    """Outputs, then the state, then the broker: a refused commit loses nothing and repeats nothing."""
+    box = broker.Broker(str(tmp_path / "broker"))
+    box.send("t", 0, [SVN, "nothing"], 1_700_000_000_000)
+    box.send("t", 1, [SSO.encode(), b"\xff\xfe"])
+    out = str(tmp_path / "out")
+
+    def start(checkpoint="checkpoint"):
+        engine.consume(spark, box.folder, ["t"], "g", ("k", "auto"), out, str(tmp_path / checkpoint)).awaitTermination()
+        return engine.parse_state(spark, out).notes()
+
+    def found():
+        good, unknown = engine.parsed(spark, out)
+        return sorted((r.raw.record_id, r.raw.storage_ref) for r in good.collect()), sorted(r.raw_text for r in unknown.collect())
+
+    box.refuse()
+    with pytest.raises(Exception, match="refuses"):
+        start()
+    first = engine.parse_state(spark, out).notes()
+    assert (first["records"], first["commits"], first["offsets"]) == (4, 1, {"t": {"0": 2, "1": 2}}) and box.committed("g") == {}
+    seen = found()
+    assert [ref for _, ref in seen[0]] and {ref for _, ref in seen[0]} == {"kafka://t/0/0", "kafka://t/1/0"} and seen[1] == ["nothing", "\ufffd\ufffd"]
+    box.refuse(False)
+    assert start() == first and box.committed("g") == {"t": {"0": 2, "1": 2}} and found() == seen  # the batch comes again, and is known
+    box.send("t", 0, [GITLAB])
+    box.send("t", 2, ["more"])
+    second = start()
+    assert (second["records"], second["commits"]) == (6, 2) and second["chain"] != first["chain"] and box.committed("g") == {"t": {"0": 3, "1": 2, "2": 1}}
+    box.send("t", 1, ["last"])
+    third = start("another")  # Spark's own checkpoint is lost: the state says where to go on
+    assert (third["records"], third["commits"]) == (7, 3) and len(found()[0]) == 3 and len(found()[1]) == 4
+    (tmp_path / "out/unknown/batch=3").mkdir()
+    found_rows = engine.parsed(spark, out)[1].count()
+    assert found_rows == 4  # a folder without a commit is not read
+    assert list(box.read("t", 0, 1, 3)) == [(1, 1_700_000_000_000, b"nothing"), (2, 0, GITLAB.encode())]
+
+
+def test_produced_topics(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(broker, "SEGMENT", 3)
+    rows = spark.createDataFrame([(i % 2, f"v{i:02d}") for i in range(17)], "partition int, value string")
+    assert sorted(map(tuple, broker.produce(rows, str(tmp_path), "t").collect())) == [(0, 9), (1, 8)]
+    box = broker.Broker(str(tmp_path))
+    assert box.ends(["t", "none"]) == {"t": {"0": 9, "1": 8}, "none": {}}
+    assert [v.decode() for _, _, v in box.read("t", 1, 2, 7)] == [f"v{i:02d}" for i in (5, 7, 9, 11, 13)]
+
+
 def test_file_that_grows(spark, tmp_path):
     path, seen = tmp_path / "events.jsonl", []
 

@@ -146,9 +146,10 @@ def evidence(candidates: DataFrame, tops: DataFrame, own: DataFrame, limit: int
     return many.unionByName(own.select("candidate_key", F.lit(1).cast("long").alias("event_count"), F.lit(False).alias("truncated"), "evidence"))
 
 
-def reported(candidates: DataFrame) -> DataFrame:
-    """Candidates in the order of a report: by score, then latest window, then key."""
-    return candidates.orderBy(F.col("score").desc(), F.col("window_start").desc(), "candidate_key")
+def reported(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidates in the order of a report: by score, then latest window, then key; the first limit of them, if given."""
+    rows = candidates.orderBy(F.col("score").desc(), F.col("window_start").desc(), "candidate_key")
+    return rows if limit is None else rows.limit(limit)
 
 
 def first_versions(found: DataFrame, revision: int) -> DataFrame:

@@ -58,13 +58,21 @@ def admit(canonical: DataFrame) -> DataFrame:
     )
 
 
+def first_of_ids(fields: DataFrame) -> DataFrame:
+    """One row for each id, accepted or rejected: the earliest by time, rows without a time last, equal ones by content.
+
+    Batches and streams take this one, and a stream takes it for each batch: what came in an earlier batch came first.
+    """
+    order = F.struct(F.col("event_time_ms").isNull(), "event_time_ms", F.xxhash64(*fields.columns))
+    return fields.groupBy("event_id").agg(F.min_by(F.struct(*fields.columns), order).alias("e")).select("e.*")
+
+
 def accepted(fields: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Accepted events, one for each id: the earliest by time and content of equal ids; ids in known are left out.
+    """Accepted events, one for each id (first_of_ids); ids in known are left out.
 
-    Rejected ids count as known as well, so an id that was rejected once stays out.
+    An id counts as known by its first row even where that is rejected, so that a later row of it stays out.
     """
-    first = fields.groupBy("event_id").agg(F.min_by(F.struct(*fields.columns), F.struct(F.col("reason").isNull().cast("int"), "event_time_ms", F.xxhash64(*fields.columns))).alias("e"))
-    out = first.select("e.*").where(F.col("reason").isNull()).drop("reason")
+    out = first_of_ids(fields).where(F.col("reason").isNull()).drop("reason")
     return out if known is None else out.join(known.select("event_id"), "event_id", "left_anti")
 
 

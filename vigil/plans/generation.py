@@ -20,17 +20,28 @@ class ProposalError(ValueError):
     pass
 
 
+FORMAT_KEYS = ["format_fingerprint", "source_id", "suggested_source_type", "detected_format"]
+
+
+def _formats(unknown: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Unknown records with the fingerprint of their format; without those of known formats."""
+    rows = unknown.withColumn("format_fingerprint", registry.format_fingerprint(*[F.col(k) for k in FORMAT_KEYS[1:]], F.lit(None).cast("string"), F.lit(None).cast("string")))
+    return rows if known is None else rows.join(known.select("format_fingerprint").distinct(), "format_fingerprint", "left_anti")
+
+
+def template_counts(unknown: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Every template of every format that requests asks about, with its records: a row each, none left out."""
+    return _formats(unknown, known).groupBy(*FORMAT_KEYS, "template_hint").agg(F.count(F.lit(1)).alias("record_count"))
+
+
 def requests(unknown: DataFrame, known: DataFrame | None = None, samples: int = 5, templates: int = 20) -> DataFrame:
     """A row for each source, type and format: fingerprint, records, first templates and redacted samples.
 
     known (format_fingerprint) are formats that have a parser and are left out. Only samples and templates of a bounded
-    number are gathered; a format's records are counted, not collected.
+    number are gathered; a format's records are counted, not collected. The templates are a preview for a provider, of
+    which template_counts has all.
     """
-    keys = ["source_id", "suggested_source_type", "detected_format"]
-    rows = unknown.withColumn("format_fingerprint", registry.format_fingerprint(*[F.col(k) for k in keys], F.lit(None).cast("string"), F.lit(None).cast("string")))
-    if known is not None:
-        rows = rows.join(known.select("format_fingerprint").distinct(), "format_fingerprint", "left_anti")
-    keys = ["format_fingerprint", *keys]
+    keys, rows = FORMAT_KEYS, _formats(unknown, known)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("record_count"))
 
     def first(df: DataFrame, by: str, n: int, value, name: str) -> DataFrame:

@@ -590,7 +590,7 @@ def p18_fingerprints(spark, sf_dir):
 
 
 #: A parser in shadow over the events' own properties.
-SHADOW = {"parser_id": "props", "status": "shadow", "parser_type": "regex", "pattern": '"k": ?(?P<k>[0-9]+)', "field_candidates": {"k": "7"}, "schema_mapping": {"k": "resource.id"}}
+SHADOW = {"parser_id": "props", "status": "shadow", "parser_type": "regex", "field_extractors": {"pattern": '"k": ?(?P<k>[0-9]+)'}, "field_candidates": {"k": "7"}, "schema_mapping": {"k": "resource.id"}}
 
 
 @query("""SELECT count(*) AS replay_record_count, count(*) FILTER (k = '7') AS matched_count, count(*) FILTER (k <> '7') AS unmatched_count, round(count(*) FILTER (k = '7') / count(*), 6) AS success_rate, 1.0::DOUBLE AS schema_mapping_rate

@@ -58,7 +58,11 @@ class StateTable:
 
     A manifest pins the schema version and the configuration's fingerprint: state made otherwise is refused. Manifests
     are only ever added, each in one exclusive creation, so a crash at any moment leaves the table as it was or as it
-    is to be, and of two writers one fails. A manifest carries notes (such as offsets) that are committed with the data.
+    is to be, and of two writers at most one succeeds. One that was not written to its end is passed over, on reading
+    and on numbering the next. A manifest carries notes (such as offsets) that are committed with the data.
+
+    This needs a file system whose listings are up to date and whose creation without overwriting is exclusive, as HDFS
+    and local ones; over an object store without that, keep to one writer.
     """
 
     def __init__(self, spark: SparkSession, folder: str, version: int, config: dict):
@@ -66,26 +70,39 @@ class StateTable:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict | None:
+    def _numbers(self) -> list[int]:
+        """Of all manifests, whole or not, newest first."""
         at = self._path(f"{self.folder}/manifests")
         if not self._fs.exists(at):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(at))
+        return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit()), reverse=True)
+
+    def _at(self, rev: int):
+        return self._path(f"{self.folder}/manifests/{rev:012d}.json")
+
+    def _read(self, rev: int) -> dict | None:
+        """None where its writer was lost, or is not done."""
+        stream = self._fs.open(self._at(rev))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode() or "null")
+        except ValueError:
             return None
-        names = sorted((f.getPath().getName() for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")), reverse=True)
-        for name in names:
-            stream = self._fs.open(self._path(at, name))
-            try:
-                document = json.loads(bytes(stream.readAllBytes()).decode() or "null")
-            except json.JSONDecodeError:
-                document = None  # its writer was lost
-            finally:
-                stream.close()
-            if document:
-                return document
-        return None
+        finally:
+            stream.close()
+
+    @classmethod
+    def newest(cls, spark: SparkSession, folder: str) -> dict:
+        """The newest manifest of a table, by whatever version and configuration it was made."""
+        table = cls(spark, folder, 0, {})
+        found = next(filter(None, map(table._read, table._numbers())), None)
+        if found is None:
+            raise StateError(f"there is no table at {folder}")
+        return found
 
     def manifest(self) -> dict:
         """rev (0 before the first commit), parts and notes."""
-        held = self._manifest() or {**self.meta, "rev": 0, "parts": [], "notes": {}}
+        held = next(filter(None, map(self._read, self._numbers())), None) or {**self.meta, "rev": 0, "parts": [], "notes": {}}
         if {k: held[k] for k in self.meta} != self.meta:
             raise StateError("the state was made by another version or configuration")
         return held
@@ -98,16 +115,27 @@ class StateTable:
         parts = [f"{self.folder}/{p}" for p in held["parts"]]
         return held["rev"], self.spark.read.parquet(*parts) if parts else None
 
+    def _upcoming(self, held: dict) -> int:
+        return max([held["rev"], *self._numbers()[:1]]) + 1
+
     def _next(self, held: dict, parts: list[str], notes: dict | None) -> int:
-        rev = held["rev"] + 1
+        """A manifest behind all others. Writers that passed one another over find that out: one looks for later numbers
+        after its own is whole, the other for whole earlier ones after its number is taken."""
+        rev = self._upcoming(held)
+        taken = StateError(f"revision {rev} was committed by another writer")
         document = {**self.meta, "rev": rev, "parts": parts, "notes": held["notes"] if notes is None else notes}
-        at = self._path(f"{self.folder}/manifests/{rev:012d}.json")
         try:
-            out = self._fs.create(at, False)
+            out = self._fs.create(self._at(rev), False)
         except Exception as error:
-            raise StateError(f"revision {rev} was committed by another writer") from error
-        out.write(json.dumps(document, sort_keys=True).encode())
-        out.close()
+            raise taken from error
+        try:
+            if any(self._read(n) for n in self._numbers() if held["rev"] < n < rev):
+                raise taken
+            out.write(json.dumps(document, sort_keys=True).encode())
+        finally:
+            out.close()
+        if self._numbers()[0] > rev:
+            raise taken
         return rev
 
     def _write(self, df: DataFrame) -> str:
@@ -129,6 +157,15 @@ class StateTable:
             parts = [self._write(self.spark.read.parquet(*[f"{self.folder}/{p}" for p in parts]))]
         return self._next(held, parts, notes)
 
+    def vacuum(self) -> int:
+        """Removes the parts that the newest manifest does not name; how many. For a time without writers, and without
+        readers of older revisions."""
+        held = {p.partition("/")[0] for p in self.manifest()["parts"]}
+        old = [f.getPath() for f in self._fs.listStatus(self._path(self.folder)) if f.getPath().getName().startswith("part-") and f.getPath().getName() not in held] if self._fs.exists(self._path(self.folder)) else []
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
+
     def note(self, notes: dict) -> int:
         """New notes beside the same data."""
         held = self.manifest()

@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import parsing
 from ..operators import features, quality, sessions
-from ..sources import files
+from ..sources import broker, files
 from ..sources.state import StateError, StateTable, fingerprint, settle
+from .resume import ordered_chain
 
-VERSION = 2
+VERSION = 3
 MODES = ("replay", "realtime")
 
 
@@ -23,7 +24,7 @@ def absorb(table: StateTable, fields: DataFrame, notes: dict | None = None) -> i
     late. What is there is not written again. A batch that comes again changes nothing. Rejected ids are remembered
     beside accepted ones."""
     rev, known = table.current()
-    first = fields.groupBy("event_id").agg(F.min_by(F.struct(*fields.columns), F.struct("event_time_ms", F.xxhash64(*fields.columns))).alias("e")).select("e.*")
+    first = features.first_of_ids(fields)
     if known is not None:
         first = first.join(known.select("event_id"), "event_id", "left_anti")
     first = settle(first)
@@ -56,46 +57,84 @@ def run(stream: DataFrame, folder: str, checkpoint: str, downstream: Callable[[D
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _digest(rows: DataFrame) -> tuple[int, str]:
-    """How many rows there are, and a number that their ids and checksums add up to, in whatever order."""
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("record_id", "checksum").cast("decimal(38,0)"))).first()
-    return n, str(total or 0)
+def _chain(rows: DataFrame) -> list[list]:
+    """For each partition of a topic, or each file, how many records there are and their chain in order."""
+    keys, index = (["kafka_topic", "kafka_partition"], "kafka_offset") if "kafka_offset" in rows.columns else (["file_path"], "line_start")
+    return sorted([*map(str, r[:-2]), r.n, r.chain] for r in ordered_chain(rows, keys, index).toLocalIterator())
 
 
-def parse_stream(records: DataFrame, folder: str, checkpoint: str, parsers: list[dict[str, Any]] | None = None, config: dict | None = None) -> StreamingQuery:
+def _next_offsets(rows: DataFrame, known: dict[str, dict[str, int]]) -> dict[str, dict[str, int]]:
+    out = {t: dict(ps) for t, ps in known.items()}
+    for r in rows.groupBy("kafka_topic", "kafka_partition").agg(F.max("kafka_offset").alias("last")).collect():  # a row a partition
+        out.setdefault(r.kafka_topic, {})[str(r.kafka_partition)] = r["last"] + 1
+    return out
+
+
+def _unseen(rows: DataFrame, offsets: dict[str, dict[str, int]]) -> DataFrame:
+    """Messages behind the offsets that are known."""
+    known = [(t, int(p), n) for t, ps in offsets.items() for p, n in ps.items()]
+    if not known:
+        return rows
+    seen = F.broadcast(rows.sparkSession.createDataFrame(known, "kafka_topic string, kafka_partition int, _next long"))  # a row a partition
+    return rows.join(seen, ["kafka_topic", "kafka_partition"], "left").where(F.col("_next").isNull() | (F.col("kafka_offset") >= F.col("_next"))).drop("_next").select(*rows.columns)
+
+
+def parse_stream(
+    records: DataFrame, folder: str, checkpoint: str, parsers: list[dict[str, Any]] | None = None, config: dict | None = None, commit: Callable[[dict[str, dict[str, int]]], None] | None = None
+) -> StreamingQuery:
     """Starts a query that parses a stream of raw records (files.raw_records or files.kafka_records) into folder:
     normalized and unknown, a folder a batch, and the quality of all batches (state quality, see summary_of).
 
-    A batch's outputs are written under its number, then its counts and a chain over all records are committed, then
-    Spark notes its offsets. A run that was stopped anywhere goes on from the last noted batch: outputs are written
-    over, and a batch that is in the chain already is not counted twice. Other parsers, settings or folders than those
-    the state was made with are refused.
+    A batch's outputs are written under the number of its commit, then its counts, a chain over all records in order and,
+    of messages, the next offsets are committed, then commit(next offsets) tells the broker, then Spark notes its own. A
+    run that was stopped anywhere goes on from there: outputs without a commit are written over, and messages behind the
+    committed offsets alone are parsed, even where Spark's checkpoint is lost; records of files go by Spark's batch. A
+    failing commit ends the query; the batch comes again, finds its messages known, and is told to the broker again.
+    Other parsers, settings or folders than those the state was made with are refused.
     """
     spark: SparkSession = records.sparkSession
-    table = StateTable(spark, f"{folder}/quality", VERSION, {"parsers": parsers or [], "config": config or {}, "folder": folder})
+    table = parse_state(spark, folder, parsers, config)
     table.manifest()
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = settle(batch)
-        good, unknown = parsing.routed(rows, parsers)
-        good.write.mode("overwrite").parquet(f"{folder}/normalized/batch={number}")
-        unknown.write.mode("overwrite").parquet(f"{folder}/unknown/batch={number}")
         notes = table.notes()
-        if notes.get("batch", -1) >= number:
-            return
-        known = table.current()[1]
-        counts = quality.snapshot(good, unknown)
-        n, total = _digest(rows)
-        chain = fingerprint([notes.get("chain", ""), n, total])
-        counts = counts if known is None else quality.merged(known, counts)
-        table.commit(settle(counts), {"batch": number, "chain": chain, "records": notes.get("records", 0) + n})
+        messages, offsets = "kafka_offset" in batch.columns, notes.get("offsets", {})
+        if messages or notes.get("batch", -1) < number:
+            rows = settle(_unseen(batch, offsets) if messages else batch)
+            if not rows.isEmpty() or not messages:
+                at = notes.get("commits", 0)
+                good, unknown = parsing.routed(rows, parsers)
+                good.write.mode("overwrite").parquet(f"{folder}/normalized/batch={at}")
+                unknown.write.mode("overwrite").parquet(f"{folder}/unknown/batch={at}")
+                known = table.current()[1]
+                counts = quality.snapshot(good, unknown)
+                chained = _chain(rows)
+                offsets = _next_offsets(rows, offsets) if messages else offsets
+                notes = {"batch": number, "commits": at + 1, "chain": fingerprint([notes.get("chain", ""), chained]), "records": notes.get("records", 0) + sum(x[-2] for x in chained), "offsets": offsets}
+                table.commit(settle(counts if known is None else quality.merged(known, counts)), notes)
+        if commit is not None and offsets:
+            commit(offsets)
 
     return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def parse_state(spark: SparkSession, folder: str, parsers: list[dict[str, Any]] | None = None, config: dict | None = None) -> StateTable:
+    """The state of parse_stream: quality counts, and notes with chain, records and next offsets."""
+    return StateTable(spark, f"{folder}/quality", VERSION, {"parsers": parsers or [], "config": config or {}, "folder": folder})
+
+
+def consume(spark: SparkSession, broker_folder: str, topics: list[str], group: str, source: tuple[str, str], folder: str, checkpoint: str, parsers: list[dict[str, Any]] | None = None) -> StreamingQuery:
+    """parse_stream over the topics of a folder broker, as source (id and type): it begins at the offsets of its own
+    state, else at those the group has committed, and commits to the group what its state has."""
+    held = parse_state(spark, folder, parsers).notes().get("offsets")
+    messages = broker.stream(spark, broker_folder, topics, group, held)
+    return parse_stream(files.kafka_records(messages, *source), folder, checkpoint, parsers, commit=lambda offsets: broker.Broker(broker_folder).commit(group, offsets))
+
+
 def parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The normalized events and unknown records of all batches of parse_stream."""
-    return tuple(spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{kind}") for kind in ("normalized", "unknown"))
+    """The normalized events and unknown records of all committed batches of parse_stream."""
+    done = StateTable.newest(spark, f"{folder}/quality")["notes"].get("commits", 0)
+    return tuple(spark.read.option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}").where(F.col("batch") < done).drop("batch") for kind in ("normalized", "unknown"))
 
 
 def appended(spark: SparkSession, path: str, offset: int, digest: str | None) -> tuple[DataFrame, int, str]:
