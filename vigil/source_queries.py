@@ -150,7 +150,7 @@ def p10_select(spark, sf_dir):
   CASE {IS} WHEN 4 THEN user_name END AS user_name, CASE {IS} WHEN 5 THEN CAST(i AS VARCHAR) END AS resource_id, 'registry_active' AS origin FROM nv WHERE {IS} > 3""", NUMBERED))
 def p11_registry_event(spark, sf_dir):
     """Of all records, those that a registered parser took."""
-    rows = parsing.parse(records(spark, sf_dir, "mixed"), ACTIVE).where("event.parser.origin = 'registry_active'")
+    rows = settle(parsing.parse(records(spark, sf_dir, "mixed"), ACTIVE)).where("event.parser.origin = 'registry_active'")
     e = lambda path: c(f"event.{path}")
     return rows.select("i", e("parser.id").alias("parser_id"), e("parser.confidence").alias("confidence"), e("event.category").alias("category"), e("event.action").alias("action"), e("event.outcome").alias("outcome"), e("user.name").alias("user_name"), e("resource.id").alias("resource_id"), e("parser.origin").alias("origin"))
 
