@@ -114,8 +114,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def host_suffixes(host: Column) -> Column:
     """The host and its parent domains, longest first."""
+    labels = F.split(host, r"\.")
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(F.split(host, r"\."))), lambda i: F.array_join(F.slice(F.split(host, r"\."), i, 1000), ".")))
+        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
