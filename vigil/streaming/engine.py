@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import parsing
 from ..operators import features, quality, sessions
-from ..sources import broker, files
+from ..sources import broker, files, tail
 from ..sources.state import StateError, StateTable, fingerprint, settle
 from .resume import ordered_chain
 
@@ -19,18 +19,23 @@ VERSION = 3
 MODES = ("replay", "realtime")
 
 
-def absorb(table: StateTable, fields: DataFrame, notes: dict | None = None) -> int:
-    """Adds the events of a batch that the table does not know, in whatever order they arrive; none is dropped for being
-    late. What is there is not written again. A batch that comes again changes nothing. Rejected ids are remembered
-    beside accepted ones."""
+def _absorbed(table: StateTable, fields: DataFrame, notes: dict | None = None) -> tuple[DataFrame, int]:
+    """What absorb adds, and the table's revision then."""
     rev, known = table.current()
     first = features.first_of_ids(fields)
     if known is not None:
         first = first.join(known.select("event_id"), "event_id", "left_anti")
     first = settle(first)
     if first.isEmpty():
-        return rev if notes is None else table.note(notes)
-    return table.append(first, notes)
+        return first, rev if notes is None else table.note(notes)
+    return first, table.append(first, notes)
+
+
+def absorb(table: StateTable, fields: DataFrame, notes: dict | None = None) -> int:
+    """Adds the events of a batch that the table does not know, in whatever order they arrive; none is dropped for being
+    late. What is there is not written again. A batch that comes again changes nothing. Rejected ids are remembered
+    beside accepted ones."""
+    return _absorbed(table, fields, notes)[1]
 
 
 def accepted(table: StateTable) -> DataFrame | None:
@@ -137,54 +142,29 @@ def parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return tuple(spark.read.option("basePath", f"{folder}/{kind}").parquet(f"{folder}/{kind}").where(F.col("batch") < done).drop("batch") for kind in ("normalized", "unknown"))
 
 
-def appended(spark: SparkSession, path: str, offset: int, digest: str | None) -> tuple[DataFrame, int, str]:
-    """The lines (text) that were added behind byte offset of a file that only grows, the byte behind the last whole one,
-    and a digest of all bytes before it.
-
-    The digest of what lies before offset must be the one given, or the file was changed and StateError is raised. A
-    last line without its end is left for later. Splits of the file are counted first; their bytes, added up, give each
-    line its place, so any number of tasks reads it.
-    """
-    lines = files.indexed_lines(spark, [path], "\n").withColumn("_size", F.octet_length("text").cast("long") + 1)
-    blocks = lines.groupBy("block").agg(F.sum("_size").alias("_n"))
-    every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
-    first = blocks.select("block", F.coalesce(F.sum("_n").over(every), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("_own", F.coalesce(F.sum("_size").over(own), F.lit(0))).join(first, "block")
-    placed = placed.select("text", (F.col("_first") + F.col("_own")).alias("at"), (F.col("_first") + F.col("_own") + F.col("_size")).alias("end"))
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
-    whole = placed.where(F.col("end") <= size)
-    sums = whole.agg(
-        F.coalesce(F.max("end"), F.lit(0)).alias("end"), F.coalesce(F.max(F.when(F.col("end") <= offset, F.col("end"))), F.lit(0)).alias("before"),
-        F.sum(F.when(F.col("end") <= offset, F.xxhash64("at", "text").cast("decimal(38,0)"))).alias("old"), F.sum(F.xxhash64("at", "text").cast("decimal(38,0)")).alias("new"),
-    ).first()
-    if sums.before != offset or (digest is not None and offset and str(sums.old or 0) != digest):
-        raise StateError("what was read before is no longer what the file begins with")
-    return whole.where(F.col("at") >= offset).select("text"), max(sums.end, offset), str(sums.new or 0)
-
-
 def follow(spark: SparkSession, path: str, folder: str, schema: str, downstream: Callable[[DataFrame, int | None], None], lag_s: int = 300, config: dict | None = None) -> dict[str, Any]:
     """Reads what was added to a file of canonical events (JSON lines) and brings everything up to date.
 
     Events are added to the state, the watermark moves to lag_s before the newest event (never back), sessions that
     ended before it are closed for good, downstream(accepted events, watermark) runs, and only then the place in the
-    file is committed: after a crash the same lines come again and find their events known.
+    file, with digests of its blocks (tail.appended), is committed: after a crash the same lines come again and find
+    their events known.
     """
     settings = {"lag_s": lag_s, "schema": schema, "path": path, **(config or {})}
     table, closed = StateTable(spark, f"{folder}/events", VERSION, settings), StateTable(spark, f"{folder}/sessions", VERSION, settings)
     progress = StateTable(spark, f"{folder}/progress", VERSION, settings)
     notes = progress.notes()
-    lines, end, digest = appended(spark, path, notes.get("offset", 0), notes.get("digest"))
+    lines, place = tail.appended(spark, path, notes.get("file", {}))
     canonical = lines.select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
-    before = table.current()[1]
-    known = 0 if before is None else before.count()
-    absorb(table, features.admit(canonical))
+    fresh, _ = _absorbed(table, features.admit(canonical))
+    new, latest = fresh.agg(F.count(F.lit(1)), F.max(F.when(F.col("reason").isNull(), F.col("event_time_ms")))).first()
     events = accepted(table)
     if events is None:
-        return {"offset": end, "new": 0, "watermark": None, "closed": 0}
-    newest = events.agg(F.max("event_time_ms")).first()[0]
-    watermark = max(notes.get("watermark", -1), newest - lag_s * 1000)
+        return {"offset": place["offset"], "new": 0, "watermark": None, "closed": 0, "bytes_read": place["bytes_read"]}
+    if "newest" not in notes:  # also what a run added that did not come to its end
+        latest = events.agg(F.max("event_time_ms")).first()[0]
+    newest = max((t for t in (notes.get("newest"), latest) if t is not None), default=None)
+    watermark = notes.get("watermark", -1) if newest is None else max(notes.get("watermark", -1), newest - lag_s * 1000)
     done = closed.current()[1]
     # events that lie in no closed session yet, whatever happened to the run before
     pool = events
@@ -192,14 +172,14 @@ def follow(spark: SparkSession, path: str, folder: str, schema: str, downstream:
         pool = events.join(_held(events, done), "event_id", "left_anti")
     base = sessions.none_closed(events) if done is None else done.drop("event_ids")
     now, left, _ = sessions.advance(base, pool.limit(0), pool, watermark)
-    fresh = now if done is None else now.join(done.select("session_id"), "session_id", "left_anti")
-    fresh = settle(_with_events(fresh, pool))
-    n = fresh.count()
+    ended = now if done is None else now.join(done.select("session_id"), "session_id", "left_anti")
+    ended = settle(_with_events(ended, pool))
+    n = ended.count()
     if n:
-        closed.append(fresh)
+        closed.append(ended)
     downstream(events, watermark)
-    progress.note({"offset": end, "digest": digest, "watermark": watermark})
-    return {"offset": end, "new": table.current()[1].count() - known, "watermark": watermark, "closed": n}
+    progress.note({"file": {k: v for k, v in place.items() if k != "bytes_read"}, "watermark": watermark, "newest": newest})
+    return {"offset": place["offset"], "new": new, "watermark": watermark, "closed": n, "bytes_read": place["bytes_read"]}
 
 
 def _with_events(closed: DataFrame, pool: DataFrame) -> DataFrame:
