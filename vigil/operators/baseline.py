@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def long_metrics(windows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _by_rank(hist: DataFrame, keys: list[str], ps: tuple[float, ...], sums: dict[str, Column]) -> DataFrame:
-    """Exact, linearly interpolated percentiles of hist (keys, value >= 0, n: how often, a row a value) as columns p50,
-    p95, ..., with total (of n) and the sums of hist's columns asked for.
+    """Exact, linearly interpolated percentiles of hist (keys, value >= 0, n: how often; a value may have several rows) as
+    columns p50, p95, ..., with total (of n) and the sums of hist's columns asked for.
 
     Counts of a few hundred value classes locate the ranks asked for; only the classes that hold them are looked
     through value by value. A key of any size is so never sorted in one task. Sums are added up by class on the way.
@@ -70,7 +72,6 @@ def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     basic = settle(basic.withColumn("mean", F.col("mean") / F.col("sample_count")))  # a row for each key
     far = value - F.col("mean")
     near = hist.join(basic.select(*keys, "mean", "p50"), keys).select(*keys, F.abs(value - F.col("p50")).alias("value"), "n", (far * far * n).alias("square"))
-    near = near.groupBy(*keys, "value").agg(F.sum("n").alias("n"), F.sum("square").alias("square"))
     spread = _by_rank(near, keys, (0.5,), {"square": F.col("square")})
     return basic.join(spread.select(*keys, F.sqrt(F.col("square") / F.col("total")).alias("std"), F.col("p50").alias("mad")), keys)
 
@@ -85,44 +86,39 @@ def status(days: Column, samples: Column, min_days: int, min_samples: int) -> Co
     return F.when((days >= min_days) & (samples >= min_samples), "ready").otherwise("warming_up")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once for each row, however often body uses it."""
-    return F.transform(F.array(value), body)[0]
+STATISTICS = "sample_count long, mean double, std double, min double, max double, p50 double, p95 double, p99 double, mad double"
 
 
-def padded_statistics(values: Column, zeros: Column) -> Column:
-    """sample_count, mean, std, min, max, p50, p95, p99, mad of the numbers (at least 0) of an array and so many zeros
-    beside them, as a struct. One pass over each array; the zeros are counted, never made."""
+def _statistics_of(v: np.ndarray, zeros: int) -> tuple:
+    """The numbers of STATISTICS of sorted numbers of at least 0 and so many zeros before them."""
+    n, none = len(v) + zeros, np.nan
+    if not n:
+        return 0, none, none, none, none, none, none, none, none
 
-    def ranked(n: Column, at, p: float) -> Column:
-        rank = (n - 1) * F.lit(p)
-        low = F.floor(rank)
-        a, b = at(low), at(F.least(low + 1, n - 1))
+    def ranked(at, p: float) -> float:
+        rank = (n - 1) * p
+        low = int(rank)
+        a, b = at(low), at(min(low + 1, n - 1))
         return a + (b - a) * (rank - low)
 
-    def of(v: Column) -> Column:
-        n = F.size(v) + zeros
-        at = lambda i: F.when(i < zeros, F.lit(0.0)).otherwise(F.get(v, (i - zeros).cast("int")))
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-
-        def ends(m: Column) -> Column:
-            p50 = m["p50"]
-            square = total(F.transform(v, lambda x: (x - m["mean"]) * (x - m["mean"]))) + zeros * m["mean"] * m["mean"]
+    own = lambda i: v[i - zeros] if i >= zeros else 0.0
+    mean, p50 = float(v.sum()) / n, ranked(own, 0.5)
+    square = float(((v - mean) ** 2).sum()) + zeros * mean * mean
+    far = np.sort(np.abs(v - p50))
+    below = int(np.searchsorted(far, p50))  # the zeros are all p50 away
+    away = lambda i: far[i] if i < below else p50 if i < below + zeros else far[i - zeros]
+    return n, mean, (square / n) ** 0.5, own(0), own(n - 1), p50, ranked(own, 0.95), ranked(own, 0.99), ranked(away, 0.5)
 
-            def spread(d: Column) -> Column:
-                below = F.size(F.filter(d, lambda x: x < p50))
-                beside = lambda i: F.when(i < below, F.get(d, i.cast("int"))).when(i < below + zeros, p50).otherwise(F.get(d, (i - zeros).cast("int")))
-                return ranked(n, beside, 0.5)
 
-            mad = _let(F.array_sort(F.transform(v, lambda x: F.abs(x - p50))), spread)
-            return F.struct(
-                n.cast("long").alias("sample_count"), m["mean"].alias("mean"), F.sqrt(square / n).alias("std"), F.when(zeros > 0, F.lit(0.0)).otherwise(F.get(v, F.lit(0))).alias("min"), F.element_at(v, -1).alias("max"),
-                p50.alias("p50"), ranked(n, at, 0.95).alias("p95"), ranked(n, at, 0.99).alias("p99"), mad.alias("mad"),
-            )
+def _padded(values: pd.Series, zeros: pd.Series) -> pd.DataFrame:
+    made = [_statistics_of(np.sort(np.asarray(v, np.float64)), int(z)) for v, z in zip(values, zeros, strict=True)]
+    return pd.DataFrame(made, columns=[x.split()[0] for x in STATISTICS.split(", ")])
 
-        return _let(F.struct((total(v) / n).alias("mean"), ranked(n, at, 0.5).alias("p50")), ends)
 
-    return _let(F.array_sort(values), of)
+def padded_statistics(values: Column | str, zeros: Column | str) -> Column:
+    """sample_count, mean, std, min, max, p50, p95, p99, mad of the numbers (at least 0) of an array and so many zeros
+    beside them, as a struct. The zeros are counted, never made; arrays are those of a bounded history."""
+    return F.pandas_udf(_padded, STATISTICS)(values, zeros)
 
 
 def personal_baselines(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
@@ -146,8 +142,9 @@ def personal_baselines(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DA
     floor = lambda t: window_start(F.lit(t), F.col("window_size").cast("long"))
     slots = ((F.least("_last", floor(as_of_ms)) - F.greatest("_first", floor(start))) / width + 1).cast("long")
     rows = rows.where(F.size(METRICS[0]) > 0).withColumns({"_zeros": F.greatest(F.lit(0).cast("long"), slots - F.size(METRICS[0])), "active_days": F.bit_count("_days").cast("long")})
-    gathered = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("values")) for m in METRICS])
-    rows = rows.withColumn("stats", F.transform(gathered, lambda x: padded_statistics(x["values"], F.col("_zeros")).withField("metric", x["metric"])))
+    rows = rows.withColumns({f"_{m}": padded_statistics(m, "_zeros") for m in METRICS})  # one pass through Arrow for all
+    fields = [x.split()[0] for x in STATISTICS.split(", ")]
+    rows = rows.withColumn("stats", F.array(*[F.struct(*[F.col(f"_{m}")[k].alias(k) for k in fields], F.lit(m).alias("metric")) for m in METRICS]))
     ready = status(F.col("active_days"), F.col("stats")[0]["sample_count"], config["min_active_days"], config["min_samples"])
     return rows.select("user_name", "window_size", "active_days", ready.alias("status"), "seen", "stats")
 
