@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import BASELINE, BASELINE_SIZES, DETECTION, HISTORY_DAYS, METRICS, VALUE_WINDOW_S
-from ..sources.state import fingerprint
+from ..sources.state import StateError, StateTable, fingerprint
 from . import models
 from .baseline import long_metrics, status
 from .detection import severity
@@ -153,6 +155,49 @@ def experiment_id(name: str, from_ms: int, to_ms: int, inputs: dict) -> str:
     return fingerprint({"name": name, "start": from_ms, "end": to_ms, "input": fingerprint(inputs)})
 
 
+def contents(df: DataFrame) -> str:
+    """A number for the rows of a table, whatever their order: what an experiment was fed with is part of its name."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()
+    return f"{n}:{total or 0}"
+
+
+class Experiments:
+    """Stored experiments, each in a folder named by experiment_id: run with the same name, range and inputs, one is
+    read and not made again; any change of these makes another."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _table(self, identity: str) -> StateTable:
+        return StateTable(self.spark, f"{self.folder}/{identity}", 1, {"experiment": identity})
+
+    def run(self, name: str, from_ms: int, to_ms: int, inputs: dict, make: Callable[[], DataFrame]) -> tuple[str, DataFrame, bool]:
+        """The experiment's id, its candidates, and whether they were stored before; make() gives candidates with
+        eval_day, user_name, score, severity and detector_id."""
+        if not name.strip():
+            raise ValueError("an experiment needs a name")
+        identity = experiment_id(name, from_ms, to_ms, inputs)
+        table = self._table(identity)
+        found = table.current()[1]
+        if found is not None:
+            return identity, found, True
+        table.commit(make(), {"name": name, "from": from_ms, "to": to_ms, "inputs": fingerprint(inputs)})
+        return identity, table.current()[1], False
+
+    def query(self, identity: str) -> dict:
+        """The notes of a stored experiment with its metrics and user-days; StateError where there is none."""
+        table = self._table(identity)
+        found, notes = table.current()[1], table.notes()
+        if found is None:
+            raise StateError(f"there is no experiment {identity}")
+        return {**notes, "metrics": experiment_metrics(found, notes["from"], notes["to"]), "user_days": user_days(found)}
+
+    def compare(self, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+        """How two stored experiments' user-days agree, and how their metrics differ."""
+        a, b = self.query(left), self.query(right)
+        return compare(a["user_days"], b["user_days"]), deltas(a["metrics"], b["metrics"])
+
+
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """How two experiments' user-days agree: each side's, both, either, and their Jaccard index (1 where neither has any)."""
     a, b = (x.select("eval_day", "user_name").distinct() for x in (left, right))

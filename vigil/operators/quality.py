@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.state import settle
+from .frequent import LIMIT, frequent_items
+
 # fixed values: what is tracked, and how much change counts
 TRACKED = ("event.category", "event.action", "event.outcome", "user.name", "source.ip", "raw.checksum", "raw.storage_ref")
 DRIFT = {"parse_success_rate_drop": 0.10, "unknown_template_count_multiplier": 2.0, "unknown_template_count_min_delta": 3, "parser_confidence_avg_drop": 0.10, "required_field_coverage_drop": 0.20}
@@ -60,6 +63,18 @@ def snapshot(events: DataFrame, unknown: DataFrame) -> DataFrame:
     return rows.groupBy("measure", "key").agg(F.sum("n").alias("n"))
 
 
+def bounded(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """A snapshot of at most limit templates: beyond, their counts are those of frequent_items, and the measure
+    template_error says by how much they may be short. A state of merged snapshots so does not grow with the templates."""
+    own = F.col("measure").isin("template", "template_error")
+    if counts.where(F.col("measure") == "template").limit(limit + 1).count() <= limit:
+        return counts
+    found = settle(frequent_items(counts.where("measure = 'template'"), "key", "n", limit))
+    before = counts.where("measure = 'template_error'").select("n").unionByName(found.select(F.col("error").alias("n")).limit(1))  # one row each
+    short = before.agg(F.sum("n").alias("n")).select(F.lit("template_error").alias("measure"), F.lit("").alias("key"), "n")
+    return counts.where(~own).unionByName(found.select(F.lit("template").alias("measure"), F.col("item").alias("key"), "n")).unionByName(short)
+
+
 def merged(*snapshots: DataFrame) -> DataFrame:
     """The snapshot of all inputs of the given ones."""
     rows = snapshots[0]

@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import oracle as o
-from .operators import detection, features
+from .functions import text as text_ops
+from .operators import detection, evaluation, features, frequent
 from .operators import sessions as session_ops
 from .plans.live import Live
-from .queries import ALL, EVENT_RULE, PRINTS, WINDOW_RULE, query
+from .queries import ALL, EVENT_RULE, HINT, PRINTS, WINDOW_RULE, query
 from .source_queries import ADMIT, NUMBERED, _canonical, forms, numbered
 from .sources import broker, files
 from .sources.keyed import KeyedTable
 from .sources.state import StateTable, settle, shared_dir
-from .sources.tables import canonical_events, peer_groups
+from .sources.tables import canonical_events, peer_groups, read
 from .streaming import engine, resume
 
 c = F.col
@@ -156,3 +157,25 @@ def s06_packed_lines(spark, sf_dir):
     folders = [r.k for r in rows.select("k").distinct().collect()]
     lines = files.read_lines(spark, [f"{at}/k={k}" for k in folders])
     return lines.select("text", "line", F.regexp_extract("path", "(k=[0-9]+)/[^/]*$", 1).alias("part"))
+
+
+@query(f"SELECT hint AS item, count(*) AS n, 0::BIGINT AS error FROM ({HINT}) WHERE hint <> '' GROUP BY ALL")
+def a20_frequent_templates(spark, sf_dir):
+    """Templates in a summary of bounded size, which is exact where there are no more than it holds."""
+    return frequent.frequent_items(read(spark, sf_dir, "documents").select(text_ops.template_hint(F.col("text")).alias("hint")), "hint", limit=1_000_000)
+
+
+DAY_MS = features.DAY_MS
+
+
+@query(o.sql("""SELECT count(*) AS candidate_count, count(*) AS predicted_user_days, count(DISTINCT user_name) AS unique_predicted_users, count(*) FILTER (event_count >= 3) AS high_severity_candidates, true AS reused, true AS other FROM win WHERE window_size = 86400 AND event_count >= 2"""))
+def e03_stored(spark, sf_dir):
+    """An experiment that is run twice and stored once, and one of other inputs beside it."""
+    days = settle(features.user_windows(canonical_events(spark, sf_dir), (86_400,)).where("event_count >= 2"))
+    rows = days.select("user_name", c("window_start").alias("eval_day"), c("event_count").cast("int").alias("score"), F.when(c("event_count") >= 3, "high").otherwise("low").alias("severity"), F.lit("busy").alias("detector_id"))
+    low, high = days.agg(F.min("window_start"), F.max("window_start")).first()
+    store, inputs = evaluation.Experiments(spark, _folder(spark, "experiments")), {"windows": evaluation.contents(days)}
+    run = lambda more: store.run("busy days", low or 0, (high or 0) + DAY_MS, {**inputs, **more}, lambda: rows)
+    (first, _, _), (again, _, reused), (other, _, _) = run({}), run({}), run({"score": 3})
+    metrics = store.query(again)["metrics"].select("candidate_count", "predicted_user_days", "unique_predicted_users", "high_severity_candidates")
+    return metrics.withColumns({"reused": F.lit(reused and first == again), "other": F.lit(other != first)})

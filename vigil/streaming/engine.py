@@ -116,7 +116,7 @@ def parse_stream(
                 chained = _chain(rows)
                 offsets = _next_offsets(rows, offsets) if messages else offsets
                 notes = {"batch": number, "commits": at + 1, "chain": fingerprint([notes.get("chain", ""), chained]), "records": notes.get("records", 0) + sum(x[-2] for x in chained), "offsets": offsets}
-                table.commit(settle(counts if known is None else quality.merged(known, counts)), notes)
+                table.commit(settle(quality.bounded(settle(counts if known is None else quality.merged(known, counts)))), notes)
         if commit is not None and offsets:
             commit(offsets)
 

@@ -176,5 +176,5 @@ def _step(spark: SparkSession, table: StateTable, sinks: dict[str, Sink], notes:
     cursor = {"unit": unit, "number": number, "chain": _chain_at(staged, unit, number)}
     known, now = table.current()[1], quality.snapshot(good, unknown)
     notes = {**notes, "records": end, "steps": notes["steps"] + 1, "lengths": {k: s.length() for k, s in sinks.items()}, "cursor": cursor}
-    table.commit(settle(now if known is None else quality.merged(known, now)), notes)
+    table.commit(settle(quality.bounded(settle(now if known is None else quality.merged(known, now)))), notes)
     return notes
