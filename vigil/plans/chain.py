@@ -23,13 +23,17 @@ class Chain:
     """
 
     def __init__(self, events: DataFrame, peers: DataFrame, rules: list[dict[str, Any]] | None = None, as_of_ms: int | None = None, overrides: dict | None = None, baseline_config: dict = BASELINE, suppressed: DataFrame | None = None):
-        self.events, self.peers, self.rules, self.overrides, self.config, self.suppressed = events, peers, rules or [], overrides, baseline_config, suppressed
+        self.events, self._peers, self.rules, self.overrides, self.config, self.suppressed = events, peers, rules or [], overrides, baseline_config, suppressed
         self._as_of = as_of_ms
 
     @cached_property
     def as_of(self) -> int:
         return self._as_of if self._as_of is not None else (self.events.agg(F.max("event_time_ms")).first()[0] or 0)
 
+    @cached_property
+    def peers(self) -> DataFrame:
+        return settle(self._peers)  # a row a user, which half of the stages join
+
     @cached_property
     def parts(self) -> DataFrame:
         return settle(features.window_parts(self.events))
