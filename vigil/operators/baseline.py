@@ -65,7 +65,10 @@ def statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for keys of any size: from counts of distinct values, with ranks found class by class (see _by_rank)."""
+    """The same for keys of any size: from counts of distinct values, with ranks found class by class (see _by_rank).
+
+    The deviation has 12 digits, so that the order in which tasks add squares up does not show in it.
+    """
     n, value = F.col("n"), F.col("value")
     hist = settle(rows.groupBy(*keys, "value").agg(F.sum("n").alias("n")))
     basic = _by_rank(hist, keys, PERCENTILES, {"mean": value * n}).withColumnRenamed("total", "sample_count")
@@ -73,7 +76,7 @@ def large_statistics(rows: DataFrame, keys: list[str]) -> DataFrame:
     far = value - F.col("mean")
     near = hist.join(basic.select(*keys, "mean", "p50"), keys).select(*keys, F.abs(value - F.col("p50")).alias("value"), "n", (far * far * n).alias("square"))
     spread = _by_rank(near, keys, (0.5,), {"square": F.col("square")})
-    return basic.join(spread.select(*keys, F.sqrt(F.col("square") / F.col("total")).alias("std"), F.col("p50").alias("mad")), keys)
+    return basic.join(spread.select(*keys, F.format_string("%.11e", F.sqrt(F.col("square") / F.col("total"))).cast("double").alias("std"), F.col("p50").alias("mad")), keys)
 
 
 def history(windows: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES) -> DataFrame:
