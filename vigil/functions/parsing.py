@@ -96,20 +96,18 @@ def loose_object(text: Column) -> Column:
     return F.filter(pairs, lambda p: p["v"] != "null")
 
 
-def _last_of(pairs: Column) -> Column:
-    """The pairs whose key does not come again."""
-    n = F.size(pairs)
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(n, F.lit(1))), lambda q: q["k"] == p["k"]))
+def parse_hiklink(text: Column) -> Column:
+    return text_ops.let(F.map_from_entries(text_ops.last_of(loose_object(text))), _hiklink)
 
 
-def parse_hiklink(text: Column) -> Column:
-    pairs = loose_object(text)
-    f = lambda n: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])), -1)
+def _hiklink(fields: Column) -> Column:
+    """The event of a record's fields (a map)."""
+    f = lambda n: F.try_element_at(fields, F.lit(n))
     login = F.coalesce(f("path") == "loginByPasswd", F.lit(False))
     time = F.nullif(f("createTime"), F.lit(""))
     made = _event("hiklink_json_like", 0.86, time=_plain_time(time), category=F.when(login, "authentication").otherwise("application"), type=F.when(login, "login").otherwise("behavior"), action=F.when(login, "user_login").otherwise(f("path")),
                   outcome=F.when(f("attribute3") == "SUCCESS", "success").otherwise("failure"), user_name=f("uid"), source_ip=f("attribute2"),
-                  device_name=f("device"), device_type=f("action"), os_name=f("platformName"), os_version=f("platformVersion"), extensions=F.map_from_entries(_last_of(pairs)))
+                  device_name=f("device"), device_type=f("action"), os_name=f("platformName"), os_version=f("platformVersion"), extensions=fields)
     return F.when(time.isNull() | _plain_time(time).isNotNull(), made)
 
 
@@ -146,7 +144,7 @@ def parse(records: DataFrame, parsers: list[dict] | None = None) -> DataFrame:
     active = [p for p in parsers or [] if p.get("status") == "active"]
     if active:
         columns = rows.columns
-        rows = registry.select_parser(rows, active)
+        rows = registry.select_parser(rows, active, F.col("_p").isNull())
         own = {p["parser_id"]: p["source_type"] for p in active if p.get("source_type")}
         known = F.create_map(*[F.lit(x) for pair in own.items() for x in pair]).cast("map<string,string>") if own else F.create_map().cast("map<string,string>")
         taken = F.col("_p").isNull() & F.col("parser").isNotNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -55,8 +56,8 @@ def canonical_path(path: Any) -> bool:
 
 def _shown(value: Column) -> Column:
     """A variant as text: a string as it is, anything else as JSON; null for JSON's null."""
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "VOID", None).when(F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.to_json(value)).otherwise(F.try_variant_get(value, "$", "string"))
+    of = lambda v, kind: F.when(kind == "VOID", None).when(F.regexp_like(kind, F.lit("^(OBJECT|ARRAY)")), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    return text_ops.let(value, lambda v: text_ops.let(F.schema_of_variant(v), lambda kind: of(v, kind)))
 
 
 def extract(text: Column, parser: dict[str, Any]) -> Column:
@@ -67,13 +68,17 @@ def extract(text: Column, parser: dict[str, Any]) -> Column:
         return text_ops.key_values(text)
     if kind == "json":
         document = F.when(text_ops.is_json(text), F.try_parse_json(text))
-        if not how:
-            whole = F.transform_values(F.from_json(F.when(F.startswith(F.schema_of_variant(document), F.lit("OBJECT")), text), "map<string,variant>"), lambda k, v: _shown(v))
-            return F.when(document.isNotNull(), F.coalesce(whole, F.create_map().cast("map<string,string>")))
         quoted = lambda path: "$" + "".join("['" + part.replace("'", "") + "']" for part in path.split("."))
-        pairs = {field: _shown(F.try_variant_get(document, quoted(str(path)), "variant")) for field, path in how.items()}
-        made = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
-        return F.when(document.isNotNull(), F.map_filter(made, lambda k, v: v.isNotNull()))
+
+        def of(document: Column) -> Column:
+            if not how:
+                whole = F.transform_values(F.from_json(F.when(F.startswith(F.schema_of_variant(document), F.lit("OBJECT")), text), "map<string,variant>"), lambda k, v: _shown(v))
+                return F.when(document.isNotNull(), F.coalesce(whole, F.create_map().cast("map<string,string>")))
+            pairs = {field: _shown(F.try_variant_get(document, quoted(str(path)), "variant")) for field, path in how.items()}
+            made = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*pairs.values()))
+            return F.when(document.isNotNull(), F.map_filter(made, lambda k, v: v.isNotNull()))
+
+        return text_ops.let(document, of)
     if kind == "regex":
         pattern = how.get("pattern")
         if not pattern:
@@ -127,30 +132,38 @@ def _contract(parser: dict[str, Any]) -> Column:
     return out
 
 
+def _with(body: Callable, p: dict[str, Any]) -> Callable[[Column], Column]:
+    return lambda fields: body(fields, p)
+
+
 #: What parsers of equal rank are told apart by, in this order; the least priority and the greatest rates win.
 RANKS = ("priority", "success_rate", "schema_mapping_rate", "shadow_replay_success_rate")
 
 
-def select_parser(records: DataFrame, parsers: list[dict[str, Any]]) -> DataFrame:
+def select_parser(records: DataFrame, parsers: list[dict[str, Any]], wanted: Column | None = None) -> DataFrame:
     """records (source_id, source_type, raw_text, product, format_version) with parser (null where none fits): id,
     version, confidence, fields, values (canonical path to value), and conflict where several fit.
 
     A parser fits where the record meets its source contract and all its field candidates are found. Among several the
     least priority wins, then the best rates, then the name; conflict says how many there were, their names and what
-    told them apart. Parsers are few and are tried side by side in one pass.
+    told them apart. Parsers are few and are tried side by side in one pass, on the records that are wanted (default: all).
     """
     for c in ("product", "format_version"):
         records = records if c in records.columns else records.withColumn(c, F.lit(None).cast("string"))
     has_all = lambda fields, names: F.coalesce(F.forall(F.array(*map(F.lit, names)).cast("array<string>"), lambda f: F.map_contains_key(fields, f)), F.lit(False))
     tried = []
-    for p in (p for p in parsers if p.get("status") == "active"):
-        fields = extract(F.col("raw_text"), p)
-        fits = _contract(p) & fields.isNotNull() & has_all(fields, p.get("field_candidates") or {})
+
+    def fitting(fields: Column, p: dict[str, Any]) -> Column:
+        fits = fields.isNotNull() & has_all(fields, p.get("field_candidates") or {})
         values = registry_fields(p, fields)
         made = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values())), lambda k, v: v.isNotNull())
         ranks = [F.lit(int(p.get("priority", 100))).alias("priority"), *[F.lit(-float(p.get(r) or 0.0)).alias(r) for r in RANKS[1:]]]
         known = F.lit(min(float(p.get("success_rate") or 0.0), 0.9))
-        tried.append(F.when(fits, F.struct(*ranks, F.lit(p["parser_id"]).alias("id"), F.lit(p.get("version", "0.1.0")).alias("version"), known.alias("confidence"), F.map_entries(fields).alias("fields"), F.map_entries(made).alias("values"))))
+        return F.when(fits, F.struct(*ranks, F.lit(p["parser_id"]).alias("id"), F.lit(p.get("version", "0.1.0")).alias("version"), known.alias("confidence"), F.map_entries(fields).alias("fields"), F.map_entries(made).alias("values")))
+
+    wanted = F.lit(True) if wanted is None else wanted
+    for p in (p for p in parsers if p.get("status") == "active"):
+        tried.append(F.when(wanted & _contract(p), text_ops.let(extract(F.col("raw_text"), p), _with(fitting, p))))
     shape = "struct<id:string,version:string,confidence:double,fields:map<string,string>,values:map<string,string>,conflict:struct<candidate_count:int,selected_parser_id:string,competing_parser_ids:array<string>,resolution:string>>"
     if not tried:
         return records.withColumn("parser", F.lit(None).cast(shape))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +17,20 @@ SENSITIVE = r"(?i)\b(\w*(?:password|passwd|token|authorization|api[_-]?key|secre
 SENSITIVE_KEY = re.compile(r"(?i)password|passwd|token|authorization|api[_-]?key|secret")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once for a row, however often body names it. A column that is named again within
+    a lambda or a branch is worked out again there, so that nested functions of a record would multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def last_of(pairs: Column) -> Column:
+    """Pairs (k, v) whose key does not come again, in their order. By sorting, so that a long record takes no square time."""
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), (-i).alias("minus"), p["v"].alias("v")))
+    kept = let(F.array_sort(numbered), lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
+    back = F.array_sort(F.transform(kept, lambda p: F.struct((-p["minus"]).alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    return F.transform(back, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, Unicode's too."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -29,24 +44,27 @@ def is_json(text: Column) -> Column:
 
 def detect_format(text: Column) -> Column:
     """empty, json, json_like, key_value, apache_access or text; null counts as empty."""
-    t = strip(F.coalesce(text, F.lit("")))
-    opens = F.startswith(t, F.lit("{"))
-    return (
-        F.when(t == "", "empty").when(opens & is_json(t), "json").when(opens, "json_like").when(F.regexp_like(t, F.lit(r"(?U)\b\w+=")), "key_value").when(F.regexp_like(t, F.lit(ACCESS)), "apache_access").otherwise("text")
-    )
+
+    def of(t: Column) -> Column:
+        opens = F.startswith(t, F.lit("{"))
+        return (
+            F.when(t == "", "empty").when(opens & is_json(t), "json").when(opens, "json_like").when(F.regexp_like(t, F.lit(r"(?U)\b\w+=")), "key_value").when(F.regexp_like(t, F.lit(ACCESS)), "apache_access").otherwise("text")
+        )
+
+    return let(strip(F.coalesce(text, F.lit(""))), of)
 
 
 def detect_source(text: Column) -> Column:
     """svn, sso, gitlab, hiklink or unknown, by what the record looks like."""
-    t = strip(F.coalesce(text, F.lit("")))
-    v = F.try_parse_json(F.when(F.startswith(t, F.lit("{")), t))
 
-    def has(*names: str) -> Column:
-        keys = F.json_object_keys(F.when(v.isNotNull(), t))
-        return F.coalesce(F.array_size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names), F.lit(False))
+    def of(t: Column, valid: Column, keys: Column) -> Column:
+        has = lambda *names: F.coalesce(F.array_size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names), F.lit(False))
+        named = F.when(has("shortName", "eventType"), "sso").when(has("username", "route"), "gitlab")
+        return named.when(F.startswith(t, F.lit("{")) & ~valid & F.contains(t, F.lit("uid:")) & F.contains(t, F.lit("attribute2:")), "hiklink").otherwise("unknown")
 
-    named = F.when(F.regexp_like(t, F.lit(ACCESS)), "svn").when(has("shortName", "eventType"), "sso").when(has("username", "route"), "gitlab")
-    return named.when(F.startswith(t, F.lit("{")) & v.isNull() & F.contains(t, F.lit("uid:")) & F.contains(t, F.lit("attribute2:")), "hiklink").otherwise("unknown")
+    valid = lambda t: F.try_parse_json(F.when(F.startswith(t, F.lit("{")), t)).isNotNull()
+    keyed = lambda t: let(valid(t), lambda ok: let(F.json_object_keys(F.when(ok, t)), lambda keys: of(t, ok, keys)))
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: F.when(F.regexp_like(t, F.lit(ACCESS)), "svn").otherwise(keyed(t)))
 
 
 def template_hint(text: Column) -> Column:
@@ -82,7 +100,5 @@ def redact_any(text: Column) -> Column:
 def key_values(text: Column) -> Column:
     """key=value pairs as a map; of repeated keys the last one counts."""
     pairs = F.regexp_extract_all(text, F.lit(r"(\w+=\S+)"))
-    keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-    values = F.transform(pairs, lambda p: F.substring(p, F.instr(p, "=") + 1, F.length(p)))
-    last = F.filter(F.sequence(F.lit(0), F.size(keys) - 1), lambda i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), keys[i]))
-    return F.when(F.size(keys) == 0, F.create_map().cast("map<string,string>")).otherwise(F.map_from_arrays(F.transform(last, lambda i: keys[i]), F.transform(last, lambda i: values[i])))
+    halves = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("v")))
+    return F.map_from_entries(last_of(halves)).cast("map<string,string>")
