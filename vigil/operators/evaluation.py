@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .baseline import long_metrics, status
 from .detection import severity
 from .features import DAY_MS
 
+#: Users whose days are worked out before they are sent on.
+ROWS_A_BATCH = 500
 MODEL = ["eval_day", "window_size", "scope", "subject"]
 
 
@@ -25,33 +29,89 @@ def history(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DA
     return rows.where(own + days * DAY_MS >= from_ms).withColumn("eval_day", F.explode(reach))
 
 
-def day_snapshots(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
-    """Each user's percentiles as known at the start of every UTC day of [from, to): windows of the days before it.
+LIMITS = (0.95, 0.99)
+
+
+def _ranked(rows: np.ndarray, zeros: int, p: float) -> np.ndarray:
+    """The interpolated percentile of each column of sorted rows with so many zeros before them."""
+    n = len(rows) + zeros
+    rank = p * (n - 1)
+    low = int(rank)
+    none = np.zeros(rows.shape[1])
+    a, b = (rows[i - zeros] if i >= zeros else none for i in (low, min(low + 1, n - 1)))
+    return a + (b - a) * (rank - low)
+
 
-    A window is sent to the at most days evaluation days that may use it, pruned to the range first, so that the join
-    over time is an aggregation by day. All slots of the history count, empty ones as one zero with a count; readiness
-    goes by the windows that were seen.
+def day_limits(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
+    """Each user's percentiles as known at the start of every UTC day (UTC midnights) of [from, to): eval_day, user_name,
+    window_size, observed, active_days, status and p95, p99, arrays in the order of METRICS.
+
+    One aggregation gathers a user's windows of a size, which the range bounds; the days' histories are slices of them,
+    so that no window is sent to each of the days that use it. All slots of the history count, empty ones as zeros,
+    which are counted, not made; readiness goes by the windows that were seen.
     """
-    own = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
-    seen = history(windows, from_ms, to_ms, days, sizes)
-    keys = ["eval_day", "user_name", "window_size"]
-    sizes_ = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed"), F.count_distinct(own).alias("active_days"))
-    slots = (F.lit(days * 86400) / F.col("window_size")).cast("long")
-    zeros = sizes_.where(slots > F.col("observed")).select(*keys, F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"), F.lit(0.0).alias("value"), (slots - F.col("observed")).alias("n"))
-    values = long_metrics(seen, keys).withColumn("n", F.lit(1).cast("long")).unionByName(zeros)
-    ranks = values.groupBy(*keys, "metric").agg(F.percentile("value", F.array(F.lit(0.95), F.lit(0.99)), F.col("n")).alias("p"))
-    ready = status(F.col("active_days"), F.col("observed"), config["min_active_days"], config["min_samples"])
-    return ranks.join(sizes_, keys).select(*keys, "metric", "observed", "active_days", F.col("p")[0].alias("p95"), F.col("p")[1].alias("p99"), ready.alias("status"))
+    day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
+    rows = windows.where(F.col("window_size").isin(*sizes) & (F.col("window_start") >= from_ms - days * DAY_MS) & (F.col("window_start") < to_ms - DAY_MS))
+    held = rows.groupBy("user_name", F.col("window_size").cast("int").alias("window_size")).agg(F.collect_list(day).alias("days"), F.collect_list(F.array(*[F.col(m).cast("double") for m in METRICS])).alias("values"))
+
+    def of(own: np.ndarray, values: np.ndarray, size: int) -> Iterator[tuple]:
+        order = np.argsort(own, kind="stable")
+        own, values = own[order], values[order]
+        first, last = max(from_ms, int(own[0]) + DAY_MS), min(to_ms - DAY_MS, int(own[-1]) + days * DAY_MS)
+        for at in range(first, last + 1, DAY_MS):
+            low, high = np.searchsorted(own, at - days * DAY_MS), np.searchsorted(own, at)
+            if high > low:
+                part = np.sort(values[low:high], axis=0)
+                zeros = max(0, days * 86400 // size - len(part))
+                yield at, len(part), len(np.unique(own[low:high])), *(_ranked(part, zeros, p) for p in LIMITS)
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = len(METRICS)
+        for batch in batches:
+            users, windows_, own, values = batch.columns
+            ends = own.offsets.to_numpy() - own.offsets[0].as_py()
+            flat, table = own.flatten().to_numpy(), values.flatten().flatten().to_numpy().reshape(-1, number)
+            for start in range(0, len(users), ROWS_A_BATCH):
+                made, names, sizes_ = [], [], []
+                for i in range(start, min(start + ROWS_A_BATCH, len(users))):
+                    size = windows_[i].as_py()
+                    found = list(of(flat[ends[i] : ends[i + 1]], table[ends[i] : ends[i + 1]], size))
+                    made += found
+                    names += [users[i].as_py()] * len(found)
+                    sizes_ += [size] * len(found)
+                if made:
+                    ats, observed, active, *ps = zip(*made, strict=True)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * number, pa.int32()), pa.array(np.concatenate(p))) for p in ps]
+                    yield pa.record_batch([pa.array(ats, pa.int64()), pa.array(names, pa.string()), pa.array(sizes_, pa.int32()), pa.array(observed, pa.int64()), pa.array(active, pa.int64()), *lists], ["eval_day", "user_name", "window_size", "observed", "active_days", "p95", "p99"])
+
+    out = held.mapInArrow(limits, "eval_day long, user_name string, window_size int, observed long, active_days long, p95 array<double>, p99 array<double>")
+    return out.withColumn("status", status(F.col("active_days"), F.col("observed"), config["min_active_days"], config["min_samples"]))
+
+
+def day_snapshots(windows: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, sizes: tuple[int, ...] = BASELINE_SIZES, config: dict = BASELINE) -> DataFrame:
+    """day_limits with a row for each metric."""
+    each = F.arrays_zip(F.array(*map(F.lit, METRICS)).alias("metric"), "p95", "p99")
+    rows = day_limits(windows, from_ms, to_ms, days, sizes, config).withColumn("_m", F.explode(each))
+    return rows.select("eval_day", "user_name", "window_size", F.col("_m.metric").alias("metric"), "observed", "active_days", F.col("_m.p95").alias("p95"), F.col("_m.p99").alias("p99"), "status")
 
 
 def day_candidates(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Windows of each evaluation day that lie above the percentiles known before it, by users that were ready."""
+    """Windows of each evaluation day that lie above the percentiles known before it (both to 9 digits, so that no way of
+    interpolating shows), by users that were ready. snapshots are day_snapshots, or better day_limits: then a window's
+    metrics are compared in place, and only those that lie above become rows."""
+    keys = ["eval_day", "user_name", "window_size"]
+    ready = snapshots.where("status = 'ready'")
+    if "metric" in snapshots.columns:
+        at = lambda c: F.transform(F.array(*map(F.lit, METRICS)), lambda m: F.try_element_at("_of", m)[c]).alias(c)
+        ready = ready.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("p95", "p99")))).alias("_of")).select(*keys, at("p95"), at("p99"))
     day = F.col("window_start") - F.pmod("window_start", F.lit(DAY_MS))
-    rows = long_metrics(windows.withColumn("eval_day", day), ["eval_day", "user_name", "window_size", "window_start"])
-    hit = rows.join(snapshots.where("status = 'ready'"), ["eval_day", "user_name", "window_size", "metric"]).where(F.col("value") > F.col("p95"))
-    high = F.col("value") > F.col("p99")
+    rows = windows.withColumn("eval_day", day).join(ready.select(*keys, "p95", "p99"), keys)
+    near = lambda x: F.round(x, 9)
+    above = lambda m, i: F.when(near(F.col(m).cast("double")) > near(F.col("p95")[i]), F.struct(F.lit(m).alias("metric"), (near(F.col(m).cast("double")) > near(F.col("p99")[i])).alias("high")))
+    hit = rows.select(*keys, "window_start", F.explode(F.array_compact(F.array(*[above(m, i) for i, m in enumerate(METRICS)]))).alias("_hit"))
+    high, metric = F.col("_hit.high"), F.col("_hit.metric")
     score = F.when(high, DETECTION["p99_score"]).otherwise(DETECTION["p95_score"])
-    return hit.select("eval_day", "user_name", "window_size", "window_start", "metric", F.when(high, "numeric_p99").otherwise("numeric_p95").alias("detector_id"), score.alias("score"), severity(score).alias("severity"))
+    return hit.select(*keys, "window_start", metric.alias("metric"), F.when(high, "numeric_p99").otherwise("numeric_p95").alias("detector_id"), score.alias("score"), severity(score).alias("severity"))
 
 
 def day_values(values: DataFrame, from_ms: int, to_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
