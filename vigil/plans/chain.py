@@ -36,7 +36,7 @@ class Chain:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return settle(features.window_parts(self.events))
+        return settle(features.window_parts(features.by_user(self.events)))
 
     @cached_property
     def windows(self) -> DataFrame:
