@@ -186,8 +186,17 @@ def value_baselines(values: DataFrame, bounds: DataFrame, peers: DataFrame, as_o
     """Counts, sightings and share (of its type) of each value in each scope: scope, subject, value_type, value_key,
     display_value, event_count, window_count, user_count, first_seen, last_seen, share.
 
-    Users' values are counted once; groups and everyone add them up. A user's own range starts at the first event
-    itself, not its window, so values of a first partial hour are left out there. bounds has each user's first_time_ms.
+    Users' values are counted once (value_counts); groups and everyone add them up.
+    """
+    users = settle(value_counts(values, bounds, peers, as_of_ms, days, size))
+    return own_values(users).unionByName(group_values(users))
+
+
+def value_counts(values: DataFrame, bounds: DataFrame, peers: DataFrame, as_of_ms: int, days: int = HISTORY_DAYS, size: int = VALUE_WINDOW_S) -> DataFrame:
+    """Each user's values with group_id and two structs of counts and sightings: own, and every for the groups.
+
+    A user's own range starts at the first event itself, not its window, so values of a first partial hour are left out
+    there. bounds has each user's first_time_ms.
     """
     start, begin = as_of_ms - days * DAY_MS, F.col("window_start")
     rows = values.where((F.col("window_size") == size) & (begin >= start) & (begin <= as_of_ms)).join(bounds.select("user_name", "first_time_ms"), "user_name")
@@ -198,14 +207,24 @@ def value_baselines(values: DataFrame, bounds: DataFrame, peers: DataFrame, as_o
     parts = lambda when: F.struct(
         F.max(F.when(when, F.col("display_value"))).alias("display_value"), total(when).alias("event_count"), F.count_if(when).alias("window_count"), F.min(F.when(when, begin)).alias("first_seen"), F.max(F.when(when, begin)).alias("last_seen"),
     )
-    users = settle(rows.groupBy("user_name", *keys).agg(parts(own).alias("own"), parts(yes).alias("every")).join(peers.select("user_name", "group_id"), "user_name", "left"))
-    personal = users.where("own.window_count > 0").select(F.lit("personal").alias("scope"), F.col("user_name").alias("subject"), *keys, "own.*", F.lit(1).cast("long").alias("user_count"))
+    return rows.groupBy("user_name", *keys).agg(parts(own).alias("own"), parts(yes).alias("every")).join(peers.select("user_name", "group_id"), "user_name", "left")
+
+
+def own_values(users: DataFrame) -> DataFrame:
+    """value_baselines of scope personal, from value_counts."""
+    personal = users.where("own.window_count > 0").select(F.lit("personal").alias("scope"), F.col("user_name").alias("subject"), "value_type", "value_key", "own.*", F.lit(1).cast("long").alias("user_count"))
+    return personal.withColumn("share", F.col("event_count") / F.sum("event_count").over(Window.partitionBy("subject", "value_type")))
+
+
+def group_values(users: DataFrame) -> DataFrame:
+    """value_baselines of groups and everyone, from value_counts."""
+    keys = ["value_type", "value_key"]
     scopes = F.array_compact(F.array(F.when(F.col("group_id").isNotNull(), F.struct(F.lit("peer_group").alias("scope"), F.col("group_id").alias("subject"))), F.struct(F.lit("global").alias("scope"), F.lit("").alias("subject"))))
     spread = users.select(*keys, "every.*", F.explode(scopes).alias("_s")).select("_s.*", *keys, "display_value", "event_count", "window_count", "first_seen", "last_seen")
     added = spread.groupBy("scope", "subject", *keys).agg(
         F.max("display_value").alias("display_value"), F.sum("event_count").alias("event_count"), F.sum("window_count").alias("window_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.count(F.lit(1)).alias("user_count"),
     )
-    every = settle(personal.unionByName(added))
+    every = settle(added)
     totals = every.groupBy("scope", "subject", "value_type").agg(F.sum("event_count").alias("_total"))
     return every.join(totals, ["scope", "subject", "value_type"]).withColumn("share", F.col("event_count") / F.col("_total")).drop("_total")

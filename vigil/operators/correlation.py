@@ -27,8 +27,8 @@ def group_keys(candidates: DataFrame, sessions: DataFrame, config: dict = CORREL
     right = sessions.select("user_name", "session_id", "start_time", "last_event_time", "first_event_id", F.explode(days(F.col("start_time"), F.col("last_event_time") + 1)).alias("day"))
     met = left.join(right, ["user_name", "day"]).where((F.col("start_time") < F.col("window_end")) & (F.col("last_event_time") >= F.col("window_start")))
     overlap = F.least(F.col("last_event_time") + 1, F.col("window_end")) - F.greatest("start_time", "window_start")
-    best = met.groupBy("candidate_key").agg(F.max_by("session_id", F.struct(overlap, -F.col("start_time"), "first_event_id")).alias("session_id"))
-    rows = candidates.join(best, "candidate_key", "left")
+    best = met.groupBy("user_name", "candidate_key").agg(F.max_by("session_id", F.struct(overlap, -F.col("start_time"), "first_event_id")).alias("session_id"))
+    rows = candidates.join(best, ["user_name", "candidate_key"], "left")
     width = config["bucket_s"] * 1000
     bucket = F.col("window_start") - F.pmod("window_start", F.lit(width))
     fallback = F.when(F.col("window_size") == 86_400, F.concat(F.lit("day:"), F.col("window_start"))).otherwise(F.concat(F.lit("bucket:"), bucket))
@@ -71,17 +71,21 @@ def incidents(live: DataFrame, tops: DataFrame, own: DataFrame, values: DataFram
     held = live.where("window_size > 0").select(*keys, "window_size", "window_start").distinct()
     kinds = values.where("value_type = 'source_type'").groupBy(*window).agg(F.transform(F.collect_set("value_key"), lambda v: _thing("source_type", v)).alias("k"))  # a window's source types
     from_windows = held.join(tops.select(*window, _things_of("evidence").alias("t")), window, "left").join(kinds, window, "left").select(*keys, F.concat(F.coalesce("t", none), F.coalesce("k", none)).alias("t"))
-    from_events = live.where("window_size = 0").select("candidate_key", *keys).join(own, "candidate_key").select(*keys, _things_of("evidence").alias("t"))
+    from_events = live.where("window_size = 0").select("candidate_key", *keys).join(own, ["user_name", "candidate_key"]).select(*keys, _things_of("evidence").alias("t"))
     from_values = live.where(F.col("value_type").isin("source_ip", "resource")).select(*keys, F.array(F.struct(F.col("value_type").alias("kind"), F.col("value_key").alias("name"))).alias("t"))
     one = lambda c, kind: F.transform(f"{c}_samples", lambda v: _thing(kind, v))
     from_sessions = live.where("session_id IS NOT NULL").select(*keys, "session_id").distinct().join(sessions, ["user_name", "session_id"])
     from_sessions = from_sessions.select(*keys, F.concat(one("source_type", "source_type"), one("source_ip", "source_ip"), one("resource_display", "resource")).alias("t"))
-    every = from_windows.unionByName(from_events).unionByName(from_values).unionByName(from_sessions)
-    every = every.select(*keys, F.explode("t").alias("x")).select(*keys, "x.*").where("name IS NOT NULL")
-    gathered = lambda kind, name: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(name)
-    sets = every.groupBy(*keys).agg(gathered("source_type", "source_types"), gathered("source_ip", "source_ips"), gathered("resource", "resources"))
-    out = rolled.join(sets, keys, "left")
-    out = out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("source_types", "source_ips", "resources")})
+    gathered = lambda kind, name: F.collect_set(F.when(F.col("kind") == kind, F.col("name"))).alias(name)
+    things, out = ("source_types", "source_ips", "resources"), rolled
+    # each source is gathered by itself: where users are dealt already, nothing of this is shuffled
+    for i, rows in enumerate((from_windows, from_events, from_values, from_sessions)):
+        rows = rows.select(*keys, F.explode("t").alias("x")).select(*keys, "x.*").where("name IS NOT NULL")
+        sets = rows.groupBy(*keys).agg(gathered("source_type", "source_types"), gathered("source_ip", "source_ips"), gathered("resource", "resources"))
+        out = out.join(sets.withColumnsRenamed({c: f"_{c}{i}" for c in things}), keys, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({c: F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f"_{c}{i}", none) for i in range(4)]))) for c in things})
+    out = out.drop(*[f"_{c}{i}" for c in things for i in range(4)])
     bonus = F.least(F.lit(config["bonus_cap"]), config["bonus"] * (F.col("candidate_count") - 1))
     kind = F.when(F.size("source_types") > 1, "cross_system_behavior_anomaly").when(F.size("detector_families") > 1, "compound_behavior_anomaly").otherwise("user_behavior_anomaly")
     score = F.least(F.lit(100), F.col("max_score") + bonus).cast("int")

@@ -81,12 +81,22 @@ def numeric_candidates(scoped: DataFrame) -> DataFrame:
     return _candidate(rows, F.col("_hit.d"), F.when(F.col("_hit.d") == "numeric_p99", F.col("policy.p99_score")).otherwise(F.col("policy.p95_score")))
 
 
-def value_candidates(scoped: DataFrame, values: DataFrame, baselines: DataFrame) -> DataFrame:
-    """new_value_30d where a value's first sighting is this window, rare_value where its share and count are low."""
+def value_candidates(scoped: DataFrame, values: DataFrame, own_values: DataFrame | None, group_values: DataFrame | None) -> DataFrame:
+    """new_value_30d where a value's first sighting is this window, rare_value where its share and count are low.
+
+    Values of users with baselines of their own (own_values: those of scope personal) are looked up by user; only the
+    others meet those of groups and everyone (group_values). With None in the place of either, the rows of the other alone.
+    """
     keys = ["user_name", "window_size", "window_start"]
     own = scoped.where(F.col("scope").isNotNull()).select(*keys, "window_end", "scope", "subject", "group_id", "policy")
-    known = baselines.select("scope", "subject", "value_type", "value_key", "first_seen", "share", F.col("event_count").alias("known_count"))
-    rows = own.join(values.select(*keys, "value_type", "value_key"), keys).join(known, ["scope", "subject", "value_type", "value_key"])
+    known = lambda df, *subject: df.select(*subject, "value_type", "value_key", "first_seen", "share", F.col("event_count").alias("known_count"))
+    held = lambda scope, df, *subject: own.where(scope).join(values.select(*keys, "value_type", "value_key"), keys).join(df, [*subject, "value_type", "value_key"])
+    found = []
+    if own_values is not None:  # sides that are dealt by user stay so
+        found.append(held("scope = 'personal'", known(own_values.where("scope = 'personal'"), F.col("subject").alias("user_name")), "user_name"))
+    if group_values is not None:
+        found.append(held("scope <> 'personal'", known(group_values.where("scope <> 'personal'"), "scope", "subject"), "scope", "subject"))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     new = F.when(F.col("first_seen") == F.col("window_start"), F.struct(F.lit("new_value_30d").alias("d"), F.col("policy.new_value_score").alias("s")))
     rare = F.when((F.col("share") <= F.col("policy.rare_share_threshold")) & (F.col("known_count") <= F.col("policy.rare_event_count_max")), F.struct(F.lit("rare_value").alias("d"), F.col("policy.rare_value_score").alias("s")))
     rows = rows.withColumn("_hit", F.explode(F.filter(F.array(new, rare), lambda x: x.isNotNull())))
@@ -133,17 +143,17 @@ def window_evidence(windows: DataFrame, events: DataFrame, sizes: tuple[int, ...
 
 
 def event_items(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """candidate_key and evidence of the candidates that are an event."""
-    one = candidates.where("event_id IS NOT NULL").select("candidate_key", "event_id").join(events.select(*ITEMS), "event_id")
-    return one.select("candidate_key", F.array(F.struct(F.lit(1).alias("evidence_order"), *ITEMS)).alias("evidence"))
+    """user_name, candidate_key and evidence of the candidates that are an event."""
+    one = candidates.where("event_id IS NOT NULL").select("user_name", "candidate_key", "event_id").join(events.select("user_name", *ITEMS), ["user_name", "event_id"])
+    return one.select("user_name", "candidate_key", F.array(F.struct(F.lit(1).alias("evidence_order"), *ITEMS)).alias("evidence"))
 
 
 def evidence(candidates: DataFrame, tops: DataFrame, own: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataFrame:
-    """candidate_key, event_count, truncated and evidence of each candidate, from those of windows (tops) and of single
+    """user_name, candidate_key, event_count, truncated and evidence of each candidate, from those of windows (tops) and of single
     events (own). Windows are looked through once, however many candidates they have."""
     keys = ["user_name", "window_size", "window_start"]
-    many = candidates.where("window_size > 0").select("candidate_key", *keys).join(tops, keys).select("candidate_key", "event_count", (F.col("event_count") > limit).alias("truncated"), "evidence")
-    return many.unionByName(own.select("candidate_key", F.lit(1).cast("long").alias("event_count"), F.lit(False).alias("truncated"), "evidence"))
+    many = candidates.where("window_size > 0").select("candidate_key", *keys).join(tops, keys).select("user_name", "candidate_key", "event_count", (F.col("event_count") > limit).alias("truncated"), "evidence")
+    return many.unionByName(own.select("user_name", "candidate_key", F.lit(1).cast("long").alias("event_count"), F.lit(False).alias("truncated"), "evidence"))
 
 
 def reported(candidates: DataFrame, limit: int | None = None) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..operators import baseline, correlation, detection, features, fusion
 from ..operators import sessions as session_ops
 from ..settings import BASELINE
-from ..sources.state import settle
+from ..sources.state import settle, settle_by
 
 
 class Chain:
     """Each stage as a DataFrame, built when first asked for.
 
     Stages that others read more than once are settled in the shared checkpoint folder, so that the plans that follow
-    start from their rows. as_of defaults to the newest event's time (one row read from the events).
+    start from their rows. Events are dealt by user once, and what is settled of users stays dealt so (settle_by): the
+    stages behind shuffle nothing but what goes to groups. as_of defaults to the newest event's time (one row read from the events).
     baseline_config and overrides are those of the operators.
     """
 
@@ -34,13 +35,25 @@ class Chain:
     def peers(self) -> DataFrame:
         return settle(self._peers)  # a row a user, which half of the stages join
 
+    @cached_property
+    def tasks(self) -> int:
+        return features.tasks_of(self.events)
+
+    def kept(self, *parts: DataFrame) -> DataFrame:
+        """parts settled by user, in as many tasks as the events."""
+        return settle_by("user_name", self.tasks, *parts)
+
+    @cached_property
+    def dealt(self) -> DataFrame:
+        return self.kept(self.events)
+
     @cached_property
     def parts(self) -> DataFrame:
-        return settle(features.window_parts(features.by_user(self.events)))
+        return self.kept(*features.counted_and_named(self.dealt))
 
     @cached_property
     def windows(self) -> DataFrame:
-        return settle(features.windows_in(self.parts))
+        return self.kept(features.windows_in(self.parts))
 
     @cached_property
     def values(self) -> DataFrame:
@@ -52,20 +65,38 @@ class Chain:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return settle(session_ops.sessions(self.events))
+        return session_ops.sessions(self.dealt)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """Of the sessions what incidents need."""
+        samples = [f"{c}_samples" for c in session_ops.SAMPLES]
+        return self.kept(self.sessions.select("user_name", "session_id", "start_time", "first_event_id", "last_event_time", *samples))
 
     @cached_property
     def personal(self) -> DataFrame:
-        return settle(baseline.personal_baselines(self.windows, self.as_of, config=self.config))
+        return self.kept(baseline.personal_baselines(self.windows, self.as_of, config=self.config))
 
     @cached_property
     def groups(self) -> DataFrame:
         return settle(baseline.group_baselines(self.windows, self.personal, self.peers, self.as_of, config=self.config))
 
     @cached_property
-    def value_baselines(self) -> DataFrame:
+    def value_counts(self) -> DataFrame:
         first = self.parts.where("window_size = 86400").groupBy("user_name").agg(F.min("first_ms").alias("first_time_ms"))
-        return baseline.value_baselines(self.values, first, self.peers, self.as_of)
+        return self.kept(baseline.value_counts(self.values, first, self.peers, self.as_of))
+
+    @cached_property
+    def value_baselines(self) -> DataFrame:
+        return self.own_values.unionByName(self.group_values)
+
+    @cached_property
+    def own_values(self) -> DataFrame:
+        return baseline.own_values(self.value_counts)
+
+    @cached_property
+    def group_values(self) -> DataFrame:
+        return baseline.group_values(self.value_counts)
 
     @cached_property
     def scoped(self) -> DataFrame:
@@ -78,25 +109,26 @@ class Chain:
 
     @cached_property
     def valued(self) -> DataFrame:
-        return detection.value_candidates(self.scoped, self.values, self.value_baselines)
+        return detection.value_candidates(self.scoped, self.values, self.own_values, self.group_values)
 
     @cached_property
     def ruled(self) -> DataFrame:
-        return detection.rule_candidates(self.events, self.windows, self.values, self.rules)
+        return detection.rule_candidates(self.dealt, self.windows, self.values, self.rules)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return settle(self.numeric.unionByName(self.valued).unionByName(self.ruled))
+        own, others = (detection.value_candidates(self.scoped, self.values, *v) for v in ((self.own_values, None), (None, self.group_values)))
+        return self.kept(self.numeric, own, others, self.ruled)
 
     @cached_property
     def tops(self) -> DataFrame:
         """The first events of every window with a candidate."""
         sizes = tuple(sorted({*detection.SIZES, *(r["window_size"] for r in self.rules if r["scope"] == "window")}))
-        return settle(detection.window_evidence(self.candidates.where("window_size > 0"), self.events, sizes))
+        return self.kept(detection.window_evidence(self.candidates.where("window_size > 0"), self.dealt, sizes))
 
     @cached_property
     def own_events(self) -> DataFrame:
-        return detection.event_items(self.candidates, self.events)
+        return detection.event_items(self.candidates, self.dealt)
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -104,11 +136,16 @@ class Chain:
 
     @cached_property
     def keyed(self) -> DataFrame:
-        return settle(correlation.group_keys(self.candidates, self.sessions))
+        return self.kept(correlation.group_keys(self.candidates, self.spans))
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return correlation.incidents(self.keyed.where("detector_mode = 'active'"), self.tops, self.own_events, self.values, self.sessions)
+        return correlation.incidents(self.keyed.where("detector_mode = 'active'"), self.tops, self.own_events, self.values, self.spans)
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        """Of the incidents what their risk depends on, for those who read it more than once."""
+        return self.kept(self.incidents.select("user_name", "incident_key", "first_seen", "incident_type", "aggregation_score", "detector_family_count", "source_types"))
 
     @cached_property
     def assessments(self) -> DataFrame:

@@ -318,9 +318,9 @@ def r04_versions(spark, sf_dir):
     """Assessments under two policies, one after the other."""
     from .settings import FUSION
 
-    made = settle(full(spark, sf_dir).incidents)
+    made = full(spark, sf_dir).rated
     first = fusion.versioned(None, fusion.assessments(made, now_ms=0), 1)
-    rows = fusion.versioned(settle(first), fusion.assessments(made, config=FUSION | {"alert_threshold": 95}, now_ms=0), 2)
+    rows = fusion.versioned(first, fusion.assessments(made, config=FUSION | {"alert_threshold": 95}, now_ms=0), 2)
     return rows.groupBy(c("revision").cast("int").alias("revision"), "status", "policy_action").agg(F.count(F.lit(1)).alias("n"), F.count("supersedes").alias("replaces"))
 
 
@@ -328,7 +328,7 @@ def r04_versions(spark, sf_dir):
   FROM (SELECT risk1.*, substr(alert_key, 1, 1) IN ('0', '1', '2', '3') AS held FROM risk1))""", *ALL, o.RISK, **PRINTS))
 def j07_suppressed(spark, sf_dir):
     """Assessments where cases of some alerts (by the first digit of their keys) hold them back, and others did so once."""
-    made = settle(full(spark, sf_dir).incidents)
+    made = full(spark, sf_dir).rated
     keys = fusion.assessments(made, now_ms=0).select("alert_key").distinct()
     until = F.when(F.substring("alert_key", 1, 1).isin("0", "1", "2", "3"), 2000).when(F.substring("alert_key", 1, 1).isin("4", "5"), 500)
     held = keys.select("alert_key", until.cast("long").alias("suppression_until")).where("suppression_until IS NOT NULL")

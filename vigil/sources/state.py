@@ -39,6 +39,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_by(key: str, tasks: int, *parts: DataFrame) -> DataFrame:
+    """All rows of parts (of the same columns) settled in buckets of key, one to each of so many tasks: what is dealt so
+    already is written where it is, and joins and groups of such tables by key, or by key and more, need no shuffle."""
+    spark, name = parts[0].sparkSession, f"settled_{uuid.uuid4().hex}"
+    # a join goes by the buckets of a part of its keys too
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # a union of tables in buckets is planned as in buckets and may be run as not (Spark 4.1: "Can't zip RDDs")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for i, df in enumerate(parts):
+        out = df.select(*parts[0].columns).repartition(tasks, key).write.format("parquet").mode("append" if i else "error")
+        out.bucketBy(tasks, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def fingerprint(config: Any) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
