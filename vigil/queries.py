@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracle as o
 from .functions import registry
 from .functions import text as text_ops
-from .operators import baseline, cases, evaluation, features, investigation, models, quality, readiness, rules
+from .operators import baseline, cases, evaluation, features, fusion, investigation, models, quality, readiness, rules
 from .operators import sessions as session_ops
 from .plans.chain import Chain
 from .settings import BASELINE
@@ -519,8 +519,10 @@ def a23_case_counts(spark, sf_dir):
   'available' AS risk_status, 'available' AS detection_status FROM cased c JOIN keyed k USING (user_name, correlation_key) LEFT JOIN (SELECT candidate_key, count(*) AS n FROM members GROUP BY ALL) m USING (candidate_key) GROUP BY ALL""", *ALL, o.RISK, CASED, **PRINTS))
 def j09_investigation(spark, sf_dir):
     c = full(spark, sf_dir)
-    made = cases.sync(cases.empty(spark), c.alerts, 0)
-    rows = investigation.investigations(made, c.alerts, c.assessments, c.incidents, investigation.with_incident(c.keyed), c.evidence)
+    assessed = c.kept(c.assessments.drop("timeline"))  # read five times; the timeline is not shown
+    alerts = fusion.alerts(assessed)
+    made = c.kept(cases.sync(cases.empty(spark), alerts, 0))
+    rows = investigation.investigations(made, alerts, assessed, assessed, investigation.with_incident(c.keyed), c.evidence)
     held = F.col("candidates")
     return rows.select("case_id", "incident_key", "risk_score", F.col("incident.candidate_count").alias("candidate_count"), F.aggregate(held, F.lit(0).cast("long"), lambda s, x: s + x["event_count"]).alias("event_count"),
                        F.array_join(F.transform(held, lambda x: x["candidate_key"]), ",").alias("candidates"), "risk_status", "detection_status")
