@@ -56,3 +56,9 @@ def test_experiments_are_stored_by_what_they_are(spark, tmp_path):
     for bad in (lambda: store.query("none"), lambda: run(name=" "), lambda: run(end=5)):
         with pytest.raises((StateError, ValueError)):
             bad()
+
+
+def test_items_are_counted_without_python(spark):
+    rows = frequent.frequent_items(spark.range(1000).selectExpr("concat('t', id % 300) AS k"), "k", limit=1000)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapGroups" not in plan and rows.count() == 300

@@ -1,85 +1,27 @@
-"""Frequent items in bounded memory: counters that merge, with a bound on what they may have missed."""
+"""Frequent items: counts that merge, cut to a bounded number of items with a bound on what they may lack."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: how many templates a summary of quality keeps
 LIMIT = 10_000
-#: Summaries that are merged in one task.
+#: Summaries that were merged in one task when tasks merged them in Python; nothing reads it now.
 FAN = 16
 
 
-def reduced(counts: Counter, limit: int) -> int:
-    """Takes the count that ranks behind limit off all counts, and those away that have none left; what was taken off.
-
-    Every item so loses as much at most, and limit + 1 of them as much at least: over all reductions an item loses no
-    more than all counts divided by limit + 1.
-    """
-    if len(counts) <= limit:
-        return 0
-    cut = sorted(counts.values(), reverse=True)[limit]
-    for k in [k for k, n in counts.items() if n <= cut]:
-        del counts[k]
-    for k in counts:
-        counts[k] -= cut
-    return cut
-
-
-SCHEMA = "node long, item string, n long, lost long"
-
-
-def _rows(node: int, counts: Counter, lost: int) -> pa.RecordBatch:
-    """A summary's items, and a row without item that says what its counts may lack."""
-    items, ns = list(counts), list(counts.values())
-    return pa.record_batch([pa.array([node] * (len(items) + 1), pa.int64()), pa.array([*items, None], pa.string()), pa.array([*ns, 0], pa.int64()), pa.array([0] * len(items) + [lost], pa.int64())], ["node", "item", "n", "lost"])
-
-
-def _merge(limit: int):
-    def merge(group: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for item, n in zip(group.column("item").to_pylist(), group.column("n").to_pylist(), strict=True):
-            if item is not None:
-                counts[item] += n
-        lost = sum(group.column("lost").to_pylist())
-        lost += reduced(counts, limit)
-        return pa.Table.from_batches([_rows(group.column("_up")[0].as_py(), counts, lost)])
-
-    return merge
-
-
 def frequent_items(rows: DataFrame, item: str, n: str | None = None, limit: int = LIMIT) -> DataFrame:
     """item, n, error of at most limit items of a column: each occurs n times at least and n + error at most.
 
     Items that are not listed occur error times at most, and error is at most all counts divided by limit + 1; with no
     more than limit different items all are listed and error is 0. n names a column of counts, such as those of an
-    earlier summary. Null and empty items do not count. Every task keeps its own summary of twice limit items at most,
-    and summaries merge FAN at a time, so that no task and no state grows with the number of items.
+    earlier summary. Null and empty items do not count. One aggregation by item, which spills where it must, counts
+    them; the count that ranks behind limit is taken off all counts, and those away that have none left. It is found
+    from the numbers of items of each count: with equal counts in one row, these are few, whatever the items.
     """
-    tasks = rows.rdd.getNumPartitions()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lost = Counter(), 0
-        for batch in batches:
-            for k, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[k] += times
-                if len(counts) > 2 * limit:
-                    lost += reduced(counts, limit)
-        lost += reduced(counts, limit)
-        yield _rows(TaskContext.get().partitionId(), counts, lost)
-
     held = rows.where(F.coalesce(F.col(item), F.lit("")) != "").select(F.col(item).cast("string").alias("item"), (F.lit(1) if n is None else F.col(n)).cast("long").alias("n"))
-    merged = held.mapInArrow(count, SCHEMA)
-    while True:
-        tasks = -(-tasks // FAN)
-        merged = merged.withColumn("_up", F.floor(F.col("node") / FAN)).groupBy("_up").applyInArrow(_merge(limit), SCHEMA)
-        if tasks <= 1:
-            break
-    lost = F.broadcast(merged.agg(F.coalesce(F.sum("lost"), F.lit(0)).alias("error")))  # one row
-    return merged.where("item IS NOT NULL").select("item", "n").crossJoin(lost)
+    counts = held.groupBy("item").agg(F.sum("n").alias("n"))
+    ranks = counts.groupBy("n").agg(F.count(F.lit(1)).alias("_k")).withColumn("_to", F.sum("_k").over(Window.orderBy(F.col("n").desc())))
+    cut = F.broadcast(ranks.agg(F.coalesce(F.max(F.when(F.col("_to") > limit, F.col("n"))), F.lit(0).cast("long")).alias("error")))  # one row
+    return counts.crossJoin(cut).where(F.col("n") > F.col("error")).select("item", (F.col("n") - F.col("error")).alias("n"), "error")
