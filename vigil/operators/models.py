@@ -42,6 +42,12 @@ def long_features(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return vectors.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.*")
 
 
+def inner_fractions(total: Column) -> Column:
+    """Those of the quantiles that are the edges of a histogram of total values."""
+    bins = F.greatest(F.lit(MIN_BINS), F.least(F.lit(MAX_BINS), F.ceil(F.sqrt(total)))).cast("int")
+    return F.transform(F.sequence(F.lit(1), bins - 1), lambda i: i / bins)
+
+
 def fit_histograms(vectors: DataFrame, group: str) -> DataFrame:
     """group, feature, n, low, high, edges, counts of the training vectors of each group of MIN_ROWS and more.
 
@@ -51,12 +57,8 @@ def fit_histograms(vectors: DataFrame, group: str) -> DataFrame:
     sizes = vectors.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
     long = long.join(sizes.select(group), group, "left_semi")
 
-    def inner(total: Column) -> Column:
-        bins = F.greatest(F.lit(MIN_BINS), F.least(F.lit(MAX_BINS), F.ceil(F.sqrt(total)))).cast("int")
-        return F.transform(F.sequence(F.lit(1), bins - 1), lambda i: i / bins)
-
     ends = long.groupBy(group, "feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    cuts = quantiles(long, [group, "feature"], inner).select(group, "feature", F.col("total").alias("n"), F.array_sort(F.array_distinct("q")).alias("edges"))
+    cuts = quantiles(long, [group, "feature"], inner_fractions).select(group, "feature", F.col("total").alias("n"), F.array_sort(F.array_distinct("q")).alias("edges"))
     binned = long.join(cuts, [group, "feature"]).groupBy(group, "feature", F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     held = binned.groupBy(group, "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("counts"))  # a bin each
     return ends.join(cuts, [group, "feature"]).join(held, [group, "feature"])
@@ -74,10 +76,16 @@ def raw_scores(vectors: DataFrame, histograms: DataFrame, group: str, keys: list
     return rows.groupBy(*keys).agg(F.round(F.sum("part"), 9).alias("raw"), parts.alias("contributions"))
 
 
-def judged(rows: DataFrame, known: DataFrame, group: str, quantile: float = QUANTILE) -> DataFrame:
-    """rows (group, raw, ...) with threshold, percentile among known (group, raw), score and whether they fire."""
-    limits = quantiles(known.select(group, F.col("raw").alias("value")), [group], lambda _: F.array(F.lit(quantile))).select(group, F.col("q")[0].alias("threshold"))
-    out = empirical(rows, known.select(group, "raw"), [group], "raw").join(limits, group)
+def judged(rows: DataFrame, known: DataFrame, group: str | list[str], quantile: float = QUANTILE, fire_only: bool = False) -> DataFrame:
+    """rows (group, raw, ...) with threshold, percentile among known (group, raw, and n where a row stands for more), score
+    and whether they fire; fire_only leaves out those that do not before they are ranked."""
+    keys = [group] if isinstance(group, str) else group
+    counts = ["n"] if "n" in known.columns else []
+    limits = quantiles(known.select(*keys, F.col("raw").alias("value"), *counts), keys, lambda _: F.array(F.lit(quantile))).select(*keys, F.col("q")[0].alias("threshold"))
+    if fire_only:
+        rows = rows.join(limits, keys).where(F.col("raw") >= F.col("threshold"))
+    out = empirical(rows, known.select(*keys, "raw", *counts), keys, "raw")
+    out = out if fire_only else out.join(limits, keys)
     tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("percentile") - quantile) / (1 - quantile)))
     return out.withColumns({"score": F.bround(60 + 40 * tail).cast("int"), "fires": F.col("raw") >= F.col("threshold")})
 

@@ -451,7 +451,7 @@ tr AS (SELECT eval_day, window_size, user_name, unnest([{'scope': 'peer_group',
   CASE WHEN count(*) >= 100 AND (scope = 'global' OR count(DISTINCT user_name) >= 5) THEN 'ready' ELSE 'model_not_ready' END AS status FROM tr GROUP BY eval_day, window_size, scope, subject""", TRAINING))
 def e03_model_snapshots(spark, sf_dir):
     c = chain(spark, sf_dir)
-    return evaluation.model_snapshots(evaluation.model_training(c.windows, c.peers, *_days(c)))
+    return evaluation.model_sizes(c.windows, c.peers, *_days(c))
 
 
 @query()
