@@ -119,3 +119,24 @@ def test_a_crash_between_tables_is_made_good(spark, tmp_path, monkeypatch):
 def test_report_order_and_limit(spark):
     rows = spark.createDataFrame([("b", 60, 5), ("a", 60, 5), ("c", 80, 1), ("d", 60, 9)], "candidate_key string, score int, window_start long")
     assert [r.candidate_key for r in detection.reported(rows).collect()] == ["c", "d", "a", "b"] and [r.candidate_key for r in detection.reported(rows, 2).collect()] == ["c", "d"]
+
+
+def test_rows_that_stay_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """A change of a few keys shuffles their new rows alone; what stays is written from where it lies."""
+    from vigil.sources.keyed import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "k"), 1, {}, "k", buckets=4)
+    table.add(spark.range(1000).selectExpr("id % 50 AS k", "id AS v"))
+    plans, put = [], KeyedTable._put
+
+    def seen(self, rows, part):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return put(self, rows, part)
+
+    monkeypatch.setattr(KeyedTable, "_put", seen)
+    monkeypatch.setattr("vigil.sources.keyed.SMALL_BYTES", 0)
+    table.replace(spark.createDataFrame([(7, -1)], "k long, v long"), spark.createDataFrame([(7,), (8,)], "k long"))
+    assert len(plans) == 2 and "Exchange hashpartitioning(_bucket" not in plans[0] and "Sort" not in plans[0]
+    want = {(i % 50, i) for i in range(1000) if i % 50 not in (7, 8)} | {(7, -1)}
+    assert {tuple(r) for r in table.current()[1].select("k", "v").collect()} == want
+    assert {tuple(r) for r in table.lookup(7, 8).select("k", "v").collect()} == {(7, -1)}

@@ -8,9 +8,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .state import StateTable, settle
+from .state import StateTable
 
-ROWS_A_FILE = 1_000_000
+#: So many changed keys go to every task, and leave the other rows where they lie; more are joined by a shuffle.
+FEW_KEYS = 100_000
+#: Buckets with fewer bytes than this together are written as one file each on every change.
+SMALL_BYTES = 1_000_000
 
 
 class KeyedTable(StateTable):
@@ -75,14 +78,19 @@ class KeyedTable(StateTable):
 
     def _write_buckets(self, rows: DataFrame) -> list[str]:
         part = f"part-{uuid.uuid4().hex}"
-        names = [c for c in rows.columns if c != "_bucket"]
-        rows = settle(rows.withColumn("_bucket", self.bucket()))
-        files = max(1, -(-rows.count() // ROWS_A_FILE))
-        rows = rows.repartitionByRange(files, "_bucket", self.key, F.xxhash64(*names)).sortWithinPartitions("_bucket", self.key)
+        # a bucket's rows come together and are split where they are many (AQE): nothing is counted or sampled before
+        rows = rows.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.key)
+        return self._put(rows, part)
+
+    def _put(self, rows: DataFrame, part: str) -> list[str]:
         rows.write.partitionBy("_bucket").parquet(f"{self.folder}/{part}")
         found = self._fs.listStatus(self._path(f"{self.folder}/{part}"))
         return sorted(f"{part}/{f.getPath().getName()}" for f in found if f.isDirectory() and f.getPath().getName().startswith("_bucket="))
 
+    @staticmethod
+    def _few(keys: DataFrame) -> bool:
+        return keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+
     def add(self, rows: DataFrame, notes: dict | None = None) -> int:
         """rows beside what is there; nothing that is there is read, but for buckets of too many parts."""
         held = self.manifest()
@@ -101,7 +109,16 @@ class KeyedTable(StateTable):
         held = self.manifest()
         rev, touched = self._upcoming(held), self.buckets_of(keys)
         rows = rows.withColumn("_revision", F.lit(rev).cast("long"))
-        old = self._load(self.parts_of(touched))
+        old, kept = self._load(self.parts_of(touched)), []
+        gone = keys.select(self.key).distinct()
         if old is not None:
-            rows = old.join(keys.select(self.key).distinct(), self.key, "left_anti").select(*rows.columns).unionByName(rows)
-        return self._next(held, [p for p in held["parts"] if self._bucket_of(p) not in touched] + self._write_buckets(rows), notes)
+            few = self._few(gone)
+            rest = old.join(F.broadcast(gone) if few else gone, self.key, "left_anti").select(*rows.columns)
+            if not few or self._bytes(touched) < SMALL_BYTES:
+                rows = rest.unionByName(rows)
+            else:  # what stays lies in its buckets, in order: it is written from where it is read, without a shuffle
+                kept = self._put(rest.withColumn("_bucket", self.bucket()), f"part-{uuid.uuid4().hex}")
+        return self._next(held, [p for p in held["parts"] if self._bucket_of(p) not in touched] + kept + self._write_buckets(rows), notes)
+
+    def _bytes(self, buckets: set[int]) -> int:
+        return sum(self._fs.getContentSummary(self._path(f"{self.folder}/{p}")).getLength() for p in self.parts_of(buckets))
