@@ -49,16 +49,32 @@ def _event(parser: str, confidence: float, **parts: Column) -> Column:
     return _fields(**{n: parts.get(n, none).cast("bigint" if n in number else "string") for n in names}, parser_id=F.lit(parser), confidence=F.lit(confidence), extensions=more)
 
 
+#: Groups 1, 2, 4, 5, 7, 8, 10 and 11 have no white space, group 9 no quote: so parted, all are told from one match.
+SVN_GROUPS, SVN_PARTED = (1, 2, 4, 5, 7, 8, 10, 11), '$1 $2 $4 $5 $7 $8 $10 $11 $9"$3'
+
+
 def parse_svn(text: Column) -> Column:
     """Access log lines; null where the line is none or its time cannot be read."""
-    g = lambda i: F.nullif(F.regexp_extract(text, SVN, i), F.lit(""))
+    parted = F.split(F.regexp_replace(text, SVN + r"[\s\S]*", SVN_PARTED), " ", len(SVN_GROUPS) + 1)
+    rest = lambda x: F.split(F.get(x, F.lit(len(SVN_GROUPS))), '"', 2)
+    made = text_ops.let(parted, lambda x: text_ops.let(rest(x), lambda y: _svn(x, y)))
+    return F.when(F.regexp_like(text, F.lit(SVN)), made)
+
+
+def _svn(parted: Column, rest: Column) -> Column:
+    """The event of a line's groups."""
+
+    def g(i: int) -> Column:
+        held = F.get(parted, F.lit(SVN_GROUPS.index(i))) if i in SVN_GROUPS else F.get(rest, F.lit((9, 3).index(i)))
+        return F.nullif(held, F.lit(""))
+
     time = F.try_to_timestamp(g(3), F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
     zone = F.regexp_replace(F.regexp_extract(g(3), r"([+-]\d{4})$", 1), r"(\d{2})(\d{2})$", "$1:$2")
     local = F.regexp_extract(g(3), r"^(\S+)", 1)
     iso = F.concat(F.date_format(F.try_to_timestamp(local, F.lit("dd/MMM/yyyy:HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss"), zone)
     made = _event("svn_apache_access", 0.95, time=iso, category=F.lit("repository"), type=F.lit("access"), action=repository_action(F.coalesce(g(10), g(4))), outcome=http_outcome(g(7).try_cast("bigint")), user_name=g(2), source_ip=g(1),
                   resource_type=F.lit("repository_path"), resource_name=F.coalesce(g(11), g(5)), method=g(4), status_code=g(7).try_cast("bigint"), bytes=g(8).try_cast("bigint"), path=g(5), user_agent=g(9))
-    return F.when(F.regexp_like(text, F.lit(SVN)) & time.isNotNull(), made)
+    return F.when(time.isNotNull(), made)
 
 
 def _plain_time(text: Column) -> Column:
@@ -67,7 +83,11 @@ def _plain_time(text: Column) -> Column:
 
 def parse_sso(text: Column) -> Column:
     """Single sign-on records; null where the text is no JSON object or its time cannot be read."""
-    v = F.try_parse_json(text)
+    return text_ops.let(F.try_parse_json(text), _sso)
+
+
+def _sso(v: Column) -> Column:
+    """The event of a record's document (a variant)."""
     f = lambda n: F.try_variant_get(v, f"$.{n}", "string")
     login = F.coalesce(f("eventType") == "authenticateSuccess", F.lit(False))
     time = F.nullif(f("ctime"), F.lit(""))
@@ -77,7 +97,11 @@ def parse_sso(text: Column) -> Column:
 
 
 def parse_gitlab(text: Column) -> Column:
-    v = F.try_parse_json(text)
+    return text_ops.let(F.try_parse_json(text), _gitlab)
+
+
+def _gitlab(v: Column) -> Column:
+    """The event of a record's document (a variant)."""
     f = lambda n: F.try_variant_get(v, f"$.{n}", "string")
     method, path = F.upper(F.coalesce(f("method"), F.lit(""))), F.coalesce(f("path"), F.lit(""))
     status = F.coalesce(f("status"), F.lit("0")).try_cast("bigint")

@@ -14,9 +14,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores where it comes in fewer parts than there are, as a small file does; a large one as it is."""
+def spread(df: DataFrame, *keys: str, rows_a_task: int | None = None) -> DataFrame:
+    """df over all cores where it comes in fewer parts than there are, as a small file does; a large one as it is.
+
+    A file's rows come in its row groups, a million in each by some writers, however many parts it is read in. Where rows
+    take long, rows_a_task says how many a task is to have at most, and they are dealt however they come; they are counted
+    from the files' footers.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows_a_task is not None:
+        return df.repartition(max(cores, -(-df.count() // rows_a_task)), *keys)
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
