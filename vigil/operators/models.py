@@ -187,14 +187,22 @@ def forest_scored(vectors: DataFrame, training: DataFrame, group: str, keys: lis
     """vectors' raw isolation score, percentile, threshold, score, and the features furthest from the training median
     in MADs: context, not attribution."""
     forest = settle(fit_forest(training, group, trees))
-    known = settle(forest_scores(training, forest, group, keys).select(group, "raw"))
+    scores = settle(forest_scores(vectors, forest, group, keys))
+    known = scores.select(group, "raw") if training is vectors else settle(forest_scores(training, forest, group, keys).select(group, "raw"))
+    return judged(scores, known, group, quantile).join(furthest(vectors, training, group, keys), [*keys, *([] if group in keys else [group])])
+
+
+def furthest(vectors: DataFrame, training: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """keys, group, top_features: the TOP features of each vector that are furthest from its group's training median in
+    MADs. A group's medians are one row, so that a vector is told where it lies and makes no rows of its own."""
     both = [group, "feature"]
     half = lambda _: F.array(F.lit(0.5))
     long = long_features(training, [group])
     middle = settle(quantiles(long, both, half).select(*both, F.col("q")[0].alias("median")))
     spread = quantiles(long.join(middle, both).select(*both, F.abs(F.col("value") - F.col("median")).alias("value")), both, half).select(*both, F.col("q")[0].alias("mad"))
-    own = [*keys, *([] if group in keys else [group])]
-    far = long_features(vectors, own).join(middle.join(spread, both), both)
-    far = far.withColumn("minus", -F.abs(F.col("value") - F.col("median")) / F.greatest("mad", F.lit(1e-9)))
-    tops = far.groupBy(*own).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("minus", "feature"))), 1, TOP), lambda x: x["feature"]).alias("top_features"))
-    return judged(forest_scores(vectors, forest, group, keys), known, group, quantile).join(tops, own)
+    entry = F.struct("feature", F.struct("median", "mad"))
+    limits = settle(middle.join(spread, both).groupBy(group).agg(F.map_from_entries(F.collect_list(entry)).alias("_at")))  # a feature each
+    at = lambda f: F.col("_at")[f]
+    far = F.array(*[F.struct((-F.abs(F.col(f) - at(f)["median"]) / F.greatest(at(f)["mad"], F.lit(1e-9))).alias("minus"), F.lit(f).alias("feature")) for f in FEATURES])
+    tops = F.transform(F.slice(F.array_sort(far), 1, TOP), lambda x: x["feature"]).alias("top_features")
+    return vectors.join(limits, group).select(*keys, *([] if group in keys else [group]), tops)
