@@ -74,10 +74,11 @@ def _candidate(rows: DataFrame, detector: Column, score: Column) -> DataFrame:
 def numeric_candidates(scoped: DataFrame) -> DataFrame:
     """numeric_p99 or numeric_p95 of every metric that lies above its scope's percentile (strictly). A window's metrics
     are compared in place; only those that lie above become rows."""
-    values = F.array(*[F.col(m).cast("double") for m in METRICS])
-    above = lambda x, i: F.when(F.get(values, i) > x["p99"], "numeric_p99").when(F.get(values, i) > x["p95"], "numeric_p95")
-    hits = F.transform("limits", lambda x, i: F.struct(x["metric"].alias("metric"), above(x, i).alias("d")))
-    rows = scoped.withColumn("_hit", F.explode(F.filter(hits, lambda h: h["d"].isNotNull()))).withColumn("metric", F.col("_hit.metric"))
+    limit = lambda i, p: F.get("limits", F.lit(i))[p]
+    value = lambda m: F.col(m).cast("double")
+    above = lambda i, m: F.when(value(m) > limit(i, "p99"), "numeric_p99").when(value(m) > limit(i, "p95"), "numeric_p95")
+    hits = F.array(*[F.when(above(i, m).isNotNull(), F.struct(limit(i, "metric").alias("metric"), above(i, m).alias("d"))) for i, m in enumerate(METRICS)])  # no lambda: those are not compiled
+    rows = scoped.withColumn("_hit", F.explode(hits)).where("_hit IS NOT NULL").withColumn("metric", F.col("_hit.metric"))
     return _candidate(rows, F.col("_hit.d"), F.when(F.col("_hit.d") == "numeric_p99", F.col("policy.p99_score")).otherwise(F.col("policy.p95_score")))
 
 
@@ -99,7 +100,7 @@ def value_candidates(scoped: DataFrame, values: DataFrame, own_values: DataFrame
     rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     new = F.when(F.col("first_seen") == F.col("window_start"), F.struct(F.lit("new_value_30d").alias("d"), F.col("policy.new_value_score").alias("s")))
     rare = F.when((F.col("share") <= F.col("policy.rare_share_threshold")) & (F.col("known_count") <= F.col("policy.rare_event_count_max")), F.struct(F.lit("rare_value").alias("d"), F.col("policy.rare_value_score").alias("s")))
-    rows = rows.withColumn("_hit", F.explode(F.filter(F.array(new, rare), lambda x: x.isNotNull())))
+    rows = rows.withColumn("_hit", F.explode(F.array(new, rare))).where("_hit IS NOT NULL")
     return _candidate(rows, F.col("_hit.d"), F.col("_hit.s"))
 
 

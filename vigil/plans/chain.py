@@ -116,9 +116,14 @@ class Chain:
         return detection.rule_candidates(self.dealt, self.windows, self.values, self.rules)
 
     @cached_property
-    def candidates(self) -> DataFrame:
+    def found(self) -> tuple[DataFrame, ...]:
+        """The candidates in parts, of which most stay dealt by user; for who reads them once."""
         own, others = (detection.value_candidates(self.scoped, self.values, *v) for v in ((self.own_values, None), (None, self.group_values)))
-        return self.kept(self.numeric, own, others, self.ruled)
+        return self.numeric, own, others, self.ruled
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return self.kept(*self.found)
 
     @cached_property
     def tops(self) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,17 +44,40 @@ def settle(df: DataFrame) -> DataFrame:
 def settle_by(key: str, tasks: int, *parts: DataFrame) -> DataFrame:
     """All rows of parts (of the same columns) settled in buckets of key, one to each of so many tasks: what is dealt so
     already is written where it is, and joins and groups of such tables by key, or by key and more, need no shuffle."""
-    spark, name = parts[0].sparkSession, f"settled_{uuid.uuid4().hex}"
+    spark = parts[0].sparkSession
+    return write_dealt(key, tasks, f"{shared_dir(spark)}/settled_{uuid.uuid4().hex}", parts)
+
+
+def write_dealt(key: str, tasks: int, path: str, parts: Sequence[DataFrame], folders: str | None = None, ordered: bool = False) -> DataFrame:
+    """settle_by at a path; with folders (a column) each of its values has a folder of its own. A task's rows are written
+    as they come, or ordered by key."""
+    spark, name = parts[0].sparkSession, f"dealt_{uuid.uuid4().hex}"
     # a join goes by the buckets of a part of its keys too
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     # a union of tables in buckets is planned as in buckets and may be run as not (Spark 4.1: "Can't zip RDDs")
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    for i, df in enumerate(parts):
-        out = df.select(*parts[0].columns).repartition(tasks, key).write.format("parquet").mode("append" if i else "error")
-        out.bucketBy(tasks, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    # what is written as it is dealt is read so too: a task then has the users of one bucket and writes one file
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    with unsorted_writes(spark):
+        for i, df in enumerate(parts):
+            out = df.select(*parts[0].columns).repartition(tasks, key).write.format("parquet").mode("append" if i else "error").bucketBy(tasks, key)
+            out = out.partitionBy(folders) if folders else out
+            (out.sortBy(key) if ordered else out).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+@contextmanager
+def unsorted_writes(spark: SparkSession, files: int = 16) -> Iterator[None]:
+    """Writes within sort no rows by their bucket or folder, as long as a task has so many of them at most."""
+    conf = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(files))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def fingerprint(config: Any) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
