@@ -116,3 +116,14 @@ def test_chain_against_plain_hashes(spark, monkeypatch):
     other = {r.k: r.chain for r in resume.ordered_chain(swapped, ["k"], "i").collect()}
     assert other["a"] != got["a"][1] and other["b"] == got["b"][1]
     assert resume.ordered_chain(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_records_are_kept_once_and_go_with_their_places(spark, sources, tmp_path, monkeypatch):
+    """Nothing that was settled on the way stays, and a document is joined to no place."""
+    shared, plans, append = tmp_path / "shared", [], resume.Sink.append
+    monkeypatch.setattr("vigil.sources.state.shared_dir", lambda spark: str(shared))
+    monkeypatch.setattr(resume.Sink, "append", lambda self, rows, step, parts: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or append(self, rows, step, parts))
+    resume.parse_files(spark, sources, str(tmp_path / "out"), every=9)
+    assert len(plans) == 6 and not any("Join" in p or "Exchange" in p for p in plans)
+    left = [spark.read.parquet(str(p)).columns for p in shared.iterdir()]
+    assert not any("raw_text" in c for c in left)

@@ -231,15 +231,16 @@ def validation_errors(event: str = "event") -> Column:
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
-def routed(records: DataFrame, parsers: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Valid events, and the rest as unknown records with reason, errors, format and template."""
+def routed(records: DataFrame, parsers: list[dict] | None = None, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Valid events, and the rest as unknown records with reason, errors, format and template; keep are columns of the
+    records that both have too."""
     rows = parse(records, parsers)
     rows = rows.withColumn("schema_errors", F.when(F.col("event").isNotNull(), validation_errors()).otherwise(F.array().cast("array<string>")))
     if not rows.isStreaming:
         rows = settle(rows)  # both results read the records as parsed, and parse them once
     bad = F.size("schema_errors") > 0
-    good = rows.where(F.col("event").isNotNull() & ~bad).select("event.*")
+    good = rows.where(F.col("event").isNotNull() & ~bad).select("event.*", *keep)
     reason = F.when(bad, "schema_validation_failed").otherwise(F.col("reason"))
     rest = rows.where(F.col("event").isNull() | bad).withColumn("reason", reason)
-    unknown = rest.select(F.sha2(F.concat_ws(":", "record_id", "reason"), 256).alias("unknown_id"), "reason", "record_id", "source_id", "source_type", text_ops.detect_source(F.col("raw_text")).alias("suggested_source_type"), text_ops.detect_format(F.col("raw_text")).alias("detected_format"), text_ops.template_hint(F.col("raw_text")).alias("template_hint"), "schema_errors", "raw_text")
+    unknown = rest.select(F.sha2(F.concat_ws(":", "record_id", "reason"), 256).alias("unknown_id"), "reason", "record_id", "source_id", "source_type", text_ops.detect_source(F.col("raw_text")).alias("suggested_source_type"), text_ops.detect_format(F.col("raw_text")).alias("detected_format"), text_ops.template_hint(F.col("raw_text")).alias("template_hint"), "schema_errors", "raw_text", *keep)
     return good, unknown

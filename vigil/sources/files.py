@@ -109,7 +109,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
         counts = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
         before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
         first = counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        parts.append(lines.join(first, ["path", "block"]).select("path", (F.col("first") + F.col("i") + 1).alias("line"), "text"))
+        parts.append(lines.join(F.broadcast(first), ["path", "block"]).select("path", (F.col("first") + F.col("i") + 1).alias("line"), "text"))
     if packed:
         parts.append(_packed_lines(spark, packed))
     if not parts:

@@ -41,6 +41,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes what settle wrote and df reads, for who has read it to the end."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("settled-"):
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def settle_by(key: str, tasks: int, *parts: DataFrame) -> DataFrame:
     """All rows of parts (of the same columns) settled in buckets of key, one to each of so many tasks: what is dealt so
     already is written where it is, and joins and groups of such tables by key, or by key and more, need no shuffle."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..operators import quality
 from ..sources import files
-from ..sources.state import StateError, StateTable, settle
+from ..sources.state import StateError, StateTable, discard, settle
 
 VERSION = 1
 #: Hashes that are joined to one of the next level, and levels: enough for 10^14 records.
@@ -72,9 +72,11 @@ class Sink:
             raise StateError(f"{self.folder} has {self.length()} bytes where {length} were committed")
 
     def append(self, rows: DataFrame, step: int, parts: int) -> None:
-        """rows with place and document, in the order of place."""
+        """rows as JSON in the order of place, a column that is left out. They are written out behind the shuffle: names of
+        fields are not sent with every row."""
+        names = [c for c in rows.columns if c != "place"]
         rows = rows.repartitionByRange(parts, "place").sortWithinPartitions("place")
-        rows.select("document").write.text(f"{self.folder}/step-{step:09d}")
+        rows.select(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("document")).write.text(f"{self.folder}/step-{step:09d}")
 
 
 def _manifest(spark: SparkSession, units: list[dict[str, Any]]) -> list[list]:
@@ -109,6 +111,7 @@ def _staged(spark: SparkSession, units: list[dict[str, Any]], folder: str) -> tu
     placed = rows.join(F.broadcast(first), "unit").withColumn("place", F.col("_first") + F.col("number")).drop("_first")
     path = f"{folder}/staged"
     placed.repartitionByRange(max(1, -(-sum(counts) // ROWS_A_PART)), "place").sortWithinPartitions("place").write.mode("overwrite").parquet(path)
+    discard(rows)
     return path, counts
 
 
@@ -161,20 +164,16 @@ def _step(spark: SparkSession, table: StateTable, sinks: dict[str, Sink], notes:
     begin, counts = notes["records"], notes["counts"]
     staged = spark.read.parquet(notes["staged"])
     rows = staged.where((F.col("place") >= begin) & (F.col("place") < end))
-    good, unknown = parsing.routed(rows, parsers)
-    places, parts = rows.select("record_id", "place"), max(1, -(-(end - begin) // ROWS_A_PART))
-
-    def shown(df: DataFrame, id: str) -> DataFrame:
-        """Documents with their places; equal ids are one record of a file that is listed twice."""
-        made = df.select(F.col(id).alias("_id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("document"))
-        return made.dropDuplicates(["_id"]).join(places, F.col("_id") == F.col("record_id"))
-
-    sinks["normalized"].append(shown(good, "raw.record_id"), notes["steps"], parts)
-    sinks["unknown"].append(shown(unknown, "record_id"), notes["steps"], parts)
+    good, unknown = parsing.routed(rows, parsers, "place")
+    parts = max(1, -(-(end - begin) // ROWS_A_PART))
+    events, rest = good.drop("place"), unknown.drop("place")
+    for kind, df in zip(SINKS, (good, unknown), strict=True):  # a record goes with its place: no join finds it again
+        sinks[kind].append(df, notes["steps"], parts)
     unit = next(i for i in range(len(counts)) if sum(counts[: i + 1]) >= end)
     number = end - 1 - sum(counts[:unit])
     cursor = {"unit": unit, "number": number, "chain": _chain_at(staged, unit, number)}
-    known, now = table.current()[1], quality.snapshot(good, unknown)
+    known, now = table.current()[1], quality.snapshot(events, rest)
     notes = {**notes, "records": end, "steps": notes["steps"] + 1, "lengths": {k: s.length() for k, s in sinks.items()}, "cursor": cursor}
     table.commit(settle(quality.bounded(settle(now if known is None else quality.merged(known, now)))), notes)
+    discard(good)  # the records as parsed
     return notes
